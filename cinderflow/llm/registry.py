@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["url_filters"]
+MODULES = ["url_filters", "mixing"]
 
 
 def _parts():
