@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["url_filters", "mixing"]
+MODULES = ["url_filters", "mixing", "token_ids"]
 
 
 def _parts():
