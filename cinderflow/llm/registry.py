@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["url_filters", "mixing", "token_ids", "quality_classifier", "quality_rules"]
+MODULES = ["url_filters", "mixing", "token_ids", "quality_classifier", "quality_rules", "license_scans"]
 
 
 def _parts():
