@@ -29,3 +29,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, which need not see the driver's folders."""
+    import os
+    import shutil
+    import tempfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_cinderflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="cinderflow-"), "cinderflow"), "zip", root, "cinderflow")
+    sc.addPyFile(archive)
+    sc._cinderflow_shipped = True
