@@ -1,16 +1,28 @@
 """Queries of the training-data operators and their oracle SQL."""
 
+from functools import wraps
 from importlib import import_module
 
-MODULES = ["url_filters", "mixing", "token_ids", "quality_classifier", "quality_rules", "license_scans"]
+from cinderflow.storage import ship_package
+
+MODULES = ["url_filters", "mixing", "token_ids", "quality_classifier", "quality_rules", "license_scans", "jaccard_join"]
 
 
 def _parts():
     return [import_module(f"cinderflow.llm.{m}") for m in MODULES]
 
 
+def _shipped(f):
+    @wraps(f)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries():
-    return {k: f for m in _parts() for k, f in m.QUERIES.items()}
+    return {k: _shipped(f) for m in _parts() for k, f in m.QUERIES.items()}
 
 
 def oracle_sql():
