@@ -1,9 +1,17 @@
 """Every registered query of the scoring engine, with its oracle SQL."""
 
+from importlib import import_module
+
+MODULES = ["score_queries"]
+
+
+def _parts():
+    return [import_module(f"cinderflow.plans.{m}") for m in MODULES]
+
 
 def queries():
-    return {}
+    return {k: f for m in _parts() for k, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: s for m in _parts() for k, s in m.ORACLE.items()}
