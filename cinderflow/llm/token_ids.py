@@ -44,12 +44,17 @@ END_ID = 2
 SHARD_BYTES, MOST_SHARDS = 16 << 20, 100_000
 #: Text bytes encoded at a time, and bytes after which a block ends.
 SLICE_BYTES, BLOCK_BYTES, BLOCKS_PER_FILE = 8 << 20, 4 << 20, 4
-_HEADER, _MARK = struct.Struct("<4sIIIQQ"), "<|startoftext|>"
+_HEADER = struct.Struct("<4sIIIQQ")
 #: For every control byte: the lengths of its four values.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
 
 
+#: Bytes that a word may end with without bearing on the letters before (ASCII punctuation but the apostrophe).
+_TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_SIMPLE = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     import os
@@ -60,40 +65,90 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encode_distinct(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all given words one after another, and where each word's ids begin (and the last end)."""
+@lru_cache(maxsize=2)
+def _letters_only(path: str):
+    """The library's model behind a plain split, for words of letters that need no other normalising; None if the
+    tokenizer is not of the kind whose steps leave lower-case Latin letters alone (byte-level over NFC and lower case)."""
+    import json
+
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import Split
+
+    whole = _tokenizer(path)
+    told = json.loads(whole.to_str())
+    steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+    before = [x["type"] for x in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    if steps != ["NFC", "Replace", "Lowercase"] or before != ["Split", "ByteLevel"] or told["post_processor"]:
+        return None
+    bare = Tokenizer(whole.model)
+    bare.pre_tokenizer = Split(" ", "removed")
+    return bare
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for their own byte, others follow from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def gather(ids: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ids[at[k]:at[k + 1]] for k in which, one after another, and where each begins."""
+    lengths = np.diff(at)[which]
+    ends = np.cumsum(lengths)
+    return ids[np.repeat(at[:-1][which] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))], np.concatenate([[0], ends])
+
+
+def _one_by_one(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     tokenizer = _tokenizer(path)
-    mark = tokenizer.token_to_id(_MARK)
-    if mark is None:
-        each = [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch(found, add_special_tokens=False)]
-    else:
-        each = []
-        for i in range(0, len(found), 4096):
-            group = found[i : i + 4096]
-            joined = _MARK.join(group)
-            if joined.count(_MARK) == len(group) - 1:
-                ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, np.uint32)
-                at = np.flatnonzero(ids == mark)
-                if len(at) == len(group) - 1:
-                    # one array for the group: marks out, lengths from their places
-                    lengths = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
-                    each.append((np.delete(ids, at), lengths))
-                    continue
-            singles = [np.array(tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in group]
-            each.append((np.concatenate(singles), np.array([len(x) for x in singles])))
-        ids = np.concatenate([x[0] for x in each]) if each else np.zeros(0, np.uint32)
-        lengths = np.concatenate([x[1] for x in each]) if each else np.zeros(0, np.int64)
-        return ids, np.concatenate([[0], np.cumsum(lengths)])
-    lengths = np.array([len(x) for x in each], np.int64)
-    return (np.concatenate(each) if each else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum(lengths)])
-
-
-def _worded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    each = [x.ids for x in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+    lengths = np.fromiter(map(len, each), np.int64, len(each))
+    return np.fromiter((i for x in each for i in x), np.uint32, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def encode_distinct(path: str, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all given words one after another, and where each word's ids begin (and the last end).
+
+    A word of Latin letters, perhaps with punctuation at its end, is the ids of its lower-cased letters and those of
+    the punctuation: the tokenizer cuts between the two. Its letters go to the model without the other steps.
+    """
+    bare = _letters_only(path)
+    if bare is None:
+        return _one_by_one(path, found.to_pylist())
+    stems = pc.utf8_rtrim(found, characters=_TAIL)
+    simple = pc.match_substring_regex(stems, _SIMPLE).to_numpy(zero_copy_only=False)
+    quick = pa.array(simple)
+    lows = pc.utf8_lower(stems.filter(quick)).dictionary_encode()
+    letters = lows.dictionary.to_pylist()
+    table = _byte_letters()
+    spelt = [x if x.isascii() else x.encode().decode("latin-1").translate(table) for x in letters]
+    got = bare.encode(" ".join(spelt), add_special_tokens=False)
+    stem_ids = np.array(got.ids, np.uint32)
+    stem_at = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(spelt) + 1))
+    tails = pc.replace_substring_regex(found.filter(quick), r"^\p{L}+", "").dictionary_encode()
+    others = found.filter(pc.invert(quick)).to_pylist()
+    more_ids, more_at = _one_by_one(path, [*tails.dictionary.to_pylist(), *others])
+    # every word is two runs: letters then punctuation, or an empty one then the whole word
+    ids = np.concatenate([stem_ids, more_ids])
+    at = np.concatenate([stem_at, more_at[1:] + stem_at[-1]])
+    runs = np.empty((len(found), 2), np.int64)
+    empty = len(at) - 1
+    at = np.append(at, at[-1])
+    runs[simple, 0] = lows.indices.to_numpy(zero_copy_only=False)
+    runs[simple, 1] = len(spelt) + tails.indices.to_numpy(zero_copy_only=False)
+    runs[~simple, 0] = empty
+    runs[~simple, 1] = len(spelt) + len(tails.dictionary) + np.arange(len(others))
+    flat, starts = gather(ids, at, runs.ravel())
+    return flat, starts[::2]
+
+
+def _worded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """For texts: word number of every word, where each text's words begin, and the distinct words."""
     lists = pc.ascii_split_whitespace(column.fill_null("").cast(pa.large_string()))
     coded = lists.flatten().dictionary_encode()
+    # white space at the ends of a text gives an empty word, which has no ids
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    return coded.indices.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)]), coded.dictionary.to_pylist()
+    return coded.indices.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)]), coded.dictionary
 
 
 def _slices(column: pa.Array):
@@ -109,16 +164,9 @@ def _slices(column: pa.Array):
 def encode_column(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, each with its end id, and where each text's ids begin."""
     which, first, found = _worded(column)
-    ids, at = encode_distinct(path, [*found, ""])
-    lengths = np.diff(at)[which]
-    per_text = np.add.reduceat(np.append(lengths, 0), first[:-1].clip(max=len(lengths))) if len(column) else np.zeros(0, np.int64)
-    per_text = np.where(np.diff(first) > 0, per_text, 0)
-    # all words' ids by one gather: begin of the word's ids, plus 0 .. length - 1
-    total = int(lengths.sum())
-    begin = np.cumsum(lengths) - lengths
-    flat = ids[np.repeat(at[:-1][which] - begin, lengths) + np.arange(total)]
-    starts = np.concatenate([[0], np.cumsum(per_text)])
-    return np.insert(flat, starts[1:], END_ID), starts + np.arange(len(starts))
+    flat, word_at = gather(*encode_distinct(path, found), which)
+    ends = word_at[first[1:]]
+    return np.insert(flat, ends, END_ID), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
 
 
 def _bits(ranks: np.ndarray) -> np.ndarray:
@@ -155,43 +203,48 @@ def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
     return out
 
 
-def _count(path: str):
+def _tokenized(path: str):
+    """doc_id and the ids of each text: two bytes an id, four where two don't hold the document's largest."""
+
     def run(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for _, column in _slices(batch.column(0)):
-                which, first, found = _worded(column)
-                ids, at = encode_distinct(path, [*found, ""])
-                times = np.append(np.bincount(which, minlength=len(found)), 0)
-                n = np.bincount(ids, weights=np.repeat(times, np.diff(at)), minlength=END_ID + 1).astype(np.int64)
-                n[END_ID] += len(column)
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["id", "n"])
+            for i, column in _slices(batch.column("text")):
+                flat, starts = encode_column(path, column)
+                small = flat.astype("<u2")
+                wide = np.add.reduceat(flat > 0xFFFF, starts[:-1]) > 0
+                raw = [flat[a:b].astype("<u4").tobytes() if w else small[a:b].tobytes() for a, b, w in zip(starts[:-1], starts[1:], wide, strict=True)]
+                doc_id = batch.column("doc_id").slice(i, len(column)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(starts).astype(np.int32)), pa.array(raw, pa.binary())], ["doc_id", "n", "ids"])
 
     return run
 
 
-def _encode(path: str, ids_by_rank: np.ndarray, bounds: np.ndarray):
+def _ids(n: int, raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+
+
+def _count(batches):
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        held = [_ids(n, x) for n, x in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True)]
+        n = np.bincount(np.concatenate(held), minlength=len(total))
+        total = np.concatenate([total, np.zeros(max(0, len(n) - len(total)), np.int64)])
+        total[: len(n)] += n
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["id", "n"])
+
+
+def _encode(ids_by_rank: np.ndarray, bounds: np.ndarray):
     rank_of = np.zeros(int(ids_by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[ids_by_rank] = np.arange(len(ids_by_rank), dtype=np.uint32)
 
     def run(batches):
         for batch in batches:
-            for i, column in _slices(batch.column("text")):
-                flat, starts = encode_column(path, column)
-                ranks, n = rank_of[flat], np.diff(starts)
-                packed = [pack(ranks[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                doc_id = batch.column("doc_id").slice(i, len(column)).cast(pa.int64())
-                shard = np.searchsorted(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), doc_id, pa.array(n.astype(np.int32)), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
-                    ["shard", "doc_id", "n", "control", "data"],
-                )
+            doc_id, n = batch.column("doc_id"), batch.column("n")
+            packed = [pack(rank_of[_ids(k, x)]) for k, x in zip(n.to_pylist(), batch.column("ids").to_pylist(), strict=True)]
+            # a document's shard is the number of bounds below its id
+            shard = np.searchsorted(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), doc_id, n, pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], ["shard", "doc_id", "n", "control", "data"])
 
     return run
 
@@ -225,7 +278,9 @@ def _blocks(batches):
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Writes the ids of docs (doc_id, text) below path."""
     spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(_count(tokenizer), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    # Tokenized once: the ids are counted and encoded from a table in the shared folder.
+    rows = written(docs.select("doc_id", "text").mapInArrow(_tokenized(tokenizer), "doc_id long, n int, ids binary"), "ids", compression="zstd")
+    counts = rows.select("n", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # At most as many rows as the vocabulary has ids.
     ranked = [x["id"] for x in counts.orderBy(F.desc("n"), "id").collect()]
     table = struct.pack("<4sI", b"CFTR", len(ranked)) + np.array(ranked, "<u4").tobytes()
@@ -234,9 +289,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     wanted = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SHARD_BYTES
     shards = max(8, min(MOST_SHARDS, wanted))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards).alias("b")).first()["b"] or []
-    encoded = docs.select("doc_id", "text").mapInArrow(
-        _encode(tokenizer, np.array(ranked, np.int64), np.array(sorted(set(bounds)), np.int64)), "shard int, doc_id long, n int, control binary, data binary"
-    )
+    encoded = rows.mapInArrow(_encode(np.array(ranked, np.int64), np.array(sorted(set(bounds)), np.int64)), "shard int, doc_id long, n int, control binary, data binary")
     ordered = encoded.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n", F.crc32("data"))
     blocks = ordered.mapInArrow(_blocks, "block binary").select(F.col("block").cast("string"))
     blocks.write.option("maxRecordsPerFile", BLOCKS_PER_FILE).text(f"{path}/blocks")
