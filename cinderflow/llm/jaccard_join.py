@@ -46,6 +46,8 @@ CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 60_000, 2 << 20,
 HOT, MANY, BLOCK = 32, 255, 1024
 _FEW = np.uint64(0xA24BAED4963EE407)
 _NOTICE = 0xFFFF
+#: doc_ids lie below; a class of null ids gets a number above.
+_UNNAMED = 1 << 62
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +244,7 @@ def _compare(table: pa.Table) -> pa.Table:
     side = table["side"].to_numpy()[keep]
     # side 0: the leader and members of one group (each pair counts); 1 and 2: two groups (pairs across count)
     bodies = table["tokens"].take(pa.array(keep)).to_pylist()
-    n = table["n"].to_numpy()[keep]
+    n, node = table["n"].to_numpy()[keep], table["node"].to_numpy()[keep]
     token = [np.frombuffer(x, np.int64) for x in bodies]
     size = np.array([len(x) for x in token])
     _, code = np.unique(np.concatenate(token), return_inverse=True)
@@ -271,7 +273,7 @@ def _compare(table: pa.Table) -> pa.Table:
             a, b = find(x), find(y)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                links.append((int(cls[x]), int(cls[y])))
+                links.append((int(node[x]), int(node[y])))
 
     if side.max() == 0:
         lead = np.flatnonzero(cls == table["lead"][0].as_py())
@@ -289,9 +291,8 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
-def class_links(found: DataFrame) -> DataFrame:
-    """a, b: links between classes of sets(); as many as give the components of all links."""
-    classes = written(found.where("tokens is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
+def class_links(classes: DataFrame) -> DataFrame:
+    """a, b: links between nodes of classes (cls, n, tokens, node); as many as give the components of all links."""
     posted = classes.mapInArrow(_postings, "token long, cls long, n long, place long, alone double")
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("alone", "cls")).alias("lead")).where("held > 1")
     postings = written(posted.join(lists, "token").select("token", "cls", "n", "place", F.col("lead.cls").alias("lead")), "postings")
@@ -322,17 +323,23 @@ def class_links(found: DataFrame) -> DataFrame:
     second = both.join(placed.select(F.col("group").alias("g2"), "cls", F.col("block").alias("b2")), "g2").select("cls", F.lit(2).alias("side"), "g1", "g2", F.explode(F.sequence(F.lit(0), F.col("n1") - 1)).alias("b1"), "b2")
 
     units = within.unionByName(first).unionByName(second)
-    filled = units.join(classes, "cls").select("g1", "g2", "b1", "b2", "side", "cls", F.col("g1").alias("lead"), "n", "tokens")
+    filled = units.join(classes, "cls").select("g1", "g2", "b1", "b2", "side", "cls", "node", F.col("g1").alias("lead"), "n", "tokens")
     return filled.groupBy("g1", "g2", "b1", "b2").applyInArrow(_compare, "a long, b long")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs."""
     found = written(sets(docs), "sets")
-    labels = components(class_links(found)).select(F.col("node").alias("cls"), "label")
-    rows = found.select("doc_id", "n", "cls").join(labels, "cls", "left").select("doc_id", "n", F.coalesce("label", "cls").alias("label"))
-    least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # A class goes by its smallest doc_id, so the least node of a component is its id; classes of null ids come after all ids.
+    unnamed = F.lit(_UNNAMED) + F.pmod("cls", F.lit(1 << 61))
+    alike = found.where("tokens is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.coalesce(F.min("doc_id"), unnamed).alias("node"))
+    classes = written(alike, "classes")
+    labels = components(class_links(classes))
+    # One row a class: a class that is in no such row has one document, linked with nothing.
+    named = classes.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("label", "node").alias("least"))
+    rows = found.select("doc_id", "n", "cls").join(named, "cls", "left")
+    least = F.when(F.col("least") < _UNNAMED, F.col("least")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
