@@ -31,12 +31,30 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch to Python workers: whole texts are wide, and a worker holds a batch at a time.
+ARROW_ROWS = 1000
+#: Up to so many ids (8 bytes each) are broadcast to leave rows out; above, both sides are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df without the rows whose key is in the one column of ids (null counts as a value)."""
+    from pyspark.sql import functions as F
+
+    away = written(ids.toDF("__away").distinct(), "away")
+    if away.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        away = F.broadcast(away)
+    return df.join(away, df[key].eqNullSafe(away["__away"]), "left_anti")
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, which need not see the driver's folders."""
+    """Sends this package to the executors' Python workers, which need not see the driver's folders, and bounds their batches."""
     import os
     import shutil
     import tempfile
 
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_cinderflow_shipped", False):
         return

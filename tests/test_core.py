@@ -47,7 +47,7 @@ def scored(spark, universe, seed=2):
     return spark.createDataFrame(rows, "ticker string, name string, sector string, total_score double")
 
 
-@pytest.mark.parametrize("over", [{}, {"tilt_strength": 4.0, "max_weight": 0.05}, {"method": "exclude"}, {"benchmark": "equal", "max_weight": 0.022}, {"sector_neutral": False, "tilt_strength": 4.0, "max_weight": 0.06}])
+@pytest.mark.parametrize("over", [{}, {"tilt_strength": 4.0, "max_weight": 0.09}, {"method": "exclude"}, {"benchmark": "equal", "max_weight": 0.022}, {"sector_neutral": False, "tilt_strength": 4.0, "max_weight": 0.09}])
 def test_fund_invariants(spark, over):
     u = market_of(spark)
     s = config.portfolio_settings(config.Profile("p"), {"max_weight": 0.2, "exclude_sub_industries": ["Y"] if "benchmark" not in over else [], **over})
@@ -67,6 +67,13 @@ def test_fund_invariants(spark, over):
             assert abs(a - b) < 1e-9
 
 
+def test_a_cap_too_low_is_an_error(spark):
+    u = market_of(spark)
+    s = config.portfolio_settings(config.Profile("p"), {"max_weight": 0.01})
+    with pytest.raises(Exception, match="cannot hold"):
+        portfolio.allocate(scored(spark, u), u, s).collect()
+
+
 def loop_fill(w, total, cap):
     out, free, left = [0.0] * len(w), [i for i, x in enumerate(w) if x > 0], total
     while free and left > 1e-15:
