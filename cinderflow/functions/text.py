@@ -44,7 +44,7 @@ def inline_text(x):
     """As html_text(), with inline tags removed without a gap and block tags as line ends."""
     x = F.regexp_replace(F.regexp_replace(x, r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " ")
     x = F.regexp_replace(x, r"(?i)</?(?:b|i|u|em|strong|span|font|a)(?: [^>]*)?>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", "\n"), r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", "\n"), r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def scaled_number(x):

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["score_queries", "operator_queries", "portfolio_queries", "check_queries"]
+MODULES = ["score_queries", "operator_queries", "portfolio_queries", "check_queries", "service"]
 
 
 def _parts():
