@@ -63,8 +63,7 @@ def fs14_unescape_udf(spark, d):
 
 
 def z_tumbling_counts(spark, d):
-    e = X.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    got = events.counted(e)
+    got = events.counted(X.table(spark, d, "events"))
     return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", r6(F.col("total")).alias("total"))
 
 
