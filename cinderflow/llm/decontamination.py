@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderflow.llm import textkernel as K
+from cinderflow.storage import without
 
 WINDOW, SHORTEST, PLAIN, LEAST_SHARE = 8, 4, 4, 0.3
 BITS, BROADCAST_WINDOWS = 1 << 23, 200_000
@@ -178,8 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = LEA
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
-    bad = contaminated(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    return without(docs, contaminated(docs, benchmark).where("contaminated").select("doc_id"), "doc_id")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 
 from cinderflow.llm import textkernel as K
 from cinderflow.llm.components import components
-from cinderflow.storage import written
+from cinderflow.storage import without, written
 
 WIDTH = 5
 #: Bytes of text and documents of a chunk; input bytes of a bucket, and the fewest buckets.
-CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 60_000, 2 << 20, 256
+CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 60_000, 2 << 20, 256
 HOT, MANY, BLOCK = 32, 255, 1024
 _FEW = np.uint64(0xA24BAED4963EE407)
 _NOTICE = 0xFFFF
@@ -343,10 +343,8 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id; a repeated doc_id stays once. Null ids stay."""
-    away = join(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(away, "doc_id", "left_anti")
-    return left
+    """docs without the documents whose component has a smaller doc_id; rows of one doc_id stay or go together. Null ids stay."""
+    return without(docs, join(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id"), "doc_id")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts(offsets: np.ndarray, limit: int = 4 << 20):
+def parts(offsets: np.ndarray, limit: int = 1 << 20):
     """Ranges (i, j) of documents with about limit bytes of text each; one document at least."""
     i, n = 0, len(offsets) - 1
     while i < n:

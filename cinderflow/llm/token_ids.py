@@ -203,11 +203,24 @@ def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
     return out
 
 
+def _together(batches):
+    """Batches put together to about SLICE_BYTES, as more texts have fewer distinct words each."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= SLICE_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _tokenized(path: str):
     """doc_id and the ids of each text: two bytes an id, four where two don't hold the document's largest."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _together(batches):
             for i, column in _slices(batch.column("text")):
                 flat, starts = encode_column(path, column)
                 small = flat.astype("<u2")
