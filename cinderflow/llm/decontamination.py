@@ -162,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = LEA
     lengths = sorted(r[0] for r in asked.select("size").distinct().collect())
     if asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         asked = F.broadcast(asked)
-    rows = docs.select("doc_id", "text").mapInArrow(_hits(lengths, np.packbits(bits, bitorder="little")), f"row long, doc_id long, hits {_HIT}")
+    rows = docs.select("doc_id", "text").mapInArrow(K.trimmed(_hits(lengths, np.packbits(bits, bitorder="little"))), f"row long, doc_id long, hits {_HIT}")
     hits = rows.select("row", "doc_id", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "hit.*").join(asked, "h", "left")
     # Slots that are no placeholders are 0 on both sides.
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda x: x["i"] != 0)

@@ -215,7 +215,7 @@ def _bits(docs: DataFrame) -> int:
 def sets(docs: DataFrame) -> DataFrame:
     """doc_id, n, cls, shared, tokens: every row of docs; tokens only where it may link with another document."""
     bits = _bits(docs)
-    blobs = docs.select("doc_id", "text").mapInArrow(_index(bits), _ROWS)
+    blobs = docs.select("doc_id", "text").mapInArrow(K.trimmed(_index(bits)), _ROWS)
     back = blobs.groupBy("bucket").applyInArrow(_shared(bits), "chunk long, part int, body binary")
     return back.groupBy("chunk").applyInArrow(_gathered, _SETS)
 

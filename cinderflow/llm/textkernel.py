@@ -4,6 +4,7 @@ Words are runs of bytes other than 0x20 and 0x09-0x0D, so they are found in UTF-
 64-bit hashes come from one running polynomial sum; A-Z are lower-cased first.
 """
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,19 @@ _PLACES = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) | 1 for i in range(3
 _powers: dict[str, np.ndarray] = {}
 
 
+def trimmed(run):
+    """run (batches to batches), giving freed memory back at its end: Python workers outlive their tasks and wait for more."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finaliser of splitmix64)."""
     x = x.copy()

@@ -37,13 +37,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cinderflow.llm.textkernel import trimmed
 from cinderflow.storage import fresh_path, written
 
 END_ID = 2
 #: Bytes of input for a shard (as the scan's statistics give them), and the most shards.
 SHARD_BYTES, MOST_SHARDS = 16 << 20, 100_000
 #: Text bytes encoded at a time, and bytes after which a block ends.
-SLICE_BYTES, BLOCK_BYTES, BLOCKS_PER_FILE = 8 << 20, 4 << 20, 4
+SLICE_BYTES, BLOCK_BYTES, BLOCKS_PER_FILE = 5 << 20, 4 << 20, 4
 _HEADER = struct.Struct("<4sIIIQQ")
 #: For every control byte: the lengths of its four values.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -292,7 +293,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Writes the ids of docs (doc_id, text) below path."""
     spark = docs.sparkSession
     # Tokenized once: the ids are counted and encoded from a table in the shared folder.
-    rows = written(docs.select("doc_id", "text").mapInArrow(_tokenized(tokenizer), "doc_id long, n int, ids binary"), "ids", compression="zstd")
+    rows = written(docs.select("doc_id", "text").mapInArrow(trimmed(_tokenized(tokenizer)), "doc_id long, n int, ids binary"), "ids", compression="zstd")
     counts = rows.select("n", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # At most as many rows as the vocabulary has ids.
     ranked = [x["id"] for x in counts.orderBy(F.desc("n"), "id").collect()]
@@ -302,7 +303,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     wanted = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SHARD_BYTES
     shards = max(8, min(MOST_SHARDS, wanted))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards).alias("b")).first()["b"] or []
-    encoded = rows.mapInArrow(_encode(np.array(ranked, np.int64), np.array(sorted(set(bounds)), np.int64)), "shard int, doc_id long, n int, control binary, data binary")
+    encoded = rows.mapInArrow(trimmed(_encode(np.array(ranked, np.int64), np.array(sorted(set(bounds)), np.int64))), "shard int, doc_id long, n int, control binary, data binary")
     ordered = encoded.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n", F.crc32("data"))
     blocks = ordered.mapInArrow(_blocks, "block binary").select(F.col("block").cast("string"))
     blocks.write.option("maxRecordsPerFile", BLOCKS_PER_FILE).text(f"{path}/blocks")
