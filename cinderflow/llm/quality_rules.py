@@ -31,6 +31,8 @@ from cinderflow.llm import textstats
 from cinderflow.storage import written
 
 HELD, STEPS, TAIL, LEAST, ENOUGH = 0.75, 3, 1e-7, 200, 20
+#: Up to so many pools their parameters (at most 45 numbers each) are broadcast; parts of a pool beyond that.
+BROADCAST_POOLS, SALTS = 10_000, 32
 #: Least standard deviation of each statistic.
 FLOOR = [0.08, 0.08, 0.08, 0.08, 0.08, 0.08, 0.08, 0.12]
 D = len(FLOOR)
@@ -122,10 +124,22 @@ def _inverted(batches):
 _SHAPE = "g string, mu array<double>, inv array<double>"
 
 
-def estimates(rows: DataFrame, steps: int = STEPS, enough: int = ENOUGH) -> DataFrame:
+def _with(rows: DataFrame, params: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """rows with the one row that params has for their pool.
+
+    A pool may hold most rows, so they are never dealt by pool: params is broadcast where there are few pools,
+    and repeated for SALTS parts of each pool where there are many.
+    """
+    if few:
+        return rows.join(F.broadcast(params), "g", how)
+    salted = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", *_V), F.lit(SALTS)).cast("int"))
+    return salted.join(params.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "_part"], how).drop("_part")
+
+
+def estimates(rows: DataFrame, few: bool, steps: int = STEPS, enough: int = ENOUGH) -> DataFrame:
     """g, mu, inv of every pool that is large enough."""
     centre = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(v, 0.5).alias(f"m_{v}") for v in _V]).where(F.col("n") >= enough)
-    spread = rows.join(centre, "g").groupBy("g").agg(
+    spread = _with(rows, centre, few).groupBy("g").agg(
         *[F.first(f"m_{v}").alias(f"m_{v}") for v in _V], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5).alias(f"d_{v}") for v in _V]
     )
     # A median deviation times 1.4826 is a normal distribution's standard deviation.
@@ -133,9 +147,9 @@ def estimates(rows: DataFrame, steps: int = STEPS, enough: int = ENOUGH) -> Data
     start = spread.select("g", F.array(*[f"m_{v}" for v in _V]).alias("mu"), F.array(*[inverse[i] if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("inv"))
     now = written(start, "mcd")
     for _ in range(steps):
-        far = rows.join(now, "g").withColumn("d2", _distance())
+        far = _with(rows, now, few).withColumn("d2", _distance())
         inner = far.groupBy("g").agg(F.percentile_approx("d2", HELD).alias("upto"))
-        held = far.join(inner, "g").where("d2 <= upto")
+        held = _with(far, inner, few).where("d2 <= upto")
         sums = held.groupBy("g").agg(
             F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(_V)], *[F.sum(F.col(_V[i]) * F.col(_V[j])).alias(f"q{k}") for k, (i, j) in enumerate(_PAIRS)]
         )
@@ -146,7 +160,8 @@ def estimates(rows: DataFrame, steps: int = STEPS, enough: int = ENOUGH) -> Data
 def judge(docs: DataFrame, least: int = LEAST, enough: int = ENOUGH) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and distance (squared; null where a pool is too small to judge)."""
     rows = written(grouped(written(measured(docs), "stats"), least), "stats-pools")
-    found = rows.join(estimates(rows, enough=enough), "g", "left").withColumn("distance", F.when(F.col("inv").isNotNull(), _distance()))
+    few = rows.select("g").distinct().limit(BROADCAST_POOLS + 1).count() <= BROADCAST_POOLS
+    found = _with(rows, estimates(rows, few, enough=enough), few, "left").withColumn("distance", F.when(F.col("inv").isNotNull(), _distance()))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     kept = ~failed & (F.col("distance").isNull() | (F.col("distance") <= chi_square_quantile(1 - TAIL, D)))
     return found.select("doc_id", *BASE, failed.alias("base_failed"), kept.alias("kept"), "distance")
