@@ -9,15 +9,16 @@ links as follows; all steps are exact.
 2. Prefixes. A set of n shingles can only link where at least 4n/5 are shared; others end here. Two linked
    sets share one of their first n - ceil(4n/5) + 1 shingles in that order, so only these are listed.
 3. Leaders (answers from similar sets). In each list the set with the smallest share of unshared shingles
-   leads; a set joins the group of the leader it meets most often. Two members that link with their
-   leader are in its component: their pair needs no comparison. Only members that don't link with the leader
-   are compared with the other members, by counting the shingles they share in one sweep over a block.
+   leads; a set joins the group of the leader it meets most often, and is compared with it. Two members that
+   link with their leader are in its component: their pair needs no comparison, so a group costs as much as it
+   has members. Only members that don't link with their leader are compared with the other members, by counting
+   the shingles they share in one sweep over a block.
 4. Skipping in index lists. A list is cut into blocks by group and size, with the best position of each;
    two blocks of different groups are skipped if even the best position leaves too few shingles, or the sizes
    differ too much. What is left gives pairs of groups to compare.
 5. Links become components by large-star and small-star rounds.
 
-Groups are compared in blocks of at most BLOCK sets, so a group of any size is spread over tasks. A
+Groups are compared in blocks of about BLOCK sets, so a group of any size is spread over tasks. A
 shingle that HOT documents of one chunk hold is announced instead of listed, so no bucket gathers the
 postings of a shingle that a third of all documents hold; such shingles come last in the order.
 Hashes have 56 bits; two different shingles of one bucket share one with a chance of 2 ** -56.
@@ -238,19 +239,41 @@ def _postings(batches):
         )
 
 
+class _Block:
+    """The sets of a unit, for counting what one set shares with all of them."""
+
+    def __init__(self, table: pa.Table):
+        self.cls, keep = np.unique(table["cls"].to_numpy(), return_index=True)
+        self.side, self.n, self.node = (table[c].to_numpy()[keep] for c in ("side", "n", "node"))
+        token = [np.frombuffer(x, np.int64) for x in table["tokens"].take(pa.array(keep)).to_pylist()]
+        self.size = np.array([len(x) for x in token])
+        _, self.code = np.unique(np.concatenate(token), return_inverse=True)
+        self.start = np.cumsum(self.size) - self.size
+        self._mark = np.zeros(self.code.max(initial=0) + 1, bool)
+
+    def partners(self, x: int) -> np.ndarray:
+        """Which sets link with set x (itself left out)."""
+        own = self.code[self.start[x] : self.start[x] + self.size[x]]
+        self._mark[own] = True
+        inter = np.add.reduceat(self._mark[self.code], self.start)
+        self._mark[own] = False
+        hit = 9 * inter >= 4 * (self.n + self.n[x])
+        hit[x] = False
+        return hit
+
+
+def _led(table: pa.Table) -> pa.Table:
+    """Whether each member of a block links with the group's leader (side 0)."""
+    unit = _Block(table)
+    lead = int(np.flatnonzero(unit.side == 0)[0])
+    hit, other = unit.partners(lead), np.arange(len(unit.cls)) != lead
+    return pa.table({"cls": unit.cls[other], "group": np.full(other.sum(), unit.cls[lead]), "a": unit.node[other], "b": np.full(other.sum(), unit.node[lead]), "linked": hit[other]})
+
+
 def _compare(table: pa.Table) -> pa.Table:
-    """Links of a unit: within a group's two blocks, or between blocks of two groups, as a forest."""
-    cls, keep = np.unique(table["cls"].to_numpy(), return_index=True)
-    side = table["side"].to_numpy()[keep]
-    # side 0: the leader and members of one group (each pair counts); 1 and 2: two groups (pairs across count)
-    bodies = table["tokens"].take(pa.array(keep)).to_pylist()
-    n, node = table["n"].to_numpy()[keep], table["node"].to_numpy()[keep]
-    token = [np.frombuffer(x, np.int64) for x in bodies]
-    size = np.array([len(x) for x in token])
-    _, code = np.unique(np.concatenate(token), return_inverse=True)
-    start = np.cumsum(size) - size
-    mark = np.zeros(code.max(initial=0) + 1, bool)
-    root = np.arange(len(cls))
+    """Links across the two sides (1 and 2) of a unit, as a forest; a set of side 0 is on both."""
+    unit = _Block(table)
+    root = np.arange(len(unit.cls))
     links = []
 
     def find(x):
@@ -259,35 +282,13 @@ def _compare(table: pa.Table) -> pa.Table:
             x = root[x]
         return x
 
-    def partners(x):
-        own = code[start[x] : start[x] + size[x]]
-        mark[own] = True
-        inter = np.add.reduceat(mark[code], start)
-        mark[own] = False
-        hit = 9 * inter >= 4 * (n + n[x])
-        hit[x] = False
-        return hit
-
-    def link(x, hit):
-        for y in np.flatnonzero(hit):
+    few, many = (1, 2) if (unit.side == 1).sum() <= (unit.side == 2).sum() else (2, 1)
+    for x in np.flatnonzero(np.isin(unit.side, (few, 0))):
+        for y in np.flatnonzero(unit.partners(x) & np.isin(unit.side, (many, 0))):
             a, b = find(x), find(y)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                links.append((int(node[x]), int(node[y])))
-
-    if side.max() == 0:
-        lead = np.flatnonzero(cls == table["lead"][0].as_py())
-        done = np.zeros(len(cls), bool)
-        for x in lead:
-            done = partners(x)
-            link(x, done)
-            done[x] = True
-        for x in np.flatnonzero(~done):
-            link(x, partners(x))
-    else:
-        few = 1 if (side == 1).sum() <= (side == 2).sum() else 2
-        for x in np.flatnonzero(side == few):
-            link(x, partners(x) & (side != few))
+                links.append((int(unit.node[x]), int(unit.node[y])))
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
@@ -304,12 +305,26 @@ def class_links(classes: DataFrame) -> DataFrame:
     sizes = member.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = member.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
 
-    # Pairs of blocks of one group, its leader in each.
-    spread = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    own = spread(placed).select("cls", "group", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    pairs = spread(sizes.select("group", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b1"))).where("b1 <= other")
-    lead = pairs.select(F.col("group").alias("cls"), "group", "b1", F.col("other").alias("b2"))
-    within = own.unionByName(lead).select("cls", F.lit(0).alias("side"), F.col("group").alias("g1"), F.col("group").alias("g2"), "b1", "b2")
+    # Members with their group's leader: every member once, the leader once a block.
+    spread = lambda df, blocks, name: df.select("*", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias(name))
+    bodies = classes.select("cls", "n", "tokens", "node")
+    followers = placed.where("cls <> group")
+    tails = followers.select("cls", F.lit(1).alias("side"), "group", "block")
+    # A leader may itself belong to another group: it is looked up by the group's name, not among the members.
+    heads = followers.select(F.col("group").alias("cls"), F.lit(0).alias("side"), "group", "block").distinct()
+    whole = tails.join(bodies, "cls").unionByName(heads.join(bodies, "cls"))
+    known = written(whole.groupBy("group", "block").applyInArrow(_led, "cls long, group long, a long, b long, linked boolean"), "led")
+
+    # Members that don't link with their leader: blocks of them against all blocks of the group (but its leader).
+    stray = known.where("not linked").select("cls", "group")
+    astray = stray.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("strays"))
+    tagged = followers.join(astray, "group").join(stray.select("cls", F.lit(True).alias("stray")), "cls", "left")
+    tagged = tagged.withColumn("row", F.when(F.col("stray"), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("strays"))).cast("int"))
+    lone = spread(tagged.where("stray"), "blocks", "b2").select("cls", F.lit(1).alias("side"), "group", F.col("row").alias("b1"), "b2")
+    rest = spread(tagged, "strays", "b1").select("cls", F.lit(2).alias("side"), "group", "b1", F.col("block").alias("b2"))
+    # A stray that meets its own block is on both sides of that unit.
+    within = lone.unionByName(rest).groupBy("cls", "group", "b1", "b2").agg(F.when(F.count(F.lit(1)) > 1, 0).otherwise(F.min("side")).alias("side"))
+    within = within.select("cls", "side", F.col("group").alias("g1"), F.col("group").alias("g2"), "b1", "b2")
 
     # Blocks of lists by group and size, with the best position: pairs of groups that may hold a link.
     step = F.floor(F.log("n") / F.log(F.lit(1.25)))
@@ -323,8 +338,9 @@ def class_links(classes: DataFrame) -> DataFrame:
     second = both.join(placed.select(F.col("group").alias("g2"), "cls", F.col("block").alias("b2")), "g2").select("cls", F.lit(2).alias("side"), "g1", "g2", F.explode(F.sequence(F.lit(0), F.col("n1") - 1)).alias("b1"), "b2")
 
     units = within.unionByName(first).unionByName(second)
-    filled = units.join(classes, "cls").select("g1", "g2", "b1", "b2", "side", "cls", "node", F.col("g1").alias("lead"), "n", "tokens")
-    return filled.groupBy("g1", "g2", "b1", "b2").applyInArrow(_compare, "a long, b long")
+    filled = units.join(bodies, "cls")
+    across = filled.groupBy("g1", "g2", "b1", "b2").applyInArrow(_compare, "a long, b long")
+    return known.where("linked").select("a", "b").unionByName(across)
 
 
 def join(docs: DataFrame) -> DataFrame:
