@@ -106,6 +106,34 @@ def test_jaccard_join(spark, docs):
     assert {r["doc_id"] for r in stay.select("doc_id").collect()} == {i for i, _, c in got if i is None or i == c}
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_jaccard_join_in_blocks(spark, monkeypatch, block):
+    """Chains that drift from their leader, more members than a block holds: components equal brute force."""
+    ship_package(spark)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    draw, rows = random.Random(11), []
+    for family in range(12):
+        w = [f"f{family % 3}w{draw.randrange(900)}" for _ in range(draw.choice([60, 150]))]
+        for _ in range(draw.choice([3, 25, 40])):
+            w = list(w)
+            for _ in range(draw.choice([1, 1, 2, 3])):
+                w[draw.randrange(len(w))] = f"v{draw.randrange(50)}"
+            rows.append((len(rows), " ".join(w)))
+    draw.shuffle(rows)
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if b < a and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(set(label.values())) < len(rows) // 2
+    same([(r["doc_id"], r["component_id"]) for r in got], label.items())
+
+
 def test_mixing(spark, docs):
     got = mixing.mix(docs).collect()
     size = {i: len(words(t)) for i, t in rows_of(docs)}
