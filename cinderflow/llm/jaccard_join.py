@@ -263,11 +263,13 @@ class _Block:
 
 
 def _led(table: pa.Table) -> pa.Table:
-    """Whether each member of a block links with the group's leader (side 0)."""
+    """Which members of a block link with the group's leader (side 0); these and the leader are tied to the least node among them."""
     unit = _Block(table)
     lead = int(np.flatnonzero(unit.side == 0)[0])
-    hit, other = unit.partners(lead), np.arange(len(unit.cls)) != lead
-    return pa.table({"cls": unit.cls[other], "group": np.full(other.sum(), unit.cls[lead]), "a": unit.node[other], "b": np.full(other.sum(), unit.node[lead]), "linked": hit[other]})
+    linked = unit.partners(lead)
+    linked[lead] = True
+    least = unit.node[linked].min()
+    return pa.table({"cls": unit.cls, "group": np.full(len(unit.cls), unit.cls[lead]), "a": unit.node, "b": np.full(len(unit.cls), least), "linked": linked})
 
 
 def _compare(table: pa.Table) -> pa.Table:
