@@ -273,10 +273,9 @@ def _led(table: pa.Table) -> pa.Table:
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Links across the two sides (1 and 2) of a unit, as a forest; a set of side 0 is on both."""
+    """Links across the two sides (1 and 2) of a unit, a set of side 0 being on both: each linked set tied to its component's least node."""
     unit = _Block(table)
     root = np.arange(len(unit.cls))
-    links = []
 
     def find(x):
         while root[x] != x:
@@ -288,10 +287,12 @@ def _compare(table: pa.Table) -> pa.Table:
     for x in np.flatnonzero(np.isin(unit.side, (few, 0))):
         for y in np.flatnonzero(unit.partners(x) & np.isin(unit.side, (many, 0))):
             a, b = find(x), find(y)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((int(unit.node[x]), int(unit.node[y])))
-    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+            root[max(a, b)] = min(a, b)
+    top = np.array([find(x) for x in range(len(root))])
+    least = unit.node.copy()
+    np.minimum.at(least, top, unit.node)
+    tied = least[top] != unit.node
+    return pa.table({"a": unit.node[tied], "b": least[top][tied]})
 
 
 def class_links(classes: DataFrame) -> DataFrame:
