@@ -1,9 +1,11 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, per language and source.
 
 Each text becomes a vector of transformed statistics. For each (language, source) the location and
-scatter of the three quarters of vectors that lie closest together are found by concentration steps
-from a start at the medians: distances under the present estimate, their 75 % quantile by group, moments
-of what lies below. All of a step is grouped aggregation with partial sums, so a group of any size is
+scatter of the (n + d + 1) / 2 vectors that lie closest together are found by concentration steps
+from a start at the medians: distances under the present estimate, their quantile by group, moments
+of what lies below. So junk may hold nearly half of a group. Equal vectors count once in the fit: copies, however
+many, weigh no more than one text. A last step takes the moments of all vectors within the quantile of a tail of
+REWEIGHTED. All of a step is grouped aggregation with partial sums, so a group of any size is
 never gathered; only one row a group is inverted. A vector is rejected if its Mahalanobis distance
 exceeds the chi-square quantile of a tail of TAIL.
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from cinderflow.llm import textstats
 from cinderflow.storage import written
 
-HELD, STEPS, TAIL, LEAST, ENOUGH = 0.75, 3, 1e-7, 200, 20
+STEPS, REWEIGHTED, TAIL, LEAST, ENOUGH = 3, 0.025, 1e-3, 200, 20
 #: Up to so many pools their parameters (at most 45 numbers each) are broadcast; parts of a pool beyond that.
 BROADCAST_POOLS, SALTS = 10_000, 32
 #: Least standard deviation of each statistic.
@@ -50,8 +52,13 @@ def chi_square_cdf(x: float, k: int) -> float:
     return NormalDist().cdf(((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
 
 
-#: The scatter of the inner part of a normal distribution, times this, is the whole's.
-CONSISTENCY = HELD / chi_square_cdf(chi_square_quantile(HELD, D), D + 2)
+def consistency(share: float, k: int) -> float:
+    """The scatter of the inner share of a normal distribution, times this, is the whole's."""
+    return share / chi_square_cdf(chi_square_quantile(share, k), k + 2) if share < 1 else 1.0
+
+
+#: Shares of vectors held: a pool of n takes the one nearest to (n + d + 1) / 2n, which is a half in large ones.
+HELD = [0.5 + 0.025 * i for i in range(11)]
 
 
 def vectors(counts: np.ndarray) -> np.ndarray:
@@ -103,19 +110,19 @@ def _distance():
 
 
 def _inverted(batches):
-    """One row a group: count, sums and sums of products to location and inverse scatter."""
+    """One row a group: count, share held, sums and sums of products to location and inverse scatter."""
     floor = np.diag(np.square(FLOOR))
     for b in batches:
-        g, n = b.column("g"), b.column("n").to_numpy(zero_copy_only=False)
+        g, n, share = b.column("g"), b.column("n").to_numpy(zero_copy_only=False), b.column("share").to_numpy(zero_copy_only=False)
         s = np.stack([b.column(f"s{i}").to_numpy(zero_copy_only=False) for i in range(D)], 1)
         q = np.stack([b.column(f"q{k}").to_numpy(zero_copy_only=False) for k in range(len(_PAIRS))], 1)
         mus, invs = [], []
-        for c, s1, q1 in zip(n, s, q, strict=True):
+        for c, held, s1, q1 in zip(n, share, s, q, strict=True):
             mu = s1 / c
             scatter = np.zeros((D, D))
             for k, (i, j) in enumerate(_PAIRS):
                 scatter[i, j] = scatter[j, i] = q1[k] / c - mu[i] * mu[j]
-            inverse = np.linalg.inv(scatter * CONSISTENCY + floor)
+            inverse = np.linalg.inv(scatter * consistency(held, D) + floor)
             mus.append(mu.tolist())
             invs.append([float(inverse[i, j] * (1 if i == j else 2)) for i, j in _PAIRS])
         yield pa.RecordBatch.from_arrays([g, pa.array(mus, pa.list_(pa.float64())), pa.array(invs, pa.list_(pa.float64()))], ["g", "mu", "inv"])
@@ -138,7 +145,9 @@ def _with(rows: DataFrame, params: DataFrame, few: bool, how: str = "inner") ->
 
 def estimates(rows: DataFrame, few: bool, steps: int = STEPS, enough: int = ENOUGH) -> DataFrame:
     """g, mu, inv of every pool that is large enough."""
-    centre = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(v, 0.5).alias(f"m_{v}") for v in _V]).where(F.col("n") >= enough)
+    rows = written(rows.groupBy("g", *_V).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "mcd-vectors")
+    centre = rows.groupBy("g").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("whole"), *[F.percentile_approx(v, 0.5).alias(f"m_{v}") for v in _V]).where(F.col("n") >= enough)
+    sizes = written(centre.select("g", "whole"), "mcd-sizes")
     spread = _with(rows, centre, few).groupBy("g").agg(
         *[F.first(f"m_{v}").alias(f"m_{v}") for v in _V], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5).alias(f"d_{v}") for v in _V]
     )
@@ -146,12 +155,17 @@ def estimates(rows: DataFrame, few: bool, steps: int = STEPS, enough: int = ENOU
     inverse = {i: 1 / (F.pow(F.col(f"d_{v}") * 1.4826, 2) + F.lit(FLOOR[i] ** 2)) for i, v in enumerate(_V)}
     start = spread.select("g", F.array(*[f"m_{v}" for v in _V]).alias("mu"), F.array(*[inverse[i] if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("inv"))
     now = written(start, "mcd")
-    for _ in range(steps):
+    share = F.least(F.greatest(F.round(((F.col("whole") + D + 1) / (2 * F.col("whole")) - 0.5) / 0.025).cast("int"), F.lit(0)), F.lit(len(HELD) - 1)) + 1
+    # The last step holds all but the tail of what is not junk, however much junk there is.
+    for step in range(steps + 1):
         far = _with(rows, now, few).withColumn("d2", _distance())
-        inner = far.groupBy("g").agg(F.percentile_approx("d2", HELD).alias("upto"))
+        if step < steps:
+            inner = far.groupBy("g").agg(F.percentile_approx("d2", HELD).alias("upto")).join(sizes, "g").select("g", "whole", F.element_at("upto", share).alias("upto"))
+        else:
+            inner = sizes.withColumn("upto", F.lit(chi_square_quantile(1 - REWEIGHTED, D)))
         held = _with(far, inner, few).where("d2 <= upto")
         sums = held.groupBy("g").agg(
-            F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(_V)], *[F.sum(F.col(_V[i]) * F.col(_V[j])).alias(f"q{k}") for k, (i, j) in enumerate(_PAIRS)]
+            F.count(F.lit(1)).cast("double").alias("n"), (F.count(F.lit(1)) / F.first("whole") if step < steps else F.lit(1 - REWEIGHTED)).alias("share"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(_V)], *[F.sum(F.col(_V[i]) * F.col(_V[j])).alias(f"q{k}") for k, (i, j) in enumerate(_PAIRS)]
         )
         now = written(sums.mapInArrow(_inverted, _SHAPE), "mcd")
     return now

@@ -320,6 +320,18 @@ def test_mcd_rejects_outliers(spark):
         assert all(kept[k] for k in range(300)) and not any(kept[k] for k in range(300, 320))
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_mcd_rejects_a_third(spark, alike):
+    """Junk that holds a third of one pool, as different texts or as copies of one, doesn't set the measure."""
+    draw = random.Random(3)
+    plain = [" ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randrange(2, 9))) for _ in range(100)) + ". And so on, it is." for _ in range(300)]
+    odd = [" ".join("|" + draw.choice("abcdefghij") * draw.randrange(12, 30) for _ in range(100)) for _ in range(150)]
+    odd = odd[:1] * 150 if alike else odd
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(plain + odd)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs).collect()}
+    assert not any(kept[k] for k in range(300, 450)) and sum(kept[k] for k in range(300)) >= 290
+
+
 def test_token_ids(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
