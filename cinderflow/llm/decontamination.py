@@ -8,6 +8,10 @@ the same placeholder value of the item must stand for one value of the document,
 numbers or names is caught, and text that only looks alike is not. An item leaks if consistent matches
 cover LEAST_SHARE of its windows.
 
+A capitalised word that opens a sentence may be a name or not, so every text is taken in three forms that only meet their
+like: such words plain, such words names (which doesn't depend on where sentences begin), and all tokens literal, without
+placeholders. A match in the literal form must cover the whole item, or LEAST_SHARE of an item that has no other window.
+
 Before the join, documents' windows pass a bit table of the benchmark's hashes (a fixed 1 MB, whatever the
 benchmark's size), so almost only real matches are shuffled. The benchmark's windows are broadcast only up to
 BROADCAST_WINDOWS rows.
@@ -15,7 +19,7 @@ BROADCAST_WINDOWS rows.
 Edge cases
 * null or empty text, or one without letters and digits: no window, clean. Items like that never match.
 * items shorter than WINDOW: one window of their length, at least SHORTEST tokens; shorter ones are not judged.
-* a window needs PLAIN tokens that are no placeholders (all but one where it is shorter than that).
+* a window needs PLAIN tokens that are no placeholders (all but one where it is shorter than that); literal ones have none.
 * repeated rows, null ids: every row is judged by itself. Empty tables: everything is clean, or an empty result.
 * a passage repeated often in a document counts once for each of the item's windows.
 * extra columns are left out of contaminated() and kept by clean().
@@ -31,6 +35,7 @@ from cinderflow.storage import without
 
 WINDOW, SHORTEST, PLAIN, LEAST_SHARE = 8, 4, 4, 0.3
 BITS, BROADCAST_WINDOWS = 1 << 23, 200_000
+FORMS = OPENERS_PLAIN, OPENERS_NAMES, LITERAL = 0, 1, 2
 #: Units of measure, money and time, in lower case.
 UNITS = "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg lb lbs pound pounds ounce ounces oz ton tons tonne tonnes ml l litre litres liter liters gallon gallons second seconds sec minute minutes min hour hours hr day days week weeks month months year years percent dollar dollars usd euro euros eur cent cents degree degrees celsius fahrenheit volt volts watt watts kw kwh mph kmh hz khz mhz ghz kb mb gb tb"
 _UNITS = np.array(sorted(set(K.hash_text(UNITS))), np.uint64)
@@ -43,7 +48,7 @@ _END[list(b".!?:\n")] = True
 
 
 def templates(data: np.ndarray, offsets: np.ndarray):
-    """Document, template hash, slot value (0 for plain words) of every template token."""
+    """For each of FORMS: document, template hash, slot value (0 for plain words) of every template token."""
     keep = _ALNUM[data] | K._SPACE[data]
     origin = np.flatnonzero(keep)
     bare = data[keep]
@@ -51,7 +56,7 @@ def templates(data: np.ndarray, offsets: np.ndarray):
     w = K.words(bare, edges)
     if not len(w.hash):
         z = np.zeros(0, np.uint64)
-        return z.astype(np.int64), z, z
+        return [(z.astype(np.int64), z, z)] * len(FORMS)
     counted = lambda table: (t := np.concatenate([[0], np.cumsum(table[bare], dtype=np.int64)]))[w.end] - t[w.start]
     digits, capitals, size = counted(_DIGIT), counted(_CAPITAL), w.end - w.start
     first = bare[w.start]
@@ -61,57 +66,59 @@ def templates(data: np.ndarray, offsets: np.ndarray):
     begin, stop = origin[w.start], origin[w.end - 1] + 1
     opens = np.ones(len(w.hash), bool)
     opens[1:] = (w.doc[1:] != w.doc[:-1]) | (ends[begin[1:]] > ends[stop[:-1]])
-    token, slot = w.hash.copy(), np.zeros(len(w.hash), np.uint64)
     number = digits == size
     measure = (digits > 0) & ~number
     unit = np.isin(w.hash, _UNITS)
     unit[1:] &= number[:-1] & (w.doc[1:] == w.doc[:-1])
     unit[:1] = False
-    name = capital & ~opens & ~measure & (size > 1) & (capitals < np.maximum(size, 2))
-    for kind, mark in ((number, _NUMBER), (unit, _UNIT), (measure, _MEASURE), (name, _NAME)):
-        token[kind], slot[kind] = mark, w.hash[kind]
-    # The later words of a name add to its value and go.
-    follows = np.zeros(len(name), bool)
-    follows[1:] = name[1:] & name[:-1] & (w.doc[1:] == w.doc[:-1])
-    if follows.any():
-        heads = np.cumsum(~follows) - 1
-        whole = np.zeros(int(heads[-1]) + 1, np.uint64)
-        np.add.at(whole, heads, K.mix(slot))
-        slot = np.where(name, whole[heads], slot)
-    stay = ~follows
-    return w.doc[stay].astype(np.int64), token[stay], slot[stay]
-
-
-def windows(data: np.ndarray, offsets: np.ndarray, lengths: list[int], whole_if_short: bool = False):
-    """Document, place, hash, and slots of template windows of the lengths; for items: of WINDOW, or of the whole if shorter."""
-    doc, token, slot = templates(data, offsets)
-    n = len(offsets) - 1
-    sizes = np.bincount(doc, minlength=n)
-    first = np.cumsum(sizes) - sizes
+    names = capital & ~measure & (size > 1) & (capitals < np.maximum(size, 2))
     out = []
-    for k in lengths:
-        m = len(token) - k + 1
-        if m <= 0:
-            continue
-        h = np.full(m, np.uint64(k))
-        for i in range(k):
-            h += token[i : i + m] * K._PLACES[i]
+    for name in (names & ~opens, names):
+        token, slot = w.hash.copy(), np.zeros(len(w.hash), np.uint64)
+        for kind, mark in ((number, _NUMBER), (unit, _UNIT), (measure, _MEASURE), (name, _NAME)):
+            token[kind], slot[kind] = mark, w.hash[kind]
+        # The later words of a name add to its value and go.
+        follows = np.zeros(len(name), bool)
+        follows[1:] = name[1:] & name[:-1] & (w.doc[1:] == w.doc[:-1]) & ~opens[1:]
+        if follows.any():
+            heads = np.cumsum(~follows) - 1
+            whole = np.zeros(int(heads[-1]) + 1, np.uint64)
+            np.add.at(whole, heads, K.mix(slot))
+            slot = np.where(name, whole[heads], slot)
+        stay = ~follows
+        out.append((w.doc[stay].astype(np.int64), token[stay], slot[stay]))
+    return [*out, (w.doc.astype(np.int64), w.hash, np.zeros(len(w.hash), np.uint64))]
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, lengths: list[list[int]], whole_if_short: bool = False):
+    """For each of FORMS: document, place, hash, start and length of template windows of its lengths, and the slots of all
+    tokens; for items: of WINDOW, or of the whole if shorter."""
+    n = len(offsets) - 1
+    for form, (doc, token, slot) in zip(FORMS, templates(data, offsets), strict=True):
+        sizes = np.bincount(doc, minlength=n)
+        first = np.cumsum(sizes) - sizes
         plain = np.concatenate([[0], np.cumsum(slot == 0)])
-        fit = (doc[:m] == doc[k - 1 :]) & (plain[k : k + m] - plain[:m] >= min(PLAIN, k - 1))
-        if whole_if_short:
-            fit &= (sizes[doc[:m]] == k) if k < WINDOW else True
-        at = np.flatnonzero(fit)
-        out.append((doc[at], at - first[doc[at]], K.mix(h[at]), at, np.full(len(at), k)))
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint64), z, z, slot
-    return (*(np.concatenate(x) for x in zip(*out, strict=True)), slot)
+        out = []
+        for k in lengths[form]:
+            m = len(token) - k + 1
+            if m <= 0:
+                continue
+            h = np.full(m, np.uint64(k + (form << 8)))
+            for i in range(k):
+                h += token[i : i + m] * K._PLACES[i]
+            fit = (doc[:m] == doc[k - 1 :]) & (plain[k : k + m] - plain[:m] >= min(PLAIN, k - 1))
+            if whole_if_short:
+                fit &= (sizes[doc[:m]] == k) if k < WINDOW else True
+            at = np.flatnonzero(fit)
+            out.append((doc[at], at - first[doc[at]], K.mix(h[at]), at, np.full(len(at), k)))
+        if out:
+            yield form, *(np.concatenate(x) for x in zip(*out, strict=True)), slot
 
 
 _HIT = "array<struct<h:long,place:int,slots:array<long>>>"
 
 
-def _hits(lengths: list[int], bits: np.ndarray):
+def _hits(lengths: list[list[int]], bits: np.ndarray):
     """For every document: its windows that may be the benchmark's."""
     table = np.unpackbits(bits, bitorder="little").view(bool)
     kind = pa.list_(pa.struct([("h", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.int64()))]))
@@ -123,12 +130,11 @@ def _hits(lengths: list[int], bits: np.ndarray):
         for b in batches:
             data, offsets = K.flat(b.column("text"))
             for i, j in K.parts(offsets):
-                doc, place, h, at, size, slot = windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lengths)
-                may = np.flatnonzero(table[h & np.uint64(BITS - 1)])
                 found = [[] for _ in range(j - i)]
-                for k in may:
-                    s = slot[at[k] : at[k] + size[k]]
-                    found[doc[k]].append({"h": int(h[k].view(np.int64)), "place": int(place[k]), "slots": s.view(np.int64).tolist()})
+                for _, doc, place, h, at, size, slot in windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lengths):
+                    for k in np.flatnonzero(table[h & np.uint64(BITS - 1)]):
+                        s = slot[at[k] : at[k] + size[k]]
+                        found[doc[k]].append({"h": int(h[k].view(np.int64)), "place": int(place[k]), "slots": s.view(np.int64).tolist()})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + j - i)), b.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(found, kind)], ["row", "doc_id", "hits"]
                 )
@@ -141,38 +147,44 @@ def _items(batches):
     """Windows of benchmark items."""
     for b in batches:
         data, offsets = K.flat(b.column("text"))
-        doc, place, h, at, size, slot = windows(data, offsets, list(range(SHORTEST, WINDOW + 1)), True)
-        count = np.bincount(doc, minlength=len(offsets) - 1)
         ids = b.column("item_id").cast(pa.int64())
-        slots = [slot[a : a + k].view(np.int64).tolist() for a, k in zip(at, size, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array(count[doc].astype(np.int32)), pa.array(size.astype(np.int32))],
-            ["item_id", "h", "item_place", "item_slots", "windows", "size"],
-        )
+        judged = np.zeros(len(offsets) - 1, bool)
+        for form, doc, place, h, at, size, slot in windows(data, offsets, [list(range(SHORTEST, WINDOW + 1))] * len(FORMS), True):
+            count = np.bincount(doc, minlength=len(offsets) - 1)
+            whole = judged[doc] & (form == LITERAL)
+            judged[doc] = True
+            slots = [slot[a : a + k].view(np.int64).tolist() for a, k in zip(at, size, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(doc)), pa.array(np.full(len(doc), form, np.int32)), pa.array(whole), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array(count[doc].astype(np.int32)), pa.array(size.astype(np.int32))],
+                ["item_id", "form", "whole", "h", "item_place", "item_slots", "windows", "size"],
+            )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
-    """doc_id, contaminated, items (ids of leaked items, ascending), n_windows (benchmark windows matched): a row for each of docs."""
+    """doc_id, contaminated, items (ids of leaked items, ascending), n_windows (benchmark windows matched, of each item in its best form): a row for each of docs."""
     asked = benchmark.select("item_id", "text").mapInArrow(
-        _items, "item_id long, h long, item_place int, item_slots array<long>, windows int, size int"
+        _items, "item_id long, form int, whole boolean, h long, item_place int, item_slots array<long>, windows int, size int"
     )
     # No more than BITS places and WINDOW lengths, however large the benchmark.
     bits = np.zeros(BITS, bool)
     bits[asked.select(F.col("h").bitwiseAND(F.lit(BITS - 1)).alias("x")).distinct().toArrow()["x"].to_numpy()] = True
-    lengths = sorted(r[0] for r in asked.select("size").distinct().collect())
+    seen = asked.select("form", "size").distinct().collect()
+    lengths = [sorted(r["size"] for r in seen if r["form"] == form) for form in FORMS]
     if asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         asked = F.broadcast(asked)
     rows = docs.select("doc_id", "text").mapInArrow(K.trimmed(_hits(lengths, np.packbits(bits, bitorder="little"))), f"row long, doc_id long, hits {_HIT}")
     hits = rows.select("row", "doc_id", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "hit.*").join(asked, "h", "left")
     # Slots that are no placeholders are 0 on both sides.
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda x: x["i"] != 0)
-    at = hits.groupBy("row", "doc_id", "item_id", "windows", (F.col("place") - F.col("item_place")).alias("offset")).agg(
+    at = hits.groupBy("row", "doc_id", "item_id", "form", "whole", "windows", (F.col("place") - F.col("item_place")).alias("offset")).agg(
         F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs")
     )
     apart = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda x: x[k])))
     sound = (apart("i") == F.size("pairs")) & (apart("d") == F.size("pairs"))
-    by_item = at.groupBy("row", "doc_id", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.when(sound, F.col("places")))))).alias("n"))
-    leaked = F.col("item_id").isNotNull() & (F.col("n") >= F.greatest(F.lit(1.0), F.col("windows") * least_share))
+    by_form = at.groupBy("row", "doc_id", "item_id", "form", "whole", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.when(sound, F.col("places")))))).alias("n"))
+    share = F.when(F.col("whole"), 1.0).otherwise(least_share)
+    by_item = by_form.groupBy("row", "doc_id", "item_id").agg(F.max(F.col("n") >= F.greatest(F.lit(1.0), F.col("windows") * share)).alias("reached"), F.max("n").alias("n"))
+    leaked = F.col("item_id").isNotNull() & F.col("reached")
     out = by_item.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set(F.when(leaked, F.col("item_id")))).alias("items"), F.sum(F.when(F.col("item_id").isNotNull(), F.col("n")).otherwise(0)).alias("n_windows"))
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "n_windows")
 

@@ -232,6 +232,18 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_where_sentences_open(spark):
+    """Names that open sentences, short items in the midst of a sentence, items of numbers, names around a copy."""
+    items = ["Tom has 3 apples. Mary has 5 pears. Bob has 7 plums.", "Which river flows through the old town", "Solve 12 + 7 = 19 and 3 x 4 = 12", "seventeen grey geese walked slowly home with Peter then Ann saw Peter"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    asked = [
+        ("Ann has 4 apples. Paul has 6 pears. Sue has 9 plums.", [0]), ("Ann has 4 apples. Ann has 6 pears. Sue has 6 plums.", []), ("and so on Which river flows through the old town", [1]),
+        ("first " + items[2] + " then", [2]), ("Solve 12 + 7 = 20 or 3 x 5 = 15", []), ("Then " + items[3] + " Smith and all", [3]), ("Ann had 4 apples. Paul ate 6 pears.", []),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(asked)], "doc_id long, text string")
+    assert {r["doc_id"]: r["items"] for r in decontamination.contaminated(docs, bench).collect()} == {k: ids for k, (_, ids) in enumerate(asked)}
+
+
 def test_inconsistent_slots_do_not_match(spark):
     bench = spark.createDataFrame([(1, "if a train takes 12 minutes and a bus takes 40 minutes then the train is faster than the bus by far")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "if a train takes 7 minutes and a bus takes 7 minutes then the train is faster than the bus by far"), (2, "if a train takes 7 minutes and a bus takes 9 minutes then the train is faster than the bus by far")], "doc_id long, text string")
