@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cinderflow.functions.numbers import ratio
 from cinderflow.operators import aggregates as A
 from cinderflow.operators import timeseries as T
-from cinderflow.operators.ranking import bucket, percentile_rank
+from cinderflow.operators.ranking import average_rank, bucket, percentile_rank
 
 ID_PATTERN, DATE_PATTERN = r"^[a-z][a-z0-9_]*$", r"^\d{4}-\d{2}-\d{2}$"
 
@@ -88,3 +88,29 @@ def weight_robustness(totals: DataFrame, default: DataFrame, top: float = 0.2) -
     pct = met.withColumn("_a", 1 - percentile_rank(F.col("total_score"), ["run"])).withColumn("_b", 1 - percentile_rank(F.col("base"), ["run"]))
     kept = pct.groupBy("run").agg(ratio(F.count_if((F.col("_a") < top) & (F.col("_b") < top)), F.count_if(F.col("_b") < top)).alias("top_kept"))
     return rho.join(kept, "run")
+
+
+def _ranked_runs(totals: DataFrame, default: DataFrame) -> DataFrame:
+    """run, ticker, and the average ranks of total_score (in its run) and base (among all of default)."""
+    base = default.where("total_score is not null").select("ticker", F.col("total_score").alias("base")).withColumn("base_rank", average_rank(F.col("base"), [F.lit(1)]))
+    met = totals.where("total_score is not null").join(base, "ticker")
+    return met.withColumn("rank", average_rank(F.col("total_score"), ["run"])).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run")))
+
+
+def weight_frequencies(totals: DataFrame, default: DataFrame, runs: int, top: float = 0.2) -> DataFrame:
+    """ticker, default_score, top_share, bottom_share: the shares of all runs in which a company is in the top and bottom fifth."""
+    pct = _ranked_runs(totals, default).withColumn("pct", (F.col("n") + 1 - F.col("rank")) / F.col("n"))
+    by = pct.groupBy("ticker").agg(F.count_if(F.col("pct") <= top).alias("_t"), F.count_if(F.col("pct") > 1 - top).alias("_b"))
+    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.lit(runs)
+    return default.where("total_score is not null").join(by, "ticker", "left").select("ticker", F.col("total_score").alias("default_score"), share("_t").alias("top_share"), share("_b").alias("bottom_share"))
+
+
+def weight_verdict(totals: DataFrame, default: DataFrame, runs: int, top: float = 0.2) -> DataFrame:
+    """One row: companies, median_rho and rho_p5 of the runs' rank correlations with the default, top50_stay_share (of the
+    default's first 50, those in the top fifth of 80 % of runs), always_top and always_bottom (90 %), status."""
+    rho = _ranked_runs(totals, default).groupBy("run").agg(F.corr("base_rank", "rank").alias("rho")).agg(F.percentile("rho", 0.5).alias("median_rho"), F.percentile("rho", 0.05).alias("rho_p5"))
+    shares = weight_frequencies(totals, default, runs, top)
+    best = shares.orderBy(F.desc("default_score"), "ticker").limit(50).agg(F.avg((F.col("top_share") >= 0.8).cast("double")).alias("top50_stay_share"))
+    counts = shares.agg(F.count(F.lit(1)).alias("companies"), F.count_if(F.col("top_share") >= 0.9).alias("always_top"), F.count_if(F.col("bottom_share") >= 0.9).alias("always_bottom"))
+    status = F.when(F.col("median_rho") >= 0.7, "passed").otherwise("flagged")
+    return rho.crossJoin(best).crossJoin(counts).select(F.lit(runs).alias("runs"), "companies", "median_rho", "rho_p5", "top50_stay_share", "always_top", "always_bottom", status.alias("status"))

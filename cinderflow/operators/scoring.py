@@ -1,5 +1,6 @@
 """From indicator values to scores: latest values, ranks, weighted means with a coverage rule, positions."""
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +113,20 @@ def many_totals(ranks: DataFrame, runs: DataFrame, min_share: float) -> DataFram
     return out.select("run", "ticker", half_even(F.col("score"), 1).alias("total_score"))
 
 
+def drawn_weightings(catalog: DataFrame, profile: Profile, runs: int = 1000, seed: int = 2026) -> DataFrame:
+    """run, kind, id, weight as many_totals() takes them: uniform in [0.05, 1), each run's categories first, then every
+    indicator of the catalog. What the profile gives no weight is drawn too and stays 0."""
+    ids = [r[0] for r in catalog.select("indicator_id").collect()]
+    chosen = {r[0] for r in indicator_weights(catalog, profile).select("indicator_id").collect()}
+    draw, rows = np.random.default_rng(seed), []
+    for run in range(1, runs + 1):
+        for c, w in zip(CATEGORIES, draw.uniform(0.05, 1, len(CATEGORIES)).tolist(), strict=True):
+            rows.append((run, "category", c, w if profile.category_weights.get(c, 0) > 0 else 0.0))
+        for i, w in zip(ids, draw.uniform(0.05, 1, len(ids)).tolist(), strict=True):
+            rows.append((run, "indicator", i, w if i in chosen else 0.0))
+    return catalog.sparkSession.createDataFrame(rows, "run int, kind string, id string, weight double")
+
+
 def explain(ranks: DataFrame, by_category: DataFrame, category_weights: dict) -> DataFrame:
     """A row for every ticker and indicator: its points add up to the ticker's total."""
     weight = F.create_map(*[x for c, w in category_weights.items() if w > 0 for x in (F.lit(c), F.lit(float(w)))])[F.col("category")]

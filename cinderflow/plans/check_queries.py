@@ -14,7 +14,7 @@ from cinderflow.operators import timeseries as T
 from cinderflow.operators.portfolio import companies
 from cinderflow.plans import fixtures as X
 from cinderflow.plans.operator_queries import _PAIRS, _QUARTERS, pairs, panel
-from cinderflow.plans.score_queries import _RUNS_SQL, _ranks, _score, weightings
+from cinderflow.plans.score_queries import _RUNS_SQL, DRAWS, _ranks, _score, drawn_totals, weightings
 
 QUERIES, ORACLE = {}, {}
 P = X.SQL
@@ -96,6 +96,21 @@ def q05_weight_robustness(spark, d):
     return got.select("run", "n", r6(F.col("rho")).alias("rho"), r6(F.col("top_kept")).alias("top_kept"))
 
 
+def _drawn(spark, d):
+    first = scoring.primaries(X.universe(spark, d)).select(F.col("primary").alias("ticker"))
+    return drawn_totals(spark, d), _score(spark, d).join(first, "ticker", "left_semi"), DRAWS
+
+
+@query()
+def q05_weight_frequencies(spark, d):
+    return Q.weight_frequencies(*_drawn(spark, d))
+
+
+@query()
+def q05_weight_verdict(spark, d):
+    return Q.weight_verdict(*_drawn(spark, d))
+
+
 @query(P + """, mv AS (SELECT * FROM (SELECT *, value - lag(value) OVER w AS delta, year - lag(year) OVER w AS gap FROM facts WINDOW w AS (PARTITION BY indicator_id, ticker ORDER BY year)) WHERE gap = 1),
 nw AS (SELECT * FROM (SELECT *, max(year) OVER (PARTITION BY indicator_id) AS m FROM facts) WHERE year = m),
 f1 AS (SELECT indicator_id, quantile_cont(delta, 0.25) AS q1, quantile_cont(delta, 0.75) AS q3 FROM mv GROUP BY 1 HAVING count(*) >= 20), f2 AS (SELECT indicator_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM nw GROUP BY 1 HAVING count(*) >= 20)

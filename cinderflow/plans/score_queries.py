@@ -71,6 +71,19 @@ def c11_many_weightings(spark, d):
     return scoring.many_totals(_ranks(spark, d).where("ticker = primary"), weightings(spark), X.PROFILE.min_weight_share)
 
 
+#: The robustness check's own weightings: so many seeded draws. No SQL: DuckDB can't follow numpy's draws.
+DRAWS = 1000
+
+
+def drawn_totals(spark, d):
+    runs = scoring.drawn_weightings(X.catalog(spark), X.PROFILE, DRAWS)
+    return scoring.many_totals(_ranks(spark, d).where("ticker = primary"), runs, X.PROFILE.min_weight_share)
+
+
+def c11_drawn_weightings(spark, d):
+    return drawn_totals(spark, d)
+
+
 def c12_explain(spark, d):
     ranks = _ranks(spark, d)
     got = scoring.explain(ranks, scoring.category_scores(ranks, X.PROFILE.min_weight_share), CW)
@@ -146,4 +159,4 @@ ORACLE = {
     "c17_fingerprints": P + "SELECT ticker, string_agg(indicator_id || ':' || CAST(CAST(round_even(rank01 * 100, 0) AS INTEGER) AS VARCHAR), ',' ORDER BY indicator_id) AS fingerprint FROM ranks WHERE rank01 IS NOT NULL GROUP BY 1",
     "h01_meta": P + "SELECT indicator_id, category, count(DISTINCT ticker) AS companies, min(year) AS first_year, max(year) AS last_year, round(count(DISTINCT ticker) / CAST((SELECT count(*) FROM universe) AS DOUBLE), 6) AS coverage FROM facts JOIN catalog USING (indicator_id) GROUP BY 1, 2",
 }
-QUERIES = {f.__name__: f for f in (c10_score_profile, c02_latest_value, c04_rank_sector, c04_rank_universe, c05_profile_ranks, c08_weighted_coverage, c09_active_categories, c11_many_weightings, c12_explain, c13_peers, c14_category, c16_sector_medians, c17_fingerprints, h01_meta)}
+QUERIES = {f.__name__: f for f in (c10_score_profile, c02_latest_value, c04_rank_sector, c04_rank_universe, c05_profile_ranks, c08_weighted_coverage, c09_active_categories, c11_many_weightings, c11_drawn_weightings, c12_explain, c13_peers, c14_category, c16_sector_medians, c17_fingerprints, h01_meta)}

@@ -167,6 +167,51 @@ def test_checks(spark):
     assert got == {"ticker": 1, "year": 1, "value": 1, "source": 1, "source_url": 1, "retrieved": 1, "duplicate": 2}
 
 
+def test_drawn_weightings(spark):
+    """A thousand seeded weightings and what comes of them, against plain numpy and pandas."""
+    import numpy as np
+    import pandas as pd
+
+    from cinderflow.plans import score_queries
+
+    assert score_queries.DRAWS == 1000
+    catalog = [("a", "economic", 1.0), ("b", "economic", 2.0), ("off", "social", 0.0), ("c", "social", 1.0), ("d", "environmental", 1.0)]
+    rng = np.random.default_rng(7)
+    r = rng.uniform(0, 1, (60, 5))
+    r[rng.uniform(0, 1, r.shape) < 0.2] = np.nan
+    ranks = spark.createDataFrame([(f"t{k:02}", c, i, None if np.isnan(r[k, j]) else float(r[k, j])) for k in range(60) for j, (i, c, _) in enumerate(catalog) if i != "off"], "ticker string, category string, indicator_id string, rank01 double")
+    profile = config.Profile("p", {"economic": 1.0, "social": 1.0, "environmental": 0.0})
+
+    def totals(cats, w):
+        parts = []
+        for c in config.CATEGORIES[:2]:
+            at = [j for j, x in enumerate(catalog) if x[1] == c and x[0] != "off"]
+            have = ~np.isnan(r[:, at]) * w[at]
+            s = np.nansum(r[:, at] * w[at], 1) / np.where(have.sum(1) > 0, have.sum(1), np.nan)
+            parts.append(np.where(have.sum(1) / w[at].sum() >= 0.6, s, np.nan))
+        p, cw = np.column_stack(parts), np.array(cats[:2])
+        have = ~np.isnan(p) * cw
+        with np.errstate(invalid="ignore"):
+            return pd.Series(np.round(np.where(have.sum(1) / cw.sum() >= 0.6, np.nansum(p * cw, 1) / have.sum(1), np.nan) * 100, 1), [f"t{k:02}" for k in range(60)])
+
+    base = totals(np.ones(3), np.array([x[2] for x in catalog])).dropna()
+    default = spark.createDataFrame(list(base.items()), "ticker string, total_score double")
+    draw, top, bottom, rhos = np.random.default_rng(2026), 0, 0, []
+    for _ in range(1000):
+        s = totals(draw.uniform(0.05, 1, 3), draw.uniform(0.05, 1, 5))[base.index]
+        pct = s.rank(ascending=False, pct=True)
+        top, bottom = top + (pct <= 0.2), bottom + (pct > 0.8)
+        rhos.append(base.rank().corr(s.rank()))
+    table = spark.createDataFrame(catalog, "indicator_id string, category string, weight double")
+    got_totals = scoring.many_totals(ranks, scoring.drawn_weightings(table, profile), 0.6).cache()
+    got = {x["ticker"]: (x["default_score"], x["top_share"], x["bottom_share"]) for x in checks.weight_frequencies(got_totals, default, 1000).collect()}
+    assert set(got) == set(base.index)
+    for t, (score, high, low) in got.items():
+        assert score == base[t] and abs(high - top[t] / 1000) < 0.0015 and abs(low - bottom[t] / 1000) < 0.0015
+    verdict = checks.weight_verdict(got_totals, default, 1000).collect()[0]
+    assert verdict["companies"] == len(base) and abs(verdict["median_rho"] - np.median(rhos)) < 1e-4 and abs(verdict["rho_p5"] - np.percentile(rhos, 5)) < 1e-3
+
+
 def test_matching(spark):
     links = spark.createDataFrame([(1, "a", "x", 1), (1, "b", "x", 1), (2, "a", "x", 1), (2, "c", "y", 1), (3, "a", "x", 2), (3, "c", "y", 1)], "record int, entity string, company string, strength int")
     assert sorted((r["record"], r["entity"]) for r in entities.resolve_conflicts(links).collect()) == [(1, "a"), (1, "b"), (3, "c")]
