@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_within(left: DataFrame, right: DataFrame, key: str, at: str, as_of: str, days: int) -> DataFrame:
-    """For each left row, all right rows of the newest as_of at or before `at` and at most `days` older.
+def asof_within(left: DataFrame, right: DataFrame, key: str, at: str, as_of: str, days: int, also=None) -> DataFrame:
+    """For each left row, all right rows of the newest as_of at or before `at` and at most `days` older, of those that meet `also`.
 
     Both sides are cut into periods of `days`: a match lies in the left row's own period or the one
     before, so the range condition becomes an equi-join on (key, period) with two copies of the left side.
@@ -15,7 +15,7 @@ def asof_within(left: DataFrame, right: DataFrame, key: str, at: str, as_of: str
     asked = numbered.withColumn("_p", F.explode(F.array(period(at), period(at) - 1)))
     held = right.withColumn("_p", period(as_of))
     age = F.datediff(F.col(at), F.col(as_of))
-    met = asked.join(held, [key, "_p"]).where((age >= 0) & (age <= days)).drop("_p")
+    met = asked.join(held, [key, "_p"]).where((age >= 0) & (age <= days) & (F.lit(True) if also is None else also)).drop("_p")
     newest = F.max(as_of).over(Window.partitionBy("_row"))
     return met.withColumn("_n", newest).where(F.col(as_of) == F.col("_n")).drop("_n", "_row")
 

@@ -13,10 +13,11 @@ from cinderflow.plans import fixtures as X
 QUERIES, ORACLE = {}, {}
 
 
-def query(sql):
+def query(sql=None):
     def keep(f):
         QUERIES[f.__name__] = f
-        ORACLE[f.__name__] = sql
+        if sql:
+            ORACLE[f.__name__] = sql
         return f
 
     return keep
@@ -305,6 +306,15 @@ def j12_asof_max_age(spark, d):
     return J.asof_within(left, right, "o_custkey", "at", "as_of", 400).select("o_orderkey", "o_custkey", "as_of_key", r6(F.col("v")).alias("v"))
 
 
+@query()
+def j12_asof_all(spark, d):
+    """All orders against all: the customer's newest earlier orders, at most 400 days older and of another key."""
+    o = _t(spark, d, "orders").withColumn("at", F.to_date("o_orderdate"))
+    left = o.select("o_orderkey", "o_custkey", "at")
+    right = o.select("o_custkey", F.col("at").alias("as_of"), F.col("o_orderkey").alias("as_of_key"), F.col("o_totalprice").alias("v"))
+    return J.asof_within(left, right, "o_custkey", "at", "as_of", 400, F.col("as_of_key") != F.col("o_orderkey")).select("o_orderkey", "o_custkey", "as_of_key", r6(F.col("v")).alias("v"))
+
+
 _SPLITS = "splits AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, l_shipdate AS date, 1 + l_discount AS ratio FROM lineitem WHERE l_discount >= 0.09 AND l_quantity >= 49)"
 
 
@@ -366,6 +376,12 @@ def j23_explode_split(spark, d):
     return l.join(p, l.l_partkey == p.p_partkey).select("l_orderkey", "l_linenumber", "l_partkey", F.explode(F.split("p_type", " ")).alias("word"))
 
 
+@query()
+def j23_explode_all(spark, d):
+    l, p = _t(spark, d, "lineitem"), _t(spark, d, "part").select("p_partkey", "p_type")
+    return l.join(p, l.l_partkey == p.p_partkey).select("l_orderkey", "l_linenumber", "l_partkey", F.explode(F.split("p_type", " ")).alias("word"))
+
+
 @query("SELECT ticker, round(coalesce(a.total, 0), 6) AS early, round(coalesce(b.total, 0), 6) AS late, a.ticker IS NULL AS only_late FROM (SELECT CAST(o_custkey AS VARCHAR) AS ticker, sum(o_totalprice) AS total FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1) a FULL JOIN (SELECT CAST(o_custkey AS VARCHAR) AS ticker, sum(o_totalprice) AS total FROM orders WHERE year(o_orderdate) = 2000 GROUP BY 1) b USING (ticker)")
 def j05_full_outer(spark, d):
     y = X.order_years(spark, d)

@@ -167,6 +167,29 @@ def test_checks(spark):
     assert got == {"ticker": 1, "year": 1, "value": 1, "source": 1, "source_url": 1, "retrieved": 1, "duplicate": 2}
 
 
+def test_whole_tables_are_joined(spark, tmp_path):
+    """As-of join and split over every order and line, by brute force."""
+    import datetime
+    from collections import Counter
+
+    from cinderflow.plans import catalogue
+
+    draw, first = random.Random(4), datetime.date(1996, 1, 1)
+    orders = [(k, draw.randrange(6), first + datetime.timedelta(draw.randrange(1500)), float(k)) for k in range(1, 81)]
+    lines = [(k, n, draw.randrange(5), float(draw.randrange(1, 51))) for k, *_ in orders for n in range(2)]
+    kinds = [(k, f"LARGE KIND{k} TIN") for k in range(4)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(kinds, "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    want = Counter()
+    for k, c, at, _ in orders:
+        older = [(x[2], x[0]) for x in orders if x[1] == c and x[0] != k and 0 <= (at - x[2]).days <= 400]
+        want.update((k, c, j, float(j)) for then, j in older if then == max(older)[0])
+    assert Counter(map(tuple, catalogue.queries()["j12_asof_all"](spark, str(tmp_path)).collect())) == want
+    got = catalogue.queries()["j23_explode_all"](spark, str(tmp_path)).collect()
+    assert Counter(map(tuple, got)) == Counter((o, n, p, w) for o, n, p, _ in lines for k, t in kinds if k == p for w in t.split())
+
+
 def test_drawn_weightings(spark):
     """A thousand seeded weightings and what comes of them, against plain numpy and pandas."""
     import numpy as np
