@@ -56,7 +56,8 @@ def templates(data: np.ndarray, offsets: np.ndarray):
     w = K.words(bare, edges)
     if not len(w.hash):
         z = np.zeros(0, np.uint64)
-        return [(z.astype(np.int64), z, z)] * len(FORMS)
+        yield from [(z.astype(np.int64), z, z)] * len(FORMS)
+        return
     counted = lambda table: (t := np.concatenate([[0], np.cumsum(table[bare], dtype=np.int64)]))[w.end] - t[w.start]
     digits, capitals, size = counted(_DIGIT), counted(_CAPITAL), w.end - w.start
     first = bare[w.start]
@@ -72,7 +73,6 @@ def templates(data: np.ndarray, offsets: np.ndarray):
     unit[1:] &= number[:-1] & (w.doc[1:] == w.doc[:-1])
     unit[:1] = False
     names = capital & ~measure & (size > 1) & (capitals < np.maximum(size, 2))
-    out = []
     for name in (names & ~opens, names):
         token, slot = w.hash.copy(), np.zeros(len(w.hash), np.uint64)
         for kind, mark in ((number, _NUMBER), (unit, _UNIT), (measure, _MEASURE), (name, _NAME)):
@@ -86,8 +86,8 @@ def templates(data: np.ndarray, offsets: np.ndarray):
             np.add.at(whole, heads, K.mix(slot))
             slot = np.where(name, whole[heads], slot)
         stay = ~follows
-        out.append((w.doc[stay].astype(np.int64), token[stay], slot[stay]))
-    return [*out, (w.doc.astype(np.int64), w.hash, np.zeros(len(w.hash), np.uint64))]
+        yield w.doc[stay].astype(np.int64), token[stay], slot[stay]
+    yield w.doc.astype(np.int64), w.hash, np.zeros(len(w.hash), np.uint64)
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, lengths: list[list[int]], whole_if_short: bool = False):
