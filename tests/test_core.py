@@ -167,6 +167,20 @@ def test_checks(spark):
     assert got == {"ticker": 1, "year": 1, "value": 1, "source": 1, "source_url": 1, "retrieved": 1, "duplicate": 2}
 
 
+def test_company_matches(spark):
+    """Names that parents and subsidiaries share, generic and short names, legal forms, names under several numbers."""
+    parents = spark.createDataFrame([("Kroger Co.", "k"), ("Acme & Sons", "a"), ("Twin Falls", "k"), ("Twin Falls", "a"), ("HCA Inc", "h")], "name string, entity string")
+    subs = spark.createDataFrame([("Twin Falls LLC", "k"), ("Kroger Foods LLC", "k"), ("Financial Services LLC", "k"), ("Jasper Holdings Ltd.", "a"), ("Ryan LLC", "a"), ("Mountain View Hospital", "h"), ("Oak Valley Clinic", "h"), ("Acme and Sons", "h")], "name string, entity string")
+    eins = spark.createDataFrame([("12-3456789", "k")], "ein string, entity string")
+    rows = [
+        (1, "123456789", "whatever", "k", "ein"), (2, None, "KROGER COMPANY", "k", "name"), (3, None, "Twin Falls", None, None), (4, None, "Kroger Foods Inc", "k", "subsidiary"),
+        (5, None, "Financial Services, LLC", None, None), (6, None, "Jasper Holdings, Inc.", None, None), (7, None, "Ryan L.L.C.", None, None), (8, "22-2222222", "Mountain View Hospital", "h", "subsidiary"),
+        (9, "33-3333333", "Oak Valley Clinic", None, None), (10, "44-4444444", "Oak Valley Clinic", None, None), (11, None, "Acme & Sons", None, None), (12, "00-0000000", None, None, None),
+    ]
+    records = spark.createDataFrame([r[:3] for r in rows], "id long, ein string, name string")
+    assert sorted((r["id"], r["entity"], r["tier"]) for r in entities.company_matches(records, eins, parents, subs).collect()) == [(r[0], *r[3:]) for r in rows]
+
+
 def test_whole_tables_are_joined(spark, tmp_path):
     """As-of join and split over every order and line, by brute force."""
     import datetime
