@@ -99,6 +99,8 @@ def counts(column) -> np.ndarray:
 def _counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     w = K.words(data, offsets)
+    # Repeated windows are of words as they stand; all else goes by lower-cased words.
+    exact = K.Words(n, w.doc, w.start, w.end, hash_spans(data, w.start, w.end))
     firsts = w.firsts()
     per_byte = lambda table: _sums(table[data], offsets)
     seen = lambda table: (t := np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)]))[w.end] - t[w.start]
@@ -115,7 +117,7 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     by_word = lambda x: np.bincount(w.doc, weights=x, minlength=n).astype(np.int64)
     return np.stack(
         [
-            np.diff(firsts), by_word(length), per_byte(SYMBOLS), dups, _repeated(w, firsts), lines, per_byte(_LETTER), per_byte(_UPPER), per_byte(_DIGIT),
+            np.diff(firsts), by_word(length), per_byte(SYMBOLS), dups, _repeated(exact, firsts), lines, per_byte(_LETTER), per_byte(_UPPER), per_byte(_DIGIT),
             per_byte(_ENDS), per_byte(_COMMA), _sums(data >= 0x80, offsets), np.bincount(d[new], minlength=n), by_word(np.isin(w.hash, _COMMON)),
             by_word(letters == 0), longest, by_word((upper == letters) & (letters > 1)), by_word(length * length), np.diff(offsets), blanks,
         ],
