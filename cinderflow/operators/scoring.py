@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cinderflow.config import CATEGORIES, Profile
 from cinderflow.functions.numbers import half_even, ratio
 from cinderflow.operators.ranking import average_rank, latest, rank01
+from cinderflow.storage import written
 
 NO_SECTOR = "(no sector)"
 
@@ -73,7 +74,7 @@ def totals(by_category: DataFrame, category_weights: dict, min_share: float, key
 def score_profile(universe: DataFrame, facts: DataFrame, catalog: DataFrame, profile: Profile) -> DataFrame:
     """ticker, name, sector, position, total_score, total_weight_share, then score, n and share of each category."""
     ranks = profile_ranks(universe, facts, indicator_weights(catalog, profile), profile)
-    by_category = category_scores(ranks, profile.min_weight_share)
+    by_category = written(category_scores(ranks, profile.min_weight_share), "category-scores")
     total = totals(by_category, profile.category_weights, profile.min_weight_share)
     wide = by_category.groupBy("ticker").agg(
         *[

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cinderflow.config import Profile
 from cinderflow.functions.numbers import ratio
+from cinderflow.storage import written
 
 CATALOG = [
     ("eco1", "economic", True, 1.0), ("eco2", "economic", False, 1.0), ("soc1", "social", False, 2.0),
@@ -44,38 +45,34 @@ def bought(spark: SparkSession, d: str) -> DataFrame:
     return l.join(o.select("o_orderkey", "o_custkey"), l.l_orderkey == o.o_orderkey).withColumn("ticker", F.col("o_custkey").cast("string")).withColumn("year", F.year("l_shipdate"))
 
 
-def supplier_nation_hhi(spark: SparkSession, d: str) -> DataFrame:
+def line_years(spark: SparkSession, d: str) -> DataFrame:
+    """ticker, year and sums over lines: quantity, returned quantity, price, discount, and the concentration of price by supplier nation.
+
+    Lines meet their orders once; all measures come from one aggregate by nation and one above it.
+    """
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    by_nation = bought(spark, d).join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("ticker", "year", "s_nationkey").agg(F.sum("l_extendedprice").alias("v"))
-    share = by_nation.groupBy("ticker", "year").agg(ratio(F.sum(F.col("v") * F.col("v")), F.sum("v") * F.sum("v")).alias("value"))
-    return share
+    price = F.col("l_extendedprice")
+    by_nation = bought(spark, d).join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left").groupBy("ticker", "year", "s_nationkey").agg(
+        F.sum("l_quantity").alias("q"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).alias("rq"), F.sum(price).alias("e"), F.sum(price * F.col("l_discount")).alias("ed")
+    )
+    known = F.when(F.col("s_nationkey").isNotNull(), F.col("e"))
+    return by_nation.groupBy("ticker", "year").agg(*[F.sum(c).alias(c) for c in ("q", "rq", "e", "ed")], ratio(F.sum(known * known), F.sum(known) * F.sum(known)).alias("hhi"))
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    """indicator_id, ticker, year, value of all six indicators."""
-    y = order_years(spark, d)
-    prev = y.select("ticker", (F.col("year") + 1).alias("year"), F.col("total").alias("before"))
-    eco1 = y.join(prev, ["ticker", "year"]).select("ticker", "year", (ratio(F.col("total"), F.col("before")) - 1).alias("value"))
-    by_year = Window.partitionBy("ticker").orderBy(F.desc("year"))
-    recent = y.withColumn("nr", F.row_number().over(by_year)).withColumn("g", ratio(F.col("total"), F.lead("total").over(by_year)) - 1).where("nr <= 6")
-    spread = recent.groupBy("ticker").agg(
-        F.max("year").alias("year"), F.count(F.lit(1)).alias("n"), F.stddev_samp(F.when(F.col("nr") <= 5, F.col("g"))).alias("s"), F.avg(F.when(F.col("nr") <= 5, F.col("g"))).alias("m")
-    )
-    eco2 = spread.where("n = 6 and abs(m) >= 0.005").select("ticker", "year", ratio(F.col("s"), F.abs("m")).alias("value"))
-    b = bought(spark, d).groupBy("ticker", "year").agg(
-        F.sum("l_quantity").alias("q"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).alias("rq"),
-        F.sum("l_extendedprice").alias("e"), F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("ed"),
-    )
-    parts = {
-        "eco1": eco1, "eco2": eco2, "soc1": b.select("ticker", "year", ratio(F.col("rq"), F.col("q")).alias("value")),
-        "soc2": y.select("ticker", "year", (F.col("total") / F.col("n")).alias("value")), "env1": b.select("ticker", "year", ratio(F.col("ed"), F.col("e")).alias("value")),
-        "env2": supplier_nation_hhi(spark, d),
-    }
-    out = None
-    for k, df in parts.items():
-        one = df.where("value is not null").select(F.lit(k).alias("indicator_id"), "ticker", F.col("year").cast("int").alias("year"), F.round("value", 9).alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """indicator_id, ticker, year, value of all six indicators: two aggregates, written once and read by every branch of a query."""
+    by_year = Window.partitionBy("ticker").orderBy("year")
+    y = order_years(spark, d).withColumn("before", F.lag("total").over(by_year)).withColumn("gap", F.col("year") - F.lag("year").over(by_year))
+    y = y.withColumn("nr", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("year")))).withColumn("g", ratio(F.col("total"), F.col("before")) - 1)
+    whole = Window.partitionBy("ticker")
+    few = lambda x, n: F.when(F.col("nr") <= n, x)
+    y = y.withColumn("years", F.count(few(F.lit(1), 6)).over(whole)).withColumn("s", F.stddev_samp(few(F.col("g"), 5)).over(whole)).withColumn("m", F.avg(few(F.col("g"), 5)).over(whole))
+    steady = (F.col("nr") == 1) & (F.col("years") == 6) & (F.abs("m") >= 0.005)
+    orders = {"eco1": F.when(F.col("gap") == 1, F.col("g")), "eco2": F.when(steady, ratio(F.col("s"), F.abs("m"))), "soc2": F.col("total") / F.col("n")}
+    lines = {"soc1": ratio(F.col("rq"), F.col("q")), "env1": ratio(F.col("ed"), F.col("e")), "env2": F.col("hhi")}
+    long = lambda df, made: df.select("ticker", F.col("year").cast("int").alias("year"), *[x.alias(k) for k, x in made.items()]).unpivot(["ticker", "year"], list(made), "indicator_id", "value")
+    both = long(y, orders).unionByName(long(line_years(spark, d), lines)).where("value is not null")
+    return written(both.select("indicator_id", "ticker", "year", F.round("value", 9).alias("value")), "facts")
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:

@@ -25,7 +25,7 @@ def query(sql=None):
     return keep
 
 
-SETTINGS = {"max_weight": 0.002, "tilt_strength": 2.0}
+SETTINGS = {"max_weight": 0.02, "tilt_strength": 2.0}
 
 
 def fund(spark, d, **more):
@@ -50,13 +50,13 @@ b8 AS (SELECT *, {n} AS n0 FROM b7 WINDOW s AS (PARTITION BY sector)),
 b9 AS (SELECT *, n0 / sum(n0) OVER () AS n FROM b8)"""
 
 
-#: Water filling of b9.n under 0.002 by sector, by rounds: 40 rounds of (capped set, scale) are far more than needed.
+#: Water filling of b9.n under 0.02 by sector, by rounds: 40 rounds of (capped set, scale) are far more than needed.
 CAP_SQL = """, c1 AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY n DESC, ticker) - 1 AS r, sum(n) OVER (PARTITION BY sector) AS tt, sum(n) OVER (PARTITION BY sector ORDER BY n DESC, ticker ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM b9),
-c2 AS (SELECT *, (tt - r * 0.002) / nullif(rest, 0) AS sc FROM c1),
-c3 AS (SELECT *, min(CASE WHEN n > 0 AND n * sc <= 0.002 + 1e-12 THEN r END) OVER (PARTITION BY sector) AS fr FROM c2),
+c2 AS (SELECT *, (tt - r * 0.02) / nullif(rest, 0) AS sc FROM c1),
+c3 AS (SELECT *, min(CASE WHEN n > 0 AND n * sc <= 0.02 + 1e-12 THEN r END) OVER (PARTITION BY sector) AS fr FROM c2),
 c4 AS (SELECT *, max(CASE WHEN r = fr THEN sc END) OVER (PARTITION BY sector) AS fs FROM c3),
-c5 AS (SELECT *, CASE WHEN n <= 0 THEN 0.0 WHEN fr IS NULL OR r < fr THEN 0.002 ELSE n * fs END AS filled FROM c4),
-d1 AS (SELECT *, 1 - sum(filled) OVER () AS spill, CASE WHEN n > 0 AND 0.002 - filled > 1e-12 THEN 0.002 - filled END AS room, CASE WHEN n > 0 AND 0.002 - filled > 1e-12 THEN n END AS tw FROM c5),
+c5 AS (SELECT *, CASE WHEN n <= 0 THEN 0.0 WHEN fr IS NULL OR r < fr THEN 0.02 ELSE n * fs END AS filled FROM c4),
+d1 AS (SELECT *, 1 - sum(filled) OVER () AS spill, CASE WHEN n > 0 AND 0.02 - filled > 1e-12 THEN 0.02 - filled END AS room, CASE WHEN n > 0 AND 0.02 - filled > 1e-12 THEN n END AS tw FROM c5),
 d2 AS (SELECT *, row_number() OVER o AS nr, coalesce(sum(room) OVER (ORDER BY room / tw NULLS LAST, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum(tw) OVER (ORDER BY room / tw NULLS LAST, ticker ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tr FROM d1 WINDOW o AS (ORDER BY room / tw NULLS LAST, ticker)),
 d3 AS (SELECT *, (spill - bef) / nullif(tr, 0) AS lv FROM d2),
 d4 AS (SELECT *, min(CASE WHEN tw IS NOT NULL AND tw * lv <= room THEN nr END) OVER () AS fn FROM d3),
