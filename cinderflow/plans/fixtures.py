@@ -11,7 +11,10 @@ CATALOG = [
     ("eco1", "economic", True, 1.0), ("eco2", "economic", False, 1.0), ("soc1", "social", False, 2.0),
     ("soc2", "social", True, 1.0), ("env1", "environmental", False, 1.0), ("env2", "environmental", False, 1.5),
 ]
-PROFILE = Profile("balanced", {"economic": 1.0, "social": 1.0, "environmental": 2.0}, portfolio={"exclude_sub_industries": ["FURNITURE"]})
+PROFILE = Profile(
+    "balanced", {"economic": 1.0, "social": 1.0, "environmental": 2.0}, sector_relative=True, min_year=2000, min_weight_share=0.6,
+    portfolio={"benchmark": "cap", "exclude_bottom_pct": 0.2, "exclude_sub_industries": ["FURNITURE"]},
+)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

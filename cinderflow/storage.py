@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local runs and
-    tests) a folder of our own is used.
+    A cluster names it in ``spark.checkpoint.dir``; without it a cluster gets an error. Only a local master,
+    which is one machine, falls back to a folder of our own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or "file:///tmp/checkpoints/cinderflow").rstrip("/")
 
 
@@ -31,6 +33,16 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df itself if its rows come straight from a scan, else df written and reread.
+
+    For operators that number rows by partition and place: a task that runs again after its executor is lost must
+    see the same rows in the same order, which rows fetched from a shuffle don't promise.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return written(df, name) if "Exchange" in plan or "AdaptiveSparkPlan" in plan else df
+
+
 #: Rows of an Arrow batch to Python workers: whole texts are wide, and a worker holds a batch at a time.
 ARROW_ROWS = 1000
 #: Up to so many ids (8 bytes each) are broadcast to leave rows out; above, both sides are shuffled.

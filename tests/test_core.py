@@ -50,7 +50,7 @@ def scored(spark, universe, seed=2):
 @pytest.mark.parametrize("over", [{}, {"tilt_strength": 4.0, "max_weight": 0.09}, {"method": "exclude"}, {"benchmark": "equal", "max_weight": 0.022}, {"sector_neutral": False, "tilt_strength": 4.0, "max_weight": 0.09}])
 def test_fund_invariants(spark, over):
     u = market_of(spark)
-    s = config.portfolio_settings(config.Profile("p"), {"max_weight": 0.2, "exclude_sub_industries": ["Y"] if "benchmark" not in over else [], **over})
+    s = config.portfolio_settings(config.Profile("p"), {"benchmark": "cap", "exclude_bottom_pct": 0.2, "max_weight": 0.2, "exclude_sub_industries": ["Y"] if "benchmark" not in over else [], **over})
     f = portfolio.allocate(scored(spark, u), u, s).collect()
     assert len(f) == len({r["cik"] for r in f})
     assert abs(sum(r["weight"] for r in f) - 1) < 1e-9 and abs(sum(r["benchmark_weight"] for r in f) - 1) < 1e-9
@@ -70,8 +70,14 @@ def test_fund_invariants(spark, over):
 def test_a_cap_too_low_is_an_error(spark):
     u = market_of(spark)
     s = config.portfolio_settings(config.Profile("p"), {"max_weight": 0.01})
-    with pytest.raises(Exception, match="cannot hold"):
-        portfolio.allocate(scored(spark, u), u, s).collect()
+    with pytest.raises(ValueError, match="cannot hold"):
+        portfolio.allocate(scored(spark, u), u, s)
+    capless = config.portfolio_settings(config.Profile("p"), {"benchmark": "cap"})
+    with pytest.raises(ValueError, match="market cap"):
+        portfolio.allocate(scored(spark, u), u.withColumn("cap", F.lit(None).cast("double")), capless)
+    everything = sorted({r[0] for r in u.select("sub_industry").collect() if r[0]})
+    with pytest.raises(ValueError, match="leave no company"):
+        portfolio.allocate(scored(spark, u), u, {**capless, "exclude_sub_industries": everything})
 
 
 def loop_fill(w, total, cap):
@@ -110,7 +116,7 @@ def test_points_add_up_to_the_total(spark):
     ids = [("e1", "economic", True, 1.0), ("e2", "economic", False, 2.0), ("s1", "social", True, 1.0), ("v1", "environmental", False, 1.5)]
     catalog = spark.createDataFrame(ids, "indicator_id string, category string, higher_is_better boolean, weight double")
     facts = spark.createDataFrame([(i, f"t{k:03}", y, draw.random()) for k in range(40) for i, *_ in ids for y in (2019, 2020) if draw.random() > 0.15], "indicator_id string, ticker string, year int, value double")
-    p = config.Profile("p", min_weight_share=0.5)
+    p = config.Profile("p", min_weight_share=0.5, sector_relative=True, min_year=2000)
     ranks = scoring.profile_ranks(u, facts, catalog, p).cache()
     points = {r["ticker"]: r["p"] for r in scoring.explain(ranks, scoring.category_scores(ranks, 0.5), p.category_weights).groupBy("ticker").agg(F.sum("points").alias("p")).collect()}
     table = scoring.score_profile(u, facts, catalog, p).collect()
@@ -126,11 +132,14 @@ def test_points_add_up_to_the_total(spark):
 
 
 def test_profile_round_trip():
-    p = config.Profile("x", {"economic": 2.0, "social": 1.0}, {"a": 0.5}, portfolio={"tilt_strength": 1.5, "exclude_sub_industries": ["A \"b\""]})
+    p = config.Profile("x", {"economic": 2.0, "social": 1.0, "environmental": 1.0}, {"a": 0.5}, portfolio={"tilt_strength": 1.5, "exclude_sub_industries": ["A \"b\" é"]}, description="d")
     assert config.load_profile(config.to_toml(p)) == p
-    for bad in ("nonsense = 1", 'name = "x"\n[category_weights]\nspace = 1.0'):
+    assert config.load_profile('name = "y"\n[categories]\nsocial = 0.0').category_weights == {"economic": 1.0, "social": 0.0, "environmental": 1.0}
+    for bad in ("nonsense = 1", "min_weight_share = 2", "[categories]\nspace = 1.0", "[indicators]\na = -1.0"):
         with pytest.raises(ValueError):
-            config.load_profile('name = "y"\n' + bad if "name" not in bad else bad)
+            config.load_profile(bad)
+    plain = config.portfolio_settings(config.Profile("p"))
+    assert plain == {"method": "tilt", "benchmark": "equal", "tilt_strength": 0.6, "exclude_bottom_pct": 0.1, "max_weight": 0.05, "sector_neutral": True, "exclude_sub_industries": []}
     with pytest.raises(ValueError):
         config.portfolio_settings(p, {"max_weight": 0})
     with pytest.raises(ValueError):
