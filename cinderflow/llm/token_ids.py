@@ -12,7 +12,7 @@ in ascending doc_id order:
 
 ``<path>/ranks`` is one such file of one block: magic b"CFTR", count u32, the ids by rank as u32.
 
-Shards are ranges of doc_id, so ascending shard, block and place is ascending doc_id over the whole corpus.
+Shards are ranges of doc_id (then of length and checksum, so that one id may hold many rows), so ascending shard, block and place is ascending doc_id over the whole corpus.
 Writing goes through Spark's own file writers (any file system Spark can reach, task commit and retry
 included); every block is a few megabytes, so no task holds a shard.
 
@@ -22,11 +22,14 @@ together from them.
 
 Edge cases
 * null or empty text: only the end id. No rows: no blocks, an empty result.
-* null doc_id: before all others. Repeated doc_ids: in the order of their ids' checksum; rows stay apart.
+* null doc_id: before all others. Repeated doc_ids: in the order of their length and their ids' checksum; rows stay apart.
+* blocks are arbitrary bytes that go through the text writer as strings: Spark writes a string's bytes as they are. The tests
+  read the exact bytes back.
 * very long text: encoded by slices of its words; a block holds at least one document.
 * extra columns, whatever their names, are left out.
 """
 
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -41,10 +44,12 @@ from cinderflow.llm.textkernel import trimmed
 from cinderflow.storage import fresh_path, written
 
 END_ID = 2
-#: Bytes of input for a shard (as the scan's statistics give them), and the most shards.
-SHARD_BYTES, MOST_SHARDS = 16 << 20, 100_000
+#: Bytes of input for a shard (as the scan's statistics give them): their number follows the data, so a task's share doesn't.
+SHARD_BYTES = 16 << 20
 #: Text bytes encoded at a time, and bytes after which a block ends.
-SLICE_BYTES, BLOCK_BYTES, BLOCKS_PER_FILE = 5 << 20, 4 << 20, 4
+SLICE_BYTES, BLOCK_BYTES, BLOCKS_PER_FILE = 3 << 20, 4 << 20, 4
+#: Distinct words given to the tokenizer in one call.
+AT_A_TIME = 4000
 _HEADER = struct.Struct("<4sIIIQQ")
 #: For every control byte: the lengths of its four values.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -70,16 +75,14 @@ def _tokenizer(path: str):
 def _letters_only(path: str):
     """The library's model behind a plain split, for words of letters that need no other normalising; None if the
     tokenizer is not of the kind whose steps leave lower-case Latin letters alone (byte-level over NFC and lower case)."""
-    import json
-
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import Split
 
     whole = _tokenizer(path)
-    told = json.loads(whole.to_str())
-    steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
-    before = [x["type"] for x in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
-    if steps != ["NFC", "Replace", "Lowercase"] or before != ["Split", "ByteLevel"] or told["post_processor"]:
+    # The steps' own descriptions: the tokenizer as JSON would hold its vocabulary once more.
+    steps, before = repr(whole.normalizer), repr(whole.pre_tokenizer)
+    plain = re.fullmatch(r"Sequence\(normalizers=\[NFC\(\), Replace\(.*\), Lowercase\(\)\]\)", steps) and re.fullmatch(r"Sequence\(pretokenizers=\[Split\(.*\), ByteLevel\(add_prefix_space=False.*\)\]\)", before)
+    if not plain or whole.post_processor:
         return None
     bare = Tokenizer(whole.model)
     bare.pre_tokenizer = Split(" ", "removed")
@@ -102,9 +105,24 @@ def gather(ids: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarr
 
 def _one_by_one(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     tokenizer = _tokenizer(path)
-    each = [x.ids for x in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
-    lengths = np.fromiter(map(len, each), np.int64, len(each))
-    return np.fromiter((i for x in each for i in x), np.uint32, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)])
+    ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+    for i in range(0, len(found), AT_A_TIME):
+        each = [x.ids for x in tokenizer.encode_batch_fast(found[i : i + AT_A_TIME], add_special_tokens=False)]
+        lengths.append(np.fromiter(map(len, each), np.int64, len(each)))
+        ids.append(np.fromiter((i for x in each for i in x), np.uint32, int(lengths[-1].sum())))
+    return np.concatenate(ids), np.cumsum(np.concatenate(lengths))
+
+
+def _letters(bare, spelt: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words of letters, and where each word's begin; so many at a time, as the library keeps far more than ids of each token."""
+    ids, at, base = [np.zeros(0, np.uint32)], [], 0
+    for i in range(0, len(spelt), AT_A_TIME):
+        part = spelt[i : i + AT_A_TIME]
+        got = bare.encode(" ".join(part), add_special_tokens=False)
+        ids.append(np.array(got.ids, np.uint32))
+        at.append(base + np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part))))
+        base += len(ids[-1])
+    return np.concatenate(ids), np.concatenate([*at, [base]]).astype(np.int64)
 
 
 def encode_distinct(path: str, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +141,7 @@ def encode_distinct(path: str, found: pa.Array) -> tuple[np.ndarray, np.ndarray]
     letters = lows.dictionary.to_pylist()
     table = _byte_letters()
     spelt = [x if x.isascii() else x.encode().decode("latin-1").translate(table) for x in letters]
-    got = bare.encode(" ".join(spelt), add_special_tokens=False)
-    stem_ids = np.array(got.ids, np.uint32)
-    stem_at = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(spelt) + 1))
+    stem_ids, stem_at = _letters(bare, spelt)
     tails = pc.replace_substring_regex(found.filter(quick), r"^\p{L}+", "").dictionary_encode()
     others = found.filter(pc.invert(quick)).to_pylist()
     more_ids, more_at = _one_by_one(path, [*tails.dictionary.to_pylist(), *others])
@@ -228,7 +244,8 @@ def _tokenized(path: str):
                 wide = np.add.reduceat(flat > 0xFFFF, starts[:-1]) > 0
                 raw = [flat[a:b].astype("<u4").tobytes() if w else small[a:b].tobytes() for a, b, w in zip(starts[:-1], starts[1:], wide, strict=True)]
                 doc_id = batch.column("doc_id").slice(i, len(column)).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(starts).astype(np.int32)), pa.array(raw, pa.binary())], ["doc_id", "n", "ids"])
+                crc = pa.array([zlib.crc32(x) for x in raw], pa.int64())
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(starts).astype(np.int32)), crc, pa.array(raw, pa.binary())], ["doc_id", "n", "crc", "ids"])
 
     return run
 
@@ -248,64 +265,55 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["id", "n"])
 
 
-def _encode(ids_by_rank: np.ndarray, bounds: np.ndarray):
+def block(shard: int, number: int, held: list[tuple]) -> pa.RecordBatch:
+    """One block of documents (id, ids, control, data)."""
+    docs = np.zeros(len(held), _DOC)
+    docs["id"] = [x[0] or 0 for x in held]
+    docs["null"] = [x[0] is None for x in held]
+    docs["n"] = [x[1] for x in held]
+    control, data = b"".join(x[2] for x in held), b"".join(x[3] for x in held)
+    whole = _HEADER.pack(b"CFTB", shard, number, len(held), len(control), len(data)) + docs.tobytes() + control + data
+    return pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], ["block"])
+
+
+def _blocks(ids_by_rank: np.ndarray):
+    """Blocks of a shard's rows, which come in their order; the shard is the task's partition."""
     rank_of = np.zeros(int(ids_by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[ids_by_rank] = np.arange(len(ids_by_rank), dtype=np.uint32)
 
     def run(batches):
+        from pyspark import TaskContext
+
+        shard, number, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            doc_id, n = batch.column("doc_id"), batch.column("n")
-            packed = [pack(rank_of[_ids(k, x)]) for k, x in zip(n.to_pylist(), batch.column("ids").to_pylist(), strict=True)]
-            # a document's shard is the number of bounds below its id
-            shard = np.searchsorted(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), doc_id, n, pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], ["shard", "doc_id", "n", "control", "data"])
+            for doc_id, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True):
+                held.append((doc_id, n, *pack(rank_of[_ids(n, ids)])))
+                size += len(held[-1][2]) + len(held[-1][3])
+                if size > BLOCK_BYTES:
+                    yield block(shard, number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield block(shard, number, held)
 
     return run
 
 
-def _blocks(batches):
-    """Blocks of the rows (sorted by shard and doc_id)."""
-    shard, number, held, size = None, 0, [], 0
-
-    def block():
-        docs = np.zeros(len(held), _DOC)
-        docs["id"] = [x[0] or 0 for x in held]
-        docs["null"] = [x[0] is None for x in held]
-        docs["n"] = [x[1] for x in held]
-        control, data = b"".join(x[2] for x in held), b"".join(x[3] for x in held)
-        return _HEADER.pack(b"CFTB", shard, number, len(held), len(control), len(data)) + docs.tobytes() + control + data
-
-    for batch in batches:
-        for s, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n", "control", "data")), strict=True):
-            if held and (s != shard or size > BLOCK_BYTES):
-                yield pa.RecordBatch.from_arrays([pa.array([block()], pa.binary())], ["block"])
-                number, held, size = (number + 1 if s == shard else 0), [], 0
-            elif s != shard:
-                number = 0
-            shard = s
-            held.append(row)
-            size += len(row[2]) + len(row[3])
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array([block()], pa.binary())], ["block"])
-
-
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Writes the ids of docs (doc_id, text) below path."""
     spark = docs.sparkSession
     # Tokenized once: the ids are counted and encoded from a table in the shared folder.
-    rows = written(docs.select("doc_id", "text").mapInArrow(trimmed(_tokenized(tokenizer)), "doc_id long, n int, ids binary"), "ids", compression="zstd")
+    rows = written(docs.select("doc_id", "text").mapInArrow(trimmed(_tokenized(tokenizer)), "doc_id long, n int, crc long, ids binary"), "ids", compression="zstd")
     counts = rows.select("n", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # At most as many rows as the vocabulary has ids.
     ranked = [x["id"] for x in counts.orderBy(F.desc("n"), "id").collect()]
     table = struct.pack("<4sI", b"CFTR", len(ranked)) + np.array(ranked, "<u4").tobytes()
     spark.createDataFrame([(table,)], "block binary").coalesce(1).select(F.col("block").cast("string")).write.text(f"{path}/ranks")
 
-    wanted = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SHARD_BYTES
-    shards = max(8, min(MOST_SHARDS, wanted))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards).alias("b")).first()["b"] or []
-    encoded = rows.mapInArrow(trimmed(_encode(np.array(ranked, np.int64), np.array(sorted(set(bounds)), np.int64))), "shard int, doc_id long, n int, control binary, data binary")
-    ordered = encoded.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n", F.crc32("data"))
-    blocks = ordered.mapInArrow(_blocks, "block binary").select(F.col("block").cast("string"))
+    # Shards are ranges of doc_id, then of length and checksum: one id, or null, may hold many rows and still be split.
+    shards = max(8, int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SHARD_BYTES)
+    order = [F.asc_nulls_first("doc_id"), F.asc("n"), F.asc("crc")]
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    blocks = ordered.select("doc_id", "n", "ids").mapInArrow(trimmed(_blocks(np.array(ranked, np.int64))), "block binary").select(F.col("block").cast("string"))
     blocks.write.option("maxRecordsPerFile", BLOCKS_PER_FILE).text(f"{path}/blocks")
 
 
