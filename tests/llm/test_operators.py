@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,6 +366,47 @@ def test_token_ids(spark, docs):
     assert token_ids.write_and_read(docs.limit(0)).count() == 0
 
 
+def test_token_files_hold_the_exact_bytes(spark, docs, tmp_path):
+    """Blocks are no UTF-8: what stands in the files must be what the reader's layout says, byte for byte, and documents in order over files."""
+    import public_tokenizers
+
+    path = f"file://{tmp_path}/ids"
+    same_id = docs.select(F.when(F.col("doc_id") % 2 == 0, 7).otherwise(F.col("doc_id")).alias("doc_id"), "text")
+    token_ids.write(same_id, path, str(public_tokenizers.path("word_bpe_49k.json")))
+    total, shards = 0, set()
+    for f in sorted((tmp_path / "ids" / "blocks").glob("part-*")):
+        content = f.read_bytes()
+        for shard, _, found, control, data in token_ids.parse(content):
+            shards.add(shard)
+            lengths = token_ids.LENGTHS[control].sum()
+            pads = (-found["n"].astype(int) % 4).sum()
+            assert len(data) == lengths - pads  # padded places have length 1
+            total += len(found)
+    assert total == docs.count() and len(shards) > 1
+    ranks = b"".join(f.read_bytes() for f in (tmp_path / "ids" / "ranks").glob("part-*"))
+    assert ranks[:4] == b"CFTR" and len(ranks) == 8 + 4 * int.from_bytes(ranks[4:8], "little") + 1
+
+
+def test_wide_ids_round_trip():
+    """Ids that two bytes don't hold."""
+    whole = token_ids.encode_column
+
+    def shifted(path, column):
+        flat, starts = whole(path, column)
+        return flat + np.uint32(70_000), starts
+
+    flat, starts = shifted(token_ids_path(), pa.array(["a b c", "", "dé f"]))
+    packed = [token_ids.pack(flat[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    join = lambda k: np.frombuffer(b"".join(p[k] for p in packed), np.uint8)
+    assert (token_ids.unpack(join(0), join(1), np.diff(starts)) == flat).all() and flat.min() > 0xFFFF
+
+
+def token_ids_path():
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_token_coding_round_trip():
     draw = np.random.default_rng(5)
     lists = [draw.integers(0, 2 ** int(draw.integers(1, 32)), int(draw.integers(0, 60)), dtype=np.uint32) for _ in range(200)]
@@ -405,6 +447,42 @@ def test_quality_classifier(spark):
     assert {r["predicted"] for r in quality_classifier.classify(docs, labels.limit(0)).collect()} == {1}
 
 
+def test_quality_classifier_edges(spark):
+    """Labels of documents that are not there don't crowd out the others; one label only, very long and empty texts, extra columns."""
+    docs = spark.createDataFrame([(k, "plain words of good prose, you see. " * 20 if k % 2 else "|| ## $$ " * 40, "x") for k in range(200)], "doc_id long, text string, score string")
+    here = [(k, k % 2) for k in range(200)]
+    absent = [(10_000 + k, k % 2) for k in range(4000)]
+    labels = spark.createDataFrame(here + absent, "doc_id long, quality int")
+    m = quality_classifier.train(docs, labels, sample=100)
+    assert np.abs(m.weights).sum() > 0
+    got = {r["doc_id"]: r["predicted"] for r in quality_classifier.classify(docs, labels).collect()}
+    assert got == dict(here)
+    single = spark.createDataFrame([(k, 1) for k in range(200)], "doc_id long, quality int")
+    assert {(r["score"], r["predicted"]) for r in quality_classifier.classify(docs, single).collect()} == {(0.5, 1)}
+    odd = spark.createDataFrame([(1, "word " * 400_000), (2, None), (None, ""), (1, "word " * 400_000)], "doc_id long, text string")
+    found = quality_classifier.classify(odd, labels).collect()
+    assert len(found) == 4 and len({r["score"] for r in found if r["doc_id"] == 1}) == 1
+    assert quality_classifier.accepted(docs, labels).columns == docs.columns
+
+
+def test_bradley_terry_fit_equals_gradient_descent():
+    """The fitted weights are at the minimum of the loss, as plain gradient steps over the same pairs find it."""
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(300, 3))
+    label = (x @ np.array([2.0, -1.0, 0.0]) + draw.normal(size=300) > 0).astype(int)
+    m = quality_classifier.fit(x, label, pairs=2000)
+    z = np.clip((x - m.mean) / m.scale, -8, 8)
+    good, bad = z[label == 1], z[label == 0]
+    w = np.zeros(3)
+    for _ in range(3000):  # the expected loss over all pairs: the drawn ones differ from it by their draw only
+        d = good[:, None] - bad[None]
+        p = 1 / (1 + np.exp(d @ w))
+        w += 0.5 * ((d * p[..., None]).mean((0, 1)) - quality_classifier.RIDGE * w)
+        if np.abs((d * p[..., None]).mean((0, 1)) - quality_classifier.RIDGE * w).max() < 1e-4:
+            break
+    assert np.abs(w - m.weights).max() < 0.25 and m.weights[0] > 1 > 0 > m.weights[1]
+
+
 def test_license_scans(spark, docs):
     got = license_scans.scan(docs).collect()
     want = []
