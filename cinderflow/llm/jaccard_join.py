@@ -8,15 +8,20 @@ links as follows; all steps are exact.
    shared shingles back, ordered rarest first.
 2. Prefixes. A set of n shingles can only link where at least 4n/5 are shared; others end here. Two linked
    sets share one of their first n - ceil(4n/5) + 1 shingles in that order, so only these are listed.
-3. Leaders (answers from similar sets). In each list the set with the smallest share of unshared shingles
-   leads; a set joins the group of the leader it meets most often, and is compared with it. Two members that
-   link with their leader are in its component: their pair needs no comparison, so a group costs as much as it
-   has members. Only members that don't link with their leader are compared with the other members, by counting
-   the shingles they share in one sweep over a block.
-4. Skipping in index lists. A list is cut into blocks by group and size, with the best position of each;
+3. Leaders. In each list the set with the smallest share of unshared shingles leads; a set joins the group of
+   the leader it meets most often. Each leader's answers are computed against its members. A member is then kept as
+   what its own answers differ by: its tokens that the leader lacks, and the leader's that it lacks (its delta).
+4. Derived answers. Two members share |leader| - lost(a) - lost(b) + |delta(a) and delta(b)| shingles, so a member's answers
+   follow from its leader's and from the deltas alone; a block's deltas are swept once for each set. join() does this for all
+   pairs of a group, as it counts links. kept(), which needs components only, does it for members that don't link with
+   their leader; all others are tied to the leader, so there a group costs as much as it has members.
+5. Skipping in index lists. A list is cut into blocks by group and size, with the best position of each;
    two blocks of different groups are skipped if even the best position leaves too few shingles, or the sizes
-   differ too much. What is left gives pairs of groups to compare.
-5. Links become components by large-star and small-star rounds.
+   differ too much. What is left gives pairs of groups to compare, by their whole sets.
+6. Links become components by large-star and small-star rounds.
+
+Counting every link of a group of k different sets takes k * k / 2 sums of numbers (deltas are a few shingles each, BLOCK sets at a
+time), spread over (k / BLOCK) ** 2 tasks; exact copies are one set. No pair is ever a row.
 
 Groups are compared in blocks of about BLOCK sets, so a group of any size is spread over tasks. A
 shingle that HOT documents of one chunk hold is announced instead of listed, so no bucket gathers the
@@ -39,7 +44,7 @@ from pyspark.sql import functions as F
 
 from cinderflow.llm import textkernel as K
 from cinderflow.llm.components import components
-from cinderflow.storage import without, written
+from cinderflow.storage import settled, without, written
 
 WIDTH = 5
 #: Bytes of text and documents of a chunk; input bytes of a bucket, and the fewest buckets.
@@ -116,7 +121,8 @@ def _index(bits: int):
                 cls = np.zeros(j - i, np.uint64)
                 np.add.at(cls, doc, K.mix(g ^ _FEW))
                 cls = K.mix(cls + n.astype(np.uint64))
-                away = -1 - int(chunk % 64)
+                # What doesn't go through a bucket goes by a number of the chunk's own.
+                away = -1 - ((chunk >> 32) * 4099 + (chunk & 0xFFFFFFFF)) % (1 << 30)
                 rows = [(away, chunk, DOCS, _pack(known[i:j], null[i:j], n.astype(np.int32), cls))]
                 order = np.argsort(g, kind="stable")
                 token, doc = g[order] >> np.uint64(8), doc[order].astype(np.uint16)
@@ -209,6 +215,7 @@ def _gathered(table: pa.Table) -> pa.Table:
 
 
 def _bits(docs: DataFrame) -> int:
+    """Bucket numbers have so many bits: a bucket holds about BUCKET_BYTES of text up to 2 TB in all, and in proportion more beyond."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return min(20, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)).bit_length() - (1 if size <= LEAST_BUCKETS * BUCKET_BYTES else 0))
 
@@ -240,63 +247,91 @@ def _postings(batches):
 
 
 class _Block:
-    """The sets of a unit, for counting what one set shares with all of them."""
+    """The sets of a unit, each whole or as its delta, for counting what one set shares with all of them."""
 
     def __init__(self, table: pa.Table):
         self.cls, keep = np.unique(table["cls"].to_numpy(), return_index=True)
-        self.side, self.n, self.node = (table[c].to_numpy()[keep] for c in ("side", "n", "node"))
-        token = [np.frombuffer(x, np.int64) for x in table["tokens"].take(pa.array(keep)).to_pylist()]
-        self.size = np.array([len(x) for x in token])
-        _, self.code = np.unique(np.concatenate(token), return_inverse=True)
-        self.start = np.cumsum(self.size) - self.size
+        self.side, self.n, self.node, self.copies, self.base, self.lost = (table[c].to_numpy()[keep] for c in ("side", "n", "node", "copies", "base", "lost"))
+        self.token = [np.frombuffer(x, np.int64) for x in table["tokens"].take(pa.array(keep)).to_pylist()]
+        self.size = np.array([len(x) for x in self.token], np.int64)
+        _, self.code = np.unique(np.concatenate(self.token), return_inverse=True)
+        self.end = np.cumsum(self.size)
+        self.start = self.end - self.size
         self._mark = np.zeros(self.code.max(initial=0) + 1, bool)
 
-    def partners(self, x: int) -> np.ndarray:
-        """Which sets link with set x (itself left out)."""
-        own = self.code[self.start[x] : self.start[x] + self.size[x]]
+    def marked(self, x: int) -> np.ndarray:
+        """Which of all sets' tokens set x has."""
+        own = self.code[self.start[x] : self.end[x]]
         self._mark[own] = True
-        inter = np.add.reduceat(self._mark[self.code], self.start)
+        has = self._mark[self.code]
         self._mark[own] = False
+        return has
+
+    def partners(self, x: int) -> np.ndarray:
+        """Which sets link with set x (itself left out)."""
+        total = np.concatenate([[0], np.cumsum(self.marked(x))])
+        inter = self.base - self.lost[x] - self.lost + total[self.end] - total[self.start]
         hit = 9 * inter >= 4 * (self.n + self.n[x])
         hit[x] = False
         return hit
 
 
 def _led(table: pa.Table) -> pa.Table:
-    """Which members of a block link with the group's leader (side 0); these and the leader are tied to the least node among them."""
+    """The leader's (side 0) answers on a block of its members, and each member as its delta. Linked ones are tied to the least node among them."""
     unit = _Block(table)
     lead = int(np.flatnonzero(unit.side == 0)[0])
     linked = unit.partners(lead)
     linked[lead] = True
     least = unit.node[linked].min()
-    return pa.table({"cls": unit.cls, "group": np.full(len(unit.cls), unit.cls[lead]), "a": unit.node, "b": np.full(len(unit.cls), least), "linked": linked})
+    own, in_lead, tokens = unit.code[unit.start[lead] : unit.end[lead]], unit.marked(lead), unit.token[lead]
+    deltas, lost = [], []
+    for x in range(len(unit.cls)):
+        s = slice(unit.start[x], unit.end[x])
+        unit._mark[unit.code[s]] = True
+        away = tokens[~unit._mark[own]]
+        unit._mark[unit.code[s]] = False
+        deltas.append(np.concatenate([away, unit.token[x][~in_lead[s]]]).tobytes())
+        lost.append(len(away))
+    return pa.table(
+        {
+            "cls": unit.cls, "group": np.full(len(unit.cls), unit.cls[lead]), "a": unit.node, "b": np.full(len(unit.cls), least), "linked": linked,
+            "base": np.full(len(unit.cls), len(own)), "lost": np.array(lost, np.int64), "delta": pa.array(deltas, pa.binary()),
+        }
+    )
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Links across the two sides (1 and 2) of a unit, a set of side 0 being on both: each linked set tied to its component's least node."""
-    unit = _Block(table)
-    root = np.arange(len(unit.cls))
+_FOUND = "cls long, links long, a long, b long"
 
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    few, many = (1, 2) if (unit.side == 1).sum() <= (unit.side == 2).sum() else (2, 1)
+def _compare(table: pa.Table) -> pa.Table:
+    """Links across the two sides (1 and 2) of a unit, a set of side 0 being on both: how many documents each set links
+    with there, and each linked set tied to its component's least node.
+
+    Within a group (g1 = g2) only the sets of side 1 are counted, as each is on that side of one unit with every block.
+    """
+    unit = _Block(table)
+    within = table["g1"][0].as_py() == table["g2"][0].as_py()
+    few, many = (1, 2) if within or (unit.side == 1).sum() <= (unit.side == 2).sum() else (2, 1)
+    other = np.isin(unit.side, (many, 0))
+    least, links = unit.node.copy(), np.zeros(len(unit.cls), np.int64)
     for x in np.flatnonzero(np.isin(unit.side, (few, 0))):
-        for y in np.flatnonzero(unit.partners(x) & np.isin(unit.side, (many, 0))):
-            a, b = find(x), find(y)
-            root[max(a, b)] = min(a, b)
-    top = np.array([find(x) for x in range(len(root))])
-    least = unit.node.copy()
-    np.minimum.at(least, top, unit.node)
-    tied = least[top] != unit.node
-    return pa.table({"a": unit.node[tied], "b": least[top][tied]})
-
-
-def class_links(classes: DataFrame) -> DataFrame:
-    """a, b: links between nodes of classes (cls, n, tokens, node); as many as give the components of all links."""
+        hit = unit.partners(x) & other
+        if not hit.any():
+            continue
+        links[x] += unit.copies[hit].sum()
+        if not within:
+            links[hit] += unit.copies[x]
+        hit[x] = True
+        met = np.unique(least[hit])
+        if len(met) > 1:
+            least[np.isin(least, met)] = met[0]
+    tied = least != unit.node
+    return pa.table({"cls": unit.cls, "links": links, "a": pa.array(unit.node, mask=~tied), "b": pa.array(least, mask=~tied)})
+
+
+def class_links(classes: DataFrame, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """Of classes (cls, n, copies, tokens, node): a, b, links between nodes, as many as give the components of all links; and
+    cls, links, how many documents of other classes each links with (all of them only if counted)."""
     posted = classes.mapInArrow(_postings, "token long, cls long, n long, place long, alone double")
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("alone", "cls")).alias("lead")).where("held > 1")
     postings = written(posted.join(lists, "token").select("token", "cls", "n", "place", F.col("lead.cls").alias("lead")), "postings")
@@ -310,24 +345,31 @@ def class_links(classes: DataFrame) -> DataFrame:
 
     # Members with their group's leader: every member once, the leader once a block.
     spread = lambda df, blocks, name: df.select("*", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias(name))
-    bodies = classes.select("cls", "n", "tokens", "node")
+    none = F.lit(0).cast("long")
+    bodies = classes.select("cls", "n", "copies", "node", "tokens", none.alias("base"), none.alias("lost"))
     followers = placed.where("cls <> group")
     tails = followers.select("cls", F.lit(1).alias("side"), "group", "block")
     # A leader may itself belong to another group: it is looked up by the group's name, not among the members.
     heads = followers.select(F.col("group").alias("cls"), F.lit(0).alias("side"), "group", "block").distinct()
     whole = tails.join(bodies, "cls").unionByName(heads.join(bodies, "cls"))
-    known = written(whole.groupBy("group", "block").applyInArrow(_led, "cls long, group long, a long, b long, linked boolean"), "led")
-
-    # Members that don't link with their leader: blocks of them against all blocks of the group (but its leader).
-    stray = known.where("not linked").select("cls", "group")
-    astray = stray.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("strays"))
-    tagged = followers.join(astray, "group").join(stray.select("cls", F.lit(True).alias("stray")), "cls", "left")
-    tagged = tagged.withColumn("row", F.when(F.col("stray"), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("strays"))).cast("int"))
-    lone = spread(tagged.where("stray"), "blocks", "b2").select("cls", F.lit(1).alias("side"), "group", F.col("row").alias("b1"), "b2")
-    rest = spread(tagged, "strays", "b1").select("cls", F.lit(2).alias("side"), "group", "b1", F.col("block").alias("b2"))
-    # A stray that meets its own block is on both sides of that unit.
+    known = written(whole.groupBy("group", "block").applyInArrow(_led, "cls long, group long, a long, b long, linked boolean, base long, lost long, delta binary"), "led")
+
+    # Within a group: rows against all blocks of it. Rows are all sets if links are counted, else those that don't link with their leader.
+    leaders = known.where("cls = group").groupBy("cls", "group").agg(F.first("base").alias("base"), F.first("lost").alias("lost"), F.first("delta").alias("delta"), F.lit(True).alias("linked"))
+    told = known.where("cls <> group").select("cls", "group", "base", "lost", "delta", "linked").unionByName(leaders)
+    inside = placed.join(told, ["cls", "group"])
+    row = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("strays")).cast("int")
+    if counted:
+        inside = inside.withColumn("strays", F.col("blocks")).withColumn("row", F.col("block"))
+    else:
+        astray = inside.where("not linked").groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("strays"))
+        inside = inside.join(astray, "group").withColumn("row", F.when(~F.col("linked"), row))
+    lone = spread(inside.where("row is not null"), "blocks", "b2").select("cls", F.lit(1).alias("side"), "group", F.col("row").alias("b1"), "b2")
+    rest = spread(inside, "strays", "b1").select("cls", F.lit(2).alias("side"), "group", "b1", F.col("block").alias("b2"))
+    # A set that meets its own block is on both sides of that unit.
     within = lone.unionByName(rest).groupBy("cls", "group", "b1", "b2").agg(F.when(F.count(F.lit(1)) > 1, 0).otherwise(F.min("side")).alias("side"))
-    within = within.select("cls", "side", F.col("group").alias("g1"), F.col("group").alias("g2"), "b1", "b2")
+    deltas = told.join(classes.select("cls", "n", "copies", "node"), "cls").withColumnRenamed("delta", "tokens")
+    within = within.join(deltas, ["cls", "group"]).select("cls", "side", F.col("group").alias("g1"), F.col("group").alias("g2"), "b1", "b2", "n", "copies", "node", "tokens", "base", "lost")
 
     # Blocks of lists by group and size, with the best position: pairs of groups that may hold a link.
     step = F.floor(F.log("n") / F.log(F.lit(1.25)))
@@ -340,30 +382,33 @@ def class_links(classes: DataFrame) -> DataFrame:
     first = both.join(placed.select(F.col("group").alias("g1"), "cls", F.col("block").alias("b1")), "g1").select("cls", F.lit(1).alias("side"), "g1", "g2", "b1", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)).alias("b2"))
     second = both.join(placed.select(F.col("group").alias("g2"), "cls", F.col("block").alias("b2")), "g2").select("cls", F.lit(2).alias("side"), "g1", "g2", F.explode(F.sequence(F.lit(0), F.col("n1") - 1)).alias("b1"), "b2")
 
-    units = within.unionByName(first).unionByName(second)
-    filled = units.join(bodies, "cls")
-    across = filled.groupBy("g1", "g2", "b1", "b2").applyInArrow(_compare, "a long, b long")
-    return known.where("linked").select("a", "b").unionByName(across)
+    across = first.unionByName(second).join(bodies, "cls").select(*within.columns)
+    found = written(within.unionByName(across).groupBy("g1", "g2", "b1", "b2").applyInArrow(_compare, _FOUND), "compared")
+    ties = known.where("linked").select("a", "b").unionByName(found.where("a is not null").select("a", "b"))
+    return ties, found.groupBy("cls").agg(F.sum("links").alias("links"))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of docs."""
-    found = written(sets(docs), "sets")
+def join(docs: DataFrame, counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, and, if counted, n_links (other rows that link with the row): one row for each row of docs."""
+    found = written(sets(settled(docs.select("doc_id", "text"), "join-docs")), "sets")
     # A class goes by its smallest doc_id, so the least node of a component is its id; classes of null ids come after all ids.
     unnamed = F.lit(_UNNAMED) + F.pmod("cls", F.lit(1 << 61))
-    alike = found.where("tokens is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.coalesce(F.min("doc_id"), unnamed).alias("node"))
+    alike = found.where("tokens is not null").groupBy("cls").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.coalesce(F.min("doc_id"), unnamed).alias("node"))
     classes = written(alike, "classes")
-    labels = components(class_links(classes))
+    ties, counts = class_links(classes, counted)
     # One row a class: a class that is in no such row has one document, linked with nothing.
-    named = classes.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("label", "node").alias("least"))
+    named = classes.select("cls", "node", "copies").join(components(ties), "node", "left").select("cls", "copies", F.coalesce("label", "node").alias("least"))
+    if counted:
+        named = named.join(counts, "cls", "left").select("cls", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     rows = found.select("doc_id", "n", "cls").join(named, "cls", "left")
     least = F.when(F.col("least") < _UNNAMED, F.col("least")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"), *([F.coalesce("links", F.lit(0)).alias("n_links")] if counted else []))
+    return out
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id; rows of one doc_id stay or go together. Null ids stay."""
-    return without(docs, join(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id"), "doc_id")
+    return without(docs, join(docs.select("doc_id", "text"), counted=False).where("doc_id <> component_id").select("doc_id"), "doc_id")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,9 +77,9 @@ def test_url_filters(spark):
 
 
 def test_jaccard_join(spark, docs):
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.join(docs).collect()]
     rows = rows_of(docs)
-    sets = []
+    sets, links = [], collections.Counter()
     for _, t in rows:
         w = words(t)
         sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
@@ -95,16 +95,17 @@ def test_jaccard_join(spark, docs):
             if sets[a] and sets[b]:
                 c = len(sets[a] & sets[b])
                 if 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c):
+                    links.update((a, b))
                     root[max(find(a), find(b))] = min(find(a), find(b))
     least = {}
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[find(k)] = min(i, least.get(find(k), i))
-    same(got, [(i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(rows)])
+    same(got, [(i, len(sets[k]), least.get(find(k)) if sets[k] else i, links[k]) for k, (i, _) in enumerate(rows)])
     assert jaccard_join.join(docs.limit(0)).count() == 0
     stay = jaccard_join.kept(docs)
     assert stay.columns == docs.columns
-    assert {r["doc_id"] for r in stay.select("doc_id").collect()} == {i for i, _, c in got if i is None or i == c}
+    assert {r["doc_id"] for r in stay.select("doc_id").collect()} == {i for i, _, c, _ in got if i is None or i == c}
 
 
 @pytest.mark.parametrize("block", [4, 1024])
@@ -130,9 +131,25 @@ def test_jaccard_join_in_blocks(spark, monkeypatch, block):
     while any(label[a] != label[b] for a, b in links):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
-    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert len(set(label.values())) < len(rows) // 2
-    same([(r["doc_id"], r["component_id"]) for r in got], label.items())
+    degree = collections.Counter(x for pair in links for x in pair)
+    same([(r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_join.join(docs).collect()], [(i, c, degree[i]) for i, c in label.items()])
+    same([(r["doc_id"], r["component_id"]) for r in jaccard_join.join(docs, counted=False).collect()], label.items())
+
+
+def test_components(spark):
+    from cinderflow.llm.components import components
+
+    draw = random.Random(4)
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)] + [(5000, 5000 + k) for k in range(1, 60)] + [(7, 7), (1, 2), (1, 2), (None, 3), (4, None)]
+    label = {x: x for a, b in links if a is not None and b is not None and a != b for x in (a, b)}
+    while any(label[a] != label[b] for a, b in links if a in label and b in label):
+        for a, b in links:
+            if a in label and b in label:
+                label[a] = label[b] = min(label[a], label[b])
+    same(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()), label.items())
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
 def test_mixing(spark, docs):
