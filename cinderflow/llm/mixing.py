@@ -4,10 +4,12 @@
    are packed into blocks of BLOCK words; only the last block of a source may be shorter.
 2. A source's target gives the words to take: whole passes over all its blocks, then a part of one
    more pass. Each word to take lies in a slot; a slot is one block.
-3. Every slot falls to an output shard by its own draw, so the slot counts of the shards are
-   multinomial for each source, given that source's total: totals meet the targets within a block.
+3. Output shards. For each source the number of its slots in every shard is drawn: one draw a slot over the
+   shards, so the counts of a shard's sources are multinomial given the sources' totals, which meet the targets within a
+   block. Slots are numbered shard by shard from these counts.
 4. In each pass a keyed permutation of the source's block indices (Feistel rounds with cycle walking)
-   maps the slot to a block, and slots are joined to the blocks' documents by (source, block).
+   maps the slot to a block, and slots are joined to the blocks' documents by (source, block). So each shard takes a
+   pseudorandom set of each source's blocks. A slot's place in its shard is a draw as well; write() orders by it.
 
 All is DataFrame functions. Offsets come from two-level prefix sums over hashed buckets, so no source,
 however large, is ordered in one task.
@@ -27,7 +29,7 @@ from cinderflow.storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block; slots in an output shard on average; hashed buckets of a source's documents.
-BLOCK, SHARD_SLOTS, BUCKETS = 64, 4096, 1024
+BLOCK, SHARD_SLOTS, BUCKETS = 64, 65_536, 1024
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_TIMES = 3
 SEED = 20240229
@@ -100,23 +102,40 @@ def permuted(slots: DataFrame) -> DataFrame:
     return grid.withColumn("cell", cell(F.col("k"))).withColumn("block", F.when(F.col("cell") < F.col("blocks"), F.col("cell")).otherwise(walk)).drop("a", "b", "cell")
 
 
-def drawn(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """nr, turn (pass over the source), k, shard, block, upto (words taken of the block, from its start)."""
+def planned(sources: DataFrame, block: int = BLOCK, shard_slots: int | None = None) -> DataFrame:
+    """nr, source_size, blocks, whole (passes over all blocks), rest (words of one more), slots, shards (of all sources together)."""
     q, size = F.round("target").cast("long"), F.col("source_size")
-    plan = (
+    return (
         sources.where("source_size > 0 and target >= 0.5")
         .select("nr", size, F.ceil(size / block).cast("long").alias("blocks"), F.floor(q / size).cast("long").alias("whole"), F.pmod(q, size).alias("rest"))
-        .withColumn("slots", F.col("whole") * F.col("blocks") + F.ceil(F.col("rest") / block).cast("long"))
-        .withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("slots") / shard_slots)))
-    )
+        .withColumn("slots", F.col("whole") * F.col("blocks") + F.ceil(F.col("rest") / block).cast("long")).where("slots > 0")
+        .withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(0))) / (shard_slots or SHARD_SLOTS))).cast("long"))
+    )
+
+
+def shard_counts(plan: DataFrame) -> DataFrame:
+    """plan with shard, count (slots of the source in the shard) and first (slots of the source in earlier shards), for each source and shard that has any.
+
+    A shard is drawn for every slot and counted before the shuffle: what is shuffled and ordered is a row a source and shard.
+    """
     # Two steps, so that no array holds more than 65,536 slots and a hot source spreads over the tasks.
-    chunks = plan.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / 65536).cast("long"))).alias("chunk")).repartition("nr", "chunk")
+    chunks = plan.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / 65536).cast("long"))).alias("chunk")).repartition("nr", "chunk")
     first = F.col("chunk") * 65536
     slots = chunks.select("*", F.explode(F.sequence(first, F.least(first + 65535, F.col("slots") - 1))).alias("slot"))
+    shard = F.pmod(F.xxhash64("nr", "slot", F.lit(SEED + 1)), F.col("shards"))
+    counts = slots.groupBy(*plan.columns, shard.alias("shard")).agg(F.count(F.lit(1)).alias("count"))
+    earlier = Window.partitionBy("nr").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("first", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+
+
+def drawn(sources: DataFrame, block: int = BLOCK, shard_slots: int | None = None) -> DataFrame:
+    """nr, turn (pass over the source), k, shard, place (its order there), block, upto (words taken of the block, from its start)."""
+    filled = shard_counts(planned(sources, block, shard_slots)).repartition("nr", "shard")
+    slots = filled.select("*", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("slot"))
     told = slots.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("k", F.pmod("slot", F.col("blocks"))).withColumn("key", F.xxhash64("nr", "turn", F.lit(SEED)))
     upto = F.when(F.col("turn") < F.col("whole"), F.lit(block)).otherwise(F.least(F.lit(block), F.col("rest") - F.col("k") * block))
-    shard = F.pmod(F.xxhash64("nr", "slot", F.lit(SEED + 1)), F.col("shards"))
-    return permuted(told).select("nr", "turn", "k", shard.alias("shard"), "block", upto.cast("long").alias("upto"))
+    place = F.xxhash64("nr", "slot", F.lit(SEED + 2))
+    return permuted(told).select("nr", "turn", "k", "shard", place.alias("place"), "block", upto.cast("long").alias("upto"))
 
 
 def pieces(documents: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -134,31 +153,29 @@ def pieces(documents: DataFrame, sources: DataFrame, block: int = BLOCK) -> Data
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row for each document."""
+    """doc_id, size, source_size, target, taken, shards (output shards that take words of it): one row for each document."""
     sizes = written(sized(docs), "mix-sizes")
     sources = targets(sizes)
     found = pieces(placed(sizes, sources), sources)
     key = ["doc_id", "print", "nr", "start", "size", "source_size", "target"]
     taken = F.coalesce(F.sum(F.col("high") - F.col("low")), F.lit(0)).cast("long")
-    return found.groupBy(*key).agg(taken.alias("taken"), F.count(F.when(F.col("size") == 0, 1)).alias("empties")).select(
-        "doc_id", "size", "source_size", "target", "taken", F.explode(F.array_repeat(F.lit(0), F.greatest(F.lit(1), F.col("empties")).cast("int"))).alias("_")
+    used = F.size(F.collect_set(F.when(F.col("high") > F.col("low"), F.col("shard")))).cast("long")
+    return found.groupBy(*key).agg(taken.alias("taken"), used.alias("shards"), F.count(F.when(F.col("size") == 0, 1)).alias("empties")).select(
+        "doc_id", "size", "source_size", "target", "taken", "shards", F.explode(F.array_repeat(F.lit(0), F.greatest(F.lit(1), F.col("empties")).cast("int"))).alias("_")
     ).drop("_")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row for each document and pass that takes words of it, with those words as its text.
-
-    A pass that takes a whole document leaves its text untouched.
-    """
+def _mixed(docs: DataFrame) -> DataFrame:
+    """docs as the mix takes them, with __at: shard and place of the first slot that takes words of the document in the pass."""
     sizes = written(sized(docs), "mix-sizes")
     sources = targets(sizes)
     took = pieces(placed(sizes, sources), sources).where("high > low")
     rows = took.groupBy("doc_id", "print", "nr", "start", "size", "turn").agg(
-        F.sum(F.col("high") - F.col("low")).alias("n"), F.sort_array(F.collect_list(F.struct("low", "high"))).alias("ranges")
-    ).select("doc_id", "print", F.when(F.col("n") < F.col("size"), F.col("ranges")).alias("__ranges"))
+        F.sum(F.col("high") - F.col("low")).alias("n"), F.sort_array(F.collect_list(F.struct("low", "high"))).alias("ranges"), F.min(F.struct("low", "shard", "place")).alias("at")
+    ).select("doc_id", "print", F.when(F.col("n") < F.col("size"), F.col("ranges")).alias("__ranges"), F.struct("at.shard", "at.place").alias("__at"))
     # Plain keys, with the null ids in the print, let one exchange of the texts serve both the repeats and the join.
     key, mark = F.coalesce(F.col("doc_id"), F.lit(0)), F.col("doc_id").isNull()
-    rows = rows.select(key.alias("__id"), F.xxhash64("print", mark).alias("__print"), "__ranges")
+    rows = rows.select(key.alias("__id"), F.xxhash64("print", mark).alias("__print"), "__ranges", "__at")
     texts = docs.withColumn("__id", key).withColumn("__print", F.xxhash64(F.xxhash64("text"), mark))
     # Rows equal in doc_id and text are one here; the rows of the plan bring each back.
     texts = texts.dropDuplicates(["__id", "__print"])
@@ -168,10 +185,24 @@ def mixed(docs: DataFrame) -> DataFrame:
     slices = F.flatten(F.transform(F.array(words), cut))
     text = F.when(F.col("__ranges").isNull(), F.col("text")).otherwise(F.array_join(slices, " "))
     met = texts.join(rows, ["__id", "__print"])
-    out = met.select(*[text.alias(c) if c == "text" else texts[c] for c in docs.columns])
+    out = met.select(*[text.alias(c) if c == "text" else texts[c] for c in docs.columns], "__at")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs as the mix takes them: a row for each document and pass that takes words of it, with those words as its text.
+
+    A pass that takes a whole document leaves its text untouched.
+    """
+    return _mixed(docs).drop("__at")
+
+
+def write(docs: DataFrame, path: str) -> None:
+    """Writes mixed(docs) as Parquet, a folder ``shard=N`` for each output shard, rows by their place in it."""
+    rows = _mixed(docs).select(*docs.columns, F.col("__at.shard").alias("shard"), F.col("__at.place").alias("__place"))
+    rows.repartition("shard").sortWithinPartitions("shard", "__place").drop("__place").write.partitionBy("shard").parquet(path)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -195,6 +195,39 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_shards_are_drawn(spark, docs, tmp_path, monkeypatch):
+    """Counts of a shard's sources are draws that add up to each source's slots, slots are taken shard by shard, and the plan of mix() has them."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 40)
+    sources = spark.createDataFrame([(0, 64 * 1000, 64.0 * 900), (1, 64 * 50, 64.0 * 150), (2, 10, 30.0), (3, 0, 0.0), (4, 6400, 0.2)], "nr int, source_size long, target double")
+    plan = mixing.planned(sources, shard_slots=70)
+    shards = plan.first()["shards"]
+    slots = {r["nr"]: r["slots"] for r in plan.collect()}
+    assert slots == {0: 900, 1: 150, 2: 3} and shards == math.ceil(sum(slots.values()) / 70)
+    counts = collections.defaultdict(dict)
+    for r in mixing.shard_counts(plan).collect():
+        counts[r["nr"]][r["shard"]] = (r["count"], r["first"])
+    for nr, by in counts.items():
+        at = 0
+        for shard in sorted(by):
+            assert by[shard][1] == at and 0 <= shard < shards
+            at += by[shard][0]
+        assert at == slots[nr]
+    mean = 900 / shards
+    chi = sum((counts[0].get(k, (0, 0))[0] - mean) ** 2 / mean for k in range(shards))
+    assert 2 < chi < 45 and len({c for c, _ in counts[0].values()}) > 3  # drawn, not dealt evenly
+    got = mixing.drawn(sources, shard_slots=70).collect()
+    assert collections.Counter((r["nr"], r["shard"]) for r in got) == {(nr, k): c for nr, by in counts.items() for k, (c, _) in by.items()}
+    assert collections.Counter((r["nr"], r["turn"], r["block"]) for r in got if r["nr"] == 1) == {(1, t, b): 1 for t in range(3) for b in range(50)}
+    some = mixing.mix(docs)
+    assert "first" in some._jdf.queryExecution().optimizedPlan().toString()
+    found = some.collect()
+    assert max(r["shards"] for r in found) > 1 and all((r["shards"] > 0) == (r["taken"] > 0) for r in found)
+    mixing.write(docs.select("doc_id", "text", "source"), f"file://{tmp_path}/mix")
+    back = spark.read.parquet(f"file://{tmp_path}/mix")
+    same([(r["doc_id"], r["text"]) for r in back.collect()], [(r["doc_id"], r["text"]) for r in mixing.mixed(docs).collect()])
+    assert back.select("shard").distinct().count() > 1
+
+
 def test_permutations_are_bijections(spark):
     sizes = [1, 2, 3, 5, 7, 16, 17, 100, 257, 1000]
     slots = spark.createDataFrame([(k, n, 99 + n) for n in sizes for k in range(n)], "k long, blocks long, key long")
