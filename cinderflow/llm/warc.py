@@ -6,11 +6,11 @@ payloads of LEAST_PAYLOAD bytes or more, the one with the smallest page_id is a
 that refer to it.
 
 Reading: every archive is parsed by the lengths its headers give; digests of payloads are computed anew and
-held against the headers. Its captures, sorted by URL key, time and page, are one run.
+held against the headers. Its captures, sorted by URL key, time and page, are one run; the runs are written, as an archive's index is.
 
-Merge: key ranges are cut at quantiles of a sample of at most SAMPLE keys (a key is URL key, time and page, so even
-a URL with a third of all captures falls into many ranges). Each run deals its slices to the ranges; in each
-range a loser tree merges the slices of all runs. Ascending range and place is then the order of
+Merge: the runs' captures are dealt to key ranges (URL key, time, page, then run and place in it, so even one URL or repeated
+captures with a third of all rows fall into many ranges); Spark samples the written runs for the bounds. The number of ranges
+follows that of the captures, so a range's share doesn't. In each range a loser tree merges the slices of all runs. Ascending range and place is then the order of
 the whole history.
 
 Edge cases
@@ -25,17 +25,16 @@ Edge cases
 import gzip
 import hashlib
 import io
-from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderflow.storage import fresh_path
+from cinderflow.storage import fresh_path, written
 
 LEAST_PAYLOAD, RECORDS_PER_FILE = 100, 4096
-#: Keys sampled for the ranges' bounds; pages of a range on average, and the most ranges.
-SAMPLE, RANGE_PAGES, MOST_RANGES = 20_000, 4096, 2000
+#: Captures of a range on average, and of a batch given back.
+RANGE_PAGES, BATCH = 4096, 1000
 _CAPTURE = "url_key string, time string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _NAMES = [x.split()[0] for x in _CAPTURE.split(", ")]
 
@@ -155,53 +154,56 @@ class LoserTree:
             self.loser[0] = winner
 
 
-def _dealt(bounds: list[tuple]):
-    """Each archive to a sorted run, dealt to the key ranges."""
+_KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
-    def run(batches):
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                found = captures(content.as_buffer().to_pybytes())
-                if found:
-                    columns = [pa.array([bisect_left(bounds, _order(r)) for r in found], pa.int32()), pa.array([path] * len(found)), pa.array(range(len(found)), pa.int32())]
-                    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], ["range", "run", "ordinal", *_NAMES])
 
-    return run
+def _batches(names: list[str], lead: list[tuple[str, pa.Array]], rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)]
+    return pa.RecordBatch.from_arrays([*(x for _, x in lead), *columns], [*(n for n, _ in lead), *names])
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    """A range's slices of runs, merged; place is the order in the range."""
-    table = table.sort_by([("run", "ascending"), ("ordinal", "ascending")])
-    rows = list(zip(*(table[n].to_pylist() for n in _NAMES), strict=True))
-    runs: dict[str, list] = {}
-    for name, row in zip(table["run"].to_pylist(), rows, strict=True):
-        runs.setdefault(name, []).append(row)
-    out = list(LoserTree(list(runs.values())))
-    columns = {n: pa.array(c, table.schema.field(n).type) for n, c in zip(_NAMES, zip(*out, strict=True), strict=True)}
-    return pa.table({"range": table["range"], "place": pa.array(range(len(out)), pa.int64())} | columns)
+def _runs(batches):
+    """Each archive to a sorted run."""
+    for b in batches:
+        for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+            found = captures(content.as_buffer().to_pybytes())
+            if found:
+                yield _batches(_NAMES, [("run", pa.array([path] * len(found))), ("ordinal", pa.array(range(len(found)), pa.int64()))], found)
+
 
+def _merged(batches):
+    """A range's slices of runs, which come run by run, merged; place is the order in the range, the range the task's partition."""
+    from pyspark import TaskContext
 
-def history(spark: SparkSession, path: str, pages: int, sample: list[tuple]) -> DataFrame:
+    runs: dict[str, list] = {}
+    for b in batches:
+        for name, *row in zip(*(b.column(n).to_pylist() for n in ("run", *_NAMES)), strict=True):
+            runs.setdefault(name, []).append(tuple(row))
+    number, place, held = TaskContext.get().partitionId(), 0, []
+    lead = lambda: [("range", pa.array([number] * len(held), pa.int32())), ("place", pa.array(range(place, place + len(held)), pa.int64()))]
+    for row in LoserTree(list(runs.values())):
+        held.append(row)
+        if len(held) == BATCH:
+            yield _batches(_NAMES, lead(), held)
+            place, held = place + len(held), []
+    if held:
+        yield _batches(_NAMES, lead(), held)
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
     """range, place and the captures of all archives below path; ascending (range, place) is their global order."""
-    ranges = max(1, min(MOST_RANGES, pages // RANGE_PAGES, len(sample)))
-    sample = sorted(sample)
-    bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)})
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    dealt = archives.mapInArrow(_dealt(bounds), f"range int, run string, ordinal int, {_CAPTURE}")
-    return dealt.groupBy("range").applyInArrow(_merged, f"range int, place long, {_CAPTURE}")
+    runs = written(archives.mapInArrow(_runs, f"run string, ordinal long, {_CAPTURE}"), "warc-runs")
+    ranges = max(1, -(-runs.count() // RANGE_PAGES))
+    dealt = runs.repartitionByRange(ranges, "url_key", "time", F.asc_nulls_last("page_id"), "run", "ordinal").sortWithinPartitions("run", "ordinal")
+    return dealt.select("run", *_NAMES).mapInArrow(_merged, f"range int, place long, {_CAPTURE}")
 
 
 def archive(pages: DataFrame) -> DataFrame:
     """Writes pages (page_id, url, html) as WARC archives, reads them back and merges their indexes."""
-    spark = pages.sparkSession
-    path = fresh_path(spark, "warc")
+    path = fresh_path(pages.sparkSession, "warc")
     write(pages, path)
-    keyed = pages.select("url", F.col("page_id").cast("long").alias("page_id"), _time(F.col("page_id").cast("long")).alias("time"))
-    # A bounded sample only places the ranges' bounds; every capture is indexed.
-    sample = keyed.orderBy(F.xxhash64("page_id", "url")).limit(SAMPLE).collect()
-    keys = [_order((url_key((r["url"] or "").replace("\r", "%0D").replace("\n", "%0A").strip()), r["time"], r["page_id"])) for r in sample]
-    return history(spark, path, pages.count(), keys)
+    return history(pages.sparkSession, path)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
