@@ -1,24 +1,30 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, per language and source.
 
-Each text becomes a vector of transformed statistics. For each (language, source) the location and
-scatter of the (n + d + 1) / 2 vectors that lie closest together are found by concentration steps
-from a start at the medians: distances under the present estimate, their quantile by group, moments
-of what lies below. So junk may hold nearly half of a group. Equal vectors count once in the fit: copies, however
-many, weigh no more than one text. A last step takes the moments of all vectors within the quantile of a tail of
-REWEIGHTED. All of a step is grouped aggregation with partial sums, so a group of any size is
-never gathered; only one row a group is inverted. A vector is rejected if its Mahalanobis distance
-exceeds the chi-square quantile of a tail of TAIL.
+Each text becomes a vector of transformed statistics. For each (language, source), and for the languages and the whole corpus
+as their priors, the h = (n + d + 1) / 2 vectors whose scatter has the smallest determinant are sought:
+
+1. Three starts: medians and median deviations; covariance of spatial signs about them; correlations of squashed (tanh) values.
+2. Concentration steps from each: distances under the present estimate, their quantile by group, moments of what lies
+   within, until no log determinant of any group and start moves by more than SETTLED (MOST_STEPS steps at most). Steps never raise
+   a determinant, and the start that ends lowest is taken.
+3. A last step takes the moments of all vectors within the quantile of a tail of REWEIGHTED.
+4. A vector is rejected if its Mahalanobis distance exceeds the chi-square quantile of a tail of TAIL.
+
+So junk may hold nearly half of a group. Equal vectors of a group count once: copies, however many, weigh no more than one text.
+All of a step is grouped aggregation with partial sums, so a group of any size is never gathered; only one row a
+group and start is inverted.
+
+A group of n vectors has its own estimate with weight n / (n + PRIOR) and its language's with the rest; a language in turn leans on the
+corpus so. Every group is judged by its own estimate, of whatever size it is: there is no size at which that changes.
 
 Statistics that are constant in most clean texts (no symbols at all, say) would make the scatter singular:
 the squares of FLOOR are added to its diagonal, so no distance counts differences below measure.
 
-(language, source) groups of fewer than LEAST documents are pooled by language, and what is then still
-below LEAST is pooled once more; a pool of fewer than ENOUGH is not judged.
-
 Edge cases
 * null or empty text: all counts 0, fails the base rule (fewer than 20 words), never kept.
 * null language or source: a value of its own. No rows: empty result. Repeated rows: judged alike, each returned.
-* all vectors equal: distance 0, kept. Extra columns, whatever their names, are left out.
+* a group of one vector, or of equal ones: judged by its language's estimate, moved towards it. All vectors equal: distance 0, kept.
+* ties of determinants: the first of the starts. Extra columns, whatever their names, are left out.
 """
 
 import math
@@ -32,9 +38,10 @@ from pyspark.sql import functions as F
 from cinderflow.llm import textstats
 from cinderflow.storage import written
 
-STEPS, REWEIGHTED, TAIL, LEAST, ENOUGH = 3, 0.025, 1e-3, 200, 20
-#: Up to so many pools their parameters (at most 45 numbers each) are broadcast; parts of a pool beyond that.
-BROADCAST_POOLS, SALTS = 10_000, 32
+REWEIGHTED, TAIL, PRIOR = 0.025, 1e-3, 50
+MOST_STEPS, SETTLED, STARTS = 8, 1e-3, 3
+#: Up to so many groups their parameters (at most 3 x 80 numbers each) are broadcast; parts of a group beyond that.
+BROADCAST_POOLS, SALTS = 4_000, 32
 #: Least standard deviation of each statistic.
 FLOOR = [0.08, 0.08, 0.08, 0.08, 0.08, 0.08, 0.08, 0.12]
 D = len(FLOOR)
@@ -57,8 +64,8 @@ def consistency(share: float, k: int) -> float:
     return share / chi_square_cdf(chi_square_quantile(share, k), k + 2) if share < 1 else 1.0
 
 
-#: Shares of vectors held: a pool of n takes the one nearest to (n + d + 1) / 2n, which is a half in large ones.
-HELD = [0.5 + 0.025 * i for i in range(11)]
+#: Shares of vectors held: a group of n takes the one next to (n + d + 1) / 2n, a half in large ones, all in the smallest.
+HELD = [0.5 + 0.025 * i for i in range(21)]
 
 
 def vectors(counts: np.ndarray) -> np.ndarray:
@@ -91,16 +98,9 @@ def measured(docs: DataFrame) -> DataFrame:
     return kept.mapInArrow(_measured, "doc_id long, lang string, source string, " + ", ".join([*(f"{n} long" for n in BASE), *(f"{v} double" for v in _V)]))
 
 
-def grouped(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """rows with g, the pool that each belongs to."""
-    sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.groupBy("lang").agg(F.sum(F.when(F.col("n") < least, F.col("n"))).alias("pool"))
-    a, b = sizes.alias("a"), small.alias("b")
-    pools = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang"))).select(
-        F.col("a.lang").alias("__lang"), F.col("a.source").alias("__source"),
-        F.when(F.col("a.n") >= least, F.to_json(F.struct(F.lit(2), "a.lang", "a.source"))).when(F.col("b.pool") >= least, F.to_json(F.struct(F.lit(1), "a.lang"))).otherwise(F.lit("all")).alias("g"),
-    )
-    return rows.join(pools, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))).drop("__lang", "__source")
+def groups():
+    """The group of a row and those it leans on: language and source, language, all."""
+    return [F.to_json(F.struct(F.lit(2), "lang", "source"), {"ignoreNullFields": "false"}), F.to_json(F.struct(F.lit(1), "lang"), {"ignoreNullFields": "false"}), F.lit("all")]
 
 
 def _distance():
@@ -109,75 +109,162 @@ def _distance():
     return sum((off[i] * off[j] * F.element_at("inv", k + 1) for k, (i, j) in enumerate(_PAIRS)), F.lit(0.0))
 
 
-def _inverted(batches):
-    """One row a group: count, share held, sums and sums of products to location and inverse scatter."""
-    floor = np.diag(np.square(FLOOR))
+def _matrix(upper) -> np.ndarray:
+    out = np.zeros((D, D))
+    for x, (i, j) in zip(upper, _PAIRS, strict=True):
+        out[i, j] = out[j, i] = x
+    return out
+
+
+def _parameters(names: list[str], keys: list[pa.Array], found: list[tuple[float, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """keys, n, mu, cov (upper triangle), inv (its inverse, off-diagonal doubled), logdet."""
+    inverses = [np.linalg.inv(c) for *_, c in found]
+    many = pa.list_(pa.float64())
+    return pa.RecordBatch.from_arrays(
+        [
+            *keys, pa.array([float(n) for n, *_ in found], pa.float64()), pa.array([mu.tolist() for _, mu, _ in found], many),
+            pa.array([[float(c[i, j]) for i, j in _PAIRS] for *_, c in found], many), pa.array([[float(v[i, j] * (1 if i == j else 2)) for i, j in _PAIRS] for v in inverses], many),
+            pa.array([float(np.linalg.slogdet(c)[1]) for *_, c in found], pa.float64()),
+        ],
+        [*names, "n", "mu", "cov", "inv", "logdet"],
+    )
+
+
+_SHAPE = "n double, mu array<double>, cov array<double>, inv array<double>, logdet double"
+_FLOOR = np.diag(np.square(FLOOR))
+
+
+def _estimated(batches):
+    """One row a group and start: vectors in the group, those held and their sums and sums of products, to location and scatter."""
     for b in batches:
-        g, n, share = b.column("g"), b.column("n").to_numpy(zero_copy_only=False), b.column("share").to_numpy(zero_copy_only=False)
-        s = np.stack([b.column(f"s{i}").to_numpy(zero_copy_only=False) for i in range(D)], 1)
-        q = np.stack([b.column(f"q{k}").to_numpy(zero_copy_only=False) for k in range(len(_PAIRS))], 1)
-        mus, invs = [], []
-        for c, held, s1, q1 in zip(n, share, s, q, strict=True):
-            mu = s1 / c
-            scatter = np.zeros((D, D))
-            for k, (i, j) in enumerate(_PAIRS):
-                scatter[i, j] = scatter[j, i] = q1[k] / c - mu[i] * mu[j]
-            inverse = np.linalg.inv(scatter * consistency(held, D) + floor)
-            mus.append(mu.tolist())
-            invs.append([float(inverse[i, j] * (1 if i == j else 2)) for i, j in _PAIRS])
-        yield pa.RecordBatch.from_arrays([g, pa.array(mus, pa.list_(pa.float64())), pa.array(invs, pa.list_(pa.float64()))], ["g", "mu", "inv"])
+        x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != "g"}
+        found = []
+        for r in range(b.num_rows):
+            mu = np.array([x[f"s{i}"][r] for i in range(D)]) / x["held"][r]
+            cov = _matrix([x[f"q{k}"][r] / x["held"][r] for k in range(len(_PAIRS))]) - np.outer(mu, mu)
+            found.append((x["whole"][r], mu, cov * consistency(x["share"][r], D) + _FLOOR))
+        yield _parameters(["g", "start"], [b.column("g"), b.column("start")], found)
 
 
-_SHAPE = "g string, mu array<double>, inv array<double>"
+def _started(batches):
+    """One row a group: medians, deviations, means of products of signs (a) and of squashed values (b), to the starts."""
+    for b in batches:
+        x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != "g"}
+        found, g, start = [], [], []
+        for r in range(b.num_rows):
+            mu, sd = (np.array([x[f"{k}_{v}"][r] for v in _V]) for k in "ms")
+            signs, squashed = (_matrix([x[f"{k}{i}"][r] for i in range(len(_PAIRS))]) for k in "ab")
+            size = np.sqrt(np.maximum(np.diag(squashed), 1e-9))
+            for k, shape in enumerate((np.eye(D), signs * D, squashed / np.outer(size, size))):
+                found.append((x["whole"][r], mu, shape * np.outer(sd, sd) + _FLOOR))
+                g.append(b.column("g")[r].as_py())
+                start.append(k)
+        yield _parameters(["g", "start"], [pa.array(g, pa.string()), pa.array(start, pa.int32())], found)
+
+
+def blend(own: tuple, prior: tuple, k: float = PRIOR) -> tuple:
+    """(n, mu, cov) of a group of n vectors leaning on a prior that counts as k."""
+    (n, m, c), (_, m0, c0) = own, prior
+    w = n / (n + k)
+    return n, w * m + (1 - w) * m0, w * c + (1 - w) * c0 + w * (1 - w) * np.outer(m - m0, m - m0)
+
+
+def _blended(batches):
+    for b in batches:
+        x = {c: b.column(c).to_pylist() for c in b.schema.names}
+        found = []
+        for r in range(b.num_rows):
+            level = [(x[f"n{i}"][r], np.array(x[f"mu{i}"][r]), _matrix(x[f"cov{i}"][r])) for i in range(3) if x[f"n{i}"][r] is not None]
+            while len(level) > 1:
+                level[-2:] = [blend(level[-2], level[-1])]
+            found.append(level[0])
+        yield _parameters(["g"], [b.column("g")], found)
+
 
+def leaning(found: DataFrame, tree: DataFrame) -> DataFrame:
+    """The parameters of every group, leaning on those above it. found: parameters by g; tree: g, up1 and up2 (the groups above, or null)."""
+    part = lambda i, key: found.select(F.col("g").alias(key), *[F.col(c).alias(f"{c}{i}") for c in ("n", "mu", "cov")])
+    rows = tree.join(part(0, "g"), "g").join(part(1, "up1"), "up1", "left").join(part(2, "up2"), "up2", "left")
+    return rows.select("g", *[f"{c}{i}" for i in range(3) for c in ("n", "mu", "cov")]).mapInArrow(_blended, "g string, " + _SHAPE)
 
-def _with(rows: DataFrame, params: DataFrame, few: bool, how: str = "inner") -> DataFrame:
-    """rows with the one row that params has for their pool.
 
-    A pool may hold most rows, so they are never dealt by pool: params is broadcast where there are few pools,
-    and repeated for SALTS parts of each pool where there are many.
+def _with(rows: DataFrame, params: DataFrame, few: bool, keys=("g",)) -> DataFrame:
+    """rows with the rows that params has for their group.
+
+    A group may hold most rows, so they are never dealt by group: params is broadcast where there are few groups,
+    and repeated for SALTS parts of each where there are many.
     """
     if few:
-        return rows.join(F.broadcast(params), "g", how)
-    salted = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", *_V), F.lit(SALTS)).cast("int"))
-    return salted.join(params.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "_part"], how).drop("_part")
-
-
-def estimates(rows: DataFrame, few: bool, steps: int = STEPS, enough: int = ENOUGH) -> DataFrame:
-    """g, mu, inv of every pool that is large enough."""
-    rows = written(rows.groupBy("g", *_V).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "mcd-vectors")
-    centre = rows.groupBy("g").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("whole"), *[F.percentile_approx(v, 0.5).alias(f"m_{v}") for v in _V]).where(F.col("n") >= enough)
-    sizes = written(centre.select("g", "whole"), "mcd-sizes")
-    spread = _with(rows, centre, few).groupBy("g").agg(
-        *[F.first(f"m_{v}").alias(f"m_{v}") for v in _V], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5).alias(f"d_{v}") for v in _V]
-    )
+        return rows.join(F.broadcast(params), list(keys))
+    salted = rows.withColumn("_part", F.pmod(F.xxhash64(*_V), F.lit(SALTS)).cast("int"))
+    return salted.join(params.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_part"]).drop("_part")
+
+
+def _sums(values: list, prefix: str):
+    return [F.sum(values[i] * values[j]).alias(f"{prefix}{k}") for k, (i, j) in enumerate(_PAIRS)]
+
+
+def starts(vectors: DataFrame, few: bool) -> DataFrame:
+    """g, start and parameters of the starts of each group."""
+    centre = written(vectors.groupBy("g").agg(F.count(F.lit(1)).alias("whole"), *[F.percentile_approx(v, 0.5).alias(f"m_{v}") for v in _V]), "mcd-centre")
+    apart = _with(vectors, centre, few).groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5).alias(f"d_{v}") for v in _V])
     # A median deviation times 1.4826 is a normal distribution's standard deviation.
-    inverse = {i: 1 / (F.pow(F.col(f"d_{v}") * 1.4826, 2) + F.lit(FLOOR[i] ** 2)) for i, v in enumerate(_V)}
-    start = spread.select("g", F.array(*[f"m_{v}" for v in _V]).alias("mu"), F.array(*[inverse[i] if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("inv"))
-    now = written(start, "mcd")
-    share = F.least(F.greatest(F.round(((F.col("whole") + D + 1) / (2 * F.col("whole")) - 0.5) / 0.025).cast("int"), F.lit(0)), F.lit(len(HELD) - 1)) + 1
-    # The last step holds all but the tail of what is not junk, however much junk there is.
-    for step in range(steps + 1):
-        far = _with(rows, now, few).withColumn("d2", _distance())
-        if step < steps:
-            inner = far.groupBy("g").agg(F.percentile_approx("d2", HELD).alias("upto")).join(sizes, "g").select("g", "whole", F.element_at("upto", share).alias("upto"))
-        else:
-            inner = sizes.withColumn("upto", F.lit(chi_square_quantile(1 - REWEIGHTED, D)))
-        held = _with(far, inner, few).where("d2 <= upto")
-        sums = held.groupBy("g").agg(
-            F.count(F.lit(1)).cast("double").alias("n"), (F.count(F.lit(1)) / F.first("whole") if step < steps else F.lit(1 - REWEIGHTED)).alias("share"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(_V)], *[F.sum(F.col(_V[i]) * F.col(_V[j])).alias(f"q{k}") for k, (i, j) in enumerate(_PAIRS)]
-        )
-        now = written(sums.mapInArrow(_inverted, _SHAPE), "mcd")
-    return now
-
-
-def judge(docs: DataFrame, least: int = LEAST, enough: int = ENOUGH) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, and distance (squared; null where a pool is too small to judge)."""
-    rows = written(grouped(written(measured(docs), "stats"), least), "stats-pools")
-    few = rows.select("g").distinct().limit(BROADCAST_POOLS + 1).count() <= BROADCAST_POOLS
-    found = _with(rows, estimates(rows, few, enough=enough), few, "left").withColumn("distance", F.when(F.col("inv").isNotNull(), _distance()))
+    scale = apart.select("g", *[F.sqrt(F.pow(F.col(f"d_{v}") * 1.4826, 2) + FLOOR[i] ** 2).alias(f"s_{v}") for i, v in enumerate(_V)])
+    told = written(centre.join(scale, "g"), "mcd-scale")
+    far = _with(vectors, told, few).withColumns({f"z{i}": (F.col(v) - F.col(f"m_{v}")) / F.col(f"s_{v}") for i, v in enumerate(_V)})
+    far = far.withColumn("norm", F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)), F.lit(0.0))), F.lit(1e-9)))
+    far = far.withColumns({f"u{i}": F.col(f"z{i}") / F.col("norm") for i in range(D)} | {f"t{i}": F.tanh(f"z{i}") for i in range(D)})
+    sums = far.groupBy("g").agg(*_sums([F.col(f"u{i}") for i in range(D)], "a"), *_sums([F.col(f"t{i}") for i in range(D)], "b")).join(told, "g")
+    means = [(F.col(f"{k}{i}") / F.col("whole")).alias(f"{k}{i}") for k in "ab" for i in range(len(_PAIRS))]
+    return sums.select("g", "whole", *[f"{k}_{v}" for k in "ms" for v in _V], *means).mapInArrow(_started, "g string, start int, " + _SHAPE)
+
+
+def _moments(held: DataFrame, share):
+    """Parameters of what is held, by group and start."""
+    sums = held.groupBy("g", "start").agg(F.first("n").alias("whole"), F.count(F.lit(1)).cast("double").alias("held"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(_V)], *_sums([F.col(v) for v in _V], "q"))
+    return written(sums.withColumn("share", share).mapInArrow(_estimated, "g string, start int, " + _SHAPE), "mcd")
+
+
+def determinants(vectors: DataFrame, few: bool, steps: int = MOST_STEPS) -> DataFrame:
+    """g and the parameters of the held half with the least determinant of each group of vectors (g, v0 ..)."""
+    now = written(starts(vectors, few), "mcd")
+    share = F.least(F.greatest(F.ceil(((F.col("n") + D + 1) / (2 * F.col("n")) - 0.5) / 0.025).cast("int"), F.lit(0)), F.lit(len(HELD) - 1)) + 1
+    for step in range(steps):
+        far = _with(vectors, now.select("g", "start", "n", "mu", "inv"), few).withColumn("d2", _distance())
+        upto = far.groupBy("g", "start").agg(F.percentile_approx("d2", HELD).alias("upto"), F.first("n").alias("n")).select("g", "start", F.element_at("upto", share).alias("upto"))
+        new = _moments(_with(far, written(upto, "mcd-upto"), few, ("g", "start")).where("d2 <= upto"), F.least(F.lit(1.0), F.col("held") / F.col("whole")))
+        moved = new.select("g", "start", F.col("logdet").alias("to")).join(now.select("g", "start", "logdet"), ["g", "start"]).agg(F.max(F.abs(F.col("to") - F.col("logdet")))).first()[0]
+        now = new
+        if step and (moved is None or moved <= SETTLED):
+            break
+    return now.groupBy("g").agg(F.min_by(F.struct("n", "mu", "cov", "inv", "logdet"), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
+
+
+def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The final parameters of every (language, source) of rows, by g; and whether they are few enough to broadcast."""
+    own, language, every = groups()
+    levels = rows.select(F.explode(F.array(own, language, every)).alias("g"), *_V)
+    vectors = written(levels.groupBy("g", *_V).agg(F.count(F.lit(1)).alias("copies")).drop("copies"), "mcd-vectors")
+    tree = rows.select(own.alias("g"), language.alias("up1"), every.alias("up2")).distinct()
+    above = tree.select(F.col("up1").alias("g"), F.col("up2").alias("up1"), F.lit(None).cast("string").alias("up2")).distinct()
+    top = tree.select(F.col("up2").alias("g"), F.lit(None).cast("string").alias("up1"), F.lit(None).cast("string").alias("up2")).distinct()
+    tree = written(tree.unionByName(above).unionByName(top), "mcd-tree")
+    few = tree.limit(BROADCAST_POOLS + 1).count() <= BROADCAST_POOLS
+    raw = written(leaning(determinants(vectors, few), tree), "mcd-raw")
+    near = _with(vectors, raw.select("g", "n", "mu", "inv"), few).withColumn("d2", _distance()).where(F.col("d2") <= chi_square_quantile(1 - REWEIGHTED, D))
+    # A group none of whose vectors is within keeps its raw estimate.
+    last = _moments(near.withColumn("start", F.lit(0)), F.lit(1 - REWEIGHTED)).drop("start")
+    last = last.unionByName(raw.join(last.select("g"), "g", "left_anti").select(*last.columns))
+    return written(leaning(last, tree), "mcd-final"), few
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, and distance (squared)."""
+    rows = written(measured(docs), "stats")
+    params, few = estimates(rows)
+    found = _with(rows.withColumn("g", groups()[0]), params.select("g", "mu", "inv"), few).withColumn("distance", _distance())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    kept = ~failed & (F.col("distance").isNull() | (F.col("distance") <= chi_square_quantile(1 - TAIL, D)))
+    kept = ~failed & (F.col("distance") <= chi_square_quantile(1 - TAIL, D))
     return found.select("doc_id", *BASE, failed.alias("base_failed"), kept.alias("kept"), "distance")
 
 
