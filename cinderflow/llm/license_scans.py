@@ -1,116 +1,183 @@
-"""License scans: a positional index of rare licence words, joined to files, then key phrases.
+"""License scans: a positional index of rare licence words, files' words looked up in it, then key phrases.
 
-Template notices are cut into words; words that few templates hold are rare and make the index
-(word, template, place, weight), the weight being the word's IDF over the templates. A file's rare words
-meet the index by an equi-join; matches of one template at one offset (place in the file less place in
-the template) are the same words in the same relative positions, so their weights are summed by
-(file, template, offset). The best offset's share of the template's weight is its score. A template
-counts when its mandatory key phrase stands in the file and the share reaches LEAST_SHARE; it then adds its
-label. The base labels come from the places of the base phrases alone and always stay.
+The templates are the public wordings of common licences and their notices.
 
-Everything is DataFrame functions; nothing wider than words of files that hold an anchor of a key phrase
-is exploded, and the sums are made within a file's own partition before they are shuffled.
+1. A file's words are cut once; of them only licence words (words of templates or phrases) go on, with their places.
+2. In how many files each licence word stands is counted over the whole corpus; its IDF follows. Each template is
+   indexed by its INDEXED highest-IDF words, with every place they have in it: (word, template, place, weight), the
+   weight being the IDF over the sum of all the template's indexed places.
+3. A file's indexed words meet the postings by an equi-join. Postings of one template agree if their offsets (place in the
+   file less place in the template) differ by less than SLACK: offsets are dealt to bins of SLACK, once from 0 and once from
+   SLACK / 2, so words put in or left out do no harm. The weights of the different places in a bin add up to its share.
+4. A template's best share of two places or more is its score in the file. Where it reaches LEAST_SHARE, the mandatory key
+   phrase must stand where that bin expects the template (MARGIN words more on both sides); then the template's label is added.
+
+The score is the best of all templates, whether verified or not. Base labels come from the places of the base phrases
+alone and always stay. Everything is DataFrame functions. Texts are read once; what is written for the second step holds licence words only.
 
 Edge cases
 * null or empty text: 0 words, no places, null first and last word, empty labels, score 0.
-* a word repeated very often: a row each for the index words only, summed before the shuffle.
-* repeated rows, null doc_ids: each row is scanned and returned by itself. Ties between templates: all that qualify give labels.
-* no rows: an empty result. Extra columns, whatever their names, are left out.
+* a word repeated very often: a row for each licence word, summed before the shuffle; a repeated place counts once a bin.
+* repeated rows, null doc_ids: each row is scanned and returned by itself. Ties between templates: all that qualify give
+  labels; between bins of one template: the one that begins first.
+* very long texts: any length that an executor holds as one array of words. No rows: an empty result.
+* extra columns, whatever their names, are left out.
 """
 
 import math
-from collections import Counter
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderflow.storage import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word of a text whose A-Z are lower-cased; and of a text as it is.
-WORD, RAW_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word of a text whose A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Label, mandatory key phrase and notice of each template.
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the
+Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the
+hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE. See the GNU {} for more details."""
+_CC = """This work is licensed under the Creative Commons {} 4.0 International License. To view a copy of this license, visit
+creativecommons.org or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."""
+#: Label, mandatory key phrase and wording of each template.
 TEMPLATES = [
-    ("gpl", "gnu general public license", "this work is licensed under the gnu general public license version"),
-    ("gpl", "gnu general public license", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("apache", "apache license", "licensed under the apache license version 2 0"),
-    ("mit", "mit license", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("cc-by-nc", "cc by nc", "licensed under cc by nc"),
-    ("cc-by-sa", "cc by sa", "licensed under cc by sa"),
-    ("cc-by", "creative commons attribution", "this work is licensed under a creative commons attribution international license"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license"),
-    ("isc", "permission to use copy modify", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("gpl", "gnu general public license", _GNU.format(*["General Public License"] * 2)),
+    ("lgpl", "lesser general public license", _GNU.format(*["Lesser General Public License"] * 2)),
+    ("agpl", "affero general public license", _GNU.format(*["Affero General Public License"] * 2)),
+    ("apache", "apache license", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+     License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+     writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express
+     or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("mit", "to any person obtaining a copy", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+     documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+     merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""),
+    ("bsd", "source and binary forms", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+     following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+     disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+     the documentation and/or other materials provided with the distribution."""),
+    ("isc", "with or without fee", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+     provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("mpl", "mozilla public license", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+     distributed with this file, You can obtain one at mozilla.org"""),
+    ("epl", "eclipse public license", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+     which is available at eclipse.org"""),
+    ("unlicense", "unencumbered software", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+     publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+     non-commercial, and by any means."""),
+    ("zlib", "redistribute it freely", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+     liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+     commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"""),
+    ("bsl", "person or organization obtaining", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+     and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the
+     Software, and to prepare derivative works of the Software"""),
+    ("cc0", "waived all copyright", """To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or
+     neighboring rights to this work."""),
+    ("cc-by", "commons attribution 4", _CC.format("Attribution")),
+    ("cc-by-sa", "attribution sharealike", _CC.format("Attribution-ShareAlike")),
+    ("cc-by-nc", "attribution noncommercial", _CC.format("Attribution-NonCommercial")),
+    ("cc-by-nd", "attribution noderivatives", _CC.format("Attribution-NoDerivatives")),
+    ("cc-by-sa", "cc by sa", "CC BY-SA"), ("cc-by-nc", "cc by nc", "CC BY-NC"), ("cc-by-nd", "cc by nd", "CC BY-ND"),
 ]
-#: One of these stands in every text that holds a base or key phrase.
-ANCHORS = ["license", "permission", "redistribution", "unencumbered", "creative"]
-#: Words in at most so many templates are rare; share of a template's weight that gives its label.
-RARE_IN, LEAST_SHARE = 3, 0.6
-
-
-def index_rows(templates=TEMPLATES, rare_in: int = RARE_IN) -> list[tuple[str, int, int, float]]:
-    """word, template, place, share of the template's weight: the highest-IDF words of each template."""
-    held = Counter(w for _, _, notice in templates for w in set(notice.split()))
-    rows = []
-    for t, (_, _, notice) in enumerate(templates):
-        words = notice.split()
-        weights = [math.log(1 + len(templates) / held[w]) if held[w] <= rare_in else 0.0 for w in words]
-        rows += [(w, t, i, x / sum(weights)) for i, (w, x) in enumerate(zip(words, weights, strict=True)) if x]
+#: Highest-IDF words a template is indexed by; letters of a licence word that is in no phrase; offsets that agree; words about
+#: a template in which its key phrase may stand; share of a template's weight that asks for its key phrase.
+INDEXED, LETTERS, SLACK, MARGIN, LEAST_SHARE = 16, 4, 8, 16, 0.5
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
+
+
+def vocabulary(templates=TEMPLATES) -> list[str]:
+    """All licence words: those of phrases, and those of wordings with LETTERS letters or more."""
+    phrases = {w for p in [*BASE, *(key for _, key, _ in templates)] for w in p.split()}
+    return sorted(phrases | {w for *_, text in templates for w in words_of(text) if len(w) >= LETTERS})
+
+
+def index_rows(held: dict[str, int], files: int, templates=TEMPLATES, indexed: int = INDEXED) -> list[tuple[str, int, int, float]]:
+    """word, template, place, weight of every template, given the number of files and in how many each word stands."""
+    known, rows = set(vocabulary(templates)), []
+    idf = lambda w: math.log(1 + (files + 1) / (held.get(w, 0) + 1))
+    for t, (*_, text) in enumerate(templates):
+        words = words_of(text)
+        best = sorted({w for w in words if w in known}, key=lambda w: (-idf(w), w))[:indexed]
+        total = sum(idf(w) for w in words if w in best)
+        rows += [(w, t, i, idf(w) / total) for i, w in enumerate(words) if w in best]
     return rows
 
 
-def _places(words, phrase: str):
-    """Word numbers at which the phrase begins."""
+def _places(met, phrase: str):
+    """Places in the text at which the phrase begins; met: all licence words (word, at) of the text, which a phrase's words are among."""
     parts = phrase.split()
-    at = F.sequence(F.lit(0), F.size(words) - len(parts))
-    there = lambda i: sum((F.when(F.get(words, i + k) == w, 0).otherwise(1) for k, w in enumerate(parts)), F.lit(0)) == 0
-    return F.when(F.size(words) >= len(parts), F.filter(at, there)).otherwise(F.array().cast("array<int>"))
+    same = lambda i, k, w: (F.get(met, i + k)["word"] == w) & (F.get(met, i + k)["at"] == F.get(met, i)["at"] + k)
+
+    def there(i):
+        out = same(i, 0, parts[0])
+        for k, w in enumerate(parts[1:], 1):
+            out = out & same(i, k, w)
+        return out
+
+    at = F.filter(F.sequence(F.lit(0), F.size(met) - len(parts)), there)
+    return F.when(F.size(met) >= len(parts), F.transform(at, lambda i: F.get(met, i)["at"])).otherwise(F.array().cast("array<int>"))
+
+
+def read(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """row, doc_id, n_words, met (licence words with their places), base (places by base phrase), keys (places by template's key phrase); written."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    cut = docs.select("doc_id", F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), 0).alias("words"))
+    known = vocabulary(templates)
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(known))
+    found = F.transform(at, lambda i: F.struct(F.get("words", i).alias("word"), i.alias("at")))
+    none = F.array().cast("array<struct<word:string,at:int>>")
+    rows = cut.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.size("words") > 0, found).otherwise(none).alias("met"))
+    met = F.col("met")
+    told = rows.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "met",
+        F.array(*[_places(met, p) for p in BASE]).alias("base"), F.array(*[_places(met, key) for _, key, _ in templates]).alias("keys"),
+    )
+    return written(told, "license-words")
+
+
+def index(found: DataFrame, templates=TEMPLATES) -> list[tuple[str, int, int, float]]:
+    """The positional index by IDF over all files: as many counts reach the driver as there are licence words."""
+    counts = found.select(F.explode(F.array_distinct("met.word")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return index_rows({r["word"]: r["n"] for r in counts.collect()}, found.count(), templates)
+
 
+def best_bins(found: DataFrame, rows: list[tuple[str, int, int, float]], slack: int = SLACK) -> DataFrame:
+    """row, template, share, low: for each file and template with two places or more at one offset, the best share and where its bin begins."""
+    # As many rows as the templates have indexed places: some hundreds, whatever the files.
+    postings = F.broadcast(found.sparkSession.createDataFrame(rows, "word string, template int, place int, weight double"))
+    half = slack // 2
+    hits = found.select("row", F.explode("met").alias("m")).select("row", F.col("m.word").alias("word"), F.col("m.at").alias("at"))
+    offset = F.col("at") - F.col("place")
+    low = lambda shift: F.floor((offset + shift) / slack) * slack - shift
+    met = hits.join(postings, "word").select("row", "template", "place", "weight", F.explode(F.array_distinct(F.array(low(0), low(half)))).alias("low"))
+    places = met.groupBy("row", "template", "low", "place").agg(F.first("weight").alias("weight"))
+    bins = places.groupBy("row", "template", "low").agg(F.sum("weight").alias("share"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    top = bins.groupBy("row", "template").agg(F.max(F.struct(F.round("share", 9).alias("share"), (-F.col("low")).alias("before"))).alias("b"))
+    return top.select("row", "template", F.col("b.share").alias("share"), (-F.col("b.before")).alias("low"))
 
-def scan(docs: DataFrame, templates=TEMPLATES, anchors=ANCHORS) -> DataFrame:
+
+def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    spark = docs.sparkSession
-    rows = index_rows(templates)
-    # As many rows as the templates have words: a few hundred, whatever the documents.
-    index = F.broadcast(spark.createDataFrame(rows, "word string, template int, place int, weight double"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lower(text)
-    anchored = F.lit(False)
-    for a in anchors:
-        anchored = anchored | low.contains(a)
-    anchored = anchored | (low.contains("cc") & text.rlike(r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"))
-    words = F.when(anchored, F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), 0)).otherwise(F.array().cast("array<string>"))
-    read = docs.select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), words.alias("words")
-    )
-    joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    found = read.select(
-        "doc_id", "row", "n_words", "words",
-        *[_places(F.col("words"), p).alias(f"p{i}") for i, p in enumerate(BASE)],
-        F.filter(F.array(*[F.when(joined.contains(f" {key} "), t) for t, (_, key, _) in enumerate(templates)]), lambda t: t.isNotNull()).alias("verified"),
-    )
-    places = F.concat(*[f"p{i}" for i in range(len(BASE))])
-    labels = F.filter(F.array(*[F.when(F.size(f"p{i}") > 0, label) for i, label in enumerate(BASE.values())]), lambda x: x.isNotNull())
-    rare = F.array(*map(F.lit, sorted({r[0] for r in rows})))
-    met = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(rare, x["word"]))
-    base = found.select(
-        "doc_id", "row", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"), "verified",
-        F.when(F.size("verified") > 0, met).alias("met"),
-    )
-    hits = base.select("*", F.explode_outer("met").alias("hit")).drop("met").select("*", F.col("hit.word").alias("word"), F.col("hit.at").alias("at")).drop("hit")
-    matched = hits.join(index, "word", "left").withColumn("template", F.when(F.array_contains("verified", F.col("template")), F.col("template")))
-    key = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
-    shares = matched.groupBy(*key, "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.sum(F.when(F.col("template").isNotNull(), F.col("weight"))).alias("share"))
-    label = F.element_at(F.array(*[F.lit(t[0]) for t in templates]), F.col("template") + 1)
-    best = shares.groupBy(*key).agg(
-        F.collect_set(F.when(F.col("share") >= LEAST_SHARE, label)).alias("added"), F.least(F.lit(1.0), F.round(F.coalesce(F.max("share"), F.lit(0.0)), 9)).alias("score")
-    )
-    return best.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", "added")), ",").alias("labels"), "score",
+    found = read(docs, templates)
+    best = best_bins(found, index(found, templates)).groupBy("row").agg(F.collect_list(F.struct("template", "share", "low")).alias("best"))
+    rows = found.drop("met").join(best, "row", "left")
+    label = F.array(*[F.lit(t[0]) for t in templates])
+    length = F.array(*[F.lit(len(words_of(t[2]))) for t in templates])
+    expected = lambda b, p: p.between(b["low"] - MARGIN, b["low"] + F.get(length, b["template"]) + MARGIN)
+    verified = F.filter("best", lambda b: (b["share"] >= LEAST_SHARE) & F.exists(F.get("keys", b["template"]), lambda p: expected(b, p)))
+    added = F.coalesce(F.transform(verified, lambda b: F.get(label, b["template"])), F.array().cast("array<string>"))
+    base = F.filter(F.array(*[F.when(F.size(F.get("base", F.lit(i))) > 0, name) for i, name in enumerate(BASE.values())]), lambda x: x.isNotNull())
+    places = F.flatten("base")
+    listed = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+    return rows.select(
+        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
+        listed(base).alias("base_labels"), listed(F.concat(base, added)).alias("labels"), F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("best", lambda b: b["share"])), F.lit(0.0))).alias("score"),
     )
 
 
