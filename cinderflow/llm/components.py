@@ -7,7 +7,7 @@ from cinderflow.storage import written
 
 
 #: Parts into which the links of a node are dealt.
-SALTS = 16
+SALTS = 8
 
 
 def _salted(links: DataFrame, one: DataFrame, key: str, other: str) -> DataFrame:
