@@ -4,7 +4,7 @@ The templates are the public wordings of common licences and their notices.
 
 1. A file's words are cut once; of them only licence words (words of templates or phrases) go on, with their places.
 2. In how many files each licence word stands is counted over the whole corpus; its IDF follows. Each template is
-   indexed by its INDEXED highest-IDF words, with every place they have in it: (word, template, place, weight), the
+   indexed by the INDEXED highest-IDF ones of its words (half of them, where it has few), with every place they have in it: (word, template, place, weight), the
    weight being the IDF over the sum of all the template's indexed places.
 3. A file's indexed words meet the postings by an equi-join. Postings of one template agree if their offsets (place in the
    file less place in the template) differ by less than SLACK: offsets are dealt to bins of SLACK, once from 0 and once from
@@ -82,9 +82,9 @@ TEMPLATES = [
     ("cc-by-nd", "attribution noderivatives", _CC.format("Attribution-NoDerivatives")),
     ("cc-by-sa", "cc by sa", "CC BY-SA"), ("cc-by-nc", "cc by nc", "CC BY-NC"), ("cc-by-nd", "cc by nd", "CC BY-ND"),
 ]
-#: Highest-IDF words a template is indexed by; letters of a licence word that is in no phrase; offsets that agree; words about
+#: Highest-IDF words a template is indexed by, at most; letters of a licence word that is in no phrase; offsets that agree; words about
 #: a template in which its key phrase may stand; share of a template's weight that asks for its key phrase.
-INDEXED, LETTERS, SLACK, MARGIN, LEAST_SHARE = 16, 4, 8, 16, 0.5
+INDEXED, LETTERS, SLACK, MARGIN, LEAST_SHARE = 16, 5, 8, 16, 0.5
 
 
 def words_of(text: str) -> list[str]:
@@ -103,7 +103,8 @@ def index_rows(held: dict[str, int], files: int, templates=TEMPLATES, indexed: i
     idf = lambda w: math.log(1 + (files + 1) / (held.get(w, 0) + 1))
     for t, (*_, text) in enumerate(templates):
         words = words_of(text)
-        best = sorted({w for w in words if w in known}, key=lambda w: (-idf(w), w))[:indexed]
+        own = sorted({w for w in words if w in known}, key=lambda w: (-idf(w), w))
+        best = own[: min(indexed, -(-len(own) // 2))]
         total = sum(idf(w) for w in words if w in best)
         rows += [(w, t, i, idf(w) / total) for i, w in enumerate(words) if w in best]
     return rows
