@@ -120,3 +120,61 @@ headcount = _udf(_headcount, "value long, quote string")
 ratio_candidates = _udf(_ratio_candidates, "array<struct<ratio: double, score: int, at: int>>")
 dollar_amounts = _udf(_dollar_amounts, "array<long>")
 section = _udf(_section, "string")
+
+
+_DAY = ("%b. %d, %Y", "%b %d, %Y")
+
+
+def _plain(cell: str) -> str:
+    return re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", " ", cell)).replace("\xa0", " ")).strip()
+
+
+def _day(text: str):
+    from datetime import datetime
+
+    for form in _DAY:
+        try:
+            return datetime.strptime(text, form).date()
+        except ValueError:
+            continue
+    return None
+
+
+def _cover_counts(x: pd.Series) -> pd.Series:
+    """Share classes with a symbol and a count on a cover page; a row of an axis opens the block of a class, counts are scaled as the head says."""
+
+    def blocks(page):
+        found = {}
+        name = ""
+        for row in re.findall(r"(?s)<tr[^>]*>(.*?)</tr>", page):
+            tag = re.search(r"defref_([^']+)'", row)
+            if not tag:
+                continue
+            if "Axis=" in tag[1]:
+                name = tag[1].partition("Axis=")[2]
+                continue
+            cells = [_plain(c) for c in re.findall(r'(?s)<td class="(?:nump|num|text)"[^>]*>(.*?)</td>', row)]
+            found.setdefault(name, {}).setdefault(tag[1].removeprefix("dei_"), cells)
+        return found
+
+    def listed(page):
+        if not page:
+            return []
+        head = re.search(r'(?s)<th[^>]*class="tl"[^>]*>(.*?)</th>', page)
+        told = _plain(head[1]).lower() if head else ""
+        times = next((n for word, n in (("in millions", 1_000_000), ("in thousands", 1000)) if word in told), 1)
+        days = [_day(_plain(c)) for c in re.findall(r'(?s)<th class="th"[^>]*>(.*?)</th>', page)]
+        out = []
+        for cells in blocks(page).values():
+            symbol = next((c.upper() for c in cells.get("TradingSymbol", []) if c), "")
+            counts = [(i, re.sub(r"[,$ ]", "", c)) for i, c in enumerate(cells.get("EntityCommonStockSharesOutstanding", []))]
+            counts = [(i, float(c)) for i, c in counts if re.fullmatch(r"\d+(?:\.\d+)?", c)]
+            if counts and symbol not in ("", "NONE", "N/A"):
+                at, n = counts[0]
+                out.append({"symbol": symbol, "shares": n * times, "as_of": days[at] if at < len(days) else None})
+        return out
+
+    return x.map(listed)
+
+
+cover_counts = _udf(_cover_counts, "array<struct<symbol: string, shares: double, as_of: date>>")

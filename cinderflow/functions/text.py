@@ -87,3 +87,63 @@ def topic_score(x):
 def contains_words(hay, needle):
     """Whether needle's words stand in hay's in a row."""
     return F.concat(F.lit(" "), hay, F.lit(" ")).contains(F.concat(F.lit(" "), needle, F.lit(" ")))
+
+
+def ticker(x):
+    """Upper case, a dot before the class."""
+    return F.replace(F.upper(F.trim(x)), F.lit("-"), F.lit("."))
+
+
+def exchange_symbol(x):
+    """Upper case, a dash before the class."""
+    return F.translate(F.upper(F.trim(x)), "./", "--")
+
+
+def padded(x, width: int):
+    return F.lpad(F.trim(x.cast("string")), width, "0")
+
+
+#: Suffixes left out of owners' names, of aliases, of court parties, and of recipients of contracts.
+OWNER_SUFFIXES = "INCORPORATED|CORPORATION|COMPANY|HOLDINGS?|GROUP|LLC|LLP|LP|PLC|LTD|CORP|CO|INC|THE"
+ALIAS_SUFFIXES = "inc|incorporated|corp|corporation|co|company|ltd|plc|lp|llc|sa|nv|the|new|de|md"
+PARTY_SUFFIXES = "inc incorporated corp corporation co company companies ltd limited plc lp llp llc nv sa ag holding holdings group the new de md cl class a b".split()
+RECIPIENT_SUFFIXES = "INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LLC|LTD|LIMITED|PLC|GROUP|HOLDINGS?"
+
+
+def _collapsed(x):
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def owner_name(x):
+    """Upper-case words of a facility owner's name without suffixes."""
+    return _collapsed(F.regexp_replace(F.regexp_replace(F.upper(x), "[^A-Z0-9 ]", " "), rf"\b({OWNER_SUFFIXES})\b", " "))
+
+
+def alias_name(x):
+    """A loose form by which former names that equal the current one are found."""
+    return _collapsed(F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9 ]+", " "), rf"\b({ALIAS_SUFFIXES})\b", " "))
+
+
+def party_core(x):
+    """A court party's name without what stands in parentheses and without trailing suffixes; the first word stays."""
+    plain = _collapsed(F.regexp_replace(F.regexp_replace(F.lower(x), r"\([^)]*\)", " "), "[^a-z0-9 ]+", " "))
+    return F.regexp_replace(plain, rf"( ({'|'.join(PARTY_SUFFIXES)}))+$", "")
+
+
+def recipient_name(x):
+    """A legal name as contracts are searched by: without a state tag and trailing legal forms."""
+    bare = F.regexp_replace(x, r"\s*/[A-Z]{2,3}/?\s*$", "")
+    return F.trim(F.regexp_replace(bare, rf"(?i)([,.]?\s*\b({RECIPIENT_SUFFIXES})\.?\s*)+$", ""))
+
+
+def is_short(core):
+    """Cores so short that they name other firms as well."""
+    return F.length(core) <= 4
+
+
+def whole_quote(x):
+    """A quote cut by width, without the broken words at its ends, between ellipses."""
+    x = _collapsed(x)
+    x = F.when(~F.substring(x, 1, 1).rlike(r"^\p{Lu}") & x.contains(" "), F.regexp_replace(x, "^[^ ]+ ", "")).otherwise(x)
+    x = F.when(~x.rlike(r'[.!?)"]$') & x.contains(" "), F.regexp_replace(x, " [^ ]*$", "")).otherwise(x)
+    return F.concat(F.lit("…"), F.trim(F.replace(x, F.lit("�"), F.lit(""))), F.lit("…"))

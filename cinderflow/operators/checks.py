@@ -7,6 +7,7 @@ from cinderflow.functions.numbers import ratio
 from cinderflow.operators import aggregates as A
 from cinderflow.operators import timeseries as T
 from cinderflow.operators.ranking import average_rank, bucket, percentile_rank
+from cinderflow.storage import small, written
 
 ID_PATTERN, DATE_PATTERN = r"^[a-z][a-z0-9_]*$", r"^\d{4}-\d{2}-\d{2}$"
 
@@ -91,10 +92,18 @@ def weight_robustness(totals: DataFrame, default: DataFrame, top: float = 0.2) -
 
 
 def _ranked_runs(totals: DataFrame, default: DataFrame) -> DataFrame:
-    """run, ticker, and the average ranks of total_score (in its run) and base (among all of default)."""
+    """run, ticker, and the average ranks of total_score (in its run) and base (among all of default).
+
+    Rounded totals take at most 1,001 values, so a run's ranks come from counts by total: these are broadcast, and no row of totals is shuffled.
+    """
     base = default.where("total_score is not null").select("ticker", F.col("total_score").alias("base")).withColumn("base_rank", average_rank(F.col("base"), [F.lit(1)]))
-    met = totals.where("total_score is not null").join(base, "ticker")
-    return met.withColumn("rank", average_rank(F.col("total_score"), ["run"])).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run")))
+    base = small(written(base, "default-ranks"))
+    met = totals.where("total_score is not null").join(base, "ticker").withColumn("_k", F.rint(F.col("total_score") * 10).cast("int"))
+    counts = met.groupBy("run", "_k").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy("run")
+    below = F.coalesce(F.sum("_c").over(run.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = written(counts.select("run", "_k", (below + (F.col("_c") + 1) / 2).alias("rank"), F.sum("_c").over(run).alias("n")), "run-ranks")
+    return met.join(F.broadcast(places), ["run", "_k"]).drop("_k")
 
 
 def weight_frequencies(totals: DataFrame, default: DataFrame, runs: int, top: float = 0.2) -> DataFrame:

@@ -51,3 +51,12 @@ def token_candidates(names: DataFrame, texts: DataFrame, name: str, text: str) -
     n = names.withColumn("_w", F.element_at(F.split(name, " "), 1)).where("_w <> ''")
     t = texts.withColumn("_t", F.concat(F.lit(" "), F.col(text), F.lit(" "))).withColumn("_w", F.explode(F.array_distinct(F.split(text, " "))))
     return t.join(n, "_w").where(F.col("_t").contains(F.concat(F.lit(" "), F.col(name), F.lit(" ")))).drop("_w", "_t")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
+    """left joined with right; an error, raised at once, if a key stands twice on either side."""
+    for name, df in (("left", left), ("right", right)):
+        twice = df.groupBy(*keys).count().where("count > 1").limit(3).collect()
+        if twice:
+            raise ValueError(f"keys stand more than once on the {name}: {[tuple(r)[:-1] for r in twice]}")
+    return left.join(right, list(keys), how)

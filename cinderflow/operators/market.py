@@ -100,3 +100,36 @@ def decision(status, weight, bench):
     """excluded, less, same or more money than in the index."""
     rel = F.coalesce(ratio(weight, bench), F.lit(1.0))
     return F.when(status == "excluded_policy", "excluded").when(rel < 0.9, "less").when(rel > 1.1, "more").otherwise("same")
+
+
+def share_counts(frames: DataFrame, covers: DataFrame, universe: DataFrame, needed: DataFrame, days: int = MAX_AGE) -> DataFrame:
+    """cik, symbol, as_of, shares, source: counts of frames for companies with one ticker, and of cover pages for companies that lack a count
+    within `days` before any of the needed dates.
+
+    frames: cik, as_of, shares; covers: cik, symbol, as_of, shares; universe: ticker, cik; needed: day.
+    """
+    tickers = universe.groupBy("cik").agg(F.count(F.lit(1)).alias("_n"), F.min("ticker").alias("symbol"))
+    single = frames.join(tickers.where("_n = 1"), "cik").select("cik", "symbol", "as_of", "shares", F.lit("frame").alias("source"))
+    asked = tickers.select("cik").crossJoin(F.broadcast(needed))
+    met = asof_within(asked.withColumnRenamed("day", "end"), single, "cik", "end", "as_of", days).select("cik", F.col("end").alias("day")).distinct()
+    lacking = asked.join(met, ["cik", "day"], "left_anti").select("cik").distinct()
+    paged = covers.where("as_of is not null").join(lacking, "cik", "left_semi").select("cik", "symbol", "as_of", "shares", F.lit("cover").alias("source"))
+    return single.unionByName(paged).dropDuplicates(["cik", "symbol", "as_of", "source"])
+
+
+def market_coverage(caps: DataFrame) -> DataFrame:
+    """One row of caps (cik, month, cap) a month: companies, with_cap, coverage, total."""
+    by = caps.groupBy("month").agg(F.count(F.lit(1)).alias("companies"), F.count("cap").alias("with_cap"), F.sum("cap").alias("total"))
+    return by.withColumn("coverage", F.col("with_cap") / F.col("companies"))
+
+
+def month_bars(bars: DataFrame, running: str) -> DataFrame:
+    """symbol, month, close: the last bar (symbol, at, close) of each month before the running one; bars without a close don't count."""
+    told = bars.where("close is not null").withColumn("month", F.date_format("at", "yyyy-MM")).where(F.col("month") < running)
+    return told.groupBy("symbol", "month").agg(F.max_by("close", "at").alias("close"))
+
+
+def split_ratios(events: DataFrame) -> DataFrame:
+    """symbol, date, ratio of split events (symbol, date, numerator, denominator); none without a denominator."""
+    good = events.where("denominator <> 0")
+    return good.select("symbol", "date", (F.col("numerator") / F.col("denominator")).alias("ratio")).distinct()

@@ -103,15 +103,29 @@ def with_position(scored: DataFrame) -> DataFrame:
 def many_totals(ranks: DataFrame, runs: DataFrame, min_share: float) -> DataFrame:
     """run, ticker, total_score for every weighting of runs (run, kind: 'indicator' or 'category', id, weight).
 
-    Ranks don't depend on weights: each run's weights are joined to the one rank table, two aggregates for all runs.
+    Ranks don't depend on weights: each ticker is one row of them, and the weightings (a few thousand rows) are one broadcast row of arrays. So all
+    runs of a ticker come from its row without a shuffle; totals are plain sums over its indicators.
     """
-    by_indicator = runs.where("kind = 'indicator' and weight > 0").select("run", F.col("id").alias("indicator_id"), F.col("weight").alias("w"))
-    by_category = runs.where("kind = 'category' and weight > 0").select("run", F.col("id").alias("category"), F.col("weight").alias("cw"))
-    parts = ranks.select("ticker", "category", "indicator_id", "rank01").join(F.broadcast(by_indicator), "indicator_id")
-    scores = parts.groupBy("run", "ticker", "category").agg(*weighted_mean(F.col("rank01"), F.col("w"), min_share))
-    joined = scores.join(F.broadcast(by_category), ["run", "category"])
-    out = joined.groupBy("run", "ticker").agg(*weighted_mean(F.col("score") / 100, F.col("cw"), min_share))
-    return out.select("run", "ticker", half_even(F.col("score"), 1).alias("total_score"))
+    category = {r["indicator_id"]: r["category"] for r in ranks.select("indicator_id", "category").distinct().collect()}
+    ids, kinds = sorted(category), sorted(set(category.values()))
+    given = runs.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(" "), "id"), F.col("weight").cast("double")))).alias("w"))
+    weight = lambda kind, x: F.greatest(F.coalesce(F.col("w")[f"{kind} {x}"], F.lit(0.0)), F.lit(0.0))
+    arrays = given.select(F.struct("run", F.array(*[weight("indicator", i) for i in ids]).alias("w"), F.array(*[weight("category", k) for k in kinds]).alias("c")).alias("r"))
+    table = arrays.agg(F.collect_list("r").alias("runs"))
+    held = written(ranks.groupBy("ticker").agg(F.count(F.lit(1)).alias("_n"), *[F.max(F.when(F.col("indicator_id") == i, F.col("rank01"))).alias(f"r{n}") for n, i in enumerate(ids)]), "rank-rows")
+    rows = held.crossJoin(F.broadcast(table)).select("ticker", *[f"r{n}" for n in range(len(ids))], F.explode("runs").alias("run"))
+    plus = lambda xs: sum(xs, F.lit(0.0))
+    w = [F.get("run.w", F.lit(n)) for n in range(len(ids))]
+    for k, kind in enumerate(kinds):
+        own = [n for n, i in enumerate(ids) if category[i] == kind]
+        there = plus(F.when(F.col(f"r{n}").isNotNull(), w[n]).otherwise(0.0) for n in own)
+        every = plus(w[n] for n in own)
+        part = ratio(plus(F.coalesce(F.col(f"r{n}") * w[n], F.lit(0.0)) for n in own), there)
+        rows = rows.withColumn(f"s{k}", F.when(ratio(there, every) >= min_share, part * 100)).withColumn(f"c{k}", F.when(every > 0, F.get("run.c", F.lit(k))).otherwise(0.0))
+    have = plus(F.when(F.col(f"s{k}").isNotNull(), F.col(f"c{k}")).otherwise(0.0) for k in range(len(kinds)))
+    every = plus(F.col(f"c{k}") for k in range(len(kinds)))
+    total = ratio(plus(F.coalesce(F.col(f"s{k}") / 100 * F.col(f"c{k}"), F.lit(0.0)) for k in range(len(kinds))), have) * 100
+    return rows.where(every > 0).select("run.run", "ticker", half_even(F.when(have / every >= min_share, total), 1).alias("total_score"))
 
 
 def drawn_weightings(catalog: DataFrame, profile: Profile, runs: int = 1000, seed: int = 2026) -> DataFrame:

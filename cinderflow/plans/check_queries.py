@@ -158,7 +158,7 @@ def _indicator(key):
     return f
 
 
-for _name, _key in (("i01_growth_gap", "eco1"), ("i02_revenue_volatility", "eco2"), ("i06_intensity", "env1"), ("i11_material_risk", "env2"), ("i16_injury_rate", "soc1"), ("i17_contribution", "soc2")):
+for _name, _key in (("i02_revenue_volatility", "eco2"),):
     QUERIES[_name] = _indicator(_key)
     ORACLE[_name] = P + f"SELECT ticker, year, round(value, 6) AS value FROM facts WHERE indicator_id = '{_key}'"
 
@@ -169,15 +169,6 @@ def i03_employment_growth(spark, d):
     return met.where("q between 0.15 and 6").select("ticker", "year", r6(F.pow("q", F.lit(1 / 3)) - 1).alias("value"))
 
 
-@query(P + """, qs AS (SELECT CAST(o_custkey AS VARCHAR) AS ticker, CAST(year(o_orderdate) AS INTEGER) AS year, quarter(o_orderdate) AS q, sum(o_totalprice) AS rev, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) AS con FROM orders GROUP BY 1, 2, 3)
-SELECT ticker, year, round(least(greatest(sum(con) / sum(rev), 0), 1), 6) AS value, count(*) AS quarters FROM qs GROUP BY 1, 2 HAVING count(*) >= 2""")
-def i05_contract_exposure(spark, d):
-    o = _t(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("ticker"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("q")).agg(
-        F.sum("o_totalprice").alias("rev"), F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(0.0)).alias("con"))
-    by = o.groupBy("ticker", "year").agg(F.sum("con").alias("c"), F.sum("rev").alias("r"), F.count(F.lit(1)).alias("quarters")).where("quarters >= 2")
-    return by.select("ticker", "year", r6(F.least(F.greatest(ratio(F.col("c"), F.col("r")), F.lit(0.0)), F.lit(1.0))).alias("value"), "quarters")
-
-
 @query(P + """, pen AS (SELECT ticker, year, sum(l_extendedprice / m) AS v FROM bought JOIN (SELECT l_orderkey AS k, count(DISTINCT l_suppkey) AS m FROM lineitem GROUP BY 1) ON l_orderkey = k WHERE l_returnflag = 'R' GROUP BY 1, 2)
 SELECT y.ticker, y.year, round(coalesce((SELECT sum(v) FROM pen WHERE pen.ticker = y.ticker AND pen.year BETWEEN y.year - 4 AND y.year), 0) / y.mean * 1000, 6) AS value FROM
 (SELECT a.ticker, a.year, avg(b.total) AS mean FROM order_years a JOIN order_years b ON a.ticker = b.ticker AND b.year BETWEEN a.year - 4 AND a.year GROUP BY 1, 2 HAVING count(*) >= 3) y""")
@@ -207,15 +198,6 @@ def i09_supply_risk(spark, d):
     return ex.groupBy("ticker", "year").agg(r6(F.sum("c")).alias("value"), F.max_by("p_brand", F.struct(F.round("c", 9), "p_brand")).alias("top"))
 
 
-@query("SELECT CAST(l_orderkey AS VARCHAR) AS ticker, round(sum(DISTINCT p_size) / (count(DISTINCT p_size) * 100.0), 6) AS value, array_to_string(list_sort(list(DISTINCT p_brand)), ', ') AS named FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
-def i10_disclosure(spark, d):
-    from cinderflow.operators.aggregates import sorted_list
-
-    p = _t(spark, d, "part").select("p_partkey", "p_size", "p_brand")
-    l = _t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
-    return l.groupBy(F.col("l_orderkey").cast("string").alias("ticker")).agg(r6(F.sum_distinct("p_size") / (F.count_distinct("p_size") * 100.0)).alias("value"), sorted_list(F.col("p_brand")).alias("named"))
-
-
 _SUITS = _QUARTERS + ", ret AS (SELECT o_custkey AS k, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS p, count(*) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1, 2), pn AS (SELECT k, p, v, coalesce(c, 0) AS c FROM panel LEFT JOIN ret USING (k, p))"
 
 
@@ -227,28 +209,6 @@ def i13_litigation(spark, d):
     return got.where("sc is not null").select("k", "p", r6(ratio(F.col("sc").cast("double"), F.col("sv")) * 1e6).alias("value"))
 
 
-@query("""SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(o_totalprice) FILTER (o_orderpriority LIKE '1%') / nullif(sum(o_totalprice), 0), 6) AS urgent, round((sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) - sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END)) / nullif(sum(CASE WHEN o_orderstatus IN ('F', 'O') THEN o_totalprice ELSE 0 END), 0), 6) AS skew FROM orders GROUP BY 1, 2""")
-def i14_alignment(spark, d):
-    v = F.col("o_totalprice")
-    side = lambda s: F.sum(F.when(F.col("o_orderstatus") == s, v).otherwise(0.0))
-    return _t(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(
-        r6(ratio(F.sum(F.when(F.col("o_orderpriority").startswith("1"), v)), F.sum(v))).alias("urgent"), r6(ratio(side("F") - side("O"), side("F") + side("O"))).alias("skew"))
-
-
-@query(P + "SELECT ticker, year, round((rq + ed) / q, 6) AS value FROM line_years WHERE q > 0 AND (rq + ed) / q <= 10")
-def i15_payout(spark, d):
-    b = X.bought(spark, d).groupBy("ticker", "year").agg(F.sum("l_quantity").alias("q"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).alias("rq"), F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("ed"))
-    got = b.withColumn("x", ratio(F.col("rq") + F.col("ed"), F.col("q"))).where("q > 0 and x <= 10")
-    return got.select("ticker", "year", r6(F.col("x")).alias("value"))
-
-
-@query("SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, round(arg_max(o_totalprice, (o_orderdate, o_orderkey)), 6) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2")
-def i20_annual_facts(spark, d):
-    """Restatements: of the facts of one entity and year the one filed last."""
-    o = _t(spark, d, "orders").where("o_orderstatus = 'F'")
-    return o.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(r6(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey"))).alias("value"))
-
-
 # ---------------------------------------------------------------- entities
 @query("SELECT p_type || ' ' || CAST(p_size AS VARCHAR) AS name, min(p_brand) AS entity FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
 def e02_unambiguous(spark, d):

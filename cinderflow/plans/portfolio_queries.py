@@ -118,7 +118,9 @@ def v11_allocate(spark, d):
     return fund(spark, d).select("ticker", F.round("weight", 9).alias("weight"), F.round("benchmark_weight", 9).alias("benchmark_weight"), F.round("active_weight", 9).alias("active_weight"), "status")
 
 
-@query()
+@query(FUND + """SELECT ticker, status, CASE status WHEN 'no_market_cap' THEN 'left out: its market cap is not known' WHEN 'excluded_policy' THEN 'left out by policy (' || sub_industry || ')' WHEN 'excluded_score' THEN 'left out by its score of ' || printf('%.1f', total_score)
+  ELSE 'held at ' || printf('%.2f', w / e) || ' of its index weight' || CASE WHEN w >= 0.02 - 1e-9 THEN ' up to the cap' ELSE '' END || CASE WHEN total_score IS NULL THEN ': not scored' ELSE ': scored ' || printf('%.1f', total_score) || ' (' || printf('%+.2f', z) || ' deviations)' END || '; tilt of 2, sector weights kept' END
+  || CASE WHEN coalesce(other_classes, '') <> '' THEN '; stands for ' || other_classes || ' too' ELSE '' END AS reason FROM fs""")
 def v12_reasons(spark, d):
     return fund(spark, d).select("ticker", "status", "reason")
 

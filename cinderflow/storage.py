@@ -49,6 +49,13 @@ ARROW_ROWS = 1000
 BROADCAST_IDS = 500_000
 
 
+def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """df, to be broadcast where it has at most so many (narrow) rows."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """df without the rows whose key is in the one column of ids (null counts as a value)."""
     from pyspark.sql import functions as F
