@@ -12,9 +12,9 @@ A capitalised word that opens a sentence may be a name or not, so every text is
 like: such words plain, such words names (which doesn't depend on where sentences begin), and all tokens literal, without
 placeholders. A match in the literal form must cover the whole item, or LEAST_SHARE of an item that has no other window.
 
-Before the join, documents' windows pass a bit table of the benchmark's hashes (a fixed 1 MB, whatever the
-benchmark's size), so almost only real matches are shuffled. The benchmark's windows are broadcast only up to
-BROADCAST_WINDOWS rows.
+Before the join, documents' windows pass a bit table of the benchmark's hashes (BITS_EACH bits a window, MOST_BITS at most),
+so almost only real matches are shuffled. The benchmark's windows are broadcast only up to
+BROADCAST_WINDOWS rows; beyond that both sides are shuffled, a window that many documents hold in SALTS parts.
 
 Edge cases
 * null or empty text, or one without letters and digits: no window, clean. Items like that never match.
@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderflow.llm import textkernel as K
-from cinderflow.storage import without
+from cinderflow.storage import settled, without, written
 
 WINDOW, SHORTEST, PLAIN, LEAST_SHARE = 8, 4, 4, 0.3
-BITS, BROADCAST_WINDOWS = 1 << 23, 200_000
+BITS_EACH, LEAST_BITS, MOST_BITS, BROADCAST_WINDOWS, SALTS = 64, 1 << 20, 1 << 28, 200_000, 16
 FORMS = OPENERS_PLAIN, OPENERS_NAMES, LITERAL = 0, 1, 2
 #: Units of measure, money and time, in lower case.
 UNITS = "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg lb lbs pound pounds ounce ounces oz ton tons tonne tonnes ml l litre litres liter liters gallon gallons second seconds sec minute minutes min hour hours hr day days week weeks month months year years percent dollar dollars usd euro euros eur cent cents degree degrees celsius fahrenheit volt volts watt watts kw kwh mph kmh hz khz mhz ghz kb mb gb tb"
@@ -120,7 +120,7 @@ _HIT = "array<struct<h:long,place:int,slots:array<long>>>"
 
 def _hits(lengths: list[list[int]], bits: np.ndarray):
     """For every document: its windows that may be the benchmark's."""
-    table = np.unpackbits(bits, bitorder="little").view(bool)
+    mask = np.uint64(8 * len(bits) - 1)
     kind = pa.list_(pa.struct([("h", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.int64()))]))
 
     def run(batches):
@@ -132,7 +132,8 @@ def _hits(lengths: list[list[int]], bits: np.ndarray):
             for i, j in K.parts(offsets):
                 found = [[] for _ in range(j - i)]
                 for _, doc, place, h, at, size, slot in windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lengths):
-                    for k in np.flatnonzero(table[h & np.uint64(BITS - 1)]):
+                    cell = h & mask
+                    for k in np.flatnonzero(bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1):
                         s = slot[at[k] : at[k] + size[k]]
                         found[doc[k]].append({"h": int(h[k].view(np.int64)), "place": int(place[k]), "slots": s.view(np.int64).tolist()})
                 yield pa.RecordBatch.from_arrays(
@@ -165,15 +166,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = LEA
     asked = benchmark.select("item_id", "text").mapInArrow(
         _items, "item_id long, form int, whole boolean, h long, item_place int, item_slots array<long>, windows int, size int"
     )
-    # No more than BITS places and WINDOW lengths, however large the benchmark.
-    bits = np.zeros(BITS, bool)
-    bits[asked.select(F.col("h").bitwiseAND(F.lit(BITS - 1)).alias("x")).distinct().toArrow()["x"].to_numpy()] = True
+    asked = written(asked, "benchmark-windows")
+    windows_ = asked.count()
+    bits = 1 << (min(MOST_BITS, max(LEAST_BITS, BITS_EACH * windows_)) - 1).bit_length()
+    # No more places than the benchmark has windows, or the table bits.
+    table = np.zeros(bits, bool)
+    table[asked.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("x")).distinct().toArrow()["x"].to_numpy()] = True
     seen = asked.select("form", "size").distinct().collect()
     lengths = [sorted(r["size"] for r in seen if r["form"] == form) for form in FORMS]
-    if asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        asked = F.broadcast(asked)
-    rows = docs.select("doc_id", "text").mapInArrow(K.trimmed(_hits(lengths, np.packbits(bits, bitorder="little"))), f"row long, doc_id long, hits {_HIT}")
-    hits = rows.select("row", "doc_id", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "hit.*").join(asked, "h", "left")
+    read = settled(docs.select("doc_id", "text"), "decontamination-docs")
+    rows = read.mapInArrow(K.trimmed(_hits(lengths, np.packbits(table, bitorder="little"))), f"row long, doc_id long, hits {_HIT}")
+    hits = rows.select("row", "doc_id", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "hit.*")
+    if windows_ <= BROADCAST_WINDOWS:
+        hits = hits.join(F.broadcast(asked), "h", "left")
+    else:
+        parts = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = hits.withColumn("_part", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(parts, ["h", "_part"], "left").drop("_part")
     # Slots that are no placeholders are 0 on both sides.
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda x: x["i"] != 0)
     at = hits.groupBy("row", "doc_id", "item_id", "form", "whole", "windows", (F.col("place") - F.col("item_place")).alias("offset")).agg(

@@ -18,9 +18,11 @@ Edge cases
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderflow.storage import settled
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules their table is sent to all executors (about 150 bytes each); above, both sides are shuffled.
-BROADCAST_RULES = 100_000
+BROADCAST_RULES, SALTS = 100_000, 16
 PREFIX_DIGITS = 8
 #: The rules of the registered query, as (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -60,11 +62,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", broadcast_
     shape = rules.agg(
         F.max(F.size(F.split("host", r"\."))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths"), F.count(F.lit(1)).alias("n")
     ).first()
-    if shape["n"] <= broadcast_rules:
-        table = F.broadcast(table)
-
     host, path = host_and_path(F.col("url"))
-    keyed = pages.select("page_id", F.monotonically_increasing_id().alias("row"), host.alias("host"), path.alias("path"))
+    keyed = settled(pages.select("page_id", "url"), "filter-pages").select("page_id", F.monotonically_increasing_id().alias("row"), host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(1, shape["labels"] or 1)))), lambda k: F.array_join(F.slice(labels, -k, k), ".")
@@ -74,10 +73,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", broadcast_
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat_ws("\n", s, p))))
 
     asked = keyed.select("*", F.explode_outer(expressions).alias("expression")).withColumn("digest", F.sha2("expression", 256))
-    hits = asked.withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS)).join(table, "prefix", "left")
+    short = F.substring("digest", 1, PREFIX_DIGITS)
     confirmed = F.when(F.col("digest") == F.col("rule_digest"), F.col("rule"))
+    if shape["n"] <= broadcast_rules:
+        hits = asked.withColumn("prefix", short).join(F.broadcast(table), "prefix", "left").withColumn("rule", confirmed)
+    else:
+        # Many pages share an expression such as a top-level domain: each is judged once, and its verdict then meets its pages in SALTS parts.
+        # Pages without an expression go by their own number.
+        once = asked.where("expression is not null").select("expression", "digest").distinct().withColumn("prefix", short).join(table, "prefix")
+        found = once.where("digest = rule_digest").select("expression", "rule", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+        part = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+        own = F.coalesce("expression", F.concat(F.lit("\0"), F.col("row").cast("string")))
+        hits = asked.withColumn("expression", own).withColumn("part", part).join(found, ["expression", "part"], "left")
     # The rows of a page lie together, so the partial aggregate leaves one row a page for the shuffle; "row" has no hot value.
-    best = hits.groupBy("row", "page_id", "host", "path").agg(F.max(confirmed).alias("rule"))
+    best = hits.groupBy("row", "page_id", "host", "path").agg(F.max("rule").alias("rule"))
     return best.select(
         "page_id", "host", "path", F.concat("rule.host", "rule.path").alias("rule"), F.coalesce("rule.verdict", F.lit(default)).alias("verdict")
     )

@@ -298,6 +298,131 @@ def test_decontamination_where_sentences_open(spark):
     assert {r["doc_id"]: r["items"] for r in decontamination.contaminated(docs, bench).collect()} == {k: ids for k, (_, ids) in enumerate(asked)}
 
 
+def forms_of(text):
+    """(template token, slot or None) of each token in the three forms, by plain loops over the text's bytes."""
+    units = set(decontamination.UNITS.split())
+    found, opens, gap = [], [], True
+    word = b""
+    for byte in (text or "").encode() + b" ":
+        c = bytes([byte])
+        if c in b" \t\n\v\f\r":
+            if word:
+                found.append(word)
+                opens.append(gap)
+                gap, word = False, b""
+            gap = gap or c == b"\n"
+        elif byte >= 128 or c.isalnum():
+            word += c
+        else:
+            if c in b".!?:":
+                gap = gap or not word
+                word = word + b"\0" if word else word
+    # an end inside a word counts only if it stands after the word's last letter
+    tail = [w.endswith(b"\0") for w in found]
+    found = [w.replace(b"\0", b"") for w in found]
+    opens = [i == 0 or opens[i] or tail[i - 1] for i in range(len(found))]
+    low = [bytes(x + 32 if 65 <= x <= 90 else x for x in w).decode("utf-8", "surrogateescape") for w in found]
+    kinds = []
+    for i, w in enumerate(found):
+        digits = sum(48 <= x <= 57 for x in w)
+        capitals = sum(65 <= x <= 90 for x in w)
+        number, measure = digits == len(w), 0 < digits < len(w)
+        unit = low[i] in units and i > 0 and kinds[i - 1] == "N"
+        first = 65 <= w[0] <= 90 or (w[0] == 0xC3 and len(w) > 1 and 0x80 <= w[1] <= 0x9E)
+        name = first and not measure and len(w) > 1 and capitals < max(len(w), 2)
+        kinds.append("X" if name else "M" if measure else "U" if unit else "N" if number else None)
+    out = []
+    for plain_openers in (True, False):
+        tokens = []
+        for i, w in enumerate(low):
+            kind = kinds[i]
+            if kind == "X" and plain_openers and opens[i]:
+                kind = "U" if w in units and i > 0 and kinds[i - 1] == "N" else None
+            follows = kind == "X" and tokens and tokens[-1][2] == i - 1 and tokens[-1][0] == "<X>" and not opens[i]
+            if follows:
+                tokens[-1] = ("<X>", tuple(sorted([*tokens[-1][1], w])), i)
+            else:
+                tokens.append((f"<{kind}>", (w,), i) if kind else (w, None, i))
+        out.append([(t, s) for t, s, _ in tokens])
+    return [*out, [(w, None) for w in low]]
+
+
+def leaks(doc, item):
+    """Whether the item leaks into the document: all windows of all forms by plain loops."""
+    judged = reached = False
+    for form, (d, t) in enumerate(zip(forms_of(doc), forms_of(item), strict=True)):
+        k = min(decontamination.WINDOW, len(t))
+        if k < decontamination.SHORTEST:
+            continue
+        fit = lambda x, i: i + k <= len(x) and sum(s is None for _, s in x[i : i + k]) >= min(decontamination.PLAIN, k - 1)  # noqa: B023, E731
+        own = [i for i in range(len(t)) if fit(t, i)]
+        if not own:
+            continue
+        whole = judged and form == decontamination.LITERAL
+        judged = True
+        by = collections.defaultdict(lambda: (set(), set()))
+        for i in own:
+            for j in range(len(d)):
+                if fit(d, j) and [x for x, _ in d[j : j + k]] == [x for x, _ in t[i : i + k]]:
+                    by[j - i][0].add(i)
+                    by[j - i][1].update((t[i + x][1], d[j + x][1]) for x in range(k) if t[i + x][1] is not None)
+        sound = {i for places, pairs in by.values() if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}) for i in places}
+        reached = reached or (len(sound) >= max(1, len(own) * (1 if whole else decontamination.LEAST_SHARE)))
+    return reached
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_decontamination_equals_brute_force(spark, monkeypatch, few):
+    """Items with names, numbers and units, in documents that copy, re-parameterise, cut, shift and shuffle them."""
+    if not few:
+        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+        monkeypatch.setattr(decontamination, "LEAST_BITS", 8)  # a nearly full bit table lets false hits through to the join
+        monkeypatch.setattr(decontamination, "BITS_EACH", 1)
+    draw = random.Random(12)
+    plain = "the of buys sells house river old green walks then for with under bread sees".split()
+    names, units = ["Ann", "Bob Lee", "Élan", "Tom", "Mary Ann Fox"], ["kg", "km", "dollars", "hours"]
+
+    def sentence(n):
+        out = []
+        for _ in range(n):
+            out.append(draw.choice([draw.choice(plain)] * 6 + [draw.choice(names), f"{draw.randrange(9)} {draw.choice(units)}", f"{draw.randrange(40)}kg", str(draw.randrange(5))]))
+        return " ".join(out) + draw.choice([".", "?", "", ":"])
+
+    items = [" ".join(sentence(draw.randrange(2, 9)) for _ in range(draw.randrange(1, 4))) for _ in range(25)] + ["a b", "", None, "12 13 14 15", "U.S. law: The old house Of Bob!"]
+    docs = []
+    for t in items:
+        w = (t or "x").split()
+        other = {x: draw.choice(names) for x in names} | {str(k): str(draw.randrange(5)) for k in range(5)}
+        docs += [sentence(5) + " " + (t or "") + " " + sentence(5), " ".join(other.get(x, x) for x in w), " ".join(w[: len(w) // 2 + 1]), " ".join(w[2:]), (t or "").lower(), " ".join(draw.sample(w, len(w)))]
+    docs += [sentence(30) for _ in range(40)] + [None, "", " ".join(x for x in items if x) * 5, *[x for x in items if x]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumns({c: F.lit("clash") for c in CLASH + ["h", "place", "items", "_part"]}).repartition(3)
+    got = {r["doc_id"]: r["items"] for r in decontamination.contaminated(rows, bench).collect()}
+    want = {i: [k for k, t in enumerate(items) if leaks(d, t)] for i, d in enumerate(docs)}
+    assert {i: (got[i], want[i], docs[i]) for i in want if got[i] != want[i]} == {}
+    assert sum(map(bool, want.values())) > 40 and not all(want.values())
+
+
+def test_decontamination_of_long_and_repeated_texts(spark):
+    item = "old Peter sold fresh apples and sweet lemons to the tall man of the green house"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "filler words here " * 150_000 + item), (2, item), (2, item), (3, "filler words here " * 150_000)], "doc_id long, text string")
+    same([(r["doc_id"], r["contaminated"]) for r in decontamination.contaminated(docs, bench).collect()], [(1, True), (2, True), (2, True), (3, False)])
+    assert [r["doc_id"] for r in decontamination.clean(docs, bench).select("doc_id").collect()] == [3]
+
+
+def test_without_many_ids(spark, monkeypatch):
+    """Rows left out by a shuffle where there are too many ids to broadcast; null is an id."""
+    from cinderflow import storage
+
+    df = spark.createDataFrame([(k if k % 7 else None, k) for k in range(300)], "doc_id long, x long")
+    away = spark.createDataFrame([(k,) for k in range(0, 300, 2)] + [(None,)], "doc_id long")
+    want = [k for k in range(300) if k % 7 and k % 2]
+    for limit in (500_000, 10):
+        monkeypatch.setattr(storage, "BROADCAST_IDS", limit)
+        assert sorted(r["x"] for r in storage.without(df, away, "doc_id").collect()) == want
+
+
 def test_inconsistent_slots_do_not_match(spark):
     bench = spark.createDataFrame([(1, "if a train takes 12 minutes and a bus takes 40 minutes then the train is faster than the bus by far")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "if a train takes 7 minutes and a bus takes 7 minutes then the train is faster than the bus by far"), (2, "if a train takes 7 minutes and a bus takes 9 minutes then the train is faster than the bus by far")], "doc_id long, text string")
