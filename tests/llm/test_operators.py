@@ -519,6 +519,15 @@ def test_sweeps_class_the_whole_vocabulary(spark, monkeypatch):
     assert noun[0] != verb[0] and noun[1] >= 0.95 * kinds["n"].total() and verb[1] >= 0.95 * kinds["v"].total(), kinds
 
 
+def test_bit_table_has_every_word(spark):
+    draw = np.random.default_rng(2)
+    words_ = np.unique(draw.integers(-(2**63), 2**63, 3000, dtype=np.int64))
+    table = class_lm._bit_table(spark.createDataFrame([(int(w),) for w in words_], "word long"), len(words_))
+    assert class_lm._in_table(table, words_.view(np.uint64)).all()
+    assert class_lm._in_table(table, draw.integers(0, 2**63, 10_000, dtype=np.int64).view(np.uint64)).mean() < 0.1
+    assert not class_lm._in_table(class_lm._bit_table(spark.createDataFrame([], "word long"), 0), words_.view(np.uint64)).any()
+
+
 def test_frequent_words_never_exceed_their_number(spark):
     counts = spark.createDataFrame([(k, 1 + k % 7) for k in range(3000)], "word long, n long")
     for most in (0, 10, 400, 429, 2000, 3000, 9999):
@@ -560,7 +569,7 @@ def test_gains_equal_the_likelihood():
         rest = n.copy()
         rest[own] -= after
         rest[:, own] -= before
-        for got in (class_lm.gains(rest, after, before, -1), class_lm.gains(n, after, before, own)):
+        for got in (class_lm.Bigrams(rest).gains(after, before, -1), class_lm.Bigrams(n).gains(after, before, own)):
             assert np.allclose(got - got[0], np.array(whole) - whole[0])
 
 
