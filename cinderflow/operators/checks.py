@@ -45,7 +45,9 @@ def plausibility(facts: DataFrame, this_year: int, least: int = 20) -> DataFrame
     """kind, indicator_id, ticker, year, value of future years, unusual changes and unusual latest values."""
     future = facts.where(F.col("year") > this_year + 1).select(F.lit("future").alias("kind"), "indicator_id", "ticker", "year", "value")
     moves = T.consecutive_delta(facts, ["indicator_id", "ticker"])
-    newest = facts.withColumn("_m", F.max("year").over(Window.partitionBy("indicator_id"))).where("year = _m").withColumn("delta", F.col("value"))
+    # A row an indicator: the last year comes from an aggregate, not from a window over all facts of it.
+    last = facts.groupBy("indicator_id").agg(F.max("year").alias("_m"))
+    newest = facts.join(F.broadcast(last), "indicator_id").where("year = _m").withColumn("delta", F.col("value"))
     out = [future]
     for kind, df in (("change", moves), ("level", newest)):
         low, high = A.fences(F.col("delta"))

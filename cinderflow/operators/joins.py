@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderflow.storage import settled
+
 
 def asof_within(left: DataFrame, right: DataFrame, key: str, at: str, as_of: str, days: int, also=None) -> DataFrame:
     """For each left row, all right rows of the newest as_of at or before `at` and at most `days` older, of those that meet `also`.
@@ -11,7 +13,8 @@ def asof_within(left: DataFrame, right: DataFrame, key: str, at: str, as_of: str
     before, so the range condition becomes an equi-join on (key, period) with two copies of the left side.
     """
     period = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / days)
-    numbered = left.withColumn("_row", F.monotonically_increasing_id())
+    # Left rows are numbered; a task that runs again must number them alike, so rows from a shuffle are written first.
+    numbered = settled(left, "asof-left").withColumn("_row", F.monotonically_increasing_id())
     asked = numbered.withColumn("_p", F.explode(F.array(period(at), period(at) - 1)))
     held = right.withColumn("_p", period(as_of))
     age = F.datediff(F.col(at), F.col(as_of))
@@ -43,14 +46,16 @@ def grid(entities: DataFrame, periods: DataFrame, facts: DataFrame, keys, values
 
 
 def token_candidates(names: DataFrame, texts: DataFrame, name: str, text: str) -> DataFrame:
-    """(names, texts) pairs in which the whole words of a name stand in the text in a row.
+    """(names, texts) pairs in which the whole words of a name stand in the text in a row. The other columns of texts are its key.
 
-    Blocked by the name's first word: an equi-join of first words with the distinct words of each text; the
-    sequence is then verified.
+    Blocked by the name's first word: an equi-join of first words with the distinct words of each text, which carries keys only; the texts of
+    candidates are then fetched and the sequence is verified.
     """
+    key = [c for c in texts.columns if c != text]
     n = names.withColumn("_w", F.element_at(F.split(name, " "), 1)).where("_w <> ''")
-    t = texts.withColumn("_t", F.concat(F.lit(" "), F.col(text), F.lit(" "))).withColumn("_w", F.explode(F.array_distinct(F.split(text, " "))))
-    return t.join(n, "_w").where(F.col("_t").contains(F.concat(F.lit(" "), F.col(name), F.lit(" ")))).drop("_w", "_t")
+    words = texts.select(*key, F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
+    met = words.join(n, "_w").drop("_w").join(texts, key)
+    return met.where(F.concat(F.lit(" "), F.col(text), F.lit(" ")).contains(F.concat(F.lit(" "), F.col(name), F.lit(" "))))
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
