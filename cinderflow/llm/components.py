@@ -10,7 +10,7 @@ from cinderflow.storage import written
 SALTS = 8
 
 
-def _salted(links: DataFrame, one: DataFrame, key: str, other: str) -> DataFrame:
+def salted(links: DataFrame, one: DataFrame, key: str, other: str) -> DataFrame:
     """links joined by key with the one row that `one` has for it. A node may hold most links: they are dealt by the other end too."""
     part = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
     return links.withColumn("_part", part).join(one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_part"]).drop("_part")
@@ -30,10 +30,10 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: every greater neighbour is tied to the node's least one (itself included).
         both = edges.select(F.col("hi").alias("n"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("n"), F.col("hi").alias("v")))
         least = both.groupBy("n").agg(F.least(F.min("v"), F.first("n")).alias("m"))
-        large = _salted(both.where("v > n"), least, "n", "v").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = salted(both.where("v > n"), least, "n", "v").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         # Small star: the lesser neighbours and the node itself are tied to the least.
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        tied = _salted(large, down, "hi", "lo")
+        tied = salted(large, down, "hi", "lo")
         small = tied.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(down.select("hi", F.col("m").alias("lo")))
         new = written(small.distinct(), "links")
         if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():

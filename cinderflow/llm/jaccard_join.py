@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderflow.llm import textkernel as K
-from cinderflow.llm.components import components
+from cinderflow.llm.components import components, salted
 from cinderflow.storage import settled, without, written
 
 WIDTH = 5
@@ -341,7 +341,7 @@ def class_links(classes: DataFrame, counted: bool) -> tuple[DataFrame, DataFrame
     everyone = postings.select("cls").distinct().join(chosen, "cls", "left").select("cls", F.coalesce("group", "cls").alias("group"))
     member = written(everyone, "members")
     sizes = member.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = member.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    placed = salted(member, sizes, "group", "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
 
     # Members with their group's leader: every member once, the leader once a block.
     spread = lambda df, blocks, name: df.select("*", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias(name))
@@ -363,7 +363,7 @@ def class_links(classes: DataFrame, counted: bool) -> tuple[DataFrame, DataFrame
         inside = inside.withColumn("strays", F.col("blocks")).withColumn("row", F.col("block"))
     else:
         astray = inside.where("not linked").groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("strays"))
-        inside = inside.join(astray, "group").withColumn("row", F.when(~F.col("linked"), row))
+        inside = salted(inside, astray, "group", "cls").withColumn("row", F.when(~F.col("linked"), row))
     lone = spread(inside.where("row is not null"), "blocks", "b2").select("cls", F.lit(1).alias("side"), "group", F.col("row").alias("b1"), "b2")
     rest = spread(inside, "strays", "b1").select("cls", F.lit(2).alias("side"), "group", "b1", F.col("block").alias("b2"))
     # A set that meets its own block is on both sides of that unit.
