@@ -416,4 +416,17 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op2_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\v\f\r]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, rn, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+e AS (SELECT rn, unnest(sh) AS x FROM s),
+p AS (SELECT a.rn AS a, b.rn AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.rn <> b.rn GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s x ON x.rn = a JOIN s y ON y.rn = b WHERE 100 * c >= 80 * (len(x.sh) + len(y.sh) - c)),
+r(n, m) AS (SELECT rn, rn FROM s UNION SELECT r.n, l.b FROM r JOIN l ON l.a = r.m),
+least_id AS (SELECT n, min(doc_id) AS component_id FROM r JOIN s ON s.rn = r.m GROUP BY 1)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, (SELECT count(*) FROM l WHERE l.a = s.rn) AS n_links FROM s JOIN least_id ON n = s.rn"""
+}
