@@ -135,33 +135,117 @@ _FLOOR = np.diag(np.square(FLOOR))
 
 
 def _estimated(batches):
-    """One row a group and start: vectors in the group, those held and their sums and sums of products, to location and scatter."""
+    """One row a group and start: vectors in the group, share held, and the sums of _held(), to location and scatter."""
     for b in batches:
-        x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != "g"}
         found = []
-        for r in range(b.num_rows):
-            mu = np.array([x[f"s{i}"][r] for i in range(D)]) / x["held"][r]
-            cov = _matrix([x[f"q{k}"][r] / x["held"][r] for k in range(len(_PAIRS))]) - np.outer(mu, mu)
-            found.append((x["whole"][r], mu, cov * consistency(x["share"][r], D) + _FLOOR))
+        for whole, share, sums in zip(*(b.column(c).to_pylist() for c in ("whole", "share", "sums")), strict=True):
+            sums = np.array(sums)
+            mu = sums[1 : 1 + D] / sums[0]
+            found.append((whole, mu, (_matrix(sums[1 + D :] / sums[0]) - np.outer(mu, mu)) * consistency(share, D) + _FLOOR))
         yield _parameters(["g", "start"], [b.column("g"), b.column("start")], found)
 
 
 def _started(batches):
-    """One row a group: medians, deviations, means of products of signs (a) and of squashed values (b), to the starts."""
+    """One row a group: its size, medians, deviations and the sums of _shapes(), to the starts."""
     for b in batches:
-        x = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != "g"}
         found, g, start = [], [], []
-        for r in range(b.num_rows):
-            mu, sd = (np.array([x[f"{k}_{v}"][r] for v in _V]) for k in "ms")
-            signs, squashed = (_matrix([x[f"{k}{i}"][r] for i in range(len(_PAIRS))]) for k in "ab")
+        for name, whole, mu, sd, sums in zip(*(b.column(c).to_pylist() for c in ("g", "whole", "m", "s", "sums")), strict=True):
+            mu, sd, means = np.array(mu), np.array(sd), np.array(sums) / whole
+            signs, squashed = _matrix(means[: len(_PAIRS)]), _matrix(means[len(_PAIRS) :])
             size = np.sqrt(np.maximum(np.diag(squashed), 1e-9))
             for k, shape in enumerate((np.eye(D), signs * D, squashed / np.outer(size, size))):
-                found.append((x["whole"][r], mu, shape * np.outer(sd, sd) + _FLOOR))
-                g.append(b.column("g")[r].as_py())
+                found.append((whole, mu, shape * np.outer(sd, sd) + _FLOOR))
+                g.append(name)
                 start.append(k)
         yield _parameters(["g", "start"], [pa.array(g, pa.string()), pa.array(start, pa.int32())], found)
 
 
+_I, _J = (np.array([p[k] for p in _PAIRS]) for k in (0, 1))
+
+
+def _list(column, n: int) -> np.ndarray:
+    """A list column as a matrix of n rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def _values(b) -> np.ndarray:
+    return np.stack([b.column(v).to_numpy(zero_copy_only=False) for v in _V], 1)
+
+
+def _squared(b) -> np.ndarray:
+    """Squared distances of a batch's vectors, under each of the estimates (mu, inv) that stand beside them: a column for each."""
+    n = b.num_rows
+    v, mu, inv = _values(b), _list(b.column("mu"), n), _list(b.column("inv"), n)
+    out = []
+    for k in range(mu.shape[1] // D):
+        off = v - mu[:, k * D : (k + 1) * D]
+        out.append((off[:, _I] * off[:, _J] * inv[:, k * len(_PAIRS) : (k + 1) * len(_PAIRS)]).sum(1))
+    return np.stack(out, 1) if out else np.zeros((n, 0))
+
+
+def _distances(batches):
+    for b in batches:
+        if b.num_rows:
+            d = _squared(b)
+            yield pa.RecordBatch.from_arrays([b.column("g"), *(pa.array(d[:, k]) for k in range(STARTS))], ["g", *(f"d{k}" for k in range(STARTS))])
+
+
+def _added(batches, parts):
+    """Sums by group and start over a task's rows. parts(batch) gives for each start a mask (or None) and a matrix with a row a vector; a
+    task sends a row a group and start."""
+    held: dict[tuple, np.ndarray] = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names = b.column("g").dictionary_encode()
+        code, names = names.indices.to_numpy(), names.dictionary.to_pylist()
+        order = np.argsort(code, kind="stable")
+        for k, (mask, m) in enumerate(parts(b)):
+            at = order if mask is None else order[mask[order]]
+            if not len(at):
+                continue
+            begin = np.flatnonzero(np.append(True, code[at][1:] != code[at][:-1]))
+            for c, x in zip(code[at][begin], np.add.reduceat(m[at], begin), strict=True):
+                key = names[c], k
+                held[key] = held[key] + x if key in held else x
+    keys = list(held)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([g for g, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int32()), pa.array([held[k].tolist() for k in keys], pa.list_(pa.float64()))], ["g", "start", "sums"]
+    )
+
+
+def _held(batches):
+    """Sums of 1, values and products of values over what is within upto, for each start."""
+
+    def parts(b):
+        v = _values(b)
+        m = np.concatenate([np.ones((len(v), 1)), v, v[:, _I] * v[:, _J]], 1)
+        within = _squared(b) <= _list(b.column("upto"), b.num_rows)
+        return [(within[:, k], m) for k in range(within.shape[1])]
+
+    yield from _added(batches, parts)
+
+
+def _shapes(batches):
+    """Sums of products of spatial signs and of squashed values about the medians (m) in units of the deviations (s)."""
+
+    def parts(b):
+        z = (_values(b) - _list(b.column("m"), b.num_rows)) / _list(b.column("s"), b.num_rows)
+        u, t = z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-9), np.tanh(z)
+        return [(None, np.concatenate([u[:, _I] * u[:, _J], t[:, _I] * t[:, _J]], 1))]
+
+    yield from _added(batches, parts)
+
+
+_SUMS = "g string, start int, sums array<double>"
+
+
+def _total(partial: DataFrame) -> DataFrame:
+    """g, start, sums of the tasks' sums: lists are added place by place."""
+    by = partial.select("g", "start", F.posexplode("sums").alias("at", "x")).groupBy("g", "start", "at").agg(F.sum("x").alias("x"))
+    return by.groupBy("g", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("sums"))
+
+
 def blend(own: tuple, prior: tuple, k: float = PRIOR) -> tuple:
     """(n, mu, cov) of a group of n vectors leaning on a prior that counts as k."""
     (n, m, c), (_, m0, c0) = own, prior
@@ -188,41 +272,35 @@ def leaning(found: DataFrame, tree: DataFrame) -> DataFrame:
     return rows.select("g", *[f"{c}{i}" for i in range(3) for c in ("n", "mu", "cov")]).mapInArrow(_blended, "g string, " + _SHAPE)
 
 
-def _with(rows: DataFrame, params: DataFrame, few: bool, keys=("g",)) -> DataFrame:
+def _with(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     """rows with the rows that params has for their group.
 
     A group may hold most rows, so they are never dealt by group: params is broadcast where there are few groups,
     and repeated for SALTS parts of each where there are many.
     """
     if few:
-        return rows.join(F.broadcast(params), list(keys))
+        return rows.join(F.broadcast(params), "g")
     salted = rows.withColumn("_part", F.pmod(F.xxhash64(*_V), F.lit(SALTS)).cast("int"))
-    return salted.join(params.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_part"]).drop("_part")
-
-
-def _sums(values: list, prefix: str):
-    return [F.sum(values[i] * values[j]).alias(f"{prefix}{k}") for k, (i, j) in enumerate(_PAIRS)]
+    return salted.join(params.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "_part"]).drop("_part")
 
 
 def starts(vectors: DataFrame, few: bool) -> DataFrame:
     """g, start and parameters of the starts of each group."""
-    centre = written(vectors.groupBy("g").agg(F.count(F.lit(1)).alias("whole"), *[F.percentile_approx(v, 0.5).alias(f"m_{v}") for v in _V]), "mcd-centre")
-    apart = _with(vectors, centre, few).groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5).alias(f"d_{v}") for v in _V])
+    medians = lambda xs: F.array(*[F.percentile_approx(x, 0.5) for x in xs])
+    centre = written(vectors.groupBy("g").agg(F.count(F.lit(1)).alias("whole"), medians(_V).alias("m")), "mcd-centre")
+    apart = _with(vectors, centre, few).groupBy("g").agg(medians([F.abs(F.col(v) - F.element_at("m", i + 1)) for i, v in enumerate(_V)]).alias("d"))
     # A median deviation times 1.4826 is a normal distribution's standard deviation.
-    scale = apart.select("g", *[F.sqrt(F.pow(F.col(f"d_{v}") * 1.4826, 2) + FLOOR[i] ** 2).alias(f"s_{v}") for i, v in enumerate(_V)])
+    scale = apart.select("g", F.array(*[F.sqrt(F.pow(F.element_at("d", i + 1) * 1.4826, 2) + FLOOR[i] ** 2) for i in range(D)]).alias("s"))
     told = written(centre.join(scale, "g"), "mcd-scale")
-    far = _with(vectors, told, few).withColumns({f"z{i}": (F.col(v) - F.col(f"m_{v}")) / F.col(f"s_{v}") for i, v in enumerate(_V)})
-    far = far.withColumn("norm", F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)), F.lit(0.0))), F.lit(1e-9)))
-    far = far.withColumns({f"u{i}": F.col(f"z{i}") / F.col("norm") for i in range(D)} | {f"t{i}": F.tanh(f"z{i}") for i in range(D)})
-    sums = far.groupBy("g").agg(*_sums([F.col(f"u{i}") for i in range(D)], "a"), *_sums([F.col(f"t{i}") for i in range(D)], "b")).join(told, "g")
-    means = [(F.col(f"{k}{i}") / F.col("whole")).alias(f"{k}{i}") for k in "ab" for i in range(len(_PAIRS))]
-    return sums.select("g", "whole", *[f"{k}_{v}" for k in "ms" for v in _V], *means).mapInArrow(_started, "g string, start int, " + _SHAPE)
+    sums = _total(_with(vectors, told, few).select("g", "m", "s", *_V).mapInArrow(_shapes, _SUMS)).drop("start")
+    return sums.join(told, "g").select("g", F.col("whole").cast("double").alias("whole"), "m", "s", "sums").mapInArrow(_started, "g string, start int, " + _SHAPE)
 
 
-def _moments(held: DataFrame, share):
-    """Parameters of what is held, by group and start."""
-    sums = held.groupBy("g", "start").agg(F.first("n").alias("whole"), F.count(F.lit(1)).cast("double").alias("held"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(_V)], *_sums([F.col(v) for v in _V], "q"))
-    return written(sums.withColumn("share", share).mapInArrow(_estimated, "g string, start int, " + _SHAPE), "mcd")
+def _moments(vectors: DataFrame, cut: DataFrame, few: bool, share) -> DataFrame:
+    """Parameters, by group and start, of the vectors within cut (g, n, mu, inv, upto: a list each with an entry for each start)."""
+    near = _with(vectors, cut, few).select("g", "mu", "inv", "upto", *_V).mapInArrow(_held, _SUMS)
+    told = _total(near).join(cut.select("g", F.col("n").alias("whole")), "g").withColumn("held", F.element_at("sums", 1))
+    return written(told.select("g", "start", "whole", share.alias("share"), "sums").mapInArrow(_estimated, "g string, start int, " + _SHAPE), "mcd")
 
 
 def determinants(vectors: DataFrame, few: bool, steps: int = MOST_STEPS) -> DataFrame:
@@ -230,9 +308,12 @@ def determinants(vectors: DataFrame, few: bool, steps: int = MOST_STEPS) -> Data
     now = written(starts(vectors, few), "mcd")
     share = F.least(F.greatest(F.ceil(((F.col("n") + D + 1) / (2 * F.col("n")) - 0.5) / 0.025).cast("int"), F.lit(0)), F.lit(len(HELD) - 1)) + 1
     for step in range(steps):
-        far = _with(vectors, now.select("g", "start", "n", "mu", "inv"), few).withColumn("d2", _distance())
-        upto = far.groupBy("g", "start").agg(F.percentile_approx("d2", HELD).alias("upto"), F.first("n").alias("n")).select("g", "start", F.element_at("upto", share).alias("upto"))
-        new = _moments(_with(far, written(upto, "mcd-upto"), few, ("g", "start")).where("d2 <= upto"), F.least(F.lit(1.0), F.col("held") / F.col("whole")))
+        by = now.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("start", "mu", "inv"))).alias("p"), F.first("n").alias("n"))
+        wide = written(by.select("g", "n", F.flatten(F.transform("p", lambda x: x["mu"])).alias("mu"), F.flatten(F.transform("p", lambda x: x["inv"])).alias("inv")), "mcd-wide")
+        far = _with(vectors, wide, few).select("g", "mu", "inv", *_V).mapInArrow(_distances, "g string, " + ", ".join(f"d{k} double" for k in range(STARTS)))
+        quantiles = far.groupBy("g").agg(*[F.percentile_approx(f"d{k}", HELD).alias(f"u{k}") for k in range(STARTS)])
+        cut = written(wide.join(quantiles, "g").select("g", "n", "mu", "inv", F.array(*[F.element_at(f"u{k}", share) for k in range(STARTS)]).alias("upto")), "mcd-cut")
+        new = _moments(vectors, cut, few, F.least(F.lit(1.0), F.col("held") / F.col("whole")))
         moved = new.select("g", "start", F.col("logdet").alias("to")).join(now.select("g", "start", "logdet"), ["g", "start"]).agg(F.max(F.abs(F.col("to") - F.col("logdet")))).first()[0]
         now = new
         if step and (moved is None or moved <= SETTLED):
@@ -251,9 +332,9 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
     tree = written(tree.unionByName(above).unionByName(top), "mcd-tree")
     few = tree.limit(BROADCAST_POOLS + 1).count() <= BROADCAST_POOLS
     raw = written(leaning(determinants(vectors, few), tree), "mcd-raw")
-    near = _with(vectors, raw.select("g", "n", "mu", "inv"), few).withColumn("d2", _distance()).where(F.col("d2") <= chi_square_quantile(1 - REWEIGHTED, D))
+    cut = raw.select("g", "n", "mu", "inv", F.array(F.lit(chi_square_quantile(1 - REWEIGHTED, D))).alias("upto"))
     # A group none of whose vectors is within keeps its raw estimate.
-    last = _moments(near.withColumn("start", F.lit(0)), F.lit(1 - REWEIGHTED)).drop("start")
+    last = _moments(vectors, cut, few, F.lit(1 - REWEIGHTED)).drop("start")
     last = last.unionByName(raw.join(last.select("g"), "g", "left_anti").select(*last.columns))
     return written(leaning(last, tree), "mcd-final"), few
 
