@@ -770,7 +770,7 @@ def test_quality_classifier(spark):
 
 def test_quality_classifier_edges(spark):
     """Labels of documents that are not there don't crowd out the others; one label only, very long and empty texts, extra columns."""
-    docs = spark.createDataFrame([(k, "plain words of good prose, you see. " * 20 if k % 2 else "|| ## $$ " * 40, "x") for k in range(200)], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(k, "plain words of good prose, you see. " * 20 if k % 2 else "|| ## $$ " * 40, "x", "y") for k in range(200)], "doc_id long, text string, __score string, __text string")
     here = [(k, k % 2) for k in range(200)]
     absent = [(10_000 + k, k % 2) for k in range(4000)]
     labels = spark.createDataFrame(here + absent, "doc_id long, quality int")

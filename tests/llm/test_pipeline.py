@@ -23,7 +23,7 @@ def test_stages_on_their_inputs(spark):
     documents = spark.read.parquet(f"{DIR}/documents.parquet")
     # odd rows, and columns with names that the operators use
     odd = documents.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "lang", F.lit(None).cast("string").alias("source"), "n_chars")
-    docs = documents.unionByName(odd).unionByName(documents.limit(2)).withColumn("row", F.lit("x")).withColumn("score", F.lit("y"))
+    docs = documents.unionByName(odd).unionByName(documents.limit(2)).withColumns({c: F.lit("x") for c in ("row", "score", "n", "cls", "group", "shard", "place", "hits", "print", "size", "ids", "start", "__text", "spot")})
     inputs = [docs]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, inputs[-1], DIR)
@@ -61,6 +61,18 @@ def test_empty_documents(spark):
         assert docs.count() == 0
 
 
+def test_run_leaves_no_earlier_stage(spark):
+    from cinderflow import storage
+
+    mark = storage.given()
+    out = corpus_pipeline.run(spark, DIR)
+    names = [p.rsplit("/", 1)[1].split("-")[0] + "-" + p.rsplit("/", 1)[1].split("-")[1] for p in storage._given[mark:]]
+    assert out.count() > 0 and [n for n in names if n.startswith("stage-")] == ["stage-3"] and not any(n.startswith(("sets", "mix-sizes", "stats")) for n in names)
+    shared = storage.shared_dir(spark).removeprefix("file://")
+    assert sum(n.startswith("stage-") for n in os.listdir(shared)) == 1
+    assert [r["n_tokens"] for r in out.orderBy("start").collect()] == [r["n_tokens"] for r in corpus_pipeline.run(spark, DIR).orderBy("start").collect()]  # reruns agree
+
+
 def test_registered():
     import __spark_entry__
 
