@@ -17,9 +17,33 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or "file:///tmp/checkpoints/cinderflow").rstrip("/")
 
 
+#: Paths that fresh_path() gave out in this process and that are not removed yet.
+_given: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _given.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def given() -> int:
+    """How many paths have been given out: a mark for remove_since()."""
+    return len(_given)
+
+
+def last_given() -> str:
+    return _given[-1]
+
+
+def remove_since(spark: SparkSession, mark: int, keep: str | None = None) -> None:
+    """Removes what was written to the paths given out since the mark, but for `keep`. Only for tables that nothing reads any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _given[mark:]:
+        if path != keep:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    _given[mark:] = [keep] if keep in _given[mark:] else []
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:

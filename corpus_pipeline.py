@@ -1,9 +1,14 @@
-"""The corpus pipeline: documents through five operators, each stage written and reread before the next."""
+"""The corpus pipeline: documents through five operators, each stage written and reread before the next.
+
+Edge cases: null or empty texts, null ids and sources, repeated rows and very long texts go through as each operator's module states; repeated
+rows stay or go together. Extra columns, whatever their names, are kept by all stages but the last. Empty tables give empty results: without
+labels nothing is rejected, without a benchmark nothing is contaminated.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cinderflow.llm import decontamination, jaccard_join, mixing, quality_classifier, token_ids
-from cinderflow.storage import ship_package, written
+from cinderflow.storage import given, last_given, remove_since, ship_package, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +51,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over documents, each written before the next; what only an earlier stage read is removed."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), given()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{k}")
+            remove_since(spark, held, keep=last_given())
     return docs
 
 
