@@ -43,3 +43,10 @@ def excel_serial(n):
 
 def month_of_epoch(seconds):
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM")
+
+
+def quarter_frames(first_year: int, upto):
+    """Names of quarter-end frames from the third quarter of first_year to the quarter of `upto`, newest first."""
+    begin = F.make_date(F.lit(first_year), F.lit(7), F.lit(1))
+    months = F.sequence(begin, F.date_trunc("quarter", upto).cast("date"), F.expr("interval 3 months"))
+    return F.transform(F.reverse(months), lambda m: F.concat(F.lit("CY"), F.year(m).cast("string"), F.lit("Q"), F.quarter(m).cast("string"), F.lit("I")))

@@ -62,9 +62,13 @@ def owners(x):
     return F.filter(F.transform(F.split(x, ";"), one), lambda o: o["name"] != "")
 
 
+#: Typographic punctuation and what stands for each.
+FOLDED = ("‘’“”–— ", "''\"\"-- ")
+
+
 def folded(x):
     """Typographic punctuation as ASCII."""
-    return F.translate(x, "‘’“”–— ", "''\"\"-- ")
+    return F.translate(x, *FOLDED)
 
 
 def redacted(url):

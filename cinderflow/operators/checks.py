@@ -125,3 +125,22 @@ def weight_verdict(totals: DataFrame, default: DataFrame, runs: int, top: float
     counts = shares.agg(F.count(F.lit(1)).alias("companies"), F.count_if(F.col("top_share") >= 0.9).alias("always_top"), F.count_if(F.col("bottom_share") >= 0.9).alias("always_bottom"))
     status = F.when(F.col("median_rho") >= 0.7, "passed").otherwise("flagged")
     return rho.crossJoin(best).crossJoin(counts).select(F.lit(runs).alias("runs"), "companies", "median_rho", "rho_p5", "top50_stay_share", "always_top", "always_bottom", status.alias("status"))
+
+
+def repository_findings(catalog: DataFrame, files: DataFrame, least_ready: int = 3) -> DataFrame:
+    """rule, category, indicator_id of all catalogs (category, indicator_id, status) and indicator files (category, indicator_id): an id of two
+    categories, a ready one without a file, a file that is not listed, and categories (id NULL) with too few ready ones."""
+    key = ["category", "indicator_id"]
+    found = lambda df, rule: df.select(F.lit(rule).alias("rule"), *key)
+    twice = catalog.groupBy("indicator_id").agg(F.countDistinct("category").alias("_n")).where("_n > 1")
+    few = catalog.groupBy("category").agg(F.count_if(F.col("status") == "ready").alias("_n")).where(F.col("_n") < least_ready).select("category", F.lit(None).cast("string").alias("indicator_id"))
+    out = found(catalog.join(twice, "indicator_id", "left_semi").distinct(), "clash")
+    out = out.unionByName(found(catalog.where("status = 'ready'").join(files, key, "left_anti"), "no_file"))
+    return out.unionByName(found(files.join(catalog, key, "left_anti"), "not_listed")).unionByName(found(few, "few_ready"))
+
+
+def note_against_fact(notes: DataFrame, facts: DataFrame, pattern: str, tolerance: float = 0.01, least: float = 0.7) -> DataFrame:
+    """n, agree, passed: numbers that pattern finds in notes (ticker, year, note) against an independent value (ticker, year, value)."""
+    said = notes.withColumn("_x", F.regexp_extract("note", pattern, 1).try_cast("double")).where("_x is not null")
+    same = F.avg((F.abs(F.col("_x") - F.col("value")) <= tolerance).cast("double"))
+    return said.join(facts, ["ticker", "year"]).where("value is not null").agg(F.count(F.lit(1)).alias("n"), same.alias("agree"), (same >= least).alias("passed"))

@@ -281,7 +281,7 @@ def x01_html_text(spark, d):
     return _t(spark, d, "pages").select("page_id", TX.html_text(F.col("html")).alias("text"))
 
 
-@query()
+@query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)</?(?:b|i|u|em|strong|span|font|a)(?: [^>]*)?>', '', 'g'), '<[^>]*>', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages""")
 def x02_inline_text(spark, d):
     return _t(spark, d, "pages").select("page_id", TX.inline_text(F.col("html")).alias("text"))
 

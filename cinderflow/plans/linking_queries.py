@@ -3,12 +3,16 @@
 from pyspark.sql import functions as F
 
 from cinderflow.functions import arrays as A
+from cinderflow.functions import dates as DT
 from cinderflow.functions import text as T
 from cinderflow.functions.numbers import r6
+from cinderflow.operators import checks as C
 from cinderflow.operators import entities as E
 from cinderflow.operators import joins as J
 from cinderflow.operators import linking as L
+from cinderflow.operators import scoring
 from cinderflow.plans import fixtures as X
+from cinderflow.plans import indicator_queries as IQ
 
 QUERIES, ORACLE = {}, {}
 
@@ -391,3 +395,74 @@ def z21_codes(spark, d):
     base = n.select("n_nationkey", F.concat(F.upper(F.substring("n_name", 1, 3)), F.col("n_nationkey").cast("string")).alias("value"))
     fixed = n.join(spark.createDataFrame([("NATION_3", "XYZ"), ("NATION_7", "QQQ")], "n_name string, value string"), "n_name").select("n_nationkey", "value")
     return J.overlay(base, fixed, ["n_nationkey"]).withColumnRenamed("value", "code")
+
+
+# ---------------------------------------------------------------- calendar and checks
+@query("SELECT o_orderkey, CAST(year(d) - CASE WHEN make_date(CAST(year(d) AS INTEGER), CAST(1 + o_custkey % 12 AS INTEGER), least(CAST(25 + o_custkey % 7 AS INTEGER), 28)) < d THEN 0 ELSE 1 END AS INTEGER) AS year FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)")
+def fd03_year_of_filing(spark, d):
+    o = X.table(spark, d, "orders")
+    return o.select("o_orderkey", DT.fiscal_year_of_filing(F.col("o_orderdate"), (1 + F.col("o_custkey") % 12).cast("int"), (25 + F.col("o_custkey") % 7).cast("int")).alias("year"))
+
+
+@query("SELECT s_suppkey, array_to_string(list_transform(list_reverse(generate_series(DATE '1998-07-01', date_trunc('quarter', DATE '1999-01-15' + CAST(s_suppkey * 9 AS INTEGER)), INTERVAL 3 MONTH)), lambda m: 'CY' || year(m) || 'Q' || quarter(m) || 'I'), ' ') AS frames FROM supplier")
+def fd07_quarter_frames(spark, d):
+    upto = F.date_add(F.lit("1999-01-15").cast("date"), (F.col("s_suppkey") * 9).cast("int"))
+    return X.table(spark, d, "supplier").select("s_suppkey", F.array_join(DT.quarter_frames(1998, upto), " ").alias("frames"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m') AS month FROM events")
+def fd08_month_of_epoch(spark, d):
+    return X.table(spark, d, "events").select("event_id", DT.month_of_epoch(F.unix_timestamp("ts")).alias("month"))
+
+
+@query("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS parsed, strftime(DATE '1899-12-30' + CAST(30000 + o_orderkey % 9000 AS INTEGER), '%Y-%m-%d') AS serial FROM orders")
+def fd09_parsed_dates(spark, d):
+    k = F.col("o_orderkey") % 3
+    text_ = F.when(k == 0, F.date_format("o_orderdate", "MMddyyyy")).when(k == 1, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    told = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return X.table(spark, d, "orders").select("o_orderkey", told(DT.parse_any(text_, "MMddyyyy", "MM/dd/yyyy", "yyyy-MM-dd")).alias("parsed"), told(DT.excel_serial(30000 + F.col("o_orderkey") % 9000)).alias("serial"))
+
+
+CATALOGS = values("category, indicator_id, status", ("eco", "a", "ready"), ("eco", "b", "ready"), ("eco", "c", "ready"), ("soc", "a", "planned"), ("soc", "d", "ready"), ("env", "e", "ready"), ("env", "f", "ready"), ("env", "g", "ready"))
+KEPT = values("category, indicator_id", ("eco", "a"), ("eco", "b"), ("eco", "c"), ("soc", "d"), ("env", "e"), ("env", "f"), ("env", "stray"))
+
+
+@query(f"""WITH c AS ({CATALOGS}), f AS ({KEPT}) SELECT 'clash' AS rule, category, indicator_id FROM c WHERE indicator_id IN (SELECT indicator_id FROM c GROUP BY 1 HAVING count(DISTINCT category) > 1) UNION ALL SELECT 'no_file', category, indicator_id FROM c WHERE status = 'ready' AND NOT EXISTS (SELECT 1 FROM f WHERE f.category = c.category AND f.indicator_id = c.indicator_id)
+UNION ALL SELECT 'not_listed', category, indicator_id FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE f.category = c.category AND f.indicator_id = c.indicator_id) UNION ALL SELECT 'few_ready', category, NULL FROM c GROUP BY category HAVING count(*) FILTER (status = 'ready') < 3""")
+def q03_repository_rules(spark, d):
+    return C.repository_findings(_rows(spark, CATALOGS), _rows(spark, KEPT))
+
+
+@query(IQ._with("tax", "pretax") + """, n AS (SELECT t.ticker, t.year, round(t.value / p.value, 4) AS x FROM tax t JOIN pretax p USING (ticker, year, period_end) WHERE p.value > 0),
+f AS (SELECT tax.ticker, tax.year, tax.value / nullif(pretax.value, 0) + CASE WHEN CAST(tax.ticker AS BIGINT) % 5 = 0 THEN 0.5 ELSE 0 END AS value FROM tax JOIN pretax USING (ticker, year))
+SELECT count(*) AS n, round(avg(CASE WHEN abs(x - value) <= 0.01 THEN 1.0 ELSE 0.0 END), 6) AS agree, avg(CASE WHEN abs(x - value) <= 0.01 THEN 1.0 ELSE 0.0 END) >= 0.7 AS passed FROM n JOIN f USING (ticker, year) WHERE value IS NOT NULL""")
+def q11_note_against_fact(spark, d):
+    """The rate in an indicator's note against the rate of the facts, some of which disagree."""
+    tax, pretax = IQ.view(spark, d, "tax"), IQ.view(spark, d, "pretax")
+    met = tax.alias("t").join(pretax.alias("p"), ["ticker", "year", "period_end"]).where("p.value > 0")
+    notes = met.select("ticker", "year", F.concat(F.lit("effective_rate="), F.format_string("%.4f", F.round(F.col("t.value") / F.col("p.value"), 4)), F.lit(" (tax, pretax)")).alias("note"))
+    off = F.when(F.col("ticker").cast("long") % 5 == 0, 0.5).otherwise(0.0)
+    facts = tax.alias("t").join(pretax.alias("p"), ["ticker", "year"]).select("ticker", "year", (F.col("t.value") / F.nullif(F.col("p.value"), F.lit(0.0)) + off).alias("value"))
+    return C.note_against_fact(notes, facts, r"effective_rate=(-?[0-9.]+)").withColumn("agree", r6(F.col("agree")))
+
+
+@query(X.SQL + "SELECT indicator_id FROM (VALUES ('eco1'), ('gone'), ('lost')) AS t(indicator_id) WHERE indicator_id NOT IN (SELECT indicator_id FROM catalog)")
+def c07_unknown_weights(spark, d):
+    """Indicators that a profile weighs in vain."""
+    from dataclasses import replace
+
+    found = scoring.unknown_weights(X.catalog(spark), replace(X.PROFILE, indicator_weights={"eco1": 1.0, "lost": 1.0, "gone": 2.0}))
+    return spark.createDataFrame([(i,) for i in found], "indicator_id string")
+
+
+_FOLD = [f.replace("'", "''") for f in T.FOLDED]
+
+
+@query(f"SELECT conv_id, turn, translate(text || ' {_FOLD[0]} a', '{_FOLD[0]}', '{_FOLD[1]}') AS text FROM conversations")
+def fs13_folded(spark, d):
+    return X.table(spark, d, "conversations").select("conv_id", "turn", T.folded(F.concat("text", F.lit(f" {T.FOLDED[0]} a"))).alias("text"))
+
+
+@query("SELECT o_orderkey, 'total of ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || ' in ' || CAST(year(o_orderdate) AS VARCHAR) AS note FROM orders")
+def fs16_notes(spark, d):
+    return X.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("total of "), F.format_number(F.floor("o_totalprice"), 0), F.lit(" in "), F.year("o_orderdate").cast("string")).alias("note"))
