@@ -47,7 +47,7 @@ END_ID = 2
 #: Bytes of input for a shard (as the scan's statistics give them): their number follows the data, so a task's share doesn't.
 SHARD_BYTES = 16 << 20
 #: Text bytes encoded at a time, and bytes after which a block ends.
-SLICE_BYTES, BLOCK_BYTES, BLOCKS_PER_FILE = 5 << 20, 4 << 20, 4
+SLICE_BYTES, BLOCK_BYTES, BLOCKS_PER_FILE = 8 << 20, 4 << 20, 4
 #: Distinct words given to the tokenizer in one call.
 AT_A_TIME = 4000
 _HEADER = struct.Struct("<4sIIIQQ")
@@ -100,7 +100,10 @@ def gather(ids: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarr
     """The runs ids[at[k]:at[k + 1]] for k in which, one after another, and where each begins."""
     lengths = np.diff(at)[which]
     ends = np.cumsum(lengths)
-    return ids[np.repeat(at[:-1][which] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))], np.concatenate([[0], ends])
+    # Places fit in four bytes: a slice is a few megabytes, a single text two gigabytes at most.
+    place = np.repeat((at[:-1][which] - (ends - lengths)).astype(np.int32), lengths)
+    place += np.arange(len(place), dtype=np.int32)
+    return ids[place], np.concatenate([[0], ends])
 
 
 def _one_by_one(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
