@@ -1,6 +1,8 @@
 """Shared storage: where intermediate tables go, and how lineage is cut."""
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,33 +19,60 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or "file:///tmp/checkpoints/cinderflow").rstrip("/")
 
 
-#: Paths that fresh_path() gave out in this process and that are not removed yet.
-_given: list[str] = []
+#: The innermost scratch() of this thread or task, if any.
+_scratch: ContextVar["Scratch | None"] = ContextVar("scratch", default=None)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other call gets."""
-    _given.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _given[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (own := _scratch.get()) is not None:
+        own.paths.append(path)
+    return path
 
 
-def given() -> int:
-    """How many paths have been given out: a mark for remove_since()."""
-    return len(_given)
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a path that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def last_given() -> str:
-    return _given[-1]
+class Scratch:
+    """Paths that fresh_path() gave out within one scratch(), and those of them that outlive it."""
 
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: set[str] = set()
 
-def remove_since(spark: SparkSession, mark: int, keep: str | None = None) -> None:
-    """Removes what was written to the paths given out since the mark, but for `keep`. Only for tables that nothing reads any more."""
-    conf = spark._jsc.hadoopConfiguration()
-    for path in _given[mark:]:
-        if path != keep:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-    _given[mark:] = [keep] if keep in _given[mark:] else []
+    def keep(self) -> str:
+        """The last path given out stays."""
+        self.kept.add(self.paths[-1])
+        return self.paths[-1]
+
+    def keep_all(self) -> None:
+        self.kept.update(self.paths)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes at its end, failed or not, what was written within it and not kept; what is kept belongs to the scratch around it.
+
+    Paths belong to the thread (or task) that asked for them, so runs side by side never remove one another's tables.
+    """
+    own, outer = Scratch(), _scratch.get()
+    token = _scratch.set(own)
+    try:
+        yield own
+    except BaseException:
+        own.kept.clear()
+        raise
+    finally:
+        _scratch.reset(token)
+        for path in own.paths:
+            if path not in own.kept:
+                remove(spark, path)
+        if outer is not None:
+            outer.paths += [p for p in own.paths if p in own.kept]
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -58,17 +87,39 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """df itself if its rows come straight from a scan, else df written and reread.
+    """df itself if all its rows come straight from files, else df written and reread.
 
     For operators that number rows by partition and place: a task that runs again after its executor is lost must
-    see the same rows in the same order, which rows fetched from a shuffle don't promise.
+    see the same rows in the same order, which rows fetched from a shuffle, or made by a program, don't promise.
     """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return written(df, name) if "Exchange" in plan or "AdaptiveSparkPlan" in plan else df
-
-
-#: Rows of an Arrow batch to Python workers: whole texts are wide, and a worker holds a batch at a time.
-ARROW_ROWS = 1000
+    return df if from_files(df) else written(df, name)
+
+
+def from_files(df: DataFrame) -> bool:
+    """Whether every leaf of df's physical plan is a scan of files and no shuffle or cache stands between."""
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        below = node.children()
+        kind = node.getClass().getSimpleName()
+        if not below.isEmpty():
+            if "Exchange" in kind or "Adaptive" in kind or "Shuffle" in kind:
+                return False
+            nodes += [below.apply(i) for i in range(below.size())]
+        elif kind not in ("FileSourceScanExec", "BatchScanExec"):
+            return False
+    return True
+
+
+def sized(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df, settled, and the bytes of the files it scans. Statistics of other plans are guesses: 2^63 - 1 for a created frame, products for joins."""
+    df = settled(df, name)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return df, sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+#: Rows and bytes of an Arrow batch to Python workers: whole texts are wide, and a worker holds a batch at a time.
+ARROW_ROWS, ARROW_BYTES = 1000, 64 << 20
 #: Up to so many ids (8 bytes each) are broadcast to leave rows out; above, both sides are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -98,6 +149,7 @@ def ship_package(spark: SparkSession) -> None:
 
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_cinderflow_shipped", False):
         return

@@ -8,7 +8,7 @@ labels nothing is rejected, without a benchmark nothing is contaminated.
 from pyspark.sql import DataFrame, SparkSession
 
 from cinderflow.llm import decontamination, jaccard_join, mixing, quality_classifier, token_ids
-from cinderflow.storage import given, last_given, remove_since, ship_package, written
+from cinderflow.storage import remove, scratch, ship_package, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +52,18 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written before the next; what only an earlier stage read is removed."""
-    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), given()
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
+        with scratch(spark) as own:
+            docs = stage(spark, docs, sf_dir)
+            if k == len(STAGES) - 1:
+                own.keep_all()
+                break
             docs = written(docs, f"stage-{k}")
-            remove_since(spark, held, keep=last_given())
+            kept = own.keep()
+        if held:
+            remove(spark, held)
+        held = kept
     return docs
 
 
