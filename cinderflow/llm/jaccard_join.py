@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from cinderflow.llm import textkernel as K
 from cinderflow.llm.components import components, salted
-from cinderflow.storage import settled, without, written
+from cinderflow.storage import settled, sized, without, written
 
 WIDTH = 5
 #: Bytes of text and documents of a chunk; input bytes of a bucket, and the fewest buckets.
@@ -214,16 +214,16 @@ def _gathered(table: pa.Table) -> pa.Table:
     )
 
 
-def _bits(docs: DataFrame) -> int:
+def _bits(size: int) -> int:
     """Bucket numbers have so many bits: a bucket holds about BUCKET_BYTES of text up to 2 TB in all, and in proportion more beyond."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return min(20, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)).bit_length() - (1 if size <= LEAST_BUCKETS * BUCKET_BYTES else 0))
 
 
 def sets(docs: DataFrame) -> DataFrame:
     """doc_id, n, cls, shared, tokens: every row of docs; tokens only where it may link with another document."""
-    bits = _bits(docs)
-    blobs = docs.select("doc_id", "text").mapInArrow(K.trimmed(_index(bits)), _ROWS)
+    docs, size = sized(docs.select("doc_id", "text"), "join-docs")
+    bits = _bits(size)
+    blobs = docs.mapInArrow(K.trimmed(_index(bits)), _ROWS)
     back = blobs.groupBy("bucket").applyInArrow(_shared(bits), "chunk long, part int, body binary")
     return back.groupBy("chunk").applyInArrow(_gathered, _SETS)
 

@@ -41,11 +41,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderflow.llm.textkernel import trimmed
-from cinderflow.storage import fresh_path, written
+from cinderflow.storage import fresh_path, sized, written
 
 END_ID = 2
-#: Bytes of input for a shard (as the scan's statistics give them): their number follows the data, so a task's share doesn't.
-SHARD_BYTES = 16 << 20
+#: Bytes of input for a shard: their number follows the data, so a task's share doesn't; beyond MOST_SHARDS (1.6 TB) shards grow
+#: instead, as each meets every map task in the exchange. A task streams its shard, so its memory doesn't grow.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 100_000
 #: Text bytes encoded at a time, and bytes after which a block ends.
 SLICE_BYTES, BLOCK_BYTES, BLOCKS_PER_FILE = 8 << 20, 4 << 20, 4
 #: Distinct words given to the tokenizer in one call.
@@ -304,8 +305,9 @@ def _blocks(ids_by_rank: np.ndarray):
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Writes the ids of docs (doc_id, text) below path."""
     spark = docs.sparkSession
+    docs, size = sized(docs.select("doc_id", "text"), "token-docs")
     # Tokenized once: the ids are counted and encoded from a table in the shared folder.
-    rows = written(docs.select("doc_id", "text").mapInArrow(trimmed(_tokenized(tokenizer)), "doc_id long, n int, crc long, ids binary"), "ids", compression="zstd")
+    rows = written(docs.mapInArrow(trimmed(_tokenized(tokenizer)), "doc_id long, n int, crc long, ids binary"), "ids", compression="zstd")
     counts = rows.select("n", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # At most as many rows as the vocabulary has ids.
     ranked = [x["id"] for x in counts.orderBy(F.desc("n"), "id").collect()]
@@ -313,7 +315,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     spark.createDataFrame([(table,)], "block binary").coalesce(1).select(F.col("block").cast("string")).write.text(f"{path}/ranks")
 
     # Shards are ranges of doc_id, then of length and checksum: one id, or null, may hold many rows and still be split.
-    shards = max(8, int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SHARD_BYTES)
+    shards = max(8, size // max(SHARD_BYTES, size // MOST_SHARDS))
     order = [F.asc_nulls_first("doc_id"), F.asc("n"), F.asc("crc")]
     ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     blocks = ordered.select("doc_id", "n", "ids").mapInArrow(trimmed(_blocks(np.array(ranked, np.int64))), "block binary").select(F.col("block").cast("string"))

@@ -64,13 +64,29 @@ def test_empty_documents(spark):
 def test_run_leaves_no_earlier_stage(spark):
     from cinderflow import storage
 
-    mark = storage.given()
-    out = corpus_pipeline.run(spark, DIR)
-    names = [p.rsplit("/", 1)[1].split("-")[0] + "-" + p.rsplit("/", 1)[1].split("-")[1] for p in storage._given[mark:]]
-    assert out.count() > 0 and [n for n in names if n.startswith("stage-")] == ["stage-3"] and not any(n.startswith(("sets", "mix-sizes", "stats")) for n in names)
+    with storage.scratch(spark) as own:
+        out = corpus_pipeline.run(spark, DIR)
+        names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in own.paths]
+        assert out.count() > 0 and [n for n in names if n.startswith("stage-")] == ["stage-3"] and not any(n.startswith(("sets", "mix-sizes", "stats")) for n in names)
+        lengths = [r["n_tokens"] for r in out.orderBy("start").collect()]
+    left = {p.rsplit("/", 1)[1] for p in own.paths}
     shared = storage.shared_dir(spark).removeprefix("file://")
-    assert sum(n.startswith("stage-") for n in os.listdir(shared)) == 1
-    assert [r["n_tokens"] for r in out.orderBy("start").collect()] == [r["n_tokens"] for r in corpus_pipeline.run(spark, DIR).orderBy("start").collect()]  # reruns agree
+    assert not left & set(os.listdir(shared))  # nothing was kept, so all of it went
+    assert lengths == [r["n_tokens"] for r in corpus_pipeline.run(spark, DIR).orderBy("start").collect()]  # reruns agree
+
+
+def test_runs_side_by_side(spark):
+    """Three runs in one session, two of one operator, leave one another's tables alone."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from cinderflow.llm import class_lm
+
+    def model():
+        return sorted((r["doc_id"], round(r["score"], 6)) for r in class_lm.op6_class_lm(spark, DIR).collect())
+
+    with ThreadPoolExecutor(3) as pool:
+        one, two, three = pool.submit(model), pool.submit(model), pool.submit(lambda: corpus_pipeline.run(spark, DIR).count())
+        assert one.result() == two.result() and three.result() > 0
 
 
 def test_registered():
@@ -78,4 +94,4 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert names["pipeline"] is corpus_pipeline.run
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
