@@ -5,7 +5,7 @@ from importlib import import_module
 
 from cinderflow.storage import ship_package
 
-MODULES = ["url_filters", "mixing", "token_ids", "quality_classifier", "quality_rules", "license_scans", "jaccard_join", "class_lm", "decontamination", "warc"]
+MODULES = ["url_filters", "mixing", "token_ids", "quality_classifier", "quality_rules", "license_scans", "jaccard_join", "class_lm", "decontamination", "warc", "sequence_packing", "hard_negatives", "whitening"]
 
 
 def _parts():

@@ -182,12 +182,12 @@ def _slices(column: pa.Array):
         i = j
 
 
-def encode_column(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def encode_column(path: str, column: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, each with its end id, and where each text's ids begin."""
     which, first, found = _worded(column)
     flat, word_at = gather(*encode_distinct(path, found), which)
     ends = word_at[first[1:]]
-    return np.insert(flat, ends, END_ID), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+    return np.insert(flat, ends, end_id), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
 
 
 def _bits(ranks: np.ndarray) -> np.ndarray:
