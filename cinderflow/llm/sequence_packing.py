@@ -194,7 +194,7 @@ def pack(docs: DataFrame, tokenizer: str, cap: Capacity | None = None, end_id: i
     return met.mapInArrow(_placed(plan(counts, cap)), f"{kinds}, sequence_id long, offset long")
 
 
-def _joined(key, table: pa.Table) -> pa.Table:
+def _joined(key, table):
     table = table.take(pc.sort_indices(table, [("offset", "ascending")]))
     ids = np.frombuffer(b"".join(x.as_py() for x in table.column("ids")), "<u4").astype(np.int64)
     lists = lambda v, kind: pa.array([v], pa.list_(kind))
