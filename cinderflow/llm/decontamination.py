@@ -169,31 +169,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = LEA
     asked = written(asked, "benchmark-windows")
     windows_ = asked.count()
     bits = 1 << (min(MOST_BITS, max(LEAST_BITS, BITS_EACH * windows_)) - 1).bit_length()
-    # No more places than the benchmark has windows, or the table bits.
-    table = np.zeros(bits, bool)
-    table[asked.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("x")).distinct().toArrow()["x"].to_numpy()] = True
+    # Words of 64 bits that have any: no more than the benchmark has windows, 4 million (64 MB) at most; the table itself is 32 MB at most.
+    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    cells = asked.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("v")).toArrow()
+    table = np.zeros(-(-bits // 64), "<i8")
+    table[cells["cell"].to_numpy()] = cells["v"].to_numpy()
     seen = asked.select("form", "size").distinct().collect()
     lengths = [sorted(r["size"] for r in seen if r["form"] == form) for form in FORMS]
     read = settled(docs.select("doc_id", "text"), "decontamination-docs")
-    rows = read.mapInArrow(K.trimmed(_hits(lengths, np.packbits(table, bitorder="little"))), f"row long, doc_id long, hits {_HIT}")
-    hits = rows.select("row", "doc_id", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "hit.*")
+    rows = read.mapInArrow(K.trimmed(_hits(lengths, table.view(np.uint8))), f"row long, doc_id long, hits {_HIT}")
+    rows = written(rows, "hits")
+    # Only documents with hits are joined and grouped.
+    hits = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
     if windows_ <= BROADCAST_WINDOWS:
-        hits = hits.join(F.broadcast(asked), "h", "left")
+        hits = hits.join(F.broadcast(asked), "h")
     else:
         parts = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = hits.withColumn("_part", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(parts, ["h", "_part"], "left").drop("_part")
+        hits = hits.withColumn("_part", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(parts, ["h", "_part"]).drop("_part")
     # Slots that are no placeholders are 0 on both sides.
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda x: x["i"] != 0)
-    at = hits.groupBy("row", "doc_id", "item_id", "form", "whole", "windows", (F.col("place") - F.col("item_place")).alias("offset")).agg(
+    at = hits.groupBy("row", "item_id", "form", "whole", "windows", (F.col("place") - F.col("item_place")).alias("offset")).agg(
         F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs")
     )
     apart = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda x: x[k])))
     sound = (apart("i") == F.size("pairs")) & (apart("d") == F.size("pairs"))
-    by_form = at.groupBy("row", "doc_id", "item_id", "form", "whole", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.when(sound, F.col("places")))))).alias("n"))
+    by_form = at.groupBy("row", "item_id", "form", "whole", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.when(sound, F.col("places")))))).alias("n"))
     share = F.when(F.col("whole"), 1.0).otherwise(least_share)
-    by_item = by_form.groupBy("row", "doc_id", "item_id").agg(F.max(F.col("n") >= F.greatest(F.lit(1.0), F.col("windows") * share)).alias("reached"), F.max("n").alias("n"))
-    leaked = F.col("item_id").isNotNull() & F.col("reached")
-    out = by_item.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set(F.when(leaked, F.col("item_id")))).alias("items"), F.sum(F.when(F.col("item_id").isNotNull(), F.col("n")).otherwise(0)).alias("n_windows"))
+    by_item = by_form.groupBy("row", "item_id").agg(F.max(F.col("n") >= F.greatest(F.lit(1.0), F.col("windows") * share)).alias("reached"), F.max("n").alias("n"))
+    leaked = F.array_sort(F.collect_set(F.when(F.col("reached"), F.col("item_id")))).alias("items")
+    told = by_item.where("item_id is not null").groupBy("row").agg(leaked, F.sum("n").alias("n_windows"))
+    out = rows.select("row", "doc_id").join(told, "row", "left").select("doc_id", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("n_windows", F.lit(0).cast("long")).alias("n_windows"))
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "n_windows")
 
 

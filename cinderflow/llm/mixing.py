@@ -17,12 +17,12 @@ however large, is ordered in one task.
 Edge cases
 * null text or one without words: size 0, taken 0, the row stays; null source: a source of its own, last.
 * all sizes 0, or no rows: targets 0, nothing taken.
-* repeated rows, null doc_ids: each row counts as a document; equal (doc_id, size) rows are interchangeable.
+* repeated rows, null doc_ids: each row counts as a document; only rows equal in all columns are interchangeable.
 * one source: its target is all its words. A source whose target is thrice its size gives every word three times.
 * extra columns of the input, whatever their names, are left out of the result.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderflow.storage import written
@@ -36,13 +36,19 @@ SEED = 20240229
 _ROUNDS = 4
 
 
+def _print(docs: DataFrame) -> Column:
+    """A hash of a row's columns; null differs from empty, and maps count by their JSON."""
+    cells = [F.to_json(docs[f.name]) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema]
+    return F.xxhash64(*cells, F.concat(*[docs[c].isNull().cast("int").cast("string") for c in docs.columns]))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, print (of the text), size, spot (a pseudorandom place in the source's order), bucket.
+    """doc_id, source, print (of all columns), size, spot (a pseudorandom place in the source's order), bucket.
 
-    Rows that agree in doc_id and text are interchangeable, so no other identity is needed.
+    Rows that agree in all columns are interchangeable, so no other identity is needed.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    kept = docs.select("doc_id", "source", F.xxhash64("text").alias("print"), size.alias("size"))
+    kept = docs.select("doc_id", "source", _print(docs).alias("print"), size.alias("size"))
     return kept.withColumn("spot", F.xxhash64("doc_id", "print", F.lit(SEED))).withColumn("bucket", F.pmod("spot", F.lit(BUCKETS)).cast("int"))
 
 
@@ -176,8 +182,8 @@ def _mixed(docs: DataFrame) -> DataFrame:
     # Plain keys, with the null ids in the print, let one exchange of the texts serve both the repeats and the join.
     key, mark = F.coalesce(F.col("doc_id"), F.lit(0)), F.col("doc_id").isNull()
     rows = rows.select(key.alias("__id"), F.xxhash64("print", mark).alias("__print"), "__ranges", "__at")
-    texts = docs.withColumn("__id", key).withColumn("__print", F.xxhash64(F.xxhash64("text"), mark))
-    # Rows equal in doc_id and text are one here; the rows of the plan bring each back.
+    texts = docs.withColumns({"__id": key, "__print": F.xxhash64(_print(docs), mark)})
+    # Rows equal in all columns are one here; the rows of the plan bring each back.
     texts = texts.dropDuplicates(["__id", "__print"])
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
     cut = lambda w: F.transform("__ranges", lambda r: F.array_join(F.slice(w, (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")), " "))
