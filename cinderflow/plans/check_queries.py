@@ -56,10 +56,17 @@ def q01_validate(spark, d):
     return Q.indicator_findings(sourced(spark, d).where("indicator_id = 'soc2'"))
 
 
-@query("""SELECT rule, CAST(n AS BIGINT) AS n_bad FROM (VALUES ('indicator_id', 1), ('higher_is_better', 1), ('weight', 2), ('status', 1), ('ready_needs_text', 1), ('duplicate', 2)) t(rule, n)""")
+#: A catalogue as text, of all parts: ids, weights and the like are bad in many ways.
+_LISTED = """SELECT CASE WHEN p_partkey % 7 = 3 THEN 'Bad id ' ELSE 'b' END || CAST(p_partkey - p_partkey % 11 % 2 AS STRING) AS indicator_id, CASE p_size % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'FALSE' WHEN 2 THEN 'yes' END AS higher_is_better,
+CASE p_size % 5 WHEN 0 THEN '0' WHEN 1 THEN 'x' WHEN 2 THEN '-1' WHEN 3 THEN '2.5' ELSE '1' END AS weight, CASE p_partkey % 5 WHEN 0 THEN 'planned' WHEN 1 THEN 'soon' WHEN 2 THEN 'dropped' ELSE 'ready' END AS status,
+CASE WHEN p_partkey % 13 = 0 THEN ' ' ELSE p_name END AS name, CASE WHEN p_partkey % 17 > 0 THEN p_type END AS unit FROM {part}"""
+
+
+@query(f"""WITH c AS (SELECT *, count(*) OVER (PARTITION BY indicator_id) AS n FROM ({_LISTED.replace('{part}', 'part')})) SELECT rule, n_bad FROM (SELECT count(*) FILTER (NOT coalesce(regexp_matches(indicator_id, '^[a-z][a-z0-9_]*$'), false)) AS indicator_id,
+count(*) FILTER (lower(coalesce(higher_is_better, '')) NOT IN ('true', 'false')) AS higher_is_better, count(*) FILTER (NOT coalesce(TRY_CAST(weight AS DOUBLE) > 0, false)) AS weight, count(*) FILTER (status NOT IN ('ready', 'planned', 'dropped')) AS status,
+count(*) FILTER (status = 'ready' AND (trim(coalesce(name, '')) = '' OR trim(coalesce(unit, '')) = '')) AS ready_needs_text, count(*) FILTER (n > 1) AS duplicate FROM c) UNPIVOT (n_bad FOR rule IN (indicator_id, higher_is_better, weight, status, ready_needs_text, duplicate))""")
 def q02_catalog(spark, d):
-    rows = [("a1", "true", "1", "ready", "A", "t"), ("Bad id", "false", "0", "ready", "B", "t"), ("a2", "yes", "x", "planned", "", ""), ("a3", "true", "2", "soon", "C", ""), ("a4", "true", "1", "ready", "D", " "), ("a1", "true", "1", "dropped", "", "")]
-    return Q.catalog_findings(spark.createDataFrame(rows, "indicator_id string, higher_is_better string, weight string, status string, name string, unit string"))
+    return Q.catalog_findings(spark.sql(_LISTED, part=X.table(spark, d, "part")))
 
 
 @query(P + "SELECT c.indicator_id, count(f.ticker) = 0 AS missing FROM catalog c LEFT JOIN facts f USING (indicator_id) GROUP BY 1")

@@ -1,4 +1,6 @@
-"""Queries of names, lists and entity linking, on small fixtures of literal rows that both engines read, and on the sample tables."""
+"""Queries of names, lists and entity linking. Companies, committees, parties and the like are views of the sample tables in SQL that both engines take."""
+
+import re
 
 from pyspark.sql import functions as F
 
@@ -27,17 +29,27 @@ def query(sql=None):
     return keep
 
 
-def values(columns: str, *rows: tuple) -> str:
-    """A SELECT over literal rows."""
-    spelt = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(spelt, r)) + ')' for r in rows)}) AS t({columns})"
+def word(k: str) -> str:
+    """SQL of a made-up word that names a key."""
+    return f"('m' || translate(lpad(CAST({k} AS STRING), 6, '0'), '0123456789', 'aeioubdkst'))"
+
+
+def base(k: str) -> str:
+    """SQL of a company's bare name: the key's word, and often words that others use too."""
+    return f"({word(k)} || CASE {k} % 4 WHEN 0 THEN '' WHEN 1 THEN ' tools' WHEN 2 THEN ' air lines' ELSE ' global services' END)"
+
+
+def dressed(k: str, *forms: str) -> str:
+    """SQL of a name by key, in turn in each form; {b} is the bare name, {u} the same in capitals."""
+    spelt = lambda f: "'" + f.replace("'", "''").replace("{b}", f"' || {base(k)} || '").replace("{u}", f"' || upper({base(k)}) || '") + "'"
+    return f"CASE {k} % {len(forms)} " + " ".join(f"WHEN {i} THEN {spelt(f)}" for i, f in enumerate(forms)) + " END"
 
 
 NAMES = [
-    "The Boeing Company, Inc.", "McDonald's USA, LLC", "SMITH A O CORP", "QUALCOMM INC/DE", "CLOROX CO /DE/", "3M Co", "Citigroup Inc.", "Global Systems Group", "AES CORP", "Exxon Mobil Holdings Corp", "  brk-b ",
-    "Jasper (Old) Holdings Ltd. Class A", "Waste Management, Inc.", "12 34", "THE", "AMAZON.COM SERVICES L.L.C.", "O'Reilly & Sons Co",
+    "The {b} Company, Inc.", "{b}'s USA, LLC", "{u} A O CORP", "{u} INC/DE", "{u} CO /DE/", "3M {b} Co", "{b} Inc.", "Global Systems Group", "{u}", "{b} Mobil Holdings Corp", "  brk-b {b} ", "{b} (Old) Holdings Ltd. Class A",
+    "Waste {b}, Inc.", "12 34", "THE", "{u} SERVICES L.L.C.", "O'{b} & Sons Co", "United Hospital", "The First {b} Group, Ltd.",
 ]
-NAME_ROWS = values("id, name", *enumerate(NAMES))
+NAME_ROWS = f"SELECT c_custkey AS id, {dressed('c_custkey', *NAMES)} AS name FROM customer UNION ALL SELECT s_suppkey + 1000000, {dressed('s_suppkey', *NAMES[::-1])} FROM supplier"
 #: RE2 of DuckDB takes the same patterns; '' in SQL is one quote.
 _SQ = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _OWNER = _SQ.format(f"regexp_replace(regexp_replace(upper({{0}}), '[^A-Z0-9 ]', ' ', 'g'), '\\b({T.OWNER_SUFFIXES})\\b', ' ', 'g')")
@@ -49,28 +61,33 @@ _GENERIC = "', '".join(E.GENERIC_WORDS)
 _USABLE = f"(length({{0}}) >= 4 AND len(list_filter(string_split({{0}}, ' '), lambda w: w <> '' AND w NOT IN ('{_GENERIC}') AND NOT regexp_matches(w, '^[0-9]+$'))) > 0)"
 
 
-def _rows(spark, sql):
-    return spark.sql(sql)
+_TABLE = re.compile(r"\b(FROM|JOIN) (customer|supplier|part|orders|nation)\b")
+
+
+def _rows(spark, d, sql):
+    """The rows of a view over the sample tables."""
+    names = {m[2] for m in _TABLE.finditer(sql)}
+    return spark.sql(_TABLE.sub(r"\1 {\2}", sql), **{n: X.table(spark, d, n) for n in names})
 
 
 @query(f"SELECT id, replace(upper(trim(name)), '-', '.') AS ticker, replace(replace(upper(trim(name)), '.', '-'), '/', '-') AS symbol, lpad(CAST(id AS VARCHAR), 10, '0') AS padded FROM ({NAME_ROWS})")
 def fs01_symbols(spark, d):
-    return _rows(spark, NAME_ROWS).select("id", T.ticker(F.col("name")).alias("ticker"), T.exchange_symbol(F.col("name")).alias("symbol"), T.padded(F.col("id"), 10).alias("padded"))
+    return _rows(spark, d, NAME_ROWS).select("id", T.ticker(F.col("name")).alias("ticker"), T.exchange_symbol(F.col("name")).alias("symbol"), T.padded(F.col("id"), 10).alias("padded"))
 
 
 @query(f"SELECT id, {_OWNER.format('name')} AS owner FROM ({NAME_ROWS})")
 def fs05_owner_name(spark, d):
-    return _rows(spark, NAME_ROWS).select("id", T.owner_name(F.col("name")).alias("owner"))
+    return _rows(spark, d, NAME_ROWS).select("id", T.owner_name(F.col("name")).alias("owner"))
 
 
 @query(f"SELECT id, {_PARTY.format('name')} AS core, trim(regexp_replace(regexp_replace(name, '\\s*/[A-Z]{{2,3}}/?\\s*$', ''), '(?i)([,.]?\\s*\\b({T.RECIPIENT_SUFFIXES})\\.?\\s*)+$', '')) AS recipient FROM ({NAME_ROWS})")
 def fs06_cores(spark, d):
-    return _rows(spark, NAME_ROWS).select("id", T.party_core(F.col("name")).alias("core"), T.recipient_name(F.col("name")).alias("recipient"))
+    return _rows(spark, d, NAME_ROWS).select("id", T.party_core(F.col("name")).alias("core"), T.recipient_name(F.col("name")).alias("recipient"))
 
 
 @query(f"SELECT id, {_ALIAS.format('name')} AS alias FROM ({NAME_ROWS})")
 def fs07_alias_name(spark, d):
-    return _rows(spark, NAME_ROWS).select("id", T.alias_name(F.col("name")).alias("alias"))
+    return _rows(spark, d, NAME_ROWS).select("id", T.alias_name(F.col("name")).alias("alias"))
 
 
 _FORMS = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.LEGAL_FORMS.items()) + " END"
@@ -78,12 +95,12 @@ _FORMS = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.LEGAL_FORMS
 
 @query(f"SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(name), '\\bl\\.?\\s?l\\.?\\s?c\\b', 'llc', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: {_FORMS}), lambda x: x IS NOT NULL))), '|') AS forms FROM ({NAME_ROWS})")
 def fs08_legal_forms(spark, d):
-    return _rows(spark, NAME_ROWS).select("id", F.array_join(F.array_sort(E.legal_form(F.col("name"))), "|").alias("forms"))
+    return _rows(spark, d, NAME_ROWS).select("id", F.array_join(F.array_sort(E.legal_form(F.col("name"))), "|").alias("forms"))
 
 
 @query(f"SELECT id, norm, {_USABLE.format('norm')} AS usable, length(core) <= 4 AS short FROM (SELECT id, {_NORM.format('name')} AS norm, {_PARTY.format('name')} AS core FROM ({NAME_ROWS}))")
 def fs10_usable(spark, d):
-    n = _rows(spark, NAME_ROWS).withColumn("norm", E.normalised(F.col("name")))
+    n = _rows(spark, d, NAME_ROWS).withColumn("norm", E.normalised(F.col("name")))
     return n.select("id", "norm", E.usable(F.col("norm")).alias("usable"), T.is_short(T.party_core(F.col("name"))).alias("short"))
 
 
@@ -184,15 +201,17 @@ def p03_not_in(spark, d):
 
 
 # ---------------------------------------------------------------- linking
-COMPANIES = values(
-    "ticker, place, name, kind", ("BA", 1, "The Boeing Company", "current"), ("XOM", 1, "Exxon Mobil Corporation", "current"), ("XOM", 2, "Exxon Corp", "former"), ("ALL", 1, "ALLSTATE CORP", "current"), ("NOC", 1, "NORTHROP GRUMMAN CORP /DE/", "current"),
-    ("GAP", 1, "GAP INC", "current"), ("V", 1, "VISA INC.", "current"), ("TGT", 1, "Target Corp", "current"), ("CMI", 1, "Cummins Inc", "current"), ("NONE", 1, "The Company", "current"),
-)
-COMMITTEES = values(
-    "committee, name, affiliation, org_type, cycles", ("C1", "THE BOEING COMPANY POLITICAL ACTION COMMITTEE", "THE BOEING COMPANY", "C", "2018|2020"), ("C2", "EXXONMOBIL PAC", "EXXONMOBIL HOLDINGS CORP", "C", "2020"),
-    ("C3", "ALLPAC", "ALLSTATE INSURANCE CO.", "C", "2016|2020"), ("C4", "EMPLOYEES OF NORTHROP GRUMMAN CORPORATION PAC", None, "C", "2020|2022"), ("C5", "GAP PAC", None, "C", "2020"), ("C6", "TARGET CITIZENS POLITICAL FUND", None, "C", "2020"),
-    ("C7", "CUMMINS ALLISON CORP PAC", "CUMMINS ALLISON CORP", "C", "2020"), ("C8", "VISA PAC", "VISA INC.", "L", "2020"), ("C9", "BOEING EMPLOYEES FUND", "", "C", "1998"), ("C10", "CUMMINS INC. POLITICAL ACTION COMMITTEE", "CUMMINS INC", "C", "2020"), ("C11", "EXXON EMPLOYEES PAC", None, "C", "2022"),
-)
+COMPANIES = f"""SELECT 'T' || CAST(s_suppkey AS STRING) AS ticker, 1 AS place, {dressed("s_suppkey", "The {b} Company", "{u} CORP", "{b} Inc", "{u} CORP /DE/", "{b} Corporation")} AS name, 'current' AS kind FROM supplier
+UNION ALL SELECT 'T' || CAST(s_suppkey AS STRING), 2, {word("(s_suppkey + 500000)")} || ' Corp', 'former' FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'NONE' || CAST(n_nationkey AS STRING), 1, 'The Company', 'current' FROM nation"""
+#: A committee of each customer: most are named after a supplier, in one of nine ways.
+_OWNER_OF = "(c_custkey % (SELECT count(*) FROM supplier))"
+_B = base("k")
+COMMITTEES = f"""SELECT 'C' || CAST(c_custkey AS STRING) AS committee,
+CASE c_custkey % 9 WHEN 0 THEN upper({_B}) || ' POLITICAL ACTION COMMITTEE' WHEN 1 THEN upper(replace({_B}, ' ', '')) || ' PAC' WHEN 2 THEN 'ALLPAC' WHEN 3 THEN 'EMPLOYEES OF ' || upper({_B}) || ' CORPORATION PAC' WHEN 4 THEN {_B} || ' PAC'
+ WHEN 5 THEN upper({_B}) || ' CITIZENS POLITICAL FUND' WHEN 6 THEN {word("(k + 500000)")} || ' EMPLOYEES PAC' WHEN 7 THEN upper({_B}) || ' ALLISON CORP PAC' ELSE 'UNRELATED GROUP PAC' END AS name,
+CASE c_custkey % 9 WHEN 0 THEN {_B} || ' company' WHEN 1 THEN upper(replace({_B}, ' ', '')) || ' HOLDINGS CORP' WHEN 2 THEN upper({_B}) || ' INSURANCE CO.' WHEN 7 THEN upper({_B}) || ' ALLISON CORP' WHEN 8 THEN '' END AS affiliation,
+CASE WHEN c_custkey % 10 = 0 THEN 'L' ELSE 'C' END AS org_type, CASE c_custkey % 5 WHEN 0 THEN '2018|2020' WHEN 1 THEN '2020' WHEN 2 THEN '2016|2020' WHEN 3 THEN '1998' ELSE '2020|2022' END AS cycles FROM (SELECT c_custkey, {_OWNER_OF} AS k FROM customer)"""
+REJECTED = f"SELECT 'T' || CAST({_OWNER_OF} AS STRING) AS ticker, 'C' || CAST(c_custkey AS STRING) AS committee FROM customer WHERE c_acctbal < 0"
 _TOK = (
     "regexp_replace(array_to_string(list_filter(string_split(regexp_replace(replace(replace(lower(regexp_replace(coalesce({0}, ''), '\\s*/\\s*[A-Za-z]{{2}}\\s*/?\\s*$', ' ')), '&', ' and '), '''s', 's'), '[^a-z0-9 ]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN ('"
     + "', '".join(L.LEGAL_WORDS) + "')), ' '), '( (" + "|".join(L.TRAILING_FILLER) + "))+$', '')"
@@ -206,94 +225,97 @@ p AS (SELECT n.ticker, n.place, n.name AS matched, n.kind, c.committee, c.affil,
   WHEN starts_with(own, core || ' ') AND len(list_filter(string_split(substr(own, length(core) + 2), ' '), lambda w: w NOT IN ('{_PAC}'))) = 0 THEN 'name_prefix_pac'
   WHEN contains(' ' || own || ' ', ' ' || core || ' ') AND (contains(' ' || own || ' ', ' pac ') OR contains(' ' || own || ' ', ' political ')) THEN 'name_contains_pac' END AS rule FROM n CROSS JOIN c WHERE core <> '' AND len(cy) > 0),
 q AS (SELECT *, NOT contains(core, ' ') AND rule LIKE 'name%' AS loose FROM p WHERE rule IS NOT NULL)
-SELECT ticker, committee, arg_min(CASE WHEN loose AND affil = '' THEN rule || '_weak' ELSE rule END, place) AS rule, arg_min(matched, place) AS matched, arg_min(kind, place) AS kind, any_value(cycles) AS cycles FROM q WHERE NOT loose OR length(core) >= 5 GROUP BY 1, 2 HAVING NOT (ticker = 'CMI' AND committee = 'C7')""")
+SELECT ticker, committee, arg_min(CASE WHEN loose AND affil = '' THEN rule || '_weak' ELSE rule END, place) AS rule, arg_min(matched, place) AS matched, arg_min(kind, place) AS kind, any_value(cycles) AS cycles FROM q WHERE NOT loose OR length(core) >= 5 GROUP BY 1, 2 HAVING NOT EXISTS (SELECT 1 FROM ({REJECTED}) r WHERE r.ticker = q.ticker AND r.committee = q.committee)""")
 def e04_committee_links(spark, d):
-    committees = _rows(spark, COMMITTEES).withColumn("cycles", F.split("cycles", r"\|").cast("array<int>"))
-    return L.committee_links(_rows(spark, COMPANIES), committees, [2018, 2020, 2022], _rows(spark, values("ticker, committee", ("CMI", "C7"))))
+    committees = _rows(spark, d, COMMITTEES).withColumn("cycles", F.split("cycles", r"\|").cast("array<int>"))
+    return L.committee_links(_rows(spark, d, COMPANIES), committees, [2018, 2020, 2022], _rows(spark, d, REJECTED))
 
 
-LISTED = values(
-    "id, isin, name, location", ("1", "US1", "Alpha Rockets Inc", "United States of America (USA)"), ("2", "US2", "Beta Works", "United States"), ("3", None, "Gamma Tools Ltd", "United States"), ("4", None, "Gamma Tools", "France"), ("5", None, "Delta Air", "Ireland"),
-    ("6", "US9", "Global Services", "United States"), ("7", "US1", "Anything", "Peru"), ("8", None, "Alpha Rockets", "United States"), ("9", None, "Twin Peaks Coffee", "United States"),
-)
-ISINS = values("isin, ticker", ("US1", "ALP"), ("US1", "OUT"), ("US2", "BET"), ("US2", "BET.B"), ("US9", "OUT"))
-LISTED_NAMES = values("name, ticker", ("Alpha Rockets Corporation", "ALP"), ("Beta Works Inc", "BET"), ("Gamma Tools", "GAM"), ("Delta Air", "DEL"), ("Global Services", "GLO"), ("Twin Peaks Coffee", "TWA"), ("Twin Peaks Coffee Co", "TWB"))
-TICKERS = values("ticker", *[(t,) for t in ("ALP", "BET", "BET.B", "GAM", "DEL", "GLO", "TWA", "TWB")])
+LISTED = f"""SELECT CAST(c_custkey AS STRING) AS id, CASE c_custkey % 3 WHEN 0 THEN 'US' || CAST(k AS STRING) WHEN 1 THEN 'XX' || CAST(c_custkey AS STRING) END AS isin, {dressed("k", "{b} Inc", "{u} LTD", "{b}", "The {b} Corporation", "Global Services")} AS name,
+CASE c_nationkey % 4 WHEN 0 THEN 'United States of America (USA)' WHEN 1 THEN 'United States' WHEN 2 THEN 'France' END AS location FROM (SELECT *, {_OWNER_OF} AS k FROM customer)"""
+ISINS = """SELECT 'US' || CAST(s_suppkey AS STRING) AS isin, 'T' || CAST(s_suppkey AS STRING) AS ticker FROM supplier UNION ALL SELECT 'US' || CAST(s_suppkey AS STRING), 'T' || CAST(s_suppkey + 1 AS STRING) FROM supplier WHERE s_suppkey % 8 = 3
+UNION ALL SELECT 'US' || CAST(s_suppkey AS STRING), 'OUT' FROM supplier WHERE s_suppkey % 5 = 0"""
+LISTED_NAMES = f"""SELECT {dressed("s_suppkey", "{b} Corporation", "{b}", "{b} Inc", "{u} Co", "Global Services")} AS name, 'T' || CAST(s_suppkey AS STRING) AS ticker FROM supplier UNION ALL SELECT {base("s_suppkey")}, 'TWIN' || CAST(s_suppkey AS STRING) FROM supplier WHERE s_suppkey % 6 = 5"""
+TICKERS = "SELECT 'T' || CAST(s_suppkey AS STRING) AS ticker FROM supplier WHERE s_suppkey % 7 <> 4"
+REVIEWED = "SELECT CAST(c_custkey AS STRING) AS id, 'T' || CAST(c_nationkey AS STRING) AS ticker FROM customer WHERE c_acctbal > 9900"
+FOREIGN = "SELECT CAST(c_custkey AS STRING) AS id FROM customer WHERE c_mktsegment = 'BUILDING'"
+WRONG = f"SELECT CAST(c_custkey AS STRING) AS id, 'T' || CAST({_OWNER_OF} AS STRING) AS ticker FROM customer WHERE c_mktsegment = 'MACHINERY'"
 
 
 @query(f"""WITH s AS ({LISTED}), i AS (SELECT isin, count(DISTINCT ticker) AS n, min(ticker) AS t FROM ({ISINS}) WHERE ticker IN (SELECT ticker FROM ({TICKERS})) GROUP BY 1),
 nm AS (SELECT norm, min(ticker) AS t FROM (SELECT {_NORM.format('name')} AS norm, ticker FROM ({LISTED_NAMES})) WHERE {_USABLE.format('norm')} GROUP BY 1 HAVING count(DISTINCT ticker) = 1),
-m AS (SELECT s.id, CASE WHEN s.id = '7' THEN 'BET' WHEN i.n = 1 THEN i.t WHEN i.n > 1 THEN NULL WHEN location LIKE 'United States%' OR s.id = '5' THEN nm.t END AS ticker, CASE WHEN s.id = '7' THEN 'manual' WHEN i.n = 1 THEN 'isin' ELSE 'name' END AS match FROM s LEFT JOIN i USING (isin) LEFT JOIN nm ON nm.norm = {_NORM.format('s.name')})
-SELECT * FROM m WHERE ticker IS NOT NULL AND NOT (id = '8' AND ticker = 'ALP')""")
+m AS (SELECT s.id, CASE WHEN r.ticker IS NOT NULL THEN r.ticker WHEN i.n = 1 THEN i.t WHEN i.n > 1 THEN NULL WHEN location LIKE 'United States%' OR s.id IN (SELECT id FROM ({FOREIGN})) THEN nm.t END AS ticker, CASE WHEN r.ticker IS NOT NULL THEN 'manual' WHEN i.n = 1 THEN 'isin' ELSE 'name' END AS match
+ FROM s LEFT JOIN ({REVIEWED}) r ON r.id = s.id LEFT JOIN i USING (isin) LEFT JOIN nm ON nm.norm = {_NORM.format('s.name')})
+SELECT * FROM m WHERE ticker IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ({WRONG}) w WHERE w.id = m.id AND w.ticker = m.ticker)""")
 def e05_cascade(spark, d):
-    one = lambda columns, *rows: _rows(spark, values(columns, *rows))
-    return L.cascade(_rows(spark, LISTED), one("id, ticker", ("7", "BET")), _rows(spark, ISINS), _rows(spark, LISTED_NAMES), _rows(spark, TICKERS), one("id", ("5",)), one("id, ticker", ("8", "ALP")))
+    of = lambda sql: _rows(spark, d, sql)
+    return L.cascade(of(LISTED), of(REVIEWED), of(ISINS), of(LISTED_NAMES), of(TICKERS), of(FOREIGN), of(WRONG))
 
 
-PARTIES = values(
-    "id, party", (1, "AES Corporation"), (2, "AES Services, LLC"), (3, "3M Pension Plan"), (4, "3M Contracting, LLC"), (5, "Abbott Laboratories Group Health Care Plan"), (5, "John Doe"), (6, "Abbott"), (7, "The Williams Companies, Inc."), (8, "Accenture (US) Federal Services"), (9, None), (10, "AES"),
-)
-CORES = values("entity, core", ("AES", "aes"), ("MMM", "3m"), ("ABT", "abbott laboratories"), ("WMB", "williams"), ("ACN", "accenture"), ("AES", "aes corp"))
+PARTIES = f"""SELECT c_custkey AS id, {dressed("k", "{b} Corporation", "{b} Services, LLC", "{u} Pension Plan", "{b} Contracting, LLC", "{b} Group Health Care Plan", "The {b} Companies, Inc.", "{b} (US) Federal Services")} AS party FROM (SELECT c_custkey, {_OWNER_OF} AS k FROM customer)
+UNION ALL SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'John Doe' WHEN 1 THEN {word("c_custkey")} || ' Inc' END FROM customer
+UNION ALL SELECT c_custkey, upper(translate(CAST(c_custkey % 900 AS STRING), '0123456789', 'aeioubdkst')) || CASE c_custkey % 3 WHEN 0 THEN ' Pension Plan' WHEN 1 THEN ' Contracting, LLC' ELSE ' Inc.' END FROM customer"""
+CORES = f"""SELECT 'T' || CAST(s_suppkey AS STRING) AS entity, {base("s_suppkey")} AS core FROM supplier UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING), translate(CAST(s_suppkey AS STRING), '0123456789', 'aeioubdkst') FROM supplier"""
 _TAILS = "', '".join([*T.PARTY_SUFFIXES, *L.PLAN_WORDS])
 
 
 @query(f"""SELECT DISTINCT id AS "case", entity FROM (SELECT id, {_PARTY.format('party')} AS p FROM ({PARTIES})) JOIN ({CORES}) ON p = core OR (starts_with(p, core || ' ') AND (length(core) > 4 OR len(list_filter(string_split(substr(p, length(core) + 2), ' '), lambda w: w NOT IN ('{_TAILS}'))) = 0))""")
 def e06_party_matches(spark, d):
-    cases = _rows(spark, PARTIES).groupBy(F.col("id").alias("case")).agg(F.collect_list("party").alias("parties"))
-    return L.party_matches(cases, _rows(spark, CORES))
+    cases = _rows(spark, d, PARTIES).groupBy(F.col("id").alias("case")).agg(F.collect_list("party").alias("parties"))
+    return L.party_matches(cases, _rows(spark, d, CORES))
 
 
-TITLES = values(
-    "id, title", (1, "Williams v. Radius Health"), (2, "Smith v. The Williams Companies, Inc."), (3, "EEOC vs. AES Services LLC"), (4, "Doe v. AES Corp."), (5, "Jones et al v Abbott Laboratories Pension Plan"), (6, "United States versus Accenture Federal Services"), (7, "In re Accenture Inc"), (8, None),
-)
+TITLES = f"""SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 7 THEN NULL WHEN 6 THEN 'In re ' || {base("k")} || ' Inc' ELSE {dressed("k", "{b}", "Smith", "EEOC", "Doe", "Jones et al")} || CASE c_custkey % 3 WHEN 0 THEN ' v. ' WHEN 1 THEN ' vs. ' ELSE ' versus ' END
+ || {dressed("c_custkey", "Radius Health", "The {b} Companies, Inc.", "{b} Services LLC", "{u} Corp.", "Jasper {b} Pension Plan", "{b} Federal")} END AS title FROM (SELECT c_custkey, {_OWNER_OF} AS k FROM customer)"""
 _CORP = "', '".join(L.CORPORATE)
 
 
 @query(f"""SELECT DISTINCT id AS "case", entity FROM (SELECT id, s, {_PARTY.format('s')} AS p FROM (SELECT id, unnest(regexp_split_to_array(title, '(?i)\\s+v(?:s?\\.?|ersus)\\s+')) AS s FROM ({TITLES}))) JOIN ({CORES})
 ON (p = core OR ends_with(p, ' ' || core) OR (length(core) > 4 AND contains(' ' || p || ' ', ' ' || core || ' '))) AND (contains(core, ' ') OR len(list_filter(regexp_extract_all(lower(s), '[a-z]+'), lambda w: w IN ('{_CORP}'))) > 0)""")
 def e07_case_names(spark, d):
-    return L.case_name_matches(_rows(spark, TITLES).withColumnRenamed("id", "case"), _rows(spark, CORES))
+    return L.case_name_matches(_rows(spark, d, TITLES).withColumnRenamed("id", "case"), _rows(spark, d, CORES))
 
 
-SEARCHED = values("entity, name", ("PPL", "PPL"), ("BA", "BOEING"), ("UTX", "UNITED TECHNOLOGIES"), ("LMT", "LOCKHEED MARTIN"), ("NIL", "NOWHERE"))
-SUGGESTED = values("entity, place, suggestion", ("PPL", 1, "APPLIED INDUSTRIAL TECHNOLOGIES"), ("PPL", 2, "PATTERSON DENTAL SUPPLY"), ("BA", 1, "OTHER"), ("BA", 2, "BOEING COMPANY, THE"), ("BA", 3, "BOEING AEROSPACE"), ("UTX", 1, "UNITED AIRLINES"), ("LMT", 1, "MARTIN MARIETTA"))
+SEARCHED = f"""SELECT 'T' || CAST(s_suppkey AS STRING) AS entity, upper({base("s_suppkey")}) AS name FROM supplier"""
+SUGGESTED = f"""SELECT 'T' || CAST(k AS STRING) AS entity, CAST(floor(c_custkey / 7) AS INT) AS place, CASE c_custkey % 7 WHEN 0 THEN 'APPLIED INDUSTRIAL TECHNOLOGIES' WHEN 1 THEN 'GLOBAL SERVICES INC' WHEN 2 THEN upper({base("k")}) || ' COMPANY, THE' WHEN 3 THEN 'AIR FREIGHT' WHEN 4 THEN 'PATTERSON TOOLS' ELSE upper({word("c_custkey")}) END AS suggestion
+FROM (SELECT c_custkey, {_OWNER_OF} AS k FROM customer) WHERE k % 9 <> 8"""
 _FILL = "', '".join(L.FILLER)
 _DT = f"list_filter(list_distinct(regexp_extract_all(upper({{0}}), '[A-Z0-9]+')), lambda w: length(w) >= 2 AND w NOT IN ('{_FILL}'))"
 
 
 @query(f"""SELECT entity, count(*) FILTER (hit) > 0 AS verified, coalesce(arg_min(suggestion, place) FILTER (hit), '') AS matched FROM (SELECT s.entity, g.place, g.suggestion, coalesce(len(list_intersect({_DT.format('s.name')}, {_DT.format('g.suggestion')})) > 0, false) AS hit FROM ({SEARCHED}) s LEFT JOIN ({SUGGESTED}) g USING (entity)) GROUP BY 1""")
 def e08_verified_names(spark, d):
-    return L.verified_names(_rows(spark, SEARCHED), _rows(spark, SUGGESTED))
+    return L.verified_names(_rows(spark, d, SEARCHED), _rows(spark, d, SUGGESTED))
 
 
-OWNERS = values("entity, name, year", ("HWM", "Arconic Inc", 2019), ("HWM", "ARCONIC CORP", 2021), ("HWM", "Howmet", 2021), ("HWM", "Alcoa Corp", 2017), ("AA", "Alcoa Corp", 2017))
-BLOCKS = values("entity, prefix, since", ("HWM", "ARCONIC", 2020), ("HWM", "ALCOA CORP", None))
+OWNERS = f"""SELECT 'T' || CAST(k AS STRING) AS entity, {dressed("k", "{b} Inc", "{u} CORP", "{b}")} AS name, CAST(year(o_orderdate) AS INT) AS year FROM (SELECT *, o_custkey % (SELECT count(*) FROM supplier) AS k FROM orders)"""
+BLOCKS = f"""SELECT 'T' || CAST(s_suppkey AS STRING) AS entity, upper({word("s_suppkey")}) AS prefix, CASE WHEN s_suppkey % 6 = 0 THEN 1995 END AS since FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'T' || CAST(s_suppkey + 1 AS STRING), upper({word("s_suppkey")}), NULL FROM supplier"""
 
 
 @query(f"SELECT entity, name, year FROM ({OWNERS}) o WHERE NOT EXISTS (SELECT 1 FROM ({BLOCKS}) b WHERE b.entity = o.entity AND starts_with(upper(o.name), b.prefix) AND o.year >= coalesce(b.since, 0))")
 def e11_unblocked(spark, d):
-    return L.unblocked(_rows(spark, OWNERS), _rows(spark, BLOCKS)).select("entity", "name", "year")
+    return L.unblocked(_rows(spark, d, OWNERS), _rows(spark, d, BLOCKS)).select("entity", "name", "year")
 
 
-ALIASES = values(
-    "entity, place, name, kind, valid_to", ("C", 1, "Citigroup Inc.", "current", None), ("C", 2, "CITIGROUP INC", "former", "2020-01-01"), ("C", 3, "TRAVELERS GROUP INC", "former", "1998-10-01"), ("HWM", 1, "Howmet Aerospace Inc.", "current", None), ("HWM", 2, "Arconic Inc.", "former", "2020-04-01"), ("X", 1, "X", "current", None),
-)
+ALIASES = f"""SELECT 'T' || CAST(s_suppkey AS STRING) AS entity, 1 AS place, {dressed("s_suppkey", "{b} Inc.", "The {b} Company", "{u} CORP")} AS name, 'current' AS kind, CAST(NULL AS STRING) AS valid_to FROM supplier
+UNION ALL SELECT 'T' || CAST(s_suppkey AS STRING), 2, {dressed("s_suppkey", "{u} INC", "{b} Travelers Group Inc", "{b}")}, 'former', CASE s_suppkey % 4 WHEN 0 THEN '2020-01-01' WHEN 1 THEN '1998-10-01' WHEN 2 THEN '2014-01-01' END FROM supplier
+UNION ALL SELECT 'T' || CAST(s_suppkey AS STRING), 3, {word("(s_suppkey + 500000)")} || ' Inc', 'former', '2020-04-01' FROM supplier WHERE s_suppkey % 3 = 0"""
 
 
 @query(f"""WITH a AS (SELECT *, {_ALIAS.format('name')} AS n FROM ({ALIASES})) SELECT entity, name, kind FROM a WHERE kind = 'current' OR (coalesce(valid_to, '') >= '2014-01-01' AND NOT EXISTS (SELECT 1 FROM a c WHERE c.kind = 'current' AND c.entity = a.entity AND c.n = a.n))""")
 def e12_valid_aliases(spark, d):
-    return L.valid_aliases(_rows(spark, ALIASES), "2014-01-01").select("entity", "name", "kind")
+    return L.valid_aliases(_rows(spark, d, ALIASES), "2014-01-01").select("entity", "name", "kind")
 
 
 @query(f"""SELECT entity, string_agg(c, '|' ORDER BY p) AS cores FROM (SELECT entity, {_PARTY.format('name')} AS c, min(place) AS p FROM ({ALIASES}) GROUP BY 1, 2) WHERE length(c) >= 2 GROUP BY 1""")
 def z16_search_cores(spark, d):
-    return L.search_cores(_rows(spark, ALIASES), 5).select("entity", A.piped(F.col("cores")).alias("cores"))
+    return L.search_cores(_rows(spark, d, ALIASES), 5).select("entity", A.piped(F.col("cores")).alias("cores"))
 
 
 @query(f"SELECT ticker, place, {_TOK.format('name')} AS core, replace({_TOK.format('name')}, ' ', '') AS squeezed FROM ({COMPANIES})")
 def z05_core_names(spark, d):
     core = L.committee_tokens(F.col("name"))
-    return _rows(spark, COMPANIES).select("ticker", "place", F.array_join(core, " ").alias("core"), F.array_join(core, "").alias("squeezed"))
+    return _rows(spark, d, COMPANIES).select("ticker", "place", F.array_join(core, " ").alias("core"), F.array_join(core, "").alias("squeezed"))
 
 
 @query("SELECT c_custkey, count(DISTINCT w) AS candidates, array_to_string(list_sort(list(DISTINCT k))[1:4], '|') AS first_ids FROM (SELECT c_custkey, lower(split_part(c_mktsegment, ' ', 1)) AS w FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 2000)) JOIN (SELECT p_partkey AS k, lower(split_part(p_type, ' ', 1)) AS w FROM part UNION ALL SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'furniture' ELSE 'x' END FROM supplier) USING (w) GROUP BY 1")
@@ -423,14 +445,15 @@ def fd09_parsed_dates(spark, d):
     return X.table(spark, d, "orders").select("o_orderkey", told(DT.parse_any(text_, "MMddyyyy", "MM/dd/yyyy", "yyyy-MM-dd")).alias("parsed"), told(DT.excel_serial(30000 + F.col("o_orderkey") % 9000)).alias("serial"))
 
 
-CATALOGS = values("category, indicator_id, status", ("eco", "a", "ready"), ("eco", "b", "ready"), ("eco", "c", "ready"), ("soc", "a", "planned"), ("soc", "d", "ready"), ("env", "e", "ready"), ("env", "f", "ready"), ("env", "g", "ready"))
-KEPT = values("category, indicator_id", ("eco", "a"), ("eco", "b"), ("eco", "c"), ("soc", "d"), ("env", "e"), ("env", "f"), ("env", "stray"))
+#: A catalogue of kinds and brands of parts: a brand belongs to a kind, a few to two; files are there for most.
+CATALOGS = """SELECT category, indicator_id, CASE WHEN n % 5 = 0 THEN 'planned' ELSE 'ready' END AS status FROM (SELECT CASE WHEN p_partkey % 400 = 0 THEN 'MIXED' ELSE 'KIND' || CAST(p_size % 9 AS STRING) END AS category, p_brand || '-' || CAST(p_size AS STRING) AS indicator_id, min(p_partkey) AS n FROM part GROUP BY 1, 2) AS x"""
+KEPT = """SELECT DISTINCT 'KIND' || CAST((p_size + CASE WHEN p_partkey % 97 = 0 THEN 1 ELSE 0 END) % 9 AS STRING) AS category, p_brand || '-' || CAST(p_size AS STRING) AS indicator_id FROM part WHERE p_retailprice > 905"""
 
 
 @query(f"""WITH c AS ({CATALOGS}), f AS ({KEPT}) SELECT 'clash' AS rule, category, indicator_id FROM c WHERE indicator_id IN (SELECT indicator_id FROM c GROUP BY 1 HAVING count(DISTINCT category) > 1) UNION ALL SELECT 'no_file', category, indicator_id FROM c WHERE status = 'ready' AND NOT EXISTS (SELECT 1 FROM f WHERE f.category = c.category AND f.indicator_id = c.indicator_id)
 UNION ALL SELECT 'not_listed', category, indicator_id FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE f.category = c.category AND f.indicator_id = c.indicator_id) UNION ALL SELECT 'few_ready', category, NULL FROM c GROUP BY category HAVING count(*) FILTER (status = 'ready') < 3""")
 def q03_repository_rules(spark, d):
-    return C.repository_findings(_rows(spark, CATALOGS), _rows(spark, KEPT))
+    return C.repository_findings(_rows(spark, d, CATALOGS), _rows(spark, d, KEPT))
 
 
 @query(IQ._with("tax", "pretax") + """, n AS (SELECT t.ticker, t.year, round(t.value / p.value, 4) AS x FROM tax t JOIN pretax p USING (ticker, year, period_end) WHERE p.value > 0),
@@ -446,12 +469,18 @@ def q11_note_against_fact(spark, d):
     return C.note_against_fact(notes, facts, r"effective_rate=(-?[0-9.]+)").withColumn("agree", r6(F.col("agree")))
 
 
-@query(X.SQL + "SELECT indicator_id FROM (VALUES ('eco1'), ('gone'), ('lost')) AS t(indicator_id) WHERE indicator_id NOT IN (SELECT indicator_id FROM catalog)")
+#: What profiles weigh: the brands of each customer's last orders' lines.
+_WEIGHED = "SELECT DISTINCT 'Brand#' || CAST(o_custkey % 40 AS STRING) AS indicator_id FROM orders"
+
+
+@query(f"SELECT indicator_id FROM ({_WEIGHED}) WHERE indicator_id NOT IN (SELECT p_brand FROM part)")
 def c07_unknown_weights(spark, d):
-    """Indicators that a profile weighs in vain."""
+    """Indicators that a profile weighs in vain: brands that no part has."""
     from dataclasses import replace
 
-    found = scoring.unknown_weights(X.catalog(spark), replace(X.PROFILE, indicator_weights={"eco1": 1.0, "lost": 1.0, "gone": 2.0}))
+    weighed = {r[0]: 1.0 for r in _rows(spark, d, _WEIGHED).collect()}  # 40 at most
+    catalog = X.table(spark, d, "part").select(F.col("p_brand").alias("indicator_id")).distinct()
+    found = scoring.unknown_weights(catalog, replace(X.PROFILE, indicator_weights=weighed))
     return spark.createDataFrame([(i,) for i in found], "indicator_id string")
 
 

@@ -48,9 +48,12 @@ def c08_weighted_coverage(spark, d):
 
 
 def c09_active_categories(spark, d):
-    cat = scoring.indicator_weights(X.catalog(spark), X.PROFILE)
+    """Categories that weigh in a score, of a catalogue of parts' brands: indicators whose weight is above 0, times the profile's weight of the category."""
+    kind = F.element_at(F.array(*map(F.lit, [*CW, "unweighed"])), (F.col("p_size") % (len(CW) + 1) + 1).cast("int"))
+    catalog = X.table(spark, d, "part").select(F.col("p_brand").alias("indicator_id"), kind.alias("category"), (F.col("p_partkey") % 3 - 1).cast("double").alias("weight"))
+    cat = scoring.indicator_weights(catalog, X.PROFILE)
     weight = F.create_map(*[x for c, w in CW.items() for x in (F.lit(c), F.lit(w))])[F.col("category")]
-    return cat.select("category", weight.alias("weight")).where("weight > 0").distinct()
+    return cat.groupBy("category").agg(F.count(F.lit(1)).alias("indicators"), F.first(weight).alias("weight")).where("weight > 0")
 
 
 #: Weightings 1..20, from a rule both engines can follow: a weight is 0.05 + 0.95 * ((run * a + i * b) mod 97) / 97.
@@ -142,7 +145,7 @@ ORACLE = {
       SELECT indicator_id, ticker, round(CASE WHEN n = 1 THEN 0.5 WHEN higher_is_better THEN (ar - 1) / (n - 1) ELSE 1 - (ar - 1) / (n - 1) END, 6) AS rank01 FROM u""",
     "c05_profile_ranks": P + 'SELECT ticker, primary_ticker AS "primary", indicator_id, year, round(rank01, 6) AS rank01 FROM ranks',
     "c08_weighted_coverage": P + "SELECT ticker, category, round(score, 6) AS score, n_indicators, round(weight_share, 6) AS weight_share FROM cats",
-    "c09_active_categories": P + "SELECT DISTINCT category, CAST(cw AS DOUBLE) AS weight FROM catalog JOIN catw USING (category) WHERE weight > 0 AND cw > 0",
+    "c09_active_categories": "SELECT category, count(*) AS indicators, any_value(w) AS weight FROM (SELECT CASE p_size % " + str(len(CW) + 1) + " " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CW)) + " END AS category, CASE p_size % " + str(len(CW) + 1) + " " + " ".join(f"WHEN {i} THEN CAST({w} AS DOUBLE)" for i, w in enumerate(CW.values())) + " END AS w FROM part WHERE p_partkey % 3 - 1 > 0) WHERE w > 0 GROUP BY 1",
     "c11_many_weightings": P + _RUNS_SQL + "SELECT run, ticker, total_score FROM totals",
     "c12_explain": P + """, sh AS (SELECT ticker, category, cw / sum(cw) OVER (PARTITION BY ticker) AS cs FROM cats JOIN catw USING (category) WHERE score IS NOT NULL),
       own AS (SELECT *, coalesce(CASE WHEN rank01 IS NOT NULL THEN weight END / nullif(sum(CASE WHEN rank01 IS NOT NULL THEN weight END) OVER (PARTITION BY ticker, category), 0), 0) AS sic FROM ranks)

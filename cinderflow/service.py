@@ -66,6 +66,9 @@ THEMES = {
     "legal": r"lawsuit|class action|litigation|consent decree|civil penalt|settlement agreement|agreed to pay|\bfined\b|violations? of|alleg",
 }
 CONCRETE = r"\$\s?\d|\d[\d,.]*\s?(?:%|percent|metric tons|tons|tonnes|million|billion)|\b(?:19|20)\d\d\b"
+ABBREVIATIONS = r"\b[A-Z]|U\.S|No|Inc|Corp|Co|Mr|Ms|Dr|Jr|St|vs"
+#: Where a sentence ends: not after an abbreviation's full stop, so a sentence goes on behind one.
+SENTENCE_ENDS = rf"(?<=[.!?])(?<!(?:{ABBREVIATIONS})\.)\s+(?=[A-Z(])"
 HEDGES = r"\b(?:may|could|might|cannot assure|no assurance|forward-looking|risk factors?)\b"
 NOT_THEME = r"tax benefit|derivative|stock awards|shares? (?:were|are) reserved|european union"
 
@@ -74,7 +77,7 @@ def passages(filings: DataFrame, per_theme: int = 2, themes: dict[str, str] = TH
     """entity, theme, place, sentence, score: the most concrete sentences of a filing (entity, text) on each theme; of those that begin alike the best."""
     from pyspark.sql import Window
 
-    cut = F.split(F.regexp_replace("text", r"\s+", " "), r"(?<=[.!?])\s+(?=[A-Z(])")
+    cut = F.split(F.regexp_replace("text", r"\s+", " "), SENTENCE_ENDS)
     told = filings.select("entity", F.posexplode(cut).alias("at", "sentence")).where(F.length("sentence").between(80, 360) & ~F.lower("sentence").rlike(NOT_THEME))
     low = F.lower("sentence")
     of = F.explode(F.array(*[F.struct(F.lit(k).alias("theme"), F.regexp_count(low, F.lit(p)).alias("n")) for k, p in themes.items()]))
