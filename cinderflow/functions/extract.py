@@ -2,6 +2,7 @@
 
 import html
 import re
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -122,59 +123,59 @@ dollar_amounts = _udf(_dollar_amounts, "array<long>")
 section = _udf(_section, "string")
 
 
-_DAY = ("%b. %d, %Y", "%b %d, %Y")
-
-
-def _plain(cell: str) -> str:
-    return re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", " ", cell)).replace("\xa0", " ")).strip()
-
-
-def _day(text: str):
-    from datetime import datetime
-
-    for form in _DAY:
-        try:
-            return datetime.strptime(text, form).date()
-        except ValueError:
-            continue
-    return None
-
-
-def _cover_counts(x: pd.Series) -> pd.Series:
-    """Share classes with a symbol and a count on a cover page; a row of an axis opens the block of a class, counts are scaled as the head says."""
-
-    def blocks(page):
-        found = {}
-        name = ""
-        for row in re.findall(r"(?s)<tr[^>]*>(.*?)</tr>", page):
-            tag = re.search(r"defref_([^']+)'", row)
-            if not tag:
-                continue
-            if "Axis=" in tag[1]:
-                name = tag[1].partition("Axis=")[2]
-                continue
-            cells = [_plain(c) for c in re.findall(r'(?s)<td class="(?:nump|num|text)"[^>]*>(.*?)</td>', row)]
-            found.setdefault(name, {}).setdefault(tag[1].removeprefix("dei_"), cells)
-        return found
-
-    def listed(page):
-        if not page:
-            return []
-        head = re.search(r'(?s)<th[^>]*class="tl"[^>]*>(.*?)</th>', page)
-        told = _plain(head[1]).lower() if head else ""
-        times = next((n for word, n in (("in millions", 1_000_000), ("in thousands", 1000)) if word in told), 1)
-        days = [_day(_plain(c)) for c in re.findall(r'(?s)<th class="th"[^>]*>(.*?)</th>', page)]
-        out = []
-        for cells in blocks(page).values():
-            symbol = next((c.upper() for c in cells.get("TradingSymbol", []) if c), "")
-            counts = [(i, re.sub(r"[,$ ]", "", c)) for i, c in enumerate(cells.get("EntityCommonStockSharesOutstanding", []))]
-            counts = [(i, float(c)) for i, c in counts if re.fullmatch(r"\d+(?:\.\d+)?", c)]
-            if counts and symbol not in ("", "NONE", "N/A"):
-                at, n = counts[0]
-                out.append({"symbol": symbol, "shares": n * times, "as_of": days[at] if at < len(days) else None})
-        return out
-
-    return x.map(listed)
-
-
-cover_counts = _udf(_cover_counts, "array<struct<symbol: string, shares: double, as_of: date>>")
+class _Page(HTMLParser):
+    """Cells of a facts page as (member, concept, place, text): the member of the class they stand under, what they are, and their place in the row."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.cells, self.member, self.concept, self.place, self.days, self.open, self.said = [], "", None, 0, 0, None, []
+
+    def handle_starttag(self, tag, attrs):
+        kind = dict(attrs).get("class") or ""
+        if tag == "tr":
+            self.concept, self.place = None, 0
+        _, named, rest = (self.get_starttag_text() or "").partition("defref_")
+        if named and self.concept is None:
+            self.concept = rest.partition("'")[0]
+            _, axis, member = self.concept.partition("Axis=")
+            if axis:
+                self.member = member
+        if tag == "th" and kind in ("tl", "th"):
+            self.open = "head" if kind == "tl" else "day"
+        elif tag == "td" and kind in ("num", "nump", "text"):
+            self.open = "cell"
+        elif tag in ("td", "th"):
+            self.open = None
+        self.said = [] if tag in ("td", "th") else self.said
+
+    def handle_data(self, data):
+        if self.open:
+            self.said.append(data)
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th") and self.open:
+            told = " ".join("".join(self.said).split())
+            if self.open == "day":
+                self.cells.append({"member": "", "concept": "day", "place": self.days, "text": told})
+                self.days += 1
+            elif self.open == "head":
+                self.cells.append({"member": "", "concept": "head", "place": 0, "text": told})
+            elif self.concept and "Axis=" not in self.concept:
+                self.cells.append({"member": self.member, "concept": self.concept, "place": self.place, "text": told})
+                self.place += 1
+            self.open = None
+
+
+def _page_cells(x: pd.Series) -> pd.Series:
+    """All cells of a page of facts: the head, the columns' days, and the values by class member and concept."""
+
+    def read(page):
+        parser = _Page()
+        parser.feed(page or "")
+        parser.close()
+        return parser.cells
+
+    return x.map(read)
+
+
+page_cells = _udf(_page_cells, "array<struct<member: string, concept: string, place: int, text: string>>")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderflow.storage import settled
+from cinderflow.storage import settled, small, written
 
 
 def asof_within(left: DataFrame, right: DataFrame, key: str, at: str, as_of: str, days: int, also=None) -> DataFrame:
@@ -45,16 +45,35 @@ def grid(entities: DataFrame, periods: DataFrame, facts: DataFrame, keys, values
     return full.na.fill(0, values)
 
 
+#: Texts of a word that meet its names in one task: a word that stands in more is dealt to parts.
+PART_TEXTS = 100_000
+
+
+def by_rarest_word(names: DataFrame, texts: DataFrame, words: str = "_words") -> DataFrame:
+    """All pairs of names and texts in which the text has the name's rarest word: what holds all of a name's words is among them.
+
+    words: an array column of either side. A word's texts are counted, partial before the shuffle; only words that are the rarest of some name are looked up,
+    and one that stands in many texts is dealt to parts, to which its names are copied. Names without words, or with a word that no text has, meet nothing.
+    """
+    each = lambda df: df.select(words, F.explode(F.array_distinct(words)).alias("_w"))
+    known = each(names).select("_w").distinct()
+    held = each(texts).groupBy("_w").agg(F.count(F.lit(1)).alias("_n")).join(known, "_w")
+    rarest = each(names.select(words).distinct()).join(held, "_w", "left").groupBy(words).agg(F.min_by(F.struct("_w", "_n"), F.struct(F.coalesce("_n", F.lit(0)), "_w")).alias("_r"))
+    rare = written(rarest.where("_r._n is not null").select(words, F.col("_r._w").alias("_w"), F.ceil(F.col("_r._n") / PART_TEXTS).cast("int").alias("_parts")), "rarest-words")
+    asked = names.join(rare, words).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", words)
+    told = texts.withColumn("_w", F.explode(F.array_distinct(words))).join(small(rare.select("_w", "_parts").distinct()), "_w")
+    deal = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(*[c for c in texts.columns if c != words]), F.col("_parts"))).otherwise(0)
+    return asked.join(told.withColumn("_part", deal.cast("int")).drop("_parts", words), ["_w", "_part"]).drop("_w", "_part")
+
+
 def token_candidates(names: DataFrame, texts: DataFrame, name: str, text: str) -> DataFrame:
     """(names, texts) pairs in which the whole words of a name stand in the text in a row. The other columns of texts are its key.
 
-    Blocked by the name's first word: an equi-join of first words with the distinct words of each text, which carries keys only; the texts of
-    candidates are then fetched and the sequence is verified.
+    Blocked by the name's rarest word; candidates carry keys only, and their texts are then fetched and the sequence is verified.
     """
     key = [c for c in texts.columns if c != text]
-    n = names.withColumn("_w", F.element_at(F.split(name, " "), 1)).where("_w <> ''")
-    words = texts.select(*key, F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
-    met = words.join(n, "_w").drop("_w").join(texts, key)
+    n = names.withColumn("_words", F.split(name, " ")).where(F.col(name) != "")
+    met = by_rarest_word(n, texts.select(*key, F.split(text, " ").alias("_words"))).join(texts, key)
     return met.where(F.concat(F.lit(" "), F.col(text), F.lit(" ")).contains(F.concat(F.lit(" "), F.col(name), F.lit(" "))))
 
 

@@ -1,6 +1,6 @@
 """Entity linking: rule cascades, parties of cases, verification by shared tokens, block lists.
 
-All are equi-joins on a first word, a squeezed name or an id; rules then pick among the candidates.
+All are equi-joins on a name's rarest word, a squeezed name or an id; rules then pick among the candidates.
 """
 
 from pyspark.sql import DataFrame
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from cinderflow.functions import text as T
 from cinderflow.operators.entities import normalised, unambiguous, usable
+from cinderflow.operators.joins import by_rarest_word
+from cinderflow.storage import small
 
 #: Legal words and trailing filler left out of committees' names, and words that label a committee.
 LEGAL_WORDS = "inc incorporated corp corporation co company companies ltd limited plc lp llc llp nv sa ag se spa ab oyj the and of na cos".split()
@@ -36,12 +38,11 @@ def committee_links(names: DataFrame, committees: DataFrame, cycles: list[int],
         "committee", committee_tokens(F.col("name")).alias("own"), committee_tokens(F.col("affiliation")).alias("affil"), F.array_join(F.array_sort(shared), "|").alias("cycles")
     )
     asked = names.withColumn("core", committee_tokens(F.col("name"))).where(F.size("core") > 0).select("ticker", "place", F.col("name").alias("matched"), "kind", "core")
-    # A pair can only fit if the core's first word stands in the committee's name or opens its affiliation, or both are one word when squeezed.
-    squeezed = lambda c: F.concat(F.lit("="), F.array_join(c, ""))
-    first = lambda c: F.slice(c, F.lit(1), F.least(F.lit(1), F.size(c)))
-    left = asked.withColumn("key", F.explode(F.array(F.get("core", F.lit(0)), squeezed(F.col("core")))))
-    right = active.withColumn("key", F.explode(F.array_distinct(F.concat(F.col("own"), first(F.col("affil")), F.when(F.size("affil") > 0, F.array(squeezed(F.col("affil")))).otherwise(F.array().cast("array<string>"))))))
-    pairs = left.join(right, "key").drop("key").distinct()
+    # A pair can only fit if all of the core's words stand in the committee's name or affiliation, or both are one word when squeezed.
+    sized = lambda c: F.array_join(c, "")
+    worded = by_rarest_word(asked.withColumn("_words", F.col("core")), active.withColumn("_words", F.array_union("own", "affil")))
+    same = asked.join(active, (sized(F.col("core")) == sized(F.col("affil"))) & (F.size("affil") > 0))
+    pairs = worded.unionByName(same).distinct()
     n = F.size("core")
     begins = lambda c: F.slice(c, F.lit(1), n) == F.col("core")
     tail = F.when(F.size("own") > n, F.slice("own", n + 1, F.size("own") - n)).otherwise(F.array().cast("array<string>"))
@@ -83,8 +84,7 @@ def party_matches(cases: DataFrame, cores: DataFrame) -> DataFrame:
     """case, entity of cases (case, parties) with a party that is the entity: equal to one of its cores (entity, core), or the core and more
     words; after a short core suffixes and words of benefit plans only."""
     party = cases.select("case", F.explode("parties").alias("_p")).select("case", T.party_core(F.col("_p")).alias("_p"))
-    first = lambda c: F.get(F.split(c, " "), F.lit(0))
-    met = party.withColumn("_w", first(F.col("_p"))).join(cores.withColumn("_w", first(F.col("core"))), "_w")
+    met = by_rarest_word(cores.withColumn("_words", F.split("core", " ")), party.withColumn("_words", F.split("_p", " ")))
     rest = F.split(F.substr("_p", F.length("core") + 2), " ")
     follows = F.startswith(F.col("_p"), F.concat("core", F.lit(" ")))
     same = (F.col("_p") == F.col("core")) | (follows & (~T.is_short(F.col("core")) | F.forall(rest, lambda w: w.isin([*T.PARTY_SUFFIXES, *PLAN_WORDS]))))
@@ -100,9 +100,9 @@ def case_name_matches(cases: DataFrame, cores: DataFrame) -> DataFrame:
     one word counts only where the side's own words show a company."""
     sides = cases.select("case", F.explode(F.split("title", r"(?i)\s+v(?:s?\.?|ersus)\s+")).alias("_side"))
     told = sides.select("case", F.split(T.party_core(F.col("_side")), " ").alias("_ws"), F.arrays_overlap(F.regexp_extract_all(F.lower("_side"), F.lit("[a-z]+"), 0), F.array(*map(F.lit, CORPORATE))).alias("_co"))
-    at = told.select("*", F.posexplode("_ws").alias("_i", "_w"))
-    met = at.join(cores.withColumn("_w", F.get(F.split("core", " "), F.lit(0))), "_w").withColumn("_rest", F.array_join(F.slice("_ws", F.col("_i") + 1, F.size("_ws")), " "))
-    same = (F.col("_rest") == F.col("core")) | (F.startswith(F.col("_rest"), F.concat("core", F.lit(" "))) & ~T.is_short(F.col("core")))
+    met = by_rarest_word(cores.withColumn("_words", F.split("core", " ")), told.withColumnRenamed("_ws", "_words").withColumn("_side", F.array_join("_words", " ")))
+    side = F.concat(F.lit(" "), F.col("_side"), F.lit(" "))
+    same = F.endswith(F.col("_side"), F.concat(F.lit(" "), "core")) | (F.col("_side") == F.col("core")) | (side.contains(F.concat(F.lit(" "), "core", F.lit(" "))) & ~T.is_short(F.col("core")))
     return met.where(same & (F.col("core").contains(" ") | F.col("_co"))).select("case", "entity").distinct()
 
 
@@ -124,7 +124,7 @@ def verified_names(searches: DataFrame, suggestions: DataFrame) -> DataFrame:
 
 def unblocked(links: DataFrame, rules: DataFrame) -> DataFrame:
     """links (entity, name, year, ..) without those that a reviewed rule (entity, prefix, since) blocks: a name that begins so, from that year on."""
-    l, r = links.alias("l"), F.broadcast(rules.alias("r"))
+    l, r = links.alias("l"), small(rules).alias("r")
     hit = (F.col("l.entity") == F.col("r.entity")) & F.upper("l.name").startswith(F.col("r.prefix")) & (F.col("l.year") >= F.coalesce("r.since", F.lit(0)))
     return l.join(r, hit, "left_anti")
 
@@ -138,6 +138,24 @@ def valid_aliases(names: DataFrame, least_end: str) -> DataFrame:
     return told.where("kind = 'current'").unionByName(former.select(*told.columns)).drop("_n")
 
 
+def _years(low, high):
+    """The years from low to high as keys: periods that overlap share one."""
+    return F.sequence(F.year(low), F.year(high))
+
+
+def names_at(asked: DataFrame, aliases: DataFrame, latest: str) -> DataFrame:
+    """asked (id, name, at) with the entity that bore the name on that day, where it was one only.
+
+    aliases: entity, name, valid_from, valid_to (the first day it no longer held; NULL: it still does). An interval join: an alias is a row for each year
+    it holds in, up to that of `latest`, so name and year are keys of an equi-join, and the days are then compared. Names are compared in their loose form.
+    """
+    end = F.coalesce(F.col("valid_to"), F.date_add(F.to_date(F.lit(latest)), 1))
+    held = aliases.where(F.col("valid_from") < end).select("entity", T.alias_name(F.col("name")).alias("_n"), "valid_from", end.alias("_end"), F.explode(_years(F.col("valid_from"), F.date_sub(end, 1))).alias("_year"))
+    told = asked.select("id", "name", "at", T.alias_name(F.col("name")).alias("_n"), F.year("at").alias("_year"))
+    met = told.join(held, ["_n", "_year"]).where((F.col("at") >= F.col("valid_from")) & (F.col("at") < F.col("_end")))
+    return met.groupBy("id", "name", "at").agg(F.countDistinct("entity").alias("_k"), F.min("entity").alias("entity")).where("_k = 1").drop("_k")
+
+
 def search_cores(names: DataFrame, most: int) -> DataFrame:
     """entity, cores: distinct cores of the entity's names (entity, place, name) of two letters or more, in the order of place, at most so many."""
     by = names.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("place", T.party_core(F.col("name")).alias("c")))).alias("_l"))

@@ -133,3 +133,27 @@ def split_ratios(events: DataFrame) -> DataFrame:
     """symbol, date, ratio of split events (symbol, date, numerator, denominator); none without a denominator."""
     good = events.where("denominator <> 0")
     return good.select("symbol", "date", (F.col("numerator") / F.col("denominator")).alias("ratio")).distinct()
+
+
+def cover_counts(pages: DataFrame, key: str, page: str) -> DataFrame:
+    """key, symbol, shares, as_of of every share class on a cover page that has a symbol and a count.
+
+    A page's cells become rows; a class's symbol is the first that is given, its count the first number, scaled as the page's head says, as of its column's day.
+    """
+    from cinderflow.functions.extract import page_cells
+
+    cells = pages.select(key, F.explode(page_cells(F.col(page))).alias("c")).select(key, "c.*")
+    of = lambda concept: F.col("concept") == concept
+    figure = F.regexp_replace("text", r"[,$\s]", "")
+    is_count = of("dei_EntityCommonStockSharesOutstanding") & figure.rlike(r"^\d+(?:\.\d+)?$")
+    classes = cells.where(~of("head") & ~of("day")).groupBy(key, "member").agg(
+        F.min_by(F.when(of("dei_TradingSymbol") & (F.col("text") != ""), F.upper("text")), F.when(of("dei_TradingSymbol") & (F.col("text") != ""), F.col("place"))).alias("symbol"),
+        F.min(F.when(is_count, F.struct("place", figure.cast("double").alias("n")))).alias("count"),
+    )
+    head = F.lower(F.max(F.when(of("head"), F.col("text"))))
+    scale = F.when(head.contains("in millions"), 1_000_000).when(head.contains("in thousands"), 1000).otherwise(1)
+    # "Dec. 31, 2023" and "Dec 31, 2023"
+    day = F.to_date(F.try_to_timestamp(F.replace(F.col("text"), F.lit("."), F.lit("")), F.lit("MMM d, yyyy")))
+    told = cells.groupBy(key).agg(scale.alias("scale"), F.map_from_entries(F.collect_list(F.when(of("day"), F.struct(F.col("place"), day.alias("day"))))).alias("days"))
+    met = classes.where((F.col("symbol") != "") & ~F.col("symbol").isin("NONE", "N/A") & F.col("count").isNotNull()).join(told, key)
+    return met.select(key, "symbol", (F.col("count.n") * F.col("scale")).alias("shares"), F.try_element_at("days", F.col("count.place")).alias("as_of"))

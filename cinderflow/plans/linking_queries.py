@@ -61,7 +61,7 @@ _GENERIC = "', '".join(E.GENERIC_WORDS)
 _USABLE = f"(length({{0}}) >= 4 AND len(list_filter(string_split({{0}}, ' '), lambda w: w <> '' AND w NOT IN ('{_GENERIC}') AND NOT regexp_matches(w, '^[0-9]+$'))) > 0)"
 
 
-_TABLE = re.compile(r"\b(FROM|JOIN) (customer|supplier|part|orders|nation)\b")
+_TABLE = re.compile(r"\b(FROM|JOIN) (customer|supplier|part|orders|nation|documents)\b")
 
 
 def _rows(spark, d, sql):
@@ -307,6 +307,55 @@ def e12_valid_aliases(spark, d):
     return L.valid_aliases(_rows(spark, d, ALIASES), "2014-01-01").select("entity", "name", "kind")
 
 
+#: Names of three periods a company: the first two ended on a day, some gave theirs to another company.
+DATED = f"""SELECT 'T' || CAST(s_suppkey AS STRING) AS entity, {dressed("s_suppkey", "{b} Inc.", "The {b} Company")} AS name, CAST('1992-01-01' AS DATE) AS valid_from, CAST('1995-01-01' AS DATE) + CAST(s_suppkey % 700 AS INT) AS valid_to FROM supplier
+UNION ALL SELECT 'T' || CAST(s_suppkey AS STRING), {word("(s_suppkey + 500000)")} || ' Corp', CAST('1995-01-01' AS DATE) + CAST(s_suppkey % 700 AS INT), CASE WHEN s_suppkey % 4 > 0 THEN CAST('1998-06-01' AS DATE) END FROM supplier
+UNION ALL SELECT 'T' || CAST(s_suppkey + 1 AS STRING), {base("s_suppkey")}, CAST('1996-03-01' AS DATE), NULL FROM supplier UNION ALL SELECT 'U' || CAST(s_suppkey AS STRING), {base("s_suppkey")}, CAST('1997-01-01' AS DATE), NULL FROM supplier WHERE s_suppkey % 5 = 0"""
+DATED_ASKED = f"""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN upper({base("k")}) || ' CORP' WHEN 1 THEN {word("(k + 500000)")} ELSE {base("k")} || ' Co' END AS name, CAST(o_orderdate AS DATE) AS day FROM (SELECT *, o_custkey % (SELECT count(*) FROM supplier) AS k FROM orders)"""
+
+
+@query(f"""SELECT id, name, strftime(day, '%Y-%m-%d') AS day, min(entity) AS entity FROM (SELECT *, {_ALIAS.format('name')} AS n FROM ({DATED_ASKED})) q JOIN (SELECT entity, valid_from, valid_to, {_ALIAS.format('name')} AS m FROM ({DATED})) d
+ON n = m AND day >= valid_from AND (valid_to IS NULL OR day < valid_to) GROUP BY 1, 2, 3 HAVING count(DISTINCT entity) = 1""")
+def e12_names_at(spark, d):
+    """Whose name it was on the day of an order: aliases that hold for a time."""
+    got = L.names_at(_rows(spark, d, DATED_ASKED).withColumnRenamed("day", "at"), _rows(spark, d, DATED), "2005-12-31")
+    return got.select("id", "name", F.date_format("at", "yyyy-MM-dd").alias("day"), "entity")
+
+
+#: Companies and their subsidiaries by name, and records that bear such names or an employer's number.
+PARENTS = f"""SELECT {dressed("s_suppkey", "{b} Inc", "{u} Corp", "The {b} Company")} AS name, 'T' || CAST(s_suppkey AS STRING) AS entity FROM supplier UNION ALL SELECT {base("(s_suppkey + 1)")}, 'T' || CAST(s_suppkey AS STRING) FROM supplier WHERE s_suppkey % 11 = 4"""
+OWNED = f"""SELECT {dressed("c_custkey", "{b} of Ohio LLC", "Hospital Services Inc", "{b} Retail, Ltd.", "{u} CORP")} AS name, 'T' || CAST({_OWNER_OF} AS STRING) AS entity FROM customer WHERE c_acctbal > 0"""
+EINS = "SELECT lpad(CAST(1000000 + s_suppkey AS STRING), 9, '0') AS ein, 'T' || CAST(s_suppkey AS STRING) AS entity FROM supplier"
+FILED = f"""SELECT CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 5 = 0 THEN '00-' || CAST(1000000 + o_orderkey % 150 AS STRING) WHEN o_orderkey % 5 = 1 THEN CAST(20000000 + o_custkey AS STRING) END AS ein,
+CASE o_orderkey % 4 WHEN 0 THEN {dressed("o_custkey", "{b} of Ohio, Inc.", "Hospital Services", "{b} Retail", "{u} LLC")} WHEN 1 THEN {base("k")} ELSE {dressed("o_custkey", "{b} of Ohio LLC", "{b} Services", "{b} Retail Ltd", "{u} Corp")} END AS name FROM (SELECT *, o_custkey % (SELECT count(*) FROM supplier) AS k FROM orders)"""
+_FORM_SET = f"list_distinct(list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower({{0}}), '\\bl\\.?\\s?l\\.?\\s?c\\b', 'llc', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: {_FORMS}), lambda x: x IS NOT NULL))"
+_CLEAN = "CASE WHEN length(regexp_replace({0}, '[^0-9]', '', 'g')) BETWEEN 8 AND 9 AND NOT regexp_matches(regexp_replace({0}, '[^0-9]', '', 'g'), '^0+$') THEN lpad(regexp_replace({0}, '[^0-9]', '', 'g'), 9, '0') END"
+
+
+@query(f"""WITH r AS (SELECT *, {_CLEAN.format('ein')} AS e, {_NORM.format('name')} AS n, {_FORM_SET.format('name')} AS f FROM ({FILED})), p AS (SELECT entity, {_NORM.format('name')} AS n FROM ({PARENTS})), s AS (SELECT entity, {_NORM.format('name')} AS n, {_FORM_SET.format('name')} AS f FROM ({OWNED})),
+b AS (SELECT n, min(entity) AS entity, min(kind) AS kind FROM (SELECT n, entity, 'name' AS kind FROM p UNION ALL SELECT n, entity, 'subsidiary' FROM s) WHERE {_USABLE.format('n')} GROUP BY n HAVING count(DISTINCT entity) = 1),
+own AS (SELECT entity, list_distinct(flatten(list(list_filter(string_split(n, ' '), lambda w: w NOT IN ('{_GENERIC}') AND length(w) >= 3)))) AS ws FROM p GROUP BY 1), fs AS (SELECT n, list_distinct(flatten(list(f))) AS fs FROM s GROUP BY 1), sh AS (SELECT n, count(DISTINCT e) AS k FROM r GROUP BY 1),
+i AS (SELECT {_CLEAN.format('ein')} AS e, min(entity) AS entity FROM ({EINS}) GROUP BY 1 HAVING count(DISTINCT entity) = 1),
+m AS (SELECT r.id, r.name, i.entity AS ie, b.entity AS be, b.kind, b.kind = 'name' OR coalesce(len(list_intersect(string_split(r.n, ' '), own.ws)) > 0, false) OR (k <= 1 AND (len(r.f) = 0 OR len(coalesce(fs.fs, [])) = 0 OR len(list_intersect(r.f, fs.fs)) > 0) AND (contains(r.n, ' ') OR length(r.n) >= 6)) AS ok
+ FROM r LEFT JOIN i ON i.e = r.e LEFT JOIN b ON b.n = r.n LEFT JOIN own ON own.entity = b.entity LEFT JOIN fs ON fs.n = r.n LEFT JOIN sh ON sh.n = r.n)
+SELECT id, name, coalesce(ie, CASE WHEN be IS NOT NULL AND ok THEN be END) AS entity, CASE WHEN ie IS NOT NULL THEN 'ein' WHEN be IS NOT NULL AND ok THEN kind END AS tier FROM m""")
+def e01_company_matches(spark, d):
+    """The whole matcher: employer's number, then names that mean one company, then subsidiaries that pass the strict tests."""
+    of = lambda sql: _rows(spark, d, sql)
+    return E.company_matches(of(FILED), of(EINS), of(PARENTS), of(OWNED)).select("id", "name", "entity", "tier")
+
+
+#: Every company's bare name against the whole text of every document, some of which speak of a company.
+TOLD = f"""SELECT doc_id, lower(coalesce(text, '')) || CASE doc_id % 3 WHEN 0 THEN ' said by ' || {base("(doc_id * 7)")} || ' today' WHEN 1 THEN ' from ' || {word("doc_id")} || ' global' ELSE ' tools air lines' END AS text FROM documents"""
+BARE = f"SELECT DISTINCT {base('c_custkey')} AS name FROM customer UNION SELECT {base('s_suppkey')} FROM supplier"
+
+
+@query(f"SELECT doc_id, name FROM ({TOLD}) t JOIN ({BARE}) n ON contains(' ' || text || ' ', ' ' || name || ' ')")
+def j20_names_in_texts(spark, d):
+    """Companies named in documents: blocked by each name's rarest word, so 'air' and 'tools' bring no candidates."""
+    return J.token_candidates(_rows(spark, d, BARE), _rows(spark, d, TOLD), "name", "text").select("doc_id", "name")
+
+
 @query(f"""SELECT entity, string_agg(c, '|' ORDER BY p) AS cores FROM (SELECT entity, {_PARTY.format('name')} AS c, min(place) AS p FROM ({ALIASES}) GROUP BY 1, 2) WHERE length(c) >= 2 GROUP BY 1""")
 def z16_search_cores(spark, d):
     return L.search_cores(_rows(spark, d, ALIASES), 5).select("entity", A.piped(F.col("cores")).alias("cores"))

@@ -173,8 +173,8 @@ def k02_cover_pages(spark, d):
     ship_package(spark)
     n = F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0")
     page = F.replace(F.lit(_COVER), F.lit("{n}"), n)
-    got = X.table(spark, d, "supplier").select("s_suppkey", F.explode(extract.cover_counts(page)).alias("c"))
-    return got.select("s_suppkey", "c.symbol", "c.shares", F.date_format("c.as_of", "yyyy-MM-dd").alias("as_of"))
+    got = market.cover_counts(X.table(spark, d, "supplier").select("s_suppkey", page.alias("page")), "s_suppkey", "page")
+    return got.select("s_suppkey", "symbol", "shares", F.date_format("as_of", "yyyy-MM-dd").alias("as_of"))
 
 
 def k03_split_ratios(spark, d):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cinderflow import config, service
 from cinderflow.functions import arrays, extract
-from cinderflow.operators import joins, linking, scoring
+from cinderflow.operators import joins, linking, market, scoring
 from cinderflow.plans import fixtures as X
 from cinderflow.sources import files
 from cinderflow.storage import settled, ship_package, small
@@ -125,8 +125,14 @@ def test_cover_pages_scale_and_skip(spark):
     page = """<th class="tl"><div>in millions</div></th><th class="th"><div>Jan 2, 2024</div></th><tr><a defref_dei_TradingSymbol'></a><td class="text">n/a</td></tr>
     <tr><a defref_dei_EntityCommonStockSharesOutstanding'></a><td class="nump">$ 1.5</td></tr><tr><a defref_x_Axis=B'></a></tr><tr><a defref_dei_TradingSymbol'></a><td class="text">bb</td></tr>
     <tr><a defref_dei_EntityCommonStockSharesOutstanding'></a><td class="nump">$ 2.5</td></tr>"""
-    got = spark.createDataFrame([(page,), (None,), ("<p>",)], "p string").select(extract.cover_counts("p").alias("c")).collect()
-    assert [[(c["symbol"], c["shares"], str(c["as_of"])) for c in r["c"]] for r in got] == [[("BB", 2.5e6, "2024-01-02")], [], []]
+    got = market.cover_counts(spark.createDataFrame([(1, page), (2, None), (3, "<p>"), (4, page.replace("Jan 2", "Feb. 30"))], "k int, p string"), "k", "p").collect()
+    assert sorted((r["k"], r["symbol"], r["shares"], str(r["as_of"])) for r in got) == [(1, "BB", 2.5e6, "2024-01-02"), (4, "BB", 2.5e6, "None")]
+
+
+def test_sentences_go_on_behind_abbreviations(spark):
+    said = "In 2021 the U.S. Environmental Protection Agency fined Acme Corp. Together with Mr. Smith it agreed to pay $4 million for the spill of hazardous waste. The rest is about goods sold in stores last year."
+    got = service.passages(spark.createDataFrame([("a", said), ("b", None)], "entity string, text string")).collect()
+    assert {r["sentence"] for r in got} == {said[: said.index(" The rest")]}
 
 
 def test_lists_of_nothing(spark):
