@@ -10,6 +10,34 @@ def average_rank(value, partition):
     return F.rank().over(Window.partitionBy(*partition).orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / 2
 
 
+#: Ranges a partition's values are cut into, so that no task orders all of them.
+RANGES = 64
+
+
+def ranked(df: DataFrame, value: str, partition: list[str]) -> DataFrame:
+    """partition, value, place (average rank from 1 by ascending value), n (rows of the partition): a row for each different value that is not NULL.
+
+    Two levels: rows are counted by value, partial before the shuffle, so ties are one row; approximate quantiles cut each partition's values into
+    ranges; counts of the ranges before, and of the values before in the same range, add up to the place. No window holds more than a range.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*partition, value).agg(F.count(F.lit(1)).alias("_n"))
+    steps = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    bounds = counts.groupBy(*partition).agg(F.percentile_approx(value, steps, F.lit(10_000)).alias("_b"), F.sum("_n").alias("n"))
+    placed = (counts.join(bounds, partition) if partition else counts.crossJoin(F.broadcast(bounds))).withColumn("_p", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
+    before = lambda by, order: by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(*partition, "_p").agg(F.sum("_n").alias("_s"))  # RANGES rows a partition at most
+    bases = ranges.select(*partition, "_p", F.coalesce(F.sum("_s").over(before(Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0)), "_p")), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("_n").over(before(Window.partitionBy(*partition, "_p"), value)), F.lit(0))
+    told = placed.withColumn("_inside", inside).join(bases, [*partition, "_p"])
+    return told.select(*partition, value, (F.col("_base") + F.col("_inside") + (F.col("_n") + 1) / 2).alias("place"), "n")
+
+
+def rank01_of(place, n, higher_is_better):
+    """0 = worst to 1 = best from a place among n; a lone value gets 0.5."""
+    up = (place - 1) / F.nullif(n - 1, F.lit(0))
+    return F.when(n == 1, F.lit(0.5)).when(higher_is_better, up).otherwise(1 - up)
+
+
 def rank01(value, partition, higher_is_better):
     """0 = worst to 1 = best within the partition; a lone value gets 0.5."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*partition))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cinderflow.config import CATEGORIES, Profile
 from cinderflow.functions.numbers import half_even, ratio
-from cinderflow.operators.ranking import average_rank, latest, rank01
+from cinderflow.operators.ranking import average_rank, latest, rank01_of, ranked
 from cinderflow.storage import written
 
 NO_SECTOR = "(no sector)"
@@ -50,12 +50,14 @@ def dense_values(universe: DataFrame, facts: DataFrame, catalog: DataFrame, min_
 def profile_ranks(universe: DataFrame, facts: DataFrame, catalog: DataFrame, profile: Profile) -> DataFrame:
     """dense_values() with rank01. Share classes are ranked once, by their primary, and share its rank."""
     first = primaries(universe)
-    dense = dense_values(universe, facts, catalog, profile.min_year).join(first, "cik")
+    # Read for the pool that is ranked, for its counts by value, and for all rows.
+    dense = written(dense_values(universe, facts, catalog, profile.min_year).join(first, "cik"), "dense-values")
     sector = F.when(F.trim(F.coalesce("sector", F.lit(""))) == "", F.lit(NO_SECTOR)).otherwise(F.col("sector"))
     part = ["indicator_id", "_sector"] if profile.sector_relative else ["indicator_id"]
     pool = dense.where((F.col("ticker") == F.col("primary")) & F.col("value").isNotNull()).withColumn("_sector", sector)
-    ranked = pool.select("indicator_id", F.col("ticker").alias("primary"), rank01(F.col("value"), part, F.col("higher_is_better")).alias("rank01"))
-    return dense.join(ranked, ["indicator_id", "primary"], "left")
+    places = ranked(pool, "value", part)
+    held = pool.join(places, [*part, "value"]).select("indicator_id", F.col("ticker").alias("primary"), rank01_of(F.col("place"), F.col("n"), F.col("higher_is_better")).alias("rank01"))
+    return dense.join(held, ["indicator_id", "primary"], "left")
 
 
 def category_scores(ranks: DataFrame, min_share: float, keys=("ticker",)) -> DataFrame:

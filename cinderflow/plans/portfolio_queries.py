@@ -11,6 +11,7 @@ from cinderflow.operators import ranking as R
 from cinderflow.plans import fixtures as X
 from cinderflow.plans.operator_queries import splits
 from cinderflow.plans.score_queries import _score
+from cinderflow.storage import written
 
 QUERIES, ORACLE = {}, {}
 
@@ -28,9 +29,13 @@ def query(sql=None):
 SETTINGS = {"max_weight": 0.02, "tilt_strength": 2.0}
 
 
-def fund(spark, d, **more):
-    s = _score(spark, d).select("ticker", "name", "sector", "total_score", "economic_score", "social_score", "environmental_score")
-    return V.allocate(s, X.universe(spark, d), portfolio_settings(X.PROFILE, {**SETTINGS, **more}))
+def _scores(spark, d):
+    return _score(spark, d).select("ticker", "name", "sector", "total_score", "economic_score", "social_score", "environmental_score")
+
+
+def fund(spark, d, scores=None, **more):
+    """The fund, written: what follows reads its one row a company."""
+    return written(V.allocate(_scores(spark, d) if scores is None else scores, X.universe(spark, d), portfolio_settings(X.PROFILE, {**SETTINGS, **more})), "fund")
 
 
 def fund_sql(tilt=2.0, neutral=True):
@@ -74,7 +79,8 @@ def v01_companies(spark, d):
 
 @query(fund_sql() + "SELECT ticker, round(b, 9) AS benchmark_weight FROM b1")
 def v02_benchmark(spark, d):
-    return V.companies(_score(spark, d), X.universe(spark, d)).select("ticker", F.round(V.benchmark("cap"), 9).alias("benchmark_weight"))
+    held = written(V.companies(_score(spark, d), X.universe(spark, d)), "companies")
+    return V.scaled(held, "b", F.coalesce("cap", F.lit(0.0))).select("ticker", F.round("b", 9).alias("benchmark_weight"))
 
 
 @query(fund_sql() + "SELECT ticker, policy, round(e, 9) AS eligible FROM b3")
@@ -243,7 +249,8 @@ def k11_stress_curve(spark, d):
 @query(_curve_sql(FUND, "SELECT 'fund' AS fund, ticker, w AS weight FROM fs UNION ALL SELECT 'index', ticker, b FROM fs UNION ALL SELECT 'exclusion', ticker, e FROM b3"))
 def k13_three_funds(spark, d):
     """The index, exclusions alone (no tilt, no cap that binds), and the fund."""
-    f, plain = fund(spark, d), fund(spark, d, tilt_strength=0.0, max_weight=1.0)
+    s = written(_scores(spark, d), "scores")
+    f, plain = fund(spark, d, s), fund(spark, d, s, tilt_strength=0.0, max_weight=1.0)
     pick = lambda df, name, c: df.select(F.lit(name).alias("fund"), "ticker", F.col(c).alias("weight"))
     return _curve(spark, d, pick(f, "fund", "weight").unionByName(pick(f, "index", "benchmark_weight")).unionByName(pick(plain, "exclusion", "weight")))
 

@@ -6,12 +6,14 @@ from cinderflow.config import CATEGORIES
 from cinderflow.functions.numbers import half_even, r6
 from cinderflow.operators import ranking, scoring
 from cinderflow.plans import fixtures as X
+from cinderflow.storage import written
 
 CW = X.PROFILE.category_weights
 
 
 def _ranks(spark, d, profile=X.PROFILE):
-    return scoring.profile_ranks(X.universe(spark, d), X.facts(spark, d), scoring.indicator_weights(X.catalog(spark), profile), profile)
+    """The ranks, written: every branch of a query reads them."""
+    return written(scoring.profile_ranks(X.universe(spark, d), X.facts(spark, d), scoring.indicator_weights(X.catalog(spark), profile), profile), "ranks")
 
 
 def _score(spark, d):
