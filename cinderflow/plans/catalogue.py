@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["score_queries", "operator_queries", "portfolio_queries", "check_queries", "indicator_queries", "linking_queries", "service", "more_queries", "filing_queries"]
+MODULES = ["score_queries", "operator_queries", "portfolio_queries", "check_queries", "indicator_queries", "linking_queries", "service", "more_queries", "filing_queries", "final_queries"]
 
 
 def _parts():

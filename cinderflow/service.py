@@ -139,3 +139,15 @@ def stored_checks(spark: SparkSession, folder: str, ids: list[str]) -> DataFrame
 def as_records(df: DataFrame) -> list[str]:
     """An answer's rows as JSON texts, for a page of a dashboard (a few hundred rows)."""
     return [r["record"] for r in arrays.records(df).collect()]
+
+
+def netzero(fund: DataFrame, exposure: DataFrame, prices: list[float]) -> DataFrame:
+    """fund ('fund' or 'index'), price, risk, covered, heavy_share: the share of profits that a carbon price takes, of an allocated fund and its benchmark.
+
+    exposure: ticker, tonnes, pretax. Prices are those of the request; what a company without figures weighs is not covered.
+    """
+    from cinderflow.operators import market
+
+    long = fund.unpivot("ticker", ["weight", "benchmark_weight"], "_k", "weight_")
+    sides = long.select(F.when(F.col("_k") == "weight", "fund").otherwise("index").alias("fund"), "ticker", F.col("weight_").alias("weight"))
+    return market.stress(exposure, sides, prices)
