@@ -5,11 +5,11 @@ The templates are the public wordings of common licences and their notices.
 1. A file's words are cut once; of them only licence words (words of templates or phrases) go on, with their places.
 2. In how many files each licence word stands is counted over the whole corpus; its IDF follows. Of each file its own LOOKED_UP licence words of the
    highest IDF are looked up: they are words that the file has, so a licence that is cut short, or one whose rarest words are left out, is still found by those that are there.
-3. The index holds every place of every licence word in the templates: (word, template, place). The file's words meet the postings by an
+3. The index holds every place of the templates' words (of five letters or more, where a template has enough of those): (word, template, place). Of a file that has too few words of a template no place is looked up there. The file's words meet the postings by an
    equi-join. Postings of one template agree if their offsets (place in the file less place in the template) differ by less than SLACK: offsets
    are dealt to bins of SLACK, once from 0 and once from SLACK / 2, so words put in or left out do no harm.
 4. A bin's share is the IDF of the different words that agree in it over the IDF of all looked-up words that the template has at all, times the part of
-   PLACES words (or of all the template has) that agree. Where a template's best share reaches LEAST_SHARE, the mandatory key phrase must
+   PLACES words (or of all the template has) that agree; with fewer than LEAST_WORDS it is no find. Where a template's best share reaches LEAST_SHARE, the mandatory key phrase must
    stand where that bin expects the template (MARGIN words more on both sides); then the template's label is added. Phrases are looked for in such files only.
 
 The score is the best of all templates, whether verified or not. Base labels come from the places of the base phrases
@@ -107,8 +107,8 @@ TEMPLATES = [
     ("cc-by-sa", "cc by sa", "CC BY-SA"), ("cc-by-nc", "cc by nc", "CC BY-NC"), ("cc-by-nd", "cc by nd", "CC BY-ND"),
 ]
 #: Highest-IDF licence words of a file that are looked up; letters of a licence word that is in no phrase; offsets that agree; words about a template in which its
-#: key phrase may stand; different words that must agree for a full score; score that asks for the key phrase.
-LOOKED_UP, LETTERS, SLACK, MARGIN, PLACES, LEAST_SHARE = 24, 5, 8, 16, 5, 0.5
+#: key phrase may stand; different words that must agree for a full score, and for any; score that asks for the key phrase.
+LOOKED_UP, LETTERS, SLACK, MARGIN, PLACES, LEAST_WORDS, LEAST_SHARE = 24, 5, 8, 16, 5, 4, 0.5
 
 
 def words_of(text: str) -> list[str]:
@@ -116,15 +116,19 @@ def words_of(text: str) -> list[str]:
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
-    """All licence words: those of phrases, and those of wordings with LETTERS letters or more."""
+    """All licence words: those of phrases, and those that are indexed."""
     phrases = {w for p in [*BASE, *(key for _, key, _ in templates)] for w in p.split()}
-    return sorted(phrases | {w for *_, text in templates for w in words_of(text) if len(w) >= LETTERS})
+    return sorted(phrases | {w for w, *_ in index_rows(templates)})
 
 
 def index_rows(templates=TEMPLATES) -> list[tuple[str, int, int]]:
-    """word, template, place of every licence word in every template."""
-    known = set(vocabulary(templates))
-    return [(w, t, i) for t, (*_, text) in enumerate(templates) for i, w in enumerate(words_of(text)) if w in known]
+    """word, template, place of every indexed word in every template: those of LETTERS letters or more, or all words of a template that has few of those."""
+    rows = []
+    for t, (*_, text) in enumerate(templates):
+        words = words_of(text)
+        long = {w for w in words if len(w) >= LETTERS}
+        rows += [(w, t, i) for i, w in enumerate(words) if len(long) < PLACES or w in long]
+    return rows
 
 
 def idf(held: int, files: int) -> float:
@@ -170,30 +174,40 @@ def weights(found: DataFrame, templates=TEMPLATES) -> dict[str, float]:
     return {w: idf(held.get(w, 0), files) for w in vocabulary(templates)}
 
 
-def looked_up(found: DataFrame, idfs: dict[str, float], most: int = LOOKED_UP) -> DataFrame:
-    """row, word, at, idf: the places of each file's licence words of the highest IDF (ties by word)."""
+def looked_up(found: DataFrame, idfs: dict[str, float], needs: list[tuple[list[str], int]], most: int = LOOKED_UP) -> DataFrame:
+    """row, likely, word, at: the places of each file's licence words of the highest IDF (ties by word), of files that have enough words of a template.
+
+    needs: the different words of each template and how many of them a file must have; likely: the templates of which it has as many.
+    """
     table = F.create_map(*[x for w, v in idfs.items() for x in (F.lit(w), F.lit(v))])
-    words = F.transform(F.array_distinct("met.word"), lambda w: F.struct((-table[w]).alias("minus"), w.alias("word")))
-    chosen = found.select("row", "met", F.slice(F.array_sort(words), 1, most).alias("chosen")).where(F.size("chosen") > 0)
-    names = F.transform("chosen", lambda c: c["word"])
-    kept = chosen.select("row", F.explode(F.filter("met", lambda m: F.array_contains(names, m["word"]))).alias("m"))
-    return kept.select("row", F.col("m.word").alias("word"), F.col("m.at").alias("at"))
+    indexed = sorted({w for own, _ in needs for w in own})
+    words = F.transform(F.filter(F.array_distinct("met.word"), lambda w: w.isin(indexed)), lambda w: F.struct((-table[w]).alias("minus"), w.alias("word")))
+    chosen = found.where(F.size("met") >= 2).select("row", "met", F.transform(F.slice(F.array_sort(words), 1, most), lambda c: c["word"]).alias("chosen"))
+    enough = [F.when(F.size(F.array_intersect("chosen", F.array(*map(F.lit, own)))) >= need, k) for k, (own, need) in enumerate(needs)]
+    # The generator of one row has the lists made once, before the filter.
+    told = chosen.select("row", "met", "chosen", F.explode(F.array(F.filter(F.array(*enough), lambda k: k.isNotNull()))).alias("likely")).where(F.size("likely") > 0)
+    kept = told.select("row", "likely", F.explode(F.filter("met", lambda m: F.array_contains("chosen", m["word"]))).alias("m"))
+    return kept.select("row", "likely", F.col("m.word").alias("word"), F.col("m.at").alias("at"))
 
 
 def best_bins(found: DataFrame, idfs: dict[str, float], templates=TEMPLATES, slack: int = SLACK) -> DataFrame:
-    """row, template, share, low: for each file and template with two words or more at one offset, the best share and where its bin begins."""
+    """row, template, share, low: for each file and template with enough words at one offset, the best share and where its bin begins.
+
+    Enough: LEAST_WORDS, or all that the template has, if fewer.
+    """
     spark, rows = found.sparkSession, index_rows(templates)
     # As many rows as the templates have words: some thousands, whatever the files.
     postings = F.broadcast(spark.createDataFrame([(*r, idfs[r[0]]) for r in rows], "word string, template int, place int, idf double"))
-    need = [min(PLACES, len({w for w, t, _ in rows if t == k})) for k in range(len(templates))]
+    own = [sorted({w for w, t, _ in rows if t == k}) for k in range(len(templates))]
+    need, least = ([min(n, len(words)) for words in own] for n in (PLACES, LEAST_WORDS))
     half = slack // 2
-    met = looked_up(found, idfs).join(postings, "word")
+    met = looked_up(found, idfs, list(zip(own, least, strict=True))).join(postings, "word").where(F.array_contains("likely", F.col("template"))).drop("likely")
     # What the file's words could add up to in a template at most, each word once.
     possible = met.groupBy("row", "template", "word").agg(F.first("idf").alias("idf")).groupBy("row", "template").agg(F.sum("idf").alias("all"))
     low = lambda shift: F.floor((F.col("at") - F.col("place") + shift) / slack).cast("int") * slack - shift
     binned = met.select("row", "template", "word", "idf", F.explode(F.array_distinct(F.array(low(0), low(half)))).alias("low"))
     words = binned.groupBy("row", "template", "low", "word").agg(F.first("idf").alias("idf"))
-    by = words.groupBy("row", "template", "low").agg(F.sum("idf").alias("idf"), F.count(F.lit(1)).alias("n")).where("n >= 2").join(possible, ["row", "template"])
+    by = words.groupBy("row", "template", "low").agg(F.sum("idf").alias("idf"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.get(F.array(*map(F.lit, least)), F.col("template"))).join(possible, ["row", "template"])
     share = F.col("idf") / F.col("all") * F.least(F.lit(1.0), F.col("n") / F.get(F.array(*map(F.lit, need)), F.col("template")))
     top = by.groupBy("row", "template").agg(F.max(F.struct(F.round(share, 9).alias("share"), (-F.col("low")).alias("before"))).alias("b"))
     return top.select("row", "template", F.col("b.share").alias("share"), (-F.col("b.before")).alias("low"))

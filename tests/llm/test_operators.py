@@ -827,23 +827,28 @@ def brute_licenses(texts):
     known = set(license_scans.vocabulary())
     held = collections.Counter(x for w in cut for x in set(w) & known)
     idf = {x: license_scans.idf(held[x], len(texts)) for x in known}
+    rows = license_scans.index_rows()
+    indexed = {x for x, *_ in rows}
     out = []
     for w in cut:
         labels = {label for phrase, label in license_scans.BASE.items() if f" {phrase} " in f" {' '.join(w)} "}
-        chosen = set(sorted(set(w) & known, key=lambda x: (-idf[x], x))[: license_scans.LOOKED_UP])
+        chosen = set(sorted(set(w) & indexed, key=lambda x: (-idf[x], x))[: license_scans.LOOKED_UP])
         spots = [(i, x) for i, x in enumerate(w) if x in chosen]
         best_score = 0.0
-        for label, key, text in license_scans.TEMPLATES:
+        for t, (label, key, text) in enumerate(license_scans.TEMPLATES):
             told = license_scans.words_of(text)
             own, bins = collections.defaultdict(list), collections.defaultdict(set)
-            for place, x in enumerate(told):
-                own[x].append(place)
+            for x, of, place in rows:
+                if of == t:
+                    own[x].append(place)
+            if len(chosen & set(own)) < min(license_scans.LEAST_WORDS, len(own)):
+                continue
             for at, x in spots:
                 for place in own.get(x, ()):
                     for shift in (0, license_scans.SLACK // 2):
                         bins[(at - place + shift) // license_scans.SLACK * license_scans.SLACK - shift].add(x)
-            every, need = sum(idf[x] for x in chosen & set(own)), min(license_scans.PLACES, len(set(own) & known))
-            shares = sorted((-round(sum(idf[x] for x in xs) / every * min(1, len(xs) / need), 9), low) for low, xs in bins.items() if len(xs) >= 2)
+            every, need = sum(idf[x] for x in chosen & set(own)), min(license_scans.PLACES, len(own))
+            shares = sorted((-round(sum(idf[x] for x in xs) / every * min(1, len(xs) / need), 9), low) for low, xs in bins.items() if len(xs) >= min(license_scans.LEAST_WORDS, len(own)))
             if shares:
                 share, low = -shares[0][0], shares[0][1]
                 best_score = max(best_score, min(1.0, share))
