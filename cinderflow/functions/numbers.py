@@ -21,3 +21,10 @@ def half_even(x, decimals: int):
 
 def r6(x):
     return F.round(x.cast("double"), 6)
+
+
+def steady_sum(x):
+    """Sum of doubles that doesn't depend on the order of rows: parts in whole 1024ths add without rounding (up to 2^43 in all), and what is
+    left of a row is below 2^-10, so its sum's rounding stays far below the last bit of the total."""
+    whole = F.rint(x * 1024) / 1024
+    return F.sum(whole) + F.sum(x - whole)

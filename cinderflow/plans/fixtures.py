@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderflow.config import Profile
-from cinderflow.functions.numbers import ratio
+from cinderflow.functions.numbers import ratio, steady_sum
 from cinderflow.storage import written
 
 CATALOG = [
@@ -38,7 +38,7 @@ def universe(spark: SparkSession, d: str) -> DataFrame:
 def order_years(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     return o.groupBy(F.col("o_custkey").cast("string").alias("ticker"), F.year("o_orderdate").alias("year")).agg(
-        F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("n")
+        steady_sum(F.col("o_totalprice")).alias("total"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -56,14 +56,17 @@ def line_years(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     price = F.col("l_extendedprice")
     by_nation = bought(spark, d).join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left").groupBy("ticker", "year", "s_nationkey").agg(
-        F.sum("l_quantity").alias("q"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).alias("rq"), F.sum(price).alias("e"), F.sum(price * F.col("l_discount")).alias("ed")
+        F.sum("l_quantity").alias("q"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).alias("rq"), steady_sum(price).alias("e"), steady_sum(price * F.col("l_discount")).alias("ed")
     )
     known = F.when(F.col("s_nationkey").isNotNull(), F.col("e"))
-    return by_nation.groupBy("ticker", "year").agg(*[F.sum(c).alias(c) for c in ("q", "rq", "e", "ed")], ratio(F.sum(known * known), F.sum(known) * F.sum(known)).alias("hhi"))
+    return by_nation.groupBy("ticker", "year").agg(*[steady_sum(F.col(c)).alias(c) for c in ("q", "rq", "e", "ed")], ratio(steady_sum(known * known), steady_sum(known) * steady_sum(known)).alias("hhi"))
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    """indicator_id, ticker, year, value of all six indicators: two aggregates, written once and read by every branch of a query."""
+    """indicator_id, ticker, year, value of all six indicators: two aggregates, written once and read by every branch of a query.
+
+    Sums don't depend on the order of rows: equal companies get equal values in the last bit, and so share their rank.
+    """
     by_year = Window.partitionBy("ticker").orderBy("year")
     y = order_years(spark, d).withColumn("before", F.lag("total").over(by_year)).withColumn("gap", F.col("year") - F.lag("year").over(by_year))
     y = y.withColumn("nr", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("year")))).withColumn("g", ratio(F.col("total"), F.col("before")) - 1)

@@ -1,5 +1,6 @@
 """Invariants of ranks, scores, funds, market data and checks on literal tables."""
 
+import math
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from cinderflow import config
 from cinderflow.functions import dates, numbers, text
 from cinderflow.operators import aggregates, checks, entities, joins, market, portfolio, ranking, scoring, timeseries
+from cinderflow.plans import fixtures
 
 
 def ranks_of(spark, values, better=True):
@@ -275,3 +277,35 @@ def test_scalar_functions(spark):
     assert [tuple(x) for x in row(text.owners(F.lit("A (74.5%); B")))[0]] == [("A", 0.745), ("B", 1.0)]
     assert row(text.scaled_number(F.lit("1,234.5 million")))[0] == 1234.5e6
     assert list(row(text.html_text(F.lit("<p>a<b>b</b></p><script>x</script>c")), text.inline_text(F.lit("<p>a<b>b</b></p><p>c</p>")))) == ["a b c", "ab\nc"]
+
+
+def test_sums_in_any_order(spark):
+    """The same prices in other orders have one total to the last bit; plain sums of them differ."""
+    draw, prices = random.Random(3), [round(random.Random(5).uniform(1, 2) * 10**k + k / 100, 2) for k in (2, 3, 4, 5, 5, 4, 3, 1)]
+    orders = [draw.sample(prices, len(prices)) for _ in range(50)]
+    df = spark.createDataFrame([(k, x) for k, xs in enumerate(orders) for x in xs], "k int, x double").coalesce(1)
+    got = df.groupBy("k").agg(numbers.steady_sum(F.col("x")).alias("steady"), F.sum("x").alias("plain")).collect()
+    assert len({r["steady"] for r in got}) == 1 < len({r["plain"] for r in got})
+    assert abs(got[0]["steady"] - math.fsum(prices)) <= math.ulp(got[0]["steady"])
+    assert spark.createDataFrame([(None,), (None,)], "x double").agg(numbers.steady_sum(F.col("x"))).first()[0] is None
+
+
+def test_equal_companies_have_equal_facts(spark, tmp_path):
+    """Customers whose orders and lines have the same figures, in other orders, tie in every indicator."""
+    draw = random.Random(11)
+    orders, lines, twins = [], [], 60
+    figures = [[(round(draw.uniform(1, 10**draw.randint(2, 6)), 2), round(draw.uniform(900, 100000), 2), draw.randint(0, 10) / 100) for _ in range(9)] for _ in range(6)]
+    for who in range(twins):
+        for y, year in enumerate(figures):
+            for k, (total, price, discount) in enumerate(draw.sample(year, len(year))):
+                key = len(orders)
+                orders.append((key, who, total, f"{1995 + y}-03-01"))
+                lines.append((key, k % 3, 10.0, price, discount, "RN"[k == 4], f"{1995 + y}-05-01"))
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, d string").selectExpr("*", "timestamp(d) o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    lineitem = spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, d string")
+    lineitem.selectExpr("* except (l_suppkey)", "0L l_suppkey", "timestamp(d) l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(0, 1)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    years = fixtures.order_years(spark, str(tmp_path)).collect()
+    assert len(years) == twins * 6 and len({(r["year"], r["total"]) for r in years}) == 6
+    sums = fixtures.line_years(spark, str(tmp_path)).drop("ticker").distinct()
+    assert sums.count() == 6
