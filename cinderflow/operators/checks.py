@@ -93,34 +93,47 @@ def weight_robustness(totals: DataFrame, default: DataFrame, top: float = 0.2) -
     return rho.join(kept, "run")
 
 
-def _ranked_runs(totals: DataFrame, default: DataFrame) -> DataFrame:
-    """run, ticker, and the average ranks of total_score (in its run) and base (among all of default).
+def _ranked_runs(totals: DataFrame, default: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """run, ticker, and the average ranks of total_score (in its run, with n) and base (among all of default); and by run rho, their correlation.
 
-    Rounded totals take at most 1,001 values, so a run's ranks come from counts by total: these are broadcast, and no row of totals is shuffled.
+    Rounded totals take at most 1,001 values, so all ranks come from counts by total: a run's are broadcast, and no row of totals is shuffled.
+    Rows of one total share a rank, so rho comes from the same counts and needs no further pass over the totals.
     """
-    base = default.where("total_score is not null").select("ticker", F.col("total_score").alias("base")).withColumn("base_rank", average_rank(F.col("base"), [F.lit(1)]))
+    scored = default.where("total_score is not null").select("ticker", F.col("total_score").alias("base"))
+    values = scored.groupBy("base").agg(F.count(F.lit(1)).alias("_c"))
+    lower = F.coalesce(F.sum("_c").over(Window.orderBy("base").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = scored.join(F.broadcast(values.select("base", (lower + (F.col("_c") + 1) / 2).alias("base_rank"))), "base")
     base = small(written(base, "default-ranks"))
     met = totals.where("total_score is not null").join(base, "ticker").withColumn("_k", F.rint(F.col("total_score") * 10).cast("int"))
-    counts = met.groupBy("run", "_k").agg(F.count(F.lit(1)).alias("_c"))
+    counts = met.groupBy("run", "_k").agg(F.count(F.lit(1)).alias("_c"), F.sum("base_rank").alias("_b"), F.sum(F.col("base_rank") * F.col("base_rank")).alias("_bb"))
     run = Window.partitionBy("run")
     below = F.coalesce(F.sum("_c").over(run.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = written(counts.select("run", "_k", (below + (F.col("_c") + 1) / 2).alias("rank"), F.sum("_c").over(run).alias("n")), "run-ranks")
-    return met.join(F.broadcast(places), ["run", "_k"]).drop("_k")
+    placed = counts.withColumns({"rank": below + (F.col("_c") + 1) / 2, "n": F.sum("_c").over(run), "_mean": F.sum("_b").over(run) / F.sum("_c").over(run)})
+    places = written(placed, "run-ranks")
+    c, b, mean, d = F.col("_c"), F.col("_b"), F.col("_mean"), F.col("rank") - (F.col("n") + 1) / 2
+    spread = F.sum(c * d * d) * F.sum(F.col("_bb") - 2 * mean * b + c * mean * mean)
+    rho = places.groupBy("run").agg(ratio(F.sum(d * (b - c * mean)), F.sqrt(spread)).alias("rho"))
+    return met.join(F.broadcast(places.select("run", "_k", "rank", "n")), ["run", "_k"]).drop("_k"), rho
 
 
-def weight_frequencies(totals: DataFrame, default: DataFrame, runs: int, top: float = 0.2) -> DataFrame:
-    """ticker, default_score, top_share, bottom_share: the shares of all runs in which a company is in the top and bottom fifth."""
-    pct = _ranked_runs(totals, default).withColumn("pct", (F.col("n") + 1 - F.col("rank")) / F.col("n"))
+def _top_and_bottom(ranked: DataFrame, default: DataFrame, runs: int, top: float) -> DataFrame:
+    pct = ranked.withColumn("pct", (F.col("n") + 1 - F.col("rank")) / F.col("n"))
     by = pct.groupBy("ticker").agg(F.count_if(F.col("pct") <= top).alias("_t"), F.count_if(F.col("pct") > 1 - top).alias("_b"))
     share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.lit(runs)
     return default.where("total_score is not null").join(by, "ticker", "left").select("ticker", F.col("total_score").alias("default_score"), share("_t").alias("top_share"), share("_b").alias("bottom_share"))
 
 
+def weight_frequencies(totals: DataFrame, default: DataFrame, runs: int, top: float = 0.2) -> DataFrame:
+    """ticker, default_score, top_share, bottom_share: the shares of all runs in which a company is in the top and bottom fifth."""
+    return _top_and_bottom(_ranked_runs(totals, default)[0], default, runs, top)
+
+
 def weight_verdict(totals: DataFrame, default: DataFrame, runs: int, top: float = 0.2) -> DataFrame:
     """One row: companies, median_rho and rho_p5 of the runs' rank correlations with the default, top50_stay_share (of the
     default's first 50, those in the top fifth of 80 % of runs), always_top and always_bottom (90 %), status."""
-    rho = _ranked_runs(totals, default).groupBy("run").agg(F.corr("base_rank", "rank").alias("rho")).agg(F.percentile("rho", 0.5).alias("median_rho"), F.percentile("rho", 0.05).alias("rho_p5"))
-    shares = weight_frequencies(totals, default, runs, top)
+    ranked, by_run = _ranked_runs(totals, default)
+    rho = by_run.agg(F.percentile("rho", 0.5).alias("median_rho"), F.percentile("rho", 0.05).alias("rho_p5"))
+    shares = written(_top_and_bottom(ranked, default, runs, top), "top-shares")
     best = shares.orderBy(F.desc("default_score"), "ticker").limit(50).agg(F.avg((F.col("top_share") >= 0.8).cast("double")).alias("top50_stay_share"))
     counts = shares.agg(F.count(F.lit(1)).alias("companies"), F.count_if(F.col("top_share") >= 0.9).alias("always_top"), F.count_if(F.col("bottom_share") >= 0.9).alias("always_bottom"))
     status = F.when(F.col("median_rho") >= 0.7, "passed").otherwise("flagged")

@@ -1,13 +1,14 @@
 """From indicator values to scores: latest values, ranks, weighted means with a coverage rule, positions."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderflow.config import CATEGORIES, Profile
 from cinderflow.functions.numbers import half_even, ratio
 from cinderflow.operators.ranking import average_rank, latest, rank01_of, ranked
-from cinderflow.storage import written
+from cinderflow.storage import ship_package, written
 
 NO_SECTOR = "(no sector)"
 
@@ -102,32 +103,73 @@ def with_position(scored: DataFrame) -> DataFrame:
     return scored.join(F.broadcast(places), "total_score", "left")
 
 
+#: Runs of a slice, and tickers of a block: a task makes the totals of a slice for a block. Totals made at once.
+SLICE_RUNS, BLOCK_TICKERS, CELLS = 50, 65_536, 250_000
+
+
+def _made_totals(slices: list[tuple], members: list[list[int]], min_share: float):
+    """Rows of ranks (ticker, r0 ..., _slice) to run, ticker, total_score for the slice's weightings: run numbers, weights by run and indicator, by run and category."""
+
+    def total(ranks: list[np.ndarray], w: np.ndarray, c: np.ndarray):
+        shape = len(ranks[0]), len(w)
+        have, points, every = np.zeros(shape), np.zeros(shape), np.zeros(len(w))
+        for k, own in enumerate(members):
+            there, got, whole = np.zeros(shape), np.zeros(shape), np.zeros(len(w))
+            for n in own:
+                held = ~np.isnan(ranks[n])[:, None]
+                there += np.where(held, w[:, n], 0.0)
+                got += np.where(held, ranks[n][:, None] * w[:, n], 0.0)
+                whole += w[:, n]
+            known = (whole != 0) & (there != 0) & (there / whole >= min_share)
+            of = np.where(whole > 0, c[:, k], 0.0)
+            have += np.where(known, of, 0.0)
+            points += np.where(known, got / there * 100 / 100 * of, 0.0)
+            every += of
+        return np.rint(points / have * 100 * 10.0) / 10.0, (have != 0) & (have / every >= min_share), every > 0
+
+    def run(batches):
+        for b in batches:
+            at = b.column("_slice").to_numpy()
+            for number, w, c in (slices[k] for k in np.unique(at)):
+                own = b.filter(pa.array(at == number[0]))
+                step = max(1, CELLS // len(w))
+                for rows in (own.slice(i, step) for i in range(0, own.num_rows, step)):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        score, known, kept = total([rows.column(f"r{n}").to_numpy(zero_copy_only=False) for n in range(w.shape[1])], w, c)
+                    ticker = rows.column("ticker").take(pa.array(np.repeat(np.arange(rows.num_rows), kept.sum())))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(number[1][kept], rows.num_rows)), ticker, pa.array(score[:, kept].ravel(), mask=~known[:, kept].ravel())], ["run", "ticker", "total_score"])
+
+    return run
+
+
 def many_totals(ranks: DataFrame, runs: DataFrame, min_share: float) -> DataFrame:
     """run, ticker, total_score for every weighting of runs (run, kind: 'indicator' or 'category', id, weight).
 
-    Ranks don't depend on weights: each ticker is one row of them, and the weightings (a few thousand rows) are one broadcast row of arrays. So all
-    runs of a ticker come from its row without a shuffle; totals are plain sums over its indicators.
+    Ranks don't depend on weights: each ticker is one row of them, and the weightings (a few thousand rows) go to every task as arrays. So all
+    runs of a ticker come from its row without a shuffle of totals, which are plain sums over its indicators, by numpy. The rows are few and
+    narrow, and what they grow to is not, so a task gets a block of tickers and a slice of the runs: counts by run and total shrink where the totals are made.
     """
+    spark = ranks.sparkSession
+    ship_package(spark)
     category = {r["indicator_id"]: r["category"] for r in ranks.select("indicator_id", "category").distinct().collect()}
     ids, kinds = sorted(category), sorted(set(category.values()))
+    members = [[n for n, i in enumerate(ids) if category[i] == kind] for kind in kinds]
     given = runs.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(" "), "id"), F.col("weight").cast("double")))).alias("w"))
     weight = lambda kind, x: F.greatest(F.coalesce(F.col("w")[f"{kind} {x}"], F.lit(0.0)), F.lit(0.0))
-    arrays = given.select(F.struct("run", F.array(*[weight("indicator", i) for i in ids]).alias("w"), F.array(*[weight("category", k) for k in kinds]).alias("c")).alias("r"))
-    table = arrays.agg(F.collect_list("r").alias("runs"))
-    held = written(ranks.groupBy("ticker").agg(F.count(F.lit(1)).alias("_n"), *[F.max(F.when(F.col("indicator_id") == i, F.col("rank01"))).alias(f"r{n}") for n, i in enumerate(ids)]), "rank-rows")
-    rows = held.crossJoin(F.broadcast(table)).select("ticker", *[f"r{n}" for n in range(len(ids))], F.explode("runs").alias("run"))
-    plus = lambda xs: sum(xs, F.lit(0.0))
-    w = [F.get("run.w", F.lit(n)) for n in range(len(ids))]
-    for k, kind in enumerate(kinds):
-        own = [n for n, i in enumerate(ids) if category[i] == kind]
-        there = plus(F.when(F.col(f"r{n}").isNotNull(), w[n]).otherwise(0.0) for n in own)
-        every = plus(w[n] for n in own)
-        part = ratio(plus(F.coalesce(F.col(f"r{n}") * w[n], F.lit(0.0)) for n in own), there)
-        rows = rows.withColumn(f"s{k}", F.when(ratio(there, every) >= min_share, part * 100)).withColumn(f"c{k}", F.when(every > 0, F.get("run.c", F.lit(k))).otherwise(0.0))
-    have = plus(F.when(F.col(f"s{k}").isNotNull(), F.col(f"c{k}")).otherwise(0.0) for k in range(len(kinds)))
-    every = plus(F.col(f"c{k}") for k in range(len(kinds)))
-    total = ratio(plus(F.coalesce(F.col(f"s{k}") / 100 * F.col(f"c{k}"), F.lit(0.0)) for k in range(len(kinds))), have) * 100
-    return rows.where(every > 0).select("run.run", "ticker", half_even(F.when(have / every >= min_share, total), 1).alias("total_score"))
+    told = sorted(given.select("run", F.array(*[weight("indicator", i) for i in ids]).alias("w"), F.array(*[weight("category", k) for k in kinds]).alias("c")).collect())  # a row a run
+    parts = [told[i : i + SLICE_RUNS] for i in range(0, len(told), SLICE_RUNS)]
+    slices = [((k, np.array([r["run"] for r in part])), np.array([r["w"] for r in part], float), np.array([r["c"] for r in part], float)) for k, part in enumerate(parts)]
+    kind = runs.schema["run"].dataType.simpleString()
+    schema = f"run bigint, ticker {ranks.schema['ticker'].dataType.simpleString()}, total_score double"
+    if not ids or not slices:
+        return spark.createDataFrame([], schema).withColumn("run", F.col("run").cast(kind))
+    held = written(ranks.groupBy("ticker").agg(*[F.max(F.when(F.col("indicator_id") == i, F.col("rank01"))).alias(f"r{n}") for n, i in enumerate(ids)]), "rank-rows")
+    blocks = max(1, -(-held.count() // BLOCK_TICKERS))
+    dealt = held.withColumns({"_slice": F.explode(F.sequence(F.lit(0), F.lit(len(slices) - 1))), "_block": F.pmod(F.xxhash64("ticker"), F.lit(blocks))})
+    # More partitions than tasks with rows, so that hashes seldom put two into one.
+    dealt = dealt.repartition(4 * len(slices) * blocks, "_slice", "_block") if len(slices) * blocks > 1 else dealt
+    made = dealt.drop("_block").mapInArrow(_made_totals(slices, members, min_share), schema)
+    return made.withColumn("run", F.col("run").cast(kind))
 
 
 def drawn_weightings(catalog: DataFrame, profile: Profile, runs: int = 1000, seed: int = 2026) -> DataFrame:

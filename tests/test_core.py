@@ -309,3 +309,17 @@ def test_equal_companies_have_equal_facts(spark, tmp_path):
     assert len(years) == twins * 6 and len({(r["year"], r["total"]) for r in years}) == 6
     sums = fixtures.line_years(spark, str(tmp_path)).drop("ticker").distinct()
     assert sums.count() == 6
+
+
+def test_totals_by_slices_and_blocks(spark, monkeypatch):
+    """Totals of many runs are dealt to tasks by slice of the runs and block of tickers, and are the same however they are dealt."""
+    draw = random.Random(2)
+    ranks = spark.createDataFrame([(str(t), i, k, draw.choice([None, draw.random()])) for t in range(20) for i, k in (("a", "x"), ("b", "x"), ("c", "y"))], "ticker string, indicator_id string, category string, rank01 double")
+    runs = spark.createDataFrame([(r, kind, i, draw.choice([0.0, draw.random()])) for r in range(1, 12) for kind, i in (("indicator", "a"), ("indicator", "b"), ("indicator", "c"), ("category", "x"), ("category", "y"))], "run int, kind string, id string, weight double")
+    whole = sorted(map(tuple, scoring.many_totals(ranks, runs, 0.6).collect()), key=str)
+    monkeypatch.setattr(scoring, "SLICE_RUNS", 2)
+    monkeypatch.setattr(scoring, "BLOCK_TICKERS", 6)
+    monkeypatch.setattr(scoring, "CELLS", 5)
+    cut = scoring.many_totals(ranks, runs, 0.6)
+    assert cut.rdd.getNumPartitions() == 4 * 6 * 4 and dict(cut.dtypes)["run"] == "int"
+    assert sorted(map(tuple, cut.collect()), key=str) == whole and any(t is None for _, _, t in whole) and any(t is not None for _, _, t in whole)
