@@ -5,7 +5,8 @@ is many blocks. Anchors, taken as they pass, are blocks of ANCHOR_ROWS of their
 CHUNKS at most. Blocks are written once.
 
 A tile is an anchor block against a row block. Its parts, one a chunk, are computed where the two blocks' chunks meet (an equi-join by
-shard of row blocks, chunk and share of anchor blocks; both sides are copied to the shards they are needed in), then shuffled as int64 scores to the tile and added.
+shard of row blocks, chunk and share of anchor blocks; both sides are copied to the shards they are needed in). Vectors of up to CHUNK_DIMS
+dimensions are one chunk: a tile's scores never leave the task. Only of longer ones are the parts shuffled as int64 scores to the tile and added.
 Of a tile only its best rows go on:
 
 1. tiles whose labels overlap: each anchor's first rows of its own label; over all tiles, its positives;
@@ -36,9 +37,9 @@ from cinderflow.storage import written
 
 BLOCK_ROWS, ANCHOR_ROWS = 2048, 128
 #: Dimensions of a chunk at least, and chunks at most: a tile's sum has so many parts at most.
-CHUNK_DIMS, CHUNKS = 32, 8
-#: Row blocks of a shard and anchor blocks of a share, on average.
-SHARD_BLOCKS, SHARE_BLOCKS = 8, 64
+CHUNK_DIMS, CHUNKS = 1024, 8
+#: Row blocks of a shard, at first and from MANY_SHARDS on, and anchor blocks of a share, on average.
+SHARD_BLOCKS, LARGE_SHARD_BLOCKS, MANY_SHARDS, SHARE_BLOCKS = 8, 32, 64, 256
 SCALE, EVERY, POSITIVES, NEGATIVES, LOW, HIGH = 256, 50, 5, 3, 50, 95
 _NONE = np.iinfo(np.int64).min
 _BLOCK = "anchors boolean, block long, chunk int, n int, width int, x binary, most long, lo long, hi long, first long, ids array<long>, labels array<long>, rows array<long>"
@@ -131,23 +132,23 @@ class _Held:
         return ids[:n], *(a[:n] for a in arrays)
 
 
-def blocks(rows: DataFrame, anchor: Column) -> DataFrame:
-    """Written blocks of rows (vec_id, label, x) and of those that are anchors."""
+def blocks(rows: DataFrame, anchor: Column) -> tuple[DataFrame, int]:
+    """Written blocks of rows (vec_id, label, x) and of those that are anchors, and the chunks they are cut into."""
     n, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     dims = dims or 0
     chunk = max(CHUNK_DIMS, -(-dims // CHUNKS))
     tasks = max(1, -(-n // (4 * BLOCK_ROWS)))
     order = [F.asc("label"), F.asc_nulls_last("vec_id")]
     dealt = rows.withColumn("anchor", F.coalesce(anchor, F.lit(False))).repartitionByRange(tasks, *order).sortWithinPartitions(*order).coalesce(tasks)
-    return written(dealt.mapInArrow(trimmed(_cut(dims, chunk)), _BLOCK), "blocks", compression="zstd")
+    return written(dealt.mapInArrow(trimmed(_cut(dims, chunk)), _BLOCK), "blocks", compression="zstd"), max(1, -(-dims // chunk))
 
 
 #: What the best rows of a tile need beside scores.
 _ABOUT = ("a_ids", "a_labels", "a_rows", "a_found", "b_ids", "b_labels", "b_first")
 
 
-def _multiply(batches):
-    """A part of a tile from the two blocks' chunks."""
+def _products(batches):
+    """Of each row: anchor block, row block, and the product of the two blocks' chunks."""
     for b in batches:
         for i in range(b.num_rows):
             at = {c: b.column(c)[i].as_py() for c in b.schema.names if c != "about"}
@@ -157,19 +158,24 @@ def _multiply(batches):
             else:
                 with np.errstate(over="ignore"):
                     tile = p.astype("<i8") @ q.astype("<i8").T
-            yield pa.RecordBatch.from_arrays([pa.array([at["a"]]), pa.array([at["b"]]), pa.array([tile.tobytes()], pa.binary()), b.column("about").slice(i, 1)], ["a", "b", "scores", "about"])
+            yield at, tile, b, i
 
 
-def parts(anchors: DataFrame, rows: DataFrame, wanted: Column) -> DataFrame:
-    """a, b, scores, about: parts of the wanted tiles of anchor blocks (a_...) and row blocks (b_...); about: ids and labels, with the first chunk."""
+def _multiply(batches):
+    """A part of a tile from the two blocks' chunks."""
+    for at, tile, b, i in _products(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([at["a"]]), pa.array([at["b"]]), pa.array([tile.tobytes()], pa.binary()), b.column("about").slice(i, 1)], ["a", "b", "scores", "about"])
+
+
+def met(anchors: DataFrame, rows: DataFrame, wanted: Column) -> DataFrame:
+    """The chunks of anchor blocks (a_...) and row blocks (b_...) that meet in the wanted tiles; about: ids and labels, with the first chunk."""
     (n_a,), (n_b,) = (x.where("chunk = 0").agg(F.count(F.lit(1))).first() for x in (anchors, rows))
-    shards, shares = max(1, -(-n_b // SHARD_BLOCKS)), max(1, -(-n_a // SHARE_BLOCKS))
+    shards, shares = max(1, min(-(-n_b // SHARD_BLOCKS), max(MANY_SHARDS, -(-n_b // LARGE_SHARD_BLOCKS)))), max(1, -(-n_a // SHARE_BLOCKS))
     left = anchors.withColumns({"share": F.pmod(F.xxhash64("a"), F.lit(shares)).cast("int"), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
     right = rows.withColumns({"shard": F.pmod(F.xxhash64("b"), F.lit(shards)).cast("int"), "share": F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))})
     about = F.when(F.col("chunk") == 0, F.struct(*(c for c in (*anchors.columns, *rows.columns) if c in _ABOUT)))
-    met = left.join(right, ["shard", "share", "chunk"]).where(wanted)
-    met = met.select("a", "b", "a_n", "b_n", "a_x", "b_x", "a_width", "b_width", "a_most", "b_most", about.alias("about"))
-    return met.mapInArrow(trimmed(_multiply), f"a long, b long, scores binary, about {met.schema['about'].dataType.simpleString()}")
+    both = left.join(right, ["shard", "share", "chunk"]).where(wanted)
+    return both.select("a", "b", "a_n", "b_n", "a_x", "b_x", "a_width", "b_width", "a_most", "b_most", about.alias("about"))
 
 
 def _sum(table: pa.Table) -> np.ndarray:
@@ -245,8 +251,8 @@ def _negatives(k: int, positives: int, low: int, high: int):
     return run
 
 
-def _tiles(found: DataFrame, best, schema: str) -> DataFrame:
-    """The best rows of each tile, whose parts are added first."""
+def _tiles(pairs: DataFrame, chunks: int, best, schema: str) -> DataFrame:
+    """The best rows of each tile: where it is computed if it is one part, else its parts are shuffled and added first."""
     fields = [x.split() for x in schema.split(", ")]
     empty = pa.schema([(name, pa.int32() if kind == "int" else pa.int64()) for name, kind in fields]).empty_table()
 
@@ -256,24 +262,32 @@ def _tiles(found: DataFrame, best, schema: str) -> DataFrame:
         out = [t.select(empty.schema.names) for t in best(key, scores, about)]
         return pa.concat_tables(out) if out else empty
 
-    return found.select("a", "b", "scores", "about").groupBy("a", "b").applyInArrow(run, schema)
+    def at_once(batches):
+        for at, tile, b, i in _products(batches):
+            for t in best((pa.scalar(at["a"]), pa.scalar(at["b"])), tile, b.column("about")[i].as_py()):
+                yield from t.select(empty.schema.names).to_batches()
+
+    if chunks <= 1:
+        return pairs.mapInArrow(trimmed(at_once), schema)
+    found = pairs.mapInArrow(trimmed(_multiply), f"a long, b long, scores binary, about {pairs.schema['about'].dataType.simpleString()}")
+    return found.groupBy("a", "b").applyInArrow(run, schema)
 
 
 def mine(vectors: DataFrame, anchor: Column, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of rows (vec_id, label, x as longs)."""
-    both = blocks(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "x"), anchor)
+    both, chunks = blocks(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "x"), anchor)
     named = lambda side, rows: both.where(rows).select(F.col("block").alias(side), "chunk", F.col("width").alias(f"{side}_width"), F.col("x").alias(f"{side}_x"), F.col("most").alias(f"{side}_most"), F.col("n").alias(f"{side}_n"), *(F.col(c).alias(f"{side}_{c}") for c in ("lo", "hi", "first", "ids", "labels", "rows")))
     a, b = named("a", "anchors"), named("b", "not anchors")
     order = [F.desc("score"), F.asc_nulls_last("vec_id"), F.asc("row")]
 
     overlap = (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi"))
-    best = _tiles(parts(a, b, overlap), _positives(positives), _FOUND)
+    best = _tiles(met(a, b, overlap), chunks, _positives(positives), _FOUND)
     first = best.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy(*order))).where(F.col("rank") <= positives)
     found = written(first.groupBy("a").agg(F.collect_list(F.struct("line", "rank", "vec_id", "score")).alias("a_found")), "positives")
 
     a = a.join(found, "a")
     mixed = (F.col("a_lo") != F.col("a_hi")) | (F.col("b_lo") != F.col("b_hi")) | (F.col("a_lo") != F.col("b_lo"))
-    best = _tiles(parts(a, b, mixed), _negatives(negatives, positives, low, high), _NEGATIVE)
+    best = _tiles(met(a, b, mixed), chunks, _negatives(negatives, positives, low, high), _NEGATIVE)
     last = best.withColumn("rank", F.row_number().over(Window.partitionBy("anchor", "positive").orderBy(*order))).where(F.col("rank") <= negatives)
     return last.select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 

@@ -201,3 +201,10 @@ def test_triangles_in_rounds(spark, monkeypatch):
     df = vectors(spark, dims=5, rows=300, seed=9)
     many = whitening.whiten(df.repartition(13), components=2).select("explained").distinct().collect()
     assert len({round(r["explained"], 12) for r in many}) == 2
+
+
+def test_tiles_of_one_chunk_are_not_shuffled(spark):
+    """Scores of vectors that are one chunk stay in the task that makes them: the plan groups no tiles."""
+    rows = [(i, i % 3, [i % 5, i % 7 - 3] + [i % 2] * 62) for i in range(200)]
+    found = hard_negatives.mine(spark.createDataFrame(rows, "vec_id long, label int, x array<long>"), F.col("vec_id") % 50 == 0)
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 0
