@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderflow.storage import written
+
 
 def average_rank(value, partition):
     """Position from 1 by ascending value; ties share the mean of their positions. For rows whose value is not NULL."""
@@ -14,22 +16,35 @@ def average_rank(value, partition):
 RANGES = 64
 
 
-def ranked(df: DataFrame, value: str, partition: list[str]) -> DataFrame:
-    """partition, value, place (average rank from 1 by ascending value), n (rows of the partition): a row for each different value that is not NULL.
+def met(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df joined with other by keys of which NULL is one; without keys, with its one row."""
+    if not keys:
+        return df.crossJoin(F.broadcast(other))
+    told = other.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    return df.join(told, [df[k].eqNullSafe(told[f"_of_{k}"]) for k in keys], how).drop(*[f"_of_{k}" for k in keys])
+
+
+def placed(df: DataFrame, value: str, partition: list[str]) -> DataFrame:
+    """partition, value, before (rows of the partition with a lower value), count (rows with this one), n (rows of the partition): a row for each different value that is not NULL.
 
     Two levels: rows are counted by value, partial before the shuffle, so ties are one row; approximate quantiles cut each partition's values into
     ranges; counts of the ranges before, and of the values before in the same range, add up to the place. No window holds more than a range.
+    The quantiles are written: ranges and places both read them, and quantiles made twice may differ, as they depend on the order in which parts arrive.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*partition, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(*partition, value).agg(F.count(F.lit(1)).alias("count")), "value-counts")
     steps = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
-    bounds = counts.groupBy(*partition).agg(F.percentile_approx(value, steps, F.lit(10_000)).alias("_b"), F.sum("_n").alias("n"))
-    placed = (counts.join(bounds, partition) if partition else counts.crossJoin(F.broadcast(bounds))).withColumn("_p", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
-    before = lambda by, order: by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = placed.groupBy(*partition, "_p").agg(F.sum("_n").alias("_s"))  # RANGES rows a partition at most
-    bases = ranges.select(*partition, "_p", F.coalesce(F.sum("_s").over(before(Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0)), "_p")), F.lit(0)).alias("_base"))
-    inside = F.coalesce(F.sum("_n").over(before(Window.partitionBy(*partition, "_p"), value)), F.lit(0))
-    told = placed.withColumn("_inside", inside).join(bases, [*partition, "_p"])
-    return told.select(*partition, value, (F.col("_base") + F.col("_inside") + (F.col("_n") + 1) / 2).alias("place"), "n")
+    bounds = written(counts.groupBy(*partition).agg(F.percentile_approx(value, steps, F.lit(10_000)).alias("_b"), F.sum("count").alias("n")), "value-bounds")
+    told = met(counts, bounds, partition).withColumn("_p", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
+    earlier = lambda by, order: by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = told.groupBy(*partition, "_p").agg(F.sum("count").alias("_s"))  # RANGES rows a partition at most
+    bases = ranges.select(*partition, "_p", F.coalesce(F.sum("_s").over(earlier(Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0)), "_p")), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("count").over(earlier(Window.partitionBy(*partition, "_p"), value)), F.lit(0))
+    return met(told.withColumn("_inside", inside), bases, [*partition, "_p"]).select(*partition, value, (F.col("_base") + F.col("_inside")).alias("before"), "count", "n")
+
+
+def ranked(df: DataFrame, value: str, partition: list[str]) -> DataFrame:
+    """partition, value, place (average rank from 1 by ascending value), n (rows of the partition): a row for each different value that is not NULL."""
+    return placed(df, value, partition).select(*partition, value, (F.col("before") + (F.col("count") + 1) / 2).alias("place"), "n")
 
 
 def rank01_of(place, n, higher_is_better):

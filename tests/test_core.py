@@ -1,5 +1,6 @@
 """Invariants of ranks, scores, funds, market data and checks on literal tables."""
 
+import bisect
 import math
 import random
 
@@ -323,3 +324,19 @@ def test_totals_by_slices_and_blocks(spark, monkeypatch):
     cut = scoring.many_totals(ranks, runs, 0.6)
     assert cut.rdd.getNumPartitions() == 4 * 6 * 4 and dict(cut.dtypes)["run"] == "int"
     assert sorted(map(tuple, cut.collect()), key=str) == whole and any(t is None for _, _, t in whole) and any(t is not None for _, _, t in whole)
+
+
+def test_places_of_many_values(spark):
+    """Values beyond the quantiles' accuracy, in many parts: ranges and places read the same quantiles, made once, and places are exact."""
+    draw = random.Random(9)
+    values = [draw.choice([draw.random(), draw.randint(0, 50) / 50]) for _ in range(60_000)]
+    df = spark.createDataFrame([("k" if i % 2 else None, v) for i, v in enumerate(values)] + [("k", None)], "k string, v double").repartition(16)
+    got = ranking.placed(df, "v", ["k"])
+    assert "percentile_approx" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r["k"], r["v"]): (r["before"], r["count"], r["n"]) for r in got.collect()}
+    for k, own in (("k", sorted(values[1::2])), (None, sorted(values[::2]))):
+        want = {(k, v): (bisect.bisect_left(own, v), bisect.bisect_right(own, v) - bisect.bisect_left(own, v), len(own)) for v in own}
+        assert {x: y for x, y in found.items() if x[0] == k} == want
+    places = {r["v"]: r["place"] for r in ranking.ranked(df.where("k = 'k'"), "v", []).collect()}
+    assert places == {v: b + (c + 1) / 2 for (k, v), (b, c, _) in found.items() if k == "k"}
+    assert "percentile_approx" not in ranking.ranked(df, "v", ["k"])._jdf.queryExecution().optimizedPlan().toString()
