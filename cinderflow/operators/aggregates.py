@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderflow.functions.numbers import ratio
-from cinderflow.operators.ranking import average_rank
+from cinderflow.operators.ranking import average_rank, met, placed
 
 
 def pearson(x, y):
@@ -30,6 +30,19 @@ def fences(v, width: float = 3.0):
     return F.when(q3 > q1, q1 - width * (q3 - q1)), F.when(q3 > q1, q3 + width * (q3 - q1))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and a column for each share: exact quantiles with linear interpolation between neighbours; NULL for a key without values.
+
+    percentile() holds every different value of a key in one task. Here values are counted, placed by ranges, and only the two neighbours of each quantile are picked.
+    """
+    before, at = F.col("before"), {name: (F.col("n") - 1) * share for name, share in shares.items()}
+    pick = lambda k: F.max(F.when((before <= k) & (k < before + F.col("count")), F.col(value)))
+    found = placed(df, value, keys).groupBy(*keys).agg(*[x for k, h in at.items() for x in (pick(F.floor(h)).alias(f"{k}_low"), pick(F.ceil(h)).alias(f"{k}_high"), F.max(h - F.floor(h)).alias(f"{k}_part"))])
+    between = lambda k: F.when(F.col(f"{k}_low") == F.col(f"{k}_high"), F.col(f"{k}_low")).otherwise((1 - F.col(f"{k}_part")) * F.col(f"{k}_low") + F.col(f"{k}_part") * F.col(f"{k}_high"))
+    told = found.select(*keys, *[between(k).alias(k) for k in shares])
+    return met(df.select(*keys).distinct(), told, keys, "left") if keys else told
+
+
 def sorted_list(x, n: int | None = None, sep: str = ", "):
     """Distinct values in order, the first n, as text."""
     held = F.array_sort(F.collect_set(x))

@@ -185,7 +185,8 @@ def a04_conditional_count(spark, d):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) AS p05, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.75), 6) AS p75 FROM lineitem GROUP BY 1")
 def a05_quantiles(spark, d):
-    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(*[r6(F.percentile("l_extendedprice", q / 100)).alias(f"p{q:02d}") for q in (5, 25, 50, 75)])
+    names = {f"p{q:02d}": q / 100 for q in (5, 25, 50, 75)}
+    return A.quantiles(_t(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", names).select("l_returnflag", *[r6(F.col(k)).alias(k) for k in names])
 
 
 @query("SELECT l_suppkey, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS pop, round(stddev_samp(l_quantity), 6) AS samp FROM lineitem GROUP BY 1")

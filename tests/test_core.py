@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cinderflow import config
 from cinderflow.functions import dates, numbers, text
 from cinderflow.operators import aggregates, checks, entities, joins, market, portfolio, ranking, scoring, timeseries
-from cinderflow.plans import fixtures
+from cinderflow.plans import fixtures, operator_queries
 
 
 def ranks_of(spark, values, better=True):
@@ -340,3 +340,17 @@ def test_places_of_many_values(spark):
     places = {r["v"]: r["place"] for r in ranking.ranked(df.where("k = 'k'"), "v", []).collect()}
     assert places == {v: b + (c + 1) / 2 for (k, v), (b, c, _) in found.items() if k == "k"}
     assert "percentile_approx" not in ranking.ranked(df, "v", ["k"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exact_quantiles(spark):
+    """Quantiles from counts are those of percentile(), of null keys and keys without values too, and no task holds all values of a key."""
+    draw = random.Random(4)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([draw.random(), 0.5, None])) for _ in range(3_000)] + [("one", 7.0), ("none", None)]
+    df, shares = spark.createDataFrame(rows, "k string, v double"), {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p100": 1.0}
+    got = aggregates.quantiles(df, ["k"], "v", shares)
+    assert " percentile(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = df.groupBy("k").agg(*[F.percentile("v", q).alias(name) for name, q in shares.items()])
+    rounded = lambda t: sorted((str(r[0]), *[x if x is None else round(x, 12) for x in r[1:]]) for r in t.collect())
+    assert rounded(got) == rounded(want) and len(rounded(got)) == 5
+    plan = operator_queries.QUERIES["a05_quantiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
