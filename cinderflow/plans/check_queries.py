@@ -15,6 +15,7 @@ from cinderflow.operators.portfolio import companies
 from cinderflow.plans import fixtures as X
 from cinderflow.plans.operator_queries import _PAIRS, _QUARTERS, pairs, panel
 from cinderflow.plans.score_queries import _RUNS_SQL, DRAWS, _ranks, _score, drawn_totals, weightings
+from cinderflow.storage import sized
 
 QUERIES, ORACLE = {}, {}
 P = X.SQL
@@ -176,14 +177,22 @@ def i03_employment_growth(spark, d):
     return met.where("q between 0.15 and 6").select("ticker", "year", r6(F.pow("q", F.lit(1 / 3)) - 1).alias("value"))
 
 
+#: Bytes of a table's files that a task of i08 gets.
+PART_BYTES = 8 << 20
+
+
 @query(P + """, pen AS (SELECT ticker, year, sum(l_extendedprice / m) AS v FROM bought JOIN (SELECT l_orderkey AS k, count(DISTINCT l_suppkey) AS m FROM lineitem GROUP BY 1) ON l_orderkey = k WHERE l_returnflag = 'R' GROUP BY 1, 2)
 SELECT y.ticker, y.year, round(coalesce((SELECT sum(v) FROM pen WHERE pen.ticker = y.ticker AND pen.year BETWEEN y.year - 4 AND y.year), 0) / y.mean * 1000, 6) AS value FROM
 (SELECT a.ticker, a.year, avg(b.total) AS mean FROM order_years a JOIN order_years b ON a.ticker = b.ticker AND b.year BETWEEN a.year - 4 AND a.year GROUP BY 1, 2 HAVING count(*) >= 3) y""")
 def i08_penalty_intensity(spark, d):
     from cinderflow.operators.aggregates import equal_split
 
-    members = equal_split(X.bought(spark, d), ["l_orderkey"], "l_suppkey", "l_extendedprice").where("l_returnflag = 'R'")
-    pen = members.groupBy("ticker", "year").agg(F.sum("share").alias("v"))
+    # Dealt by order in parts of a size, for the count of members and for the joins: what a task holds doesn't grow with the tables.
+    lines, size = sized(X.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_returnflag", F.year("l_shipdate").alias("year")), "lines")
+    dealt = lines.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)), "l_orderkey")
+    members = equal_split(dealt, ["l_orderkey"], "l_suppkey", "l_extendedprice").where("l_returnflag = 'R'").select("l_orderkey", "year", "share")
+    owners = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("ticker"))
+    pen = members.join(owners, "l_orderkey").groupBy("ticker", "year").agg(F.sum("share").alias("v"))
     y = X.order_years(spark, d)
     w = Window.partitionBy("ticker").orderBy("year").rangeBetween(-4, 0)
     both = y.join(pen, ["ticker", "year"], "full")
