@@ -47,6 +47,6 @@ def month_of_epoch(seconds):
 
 def quarter_frames(first_year: int, upto):
     """Names of quarter-end frames from the third quarter of first_year to the quarter of `upto`, newest first."""
-    begin = F.make_date(F.lit(first_year), F.lit(7), F.lit(1))
-    months = F.sequence(begin, F.date_trunc("quarter", upto).cast("date"), F.expr("interval 3 months"))
-    return F.transform(F.reverse(months), lambda m: F.concat(F.lit("CY"), F.year(m).cast("string"), F.lit("Q"), F.quarter(m).cast("string"), F.lit("I")))
+    begin, end = F.lit(first_year * 4 + 2), F.year(upto) * 4 + F.quarter(upto) - 1
+    numbers = F.when(end >= begin, F.sequence(end, F.least(begin, end), F.lit(-1))).when(end < begin, F.array().cast("array<int>"))
+    return F.transform(numbers, lambda q: F.concat(F.lit("CY"), F.floor(q / 4).cast("string"), F.lit("Q"), (q % 4 + 1).cast("string"), F.lit("I")))

@@ -475,10 +475,17 @@ def fd03_year_of_filing(spark, d):
     return o.select("o_orderkey", DT.fiscal_year_of_filing(F.col("o_orderdate"), (1 + F.col("o_custkey") % 12).cast("int"), (25 + F.col("o_custkey") % 7).cast("int")).alias("year"))
 
 
+#: Names of quarters that a task makes, about.
+TASK_FRAMES = 4_000_000
+
+
 @query("SELECT s_suppkey, array_to_string(list_transform(list_reverse(generate_series(DATE '1998-07-01', date_trunc('quarter', DATE '1999-01-15' + CAST(s_suppkey * 9 AS INTEGER)), INTERVAL 3 MONTH)), lambda m: 'CY' || year(m) || 'Q' || quarter(m) || 'I'), ' ') AS frames FROM supplier")
 def fd07_quarter_frames(spark, d):
     upto = F.date_add(F.lit("1999-01-15").cast("date"), (F.col("s_suppkey") * 9).cast("int"))
-    return X.table(spark, d, "supplier").select("s_suppkey", F.array_join(DT.quarter_frames(1998, upto), " ").alias("frames"))
+    suppliers = X.table(spark, d, "supplier").select("s_suppkey")
+    # A row's text grows with its key, so a small file makes a large result: rows are dealt to tasks by what they make, not by what is read.
+    frames = suppliers.agg(F.sum(F.greatest(F.datediff(upto, F.lit("1998-07-01").cast("date")) / 91, F.lit(0)))).first()[0] or 0
+    return suppliers.repartition(1 + int(frames / TASK_FRAMES)).select("s_suppkey", F.array_join(DT.quarter_frames(1998, upto), " ").alias("frames"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m') AS month FROM events")

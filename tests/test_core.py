@@ -3,6 +3,7 @@
 import bisect
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from cinderflow import config
 from cinderflow.functions import dates, numbers, text
 from cinderflow.operators import aggregates, checks, entities, joins, market, portfolio, ranking, scoring, timeseries
-from cinderflow.plans import fixtures, operator_queries
+from cinderflow.plans import check_queries, fixtures, linking_queries, operator_queries
 
 
 def ranks_of(spark, values, better=True):
@@ -354,3 +355,23 @@ def test_exact_quantiles(spark):
     assert rounded(got) == rounded(want) and len(rounded(got)) == 5
     plan = operator_queries.QUERIES["a05_quantiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
+
+
+def test_quarters_are_dealt_by_what_they_make(spark, tmp_path, monkeypatch):
+    """Suppliers of one small file with wide results go to several tasks; before the first quarter there is none."""
+    spark.createDataFrame([(k,) for k in range(400)], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(linking_queries, "TASK_FRAMES", 1_000, raising=False)
+    got = linking_queries.QUERIES["fd07_quarter_frames"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() > 5
+    frames = {r["s_suppkey"]: r["frames"] for r in got.collect()}
+    assert len(frames) == 400 and frames[0] == "CY1999Q1I CY1998Q4I CY1998Q3I" and frames[399].startswith("CY2008Q4I CY2008Q3I ")
+    days = spark.createDataFrame([("1998-07-01",), ("1998-06-30",), (None,)], "d string").select(dates.quarter_frames(1998, F.col("d").cast("date")).alias("q"))
+    assert [r["q"] for r in days.collect()] == [["CY1998Q3I"], [], None]
+
+
+def test_penalties_by_parts_of_orders(spark, monkeypatch):
+    """The lines of orders are dealt in parts of a size, as many as the files ask for, not by the session's number."""
+    monkeypatch.setattr(check_queries, "PART_BYTES", 5_000, raising=False)
+    plan = check_queries.QUERIES["i08_penalty_intensity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt and min(dealt) > 4
