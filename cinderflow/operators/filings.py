@@ -37,18 +37,30 @@ def _quote(x):
     return F.trim(cut(F.col("text"), x["at"] - QUOTE_BEFORE, end_of(x) + QUOTE_AFTER))
 
 
+#: No match of RATIOS, and nothing it looks ahead to, goes beyond another character than these.
+_WITHIN = r"\d,.\s:\-toneximsTONEXIMS"
+HEAD = rf"(?is)^.*(?:median|pay ratio).{{0,{RATIO_BEFORE + 10}}}[{_WITHIN}]*+.?"
+
+
+def head(text):
+    """The text up to where the last number can stand that has the disclosure's wording before it, and on to a character that ends any match: matches there are those of the whole text."""
+    return F.regexp_extract(F.coalesce(text, F.lit("")), HEAD, 0)
+
+
 def _ratios_of(kind: str, nth: int):
-    """Statements of one kind that read like the chief's pay over the median, with a score."""
+    """Statements of one kind that read like the chief's pay over the median, with a score. Needs text and its head()."""
     text, pattern = F.col("text"), RATIOS[kind]
+    # What stands before comes first, and only numbers behind the disclosure's wording get the rest: places of a text are counted from its start each time.
+    said = F.transform(spots(F.col("head"), f"(?i){pattern}"), lambda x, i: F.struct(x["at"].alias("at"), x["found"].alias("found"), F.lower(cut(text, x["at"] - RATIO_BEFORE, x["at"])).alias("before"), (F.lit(nth * 1_000_000) + i).alias("nth")))
     around = F.transform(
-        spots(text, f"(?i){pattern}"),
-        lambda x, i: F.struct(
-            x["found"].alias("found"), F.lower(cut(text, x["at"] - RATIO_BEFORE, x["at"])).alias("before"), F.lower(cut(text, end_of(x), end_of(x) + AFTER)).alias("after"),
+        F.filter(said, lambda x: x["before"].contains("median") | x["before"].contains("pay ratio")),
+        lambda x: F.struct(
+            x["found"].alias("found"), x["before"].alias("before"), F.lower(cut(text, end_of(x), end_of(x) + AFTER)).alias("after"),
             F.regexp_extract(x["found"], f"(?i){pattern}", 2 if kind == "reverse" else 1).alias("figure"), F.regexp_extract(x["found"], f"(?i){pattern}", 1 if kind == "reverse" else 2).alias("sep") if kind != "times" else F.lit("").alias("sep"),
-            F.right(F.lower(cut(text, x["at"] - RATIO_BEFORE, x["at"])), F.lit(NEAR)).alias("near"), _quote(x).alias("quote"), (F.lit(nth * 1_000_000) + i).alias("nth"),
+            F.right(x["before"], F.lit(NEAR)).alias("near"), _quote(x).alias("quote"), x["nth"].alias("nth"),
         ),
     )
-    ok = lambda x: (x["before"].contains("median") | x["before"].contains("pay ratio")) & ~x["figure"].rlike(r"^(?:19|20)\d\d$") & ~F.right(x["near"], F.lit(80)).rlike(BENCHMARK)
+    ok = lambda x: ~x["figure"].rlike(r"^(?:19|20)\d\d$") & ~F.right(x["near"], F.lit(80)).rlike(BENCHMARK)
     if kind == "times":
         fit = lambda x: ok(x) & x["after"].contains("median") & ~F.left(x["after"], F.lit(15)).rlike(COMPARED)
     elif kind == "reverse":
@@ -69,7 +81,7 @@ def pay_ratio(filings: DataFrame) -> DataFrame:
 
     The best scored statement; of equal ones the number that is stated most often, then the first. others: up to five other numbers, ascending.
     """
-    found = computed(filings, c=F.concat(*[_ratios_of(k, i) for i, k in enumerate(RATIOS)])).select("filing_id", "c")
+    found = computed(computed(filings, head=head(F.col("text"))), c=F.concat(*[_ratios_of(k, i) for i, k in enumerate(RATIOS)])).select("filing_id", "c")
     times = lambda x: F.size(F.filter("c", lambda o: o["value"] == x["value"]))
     ranked = F.transform("c", lambda x: F.struct(x["score"].alias("score"), times(x).alias("times"), (-x["nth"]).alias("before"), x["value"].alias("value"), x["quote"].alias("quote")))
     best = computed(found, best=F.array_max(ranked)).where("best is not null")

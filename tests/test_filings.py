@@ -43,6 +43,20 @@ def test_pay_ratio(spark, text, ratio):
     assert [r["ratio"] for r in got] == ([ratio] if ratio else [])
 
 
+def test_head_has_all_ratios_behind_the_wording(spark):
+    """Beyond the last wording texts aren't searched, and no match is lost or cut there; a text without the wording isn't searched at all."""
+    draw = random.Random(7)
+    words = ["median ", "Pay Ratio ", "1", "12,345", " to ", ":1", "-", " one ", "3 x ", "times", ".5", "a sentence of other words, ", "b" * 90, "\n", "É", " 7" * 40]
+    texts = ["".join(draw.choice(words) for _ in range(draw.randrange(90))) + "z" * draw.randrange(400) + " 5 to 1, 6 times" for _ in range(150)] + ["", "1 to 5", None]
+    for kind, pattern in L.RATIOS.items():
+        rows = frame(spark, *texts).withColumn("head", L.head(F.col("text"))).select("text", spots(F.col("head"), f"(?i){pattern}").alias("s"), spots(F.col("text"), f"(?i){pattern}").alias("whole")).collect()
+        for r in rows:
+            text = r["text"] or ""
+            told = lambda at: re.search("median|pay ratio", text[max(0, at - L.RATIO_BEFORE) : at].lower())  # noqa: B023, E731
+            assert [x for x in r["s"] if told(x["at"])] == [x for x in r["whole"] if told(x["at"])], kind
+    assert {r["head"] for r in frame(spark, "b 1 to 5 " * 9).select(L.head(F.col("text")).alias("head")).collect()} == {""}
+
+
 def test_median_pay_needs_agreement(spark):
     said = "The median employee was paid $50,000. The ratio is {} to 1. Our CEO received ${}."
     texts = [said.format(100, "5,000,000"), said.format(100, "5,090,000"), said.format(100, "6,000,000"), said.format(3, "150,000"), "The median employee, unlike our CEO, was paid $50,000; 100 to 1; $5,000,000", "Peers: median employee at the 25th percentile $50,000; 100 to 1; $5,000,000", None, ""]
