@@ -24,14 +24,15 @@ def met(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") ->
     return df.join(told, [df[k].eqNullSafe(told[f"_of_{k}"]) for k in keys], how).drop(*[f"_of_{k}" for k in keys])
 
 
-def placed(df: DataFrame, value: str, partition: list[str]) -> DataFrame:
+def placed(df: DataFrame, value: str, partition: list[str], weight: str | None = None) -> DataFrame:
     """partition, value, before (rows of the partition with a lower value), count (rows with this one), n (rows of the partition): a row for each different value that is not NULL.
 
     Two levels: rows are counted by value, partial before the shuffle, so ties are one row; approximate quantiles cut each partition's values into
     ranges; counts of the ranges before, and of the values before in the same range, add up to the place. No window holds more than a range.
+    With weight (whole numbers, never NULL) a row stands for so many.
     The quantiles are written: ranges and places both read them, and quantiles made twice may differ, as they depend on the order in which parts arrive.
     """
-    counts = written(df.where(F.col(value).isNotNull()).groupBy(*partition, value).agg(F.count(F.lit(1)).alias("count")), "value-counts")
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(*partition, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("count")), "value-counts")
     steps = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
     bounds = written(counts.groupBy(*partition).agg(F.percentile_approx(value, steps, F.lit(10_000)).alias("_b"), F.sum("count").alias("n")), "value-bounds")
     told = met(counts, bounds, partition).withColumn("_p", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
@@ -42,9 +43,9 @@ def placed(df: DataFrame, value: str, partition: list[str]) -> DataFrame:
     return met(told.withColumn("_inside", inside), bases, [*partition, "_p"]).select(*partition, value, (F.col("_base") + F.col("_inside")).alias("before"), "count", "n")
 
 
-def ranked(df: DataFrame, value: str, partition: list[str]) -> DataFrame:
+def ranked(df: DataFrame, value: str, partition: list[str], weight: str | None = None) -> DataFrame:
     """partition, value, place (average rank from 1 by ascending value), n (rows of the partition): a row for each different value that is not NULL."""
-    return placed(df, value, partition).select(*partition, value, (F.col("before") + (F.col("count") + 1) / 2).alias("place"), "n")
+    return placed(df, value, partition, weight).select(*partition, value, (F.col("before") + (F.col("count") + 1) / 2).alias("place"), "n")
 
 
 def rank01_of(place, n, higher_is_better):
@@ -78,9 +79,18 @@ def pick(df: DataFrame, keys, order) -> DataFrame:
     return df.withColumn("_nr", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nr = 1").drop("_nr")
 
 
+#: Types of fixed width.
+FIXED = {"boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp"}
+
+
 def latest(df: DataFrame, keys, by="year") -> DataFrame:
-    """The row with the greatest `by` of each key, by a partial aggregate instead of a sort."""
+    """The row with the greatest `by` of each key, by a partial aggregate instead of a sort.
+
+    Columns of fixed width are picked one by one, which a hash aggregate does; a struct, or a text, would have all rows sorted.
+    """
     rest = [c for c in df.columns if c not in keys]
+    if all(df.schema[c].dataType.typeName() in FIXED for c in rest):
+        return df.groupBy(*keys).agg(*[(F.max(c) if c == by else F.max_by(c, by)).alias(c) for c in rest])
     top = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(by)).alias("_r"))
     return top.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cinderflow.config import Profile
 from cinderflow.functions.numbers import ratio, steady_sum
-from cinderflow.storage import written
+from cinderflow.storage import sized, small, written
 
 CATALOG = [
     ("eco1", "economic", True, 1.0), ("eco2", "economic", False, 1.0), ("soc1", "social", False, 2.0),
@@ -48,18 +48,32 @@ def bought(spark: SparkSession, d: str) -> DataFrame:
     return l.join(o.select("o_orderkey", "o_custkey"), l.l_orderkey == o.o_orderkey).withColumn("ticker", F.col("o_custkey").cast("string")).withColumn("year", F.year("l_shipdate"))
 
 
+#: Bytes of a table's files that a task of the facts gets.
+PART_BYTES = 8 << 20
+
+
+def dealt(df: DataFrame, key: str, size: int) -> DataFrame:
+    """df, dealt by key in parts for so many bytes of files: what a task sorts or hashes doesn't grow with the tables."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), key)
+
+
 def line_years(spark: SparkSession, d: str) -> DataFrame:
     """ticker, year and sums over lines: quantity, returned quantity, price, discount, and the concentration of price by supplier nation.
 
-    Lines meet their orders once; all measures come from one aggregate by nation and one above it.
+    Lines meet their orders once and are then dealt by customer once: the aggregate by nation and the one above it run where the lines lie.
     """
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    l, size = sized(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("r"), F.year("l_shipdate").alias("year")), "lines")
+    lines = l.join(small(s), F.col("l_suppkey") == F.col("s_suppkey"), "left").drop("l_suppkey", "s_suppkey")
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"))
+    met = dealt(lines, "l_orderkey", size).join(dealt(o, "o_orderkey", size).hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
     price = F.col("l_extendedprice")
-    by_nation = bought(spark, d).join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left").groupBy("ticker", "year", "s_nationkey").agg(
-        F.sum("l_quantity").alias("q"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).alias("rq"), steady_sum(price).alias("e"), steady_sum(price * F.col("l_discount")).alias("ed")
+    by_nation = dealt(met, "custkey", size).groupBy("custkey", "year", "s_nationkey").agg(
+        F.sum("l_quantity").alias("q"), F.sum(F.when(F.col("r"), F.col("l_quantity")).otherwise(0.0)).alias("rq"), steady_sum(price).alias("e"), steady_sum(price * F.col("l_discount")).alias("ed")
     )
     known = F.when(F.col("s_nationkey").isNotNull(), F.col("e"))
-    return by_nation.groupBy("ticker", "year").agg(*[steady_sum(F.col(c)).alias(c) for c in ("q", "rq", "e", "ed")], ratio(steady_sum(known * known), steady_sum(known) * steady_sum(known)).alias("hhi"))
+    by_year = by_nation.groupBy("custkey", "year").agg(*[steady_sum(F.col(c)).alias(c) for c in ("q", "rq", "e", "ed")], ratio(steady_sum(known * known), steady_sum(known) * steady_sum(known)).alias("hhi"))
+    return by_year.withColumn("ticker", F.col("custkey").cast("string")).drop("custkey")
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
@@ -67,17 +81,19 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
 
     Sums don't depend on the order of rows: equal companies get equal values in the last bit, and so share their rank.
     """
-    by_year = Window.partitionBy("ticker").orderBy("year")
-    y = order_years(spark, d).withColumn("before", F.lag("total").over(by_year)).withColumn("gap", F.col("year") - F.lag("year").over(by_year))
-    y = y.withColumn("nr", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("year")))).withColumn("g", ratio(F.col("total"), F.col("before")) - 1)
-    whole = Window.partitionBy("ticker")
+    o, size = sized(table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.year("o_orderdate").alias("year"), "o_totalprice"), "orders")
+    by_year = Window.partitionBy("custkey").orderBy("year")
+    y = dealt(o, "custkey", size).groupBy("custkey", "year").agg(steady_sum(F.col("o_totalprice")).alias("total"), F.count(F.lit(1)).alias("n"))
+    y = y.withColumn("before", F.lag("total").over(by_year)).withColumn("gap", F.col("year") - F.lag("year").over(by_year))
+    y = y.withColumn("nr", F.row_number().over(Window.partitionBy("custkey").orderBy(F.desc("year")))).withColumn("g", ratio(F.col("total"), F.col("before")) - 1)
+    whole = Window.partitionBy("custkey")
     few = lambda x, n: F.when(F.col("nr") <= n, x)
     y = y.withColumn("years", F.count(few(F.lit(1), 6)).over(whole)).withColumn("s", F.stddev_samp(few(F.col("g"), 5)).over(whole)).withColumn("m", F.avg(few(F.col("g"), 5)).over(whole))
     steady = (F.col("nr") == 1) & (F.col("years") == 6) & (F.abs("m") >= 0.005)
     orders = {"eco1": F.when(F.col("gap") == 1, F.col("g")), "eco2": F.when(steady, ratio(F.col("s"), F.abs("m"))), "soc2": F.col("total") / F.col("n")}
     lines = {"soc1": ratio(F.col("rq"), F.col("q")), "env1": ratio(F.col("ed"), F.col("e")), "env2": F.col("hhi")}
     long = lambda df, made: df.select("ticker", F.col("year").cast("int").alias("year"), *[x.alias(k) for k, x in made.items()]).unpivot(["ticker", "year"], list(made), "indicator_id", "value")
-    both = long(y, orders).unionByName(long(line_years(spark, d), lines)).where("value is not null")
+    both = long(y.withColumn("ticker", F.col("custkey").cast("string")), orders).unionByName(long(line_years(spark, d), lines)).where("value is not null")
     return written(both.select("indicator_id", "ticker", "year", F.round("value", 9).alias("value")), "facts")
 
 
