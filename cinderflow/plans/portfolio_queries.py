@@ -29,8 +29,8 @@ def query(sql=None):
 SETTINGS = {"max_weight": 0.02, "tilt_strength": 2.0}
 
 
-def _scores(spark, d):
-    return _score(spark, d).select("ticker", "name", "sector", "total_score", "economic_score", "social_score", "environmental_score")
+def _scores(spark, d, facts=None):
+    return _score(spark, d, facts).select("ticker", "name", "sector", "total_score", "economic_score", "social_score", "environmental_score")
 
 
 def fund(spark, d, scores=None, **more):
@@ -150,9 +150,10 @@ def v13_sectors(spark, d):
 SELECT round(sum(CASE WHEN i IS NOT NULL AND w > 0 THEN i * w END) / sum(CASE WHEN i IS NOT NULL AND w > 0 THEN w END), 6) AS intensity_portfolio, round(sum(CASE WHEN l >= 2 AND w > 0 THEN w END) / sum(CASE WHEN l IS NOT NULL AND w > 0 THEN w END), 6) AS target_portfolio, round(sum(CASE WHEN l = 4 THEN w END) / sum(CASE WHEN l IS NOT NULL THEN w END), 6) AS validated_portfolio,
  round(sum(CASE WHEN i IS NOT NULL AND b > 0 THEN i * b END) / sum(CASE WHEN i IS NOT NULL AND b > 0 THEN b END), 6) AS intensity_benchmark, round(sum(CASE WHEN l >= 2 AND b > 0 THEN b END) / sum(CASE WHEN l IS NOT NULL AND b > 0 THEN b END), 6) AS target_benchmark, round(sum(CASE WHEN l = 4 THEN b END) / sum(CASE WHEN l IS NOT NULL THEN b END), 6) AS validated_benchmark FROM k""")
 def v14_climate(spark, d):
-    i = R.latest(X.facts(spark, d), ["indicator_id", "ticker"]).where("indicator_id = 'env1'")
+    facts = X.facts(spark, d)  # made once, for the scores and for the intensity
+    i = R.latest(facts.where("indicator_id = 'env1'"), ["indicator_id", "ticker"])
     l = X.order_years(spark, d).where("year = 2000").select("ticker", (F.rint("total").cast("int") % 5).alias("value"))
-    s = V.climate(fund(spark, d), i, l)
+    s = V.climate(fund(spark, d, _scores(spark, d, facts)), i, l)
     return s.select(*[r6(F.col(c)).alias(c) for c in s.columns])
 
 

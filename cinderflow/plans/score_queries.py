@@ -16,8 +16,8 @@ def _ranks(spark, d, profile=X.PROFILE):
     return written(scoring.profile_ranks(X.universe(spark, d), X.facts(spark, d), scoring.indicator_weights(X.catalog(spark), profile), profile), "ranks")
 
 
-def _score(spark, d):
-    return scoring.score_profile(X.universe(spark, d), X.facts(spark, d), X.catalog(spark), X.PROFILE)
+def _score(spark, d, facts=None):
+    return scoring.score_profile(X.universe(spark, d), X.facts(spark, d) if facts is None else facts, X.catalog(spark), X.PROFILE)
 
 
 def c10_score_profile(spark, d):
@@ -80,9 +80,9 @@ def c11_many_weightings(spark, d):
 DRAWS = 1000
 
 
-def drawn_totals(spark, d):
+def drawn_totals(spark, d, ranks=None):
     runs = scoring.drawn_weightings(X.catalog(spark), X.PROFILE, DRAWS)
-    return scoring.many_totals(_ranks(spark, d).where("ticker = primary"), runs, X.PROFILE.min_weight_share)
+    return scoring.many_totals((_ranks(spark, d) if ranks is None else ranks).where("ticker = primary"), runs, X.PROFILE.min_weight_share)
 
 
 def c11_drawn_weightings(spark, d):
