@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderflow.functions.numbers import ratio
-from cinderflow.operators.ranking import average_rank, met, placed
+from cinderflow.operators.ranking import met, placed, ranked
+from cinderflow.storage import written
 
 
 def pearson(x, y):
@@ -12,11 +13,28 @@ def pearson(x, y):
     return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def paired_ranks(df: DataFrame, keys, x: str, y: str) -> DataFrame:
+    """keys, x, y, count, rx, ry (average ranks within the key), n: a row for each different pair of values; rows lacking either value are left out.
+
+    Pairs are counted and written, and both ranks come from counts by value, so no window holds a key.
+    """
+    keys = list(keys)
+    pairs = written(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_pairs")), "value-pairs")
+    of_x = ranked(pairs, x, keys, "_pairs").withColumnRenamed("place", "rx")
+    of_y = ranked(pairs, y, keys, "_pairs").withColumnRenamed("place", "ry").drop("n")
+    return met(met(pairs, of_x, [*keys, x]), of_y, [*keys, y]).withColumnRenamed("_pairs", "count")
+
+
+def rank_correlation(pairs: DataFrame, keys) -> DataFrame:
+    """keys, n, rho of paired_ranks(). Average ranks of n rows have the mean (n + 1) / 2, so one aggregate of squares is all; NULL for a constant side."""
+    c, mean = F.col("count"), (F.col("n") + 1) / 2
+    dx, dy = F.col("rx") - mean, F.col("ry") - mean
+    return pairs.groupBy(*keys).agg(F.sum(c).alias("n"), ratio(F.sum(c * dx * dy), F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy))).alias("rho"))
+
+
 def spearman(df: DataFrame, keys, x: str, y: str) -> DataFrame:
     """keys, n, rho: correlation of average ranks within each key; rows lacking either value are left out."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.select(*keys, average_rank(F.col(x), keys).alias("_x"), average_rank(F.col(y), keys).alias("_y"))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("_x"), F.col("_y")).alias("rho"))
+    return rank_correlation(paired_ranks(df, keys, x, y), keys)
 
 
 def herfindahl(v):
@@ -24,10 +42,15 @@ def herfindahl(v):
     return ratio(F.sum(v * v), F.sum(v) * F.sum(v))
 
 
-def fences(v, width: float = 3.0):
-    """Lower and upper fence at `width` interquartile ranges; NULL (no fence) where the range is 0."""
-    q1, q3 = F.percentile(v, 0.25), F.percentile(v, 0.75)
-    return F.when(q3 > q1, q1 - width * (q3 - q1)), F.when(q3 > q1, q3 + width * (q3 - q1))
+def fences(df: DataFrame, keys: list[str], value: str, width: float = 3.0) -> DataFrame:
+    """keys, low, high, n: fences at `width` interquartile ranges, NULL (no fence) where the range is 0; n is the number of values.
+
+    From exact quantiles by counts: percentile() would hold a key's values in one task.
+    """
+    found = quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75})
+    spread, counts = F.col("q3") - F.col("q1"), df.groupBy(*keys).agg(F.count(value).alias("n"))
+    low, high = F.when(spread > 0, F.col("q1") - width * spread), F.when(spread > 0, F.col("q3") + width * spread)
+    return met(found, counts, keys).select(*keys, low.alias("low"), high.alias("high"), "n")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:

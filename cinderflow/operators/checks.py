@@ -49,10 +49,9 @@ def plausibility(facts: DataFrame, this_year: int, least: int = 20) -> DataFrame
     last = facts.groupBy("indicator_id").agg(F.max("year").alias("_m"))
     newest = facts.join(F.broadcast(last), "indicator_id").where("year = _m").withColumn("delta", F.col("value"))
     out = [future]
-    for kind, df in (("change", moves), ("level", newest)):
-        low, high = A.fences(F.col("delta"))
-        fence = df.groupBy("indicator_id").agg(low.alias("_lo"), high.alias("_hi"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-        far = df.join(F.broadcast(fence), "indicator_id").where("delta < _lo or delta > _hi")
+    for kind, df in (("change", written(moves.drop("before"), "moves")), ("level", newest)):
+        fence = A.fences(df, ["indicator_id"], "delta").where(F.col("n") >= least)
+        far = df.join(F.broadcast(fence), "indicator_id").where("delta < low or delta > high")
         out.append(far.select(F.lit(kind).alias("kind"), "indicator_id", "ticker", "year", "value"))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -86,11 +85,13 @@ def outcome_by_quintile(scores: DataFrame, outcome: DataFrame) -> DataFrame:
 
 def weight_robustness(totals: DataFrame, default: DataFrame, top: float = 0.2) -> DataFrame:
     """run, rho, top_kept, n: rank correlation of each run's totals (run, ticker, total_score) with the default's, and how much of its top fifth stays."""
-    met = totals.join(default.select("ticker", F.col("total_score").alias("base")), "ticker").where("total_score is not null and base is not null")
-    rho = A.spearman(met, ["run"], "total_score", "base")
-    pct = met.withColumn("_a", 1 - percentile_rank(F.col("total_score"), ["run"])).withColumn("_b", 1 - percentile_rank(F.col("base"), ["run"]))
-    kept = pct.groupBy("run").agg(ratio(F.count_if((F.col("_a") < top) & (F.col("_b") < top)), F.count_if(F.col("_b") < top)).alias("top_kept"))
-    return rho.join(kept, "run")
+    met = totals.join(small(written(default.select("ticker", F.col("total_score").alias("base")), "default-totals")), "ticker")
+    # Rounded totals take at most 1,001 values: pairs of them are few, and all ranks come from their counts.
+    pairs = written(A.paired_ranks(met, ["run"], "total_score", "base"), "run-pairs")
+    a, b = 1 - F.col("rx") / F.col("n") < top, 1 - F.col("ry") / F.col("n") < top
+    held = lambda x: F.coalesce(F.sum(F.when(x, F.col("count"))), F.lit(0))
+    kept = pairs.groupBy("run").agg(ratio(held(a & b), held(b)).alias("top_kept"))
+    return A.rank_correlation(pairs, ["run"]).join(kept, "run")
 
 
 def _ranked_runs(totals: DataFrame, default: DataFrame) -> tuple[DataFrame, DataFrame]:
