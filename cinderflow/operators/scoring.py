@@ -76,7 +76,11 @@ def totals(by_category: DataFrame, category_weights: dict, min_share: float, key
 
 def score_profile(universe: DataFrame, facts: DataFrame, catalog: DataFrame, profile: Profile) -> DataFrame:
     """ticker, name, sector, position, total_score, total_weight_share, then score, n and share of each category."""
-    ranks = profile_ranks(universe, facts, indicator_weights(catalog, profile), profile)
+    return score_ranks(universe, profile_ranks(universe, facts, indicator_weights(catalog, profile), profile), profile)
+
+
+def score_ranks(universe: DataFrame, ranks: DataFrame, profile: Profile) -> DataFrame:
+    """score_profile() of ranks that are made already."""
     by_category = written(category_scores(ranks, profile.min_weight_share), "category-scores")
     total = totals(by_category, profile.category_weights, profile.min_weight_share)
     wide = by_category.groupBy("ticker").agg(

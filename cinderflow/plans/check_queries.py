@@ -14,7 +14,7 @@ from cinderflow.operators import timeseries as T
 from cinderflow.operators.portfolio import companies
 from cinderflow.plans import fixtures as X
 from cinderflow.plans.operator_queries import _PAIRS, _QUARTERS, pairs, panel
-from cinderflow.plans.score_queries import _RUNS_SQL, DRAWS, _ranks, _score, drawn_totals, weightings
+from cinderflow.plans.score_queries import _RUNS_SQL, DRAWS, _ranks, drawn_totals, weightings
 from cinderflow.storage import sized
 
 QUERIES, ORACLE = {}, {}
@@ -99,14 +99,16 @@ def q04_point_in_time(spark, d):
 k AS (SELECT run, rank() OVER (PARTITION BY run ORDER BY a) + (count(*) OVER (PARTITION BY run, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY run ORDER BY b) + (count(*) OVER (PARTITION BY run, b) - 1) / 2.0 AS rb, count(*) OVER (PARTITION BY run) AS n FROM m)
 SELECT run, count(*) AS n, round(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 6) AS rho, round(count(*) FILTER (1 - ra / n < 0.2 AND 1 - rb / n < 0.2) / CAST(count(*) FILTER (1 - rb / n < 0.2) AS DOUBLE), 6) AS top_kept FROM k GROUP BY 1""")
 def q05_weight_robustness(spark, d):
-    totals = scoring.many_totals(_ranks(spark, d).where("ticker = primary"), weightings(spark), X.PROFILE.min_weight_share)
-    got = Q.weight_robustness(totals, _score(spark, d))
+    ranks = _ranks(spark, d)  # made once, for the weightings and for the default
+    totals = scoring.many_totals(ranks.where("ticker = primary"), weightings(spark), X.PROFILE.min_weight_share)
+    got = Q.weight_robustness(totals, scoring.score_ranks(X.universe(spark, d), ranks, X.PROFILE))
     return got.select("run", "n", r6(F.col("rho")).alias("rho"), r6(F.col("top_kept")).alias("top_kept"))
 
 
 def _drawn(spark, d):
     first = scoring.primaries(X.universe(spark, d)).select(F.col("primary").alias("ticker"))
-    return drawn_totals(spark, d), _score(spark, d).join(first, "ticker", "left_semi"), DRAWS
+    ranks = _ranks(spark, d)
+    return drawn_totals(spark, d, ranks), scoring.score_ranks(X.universe(spark, d), ranks, X.PROFILE).join(first, "ticker", "left_semi"), DRAWS
 
 
 @query()

@@ -10,6 +10,7 @@ from cinderflow.config import CATEGORIES, Profile
 from cinderflow.functions import arrays, text
 from cinderflow.operators import checks, scoring
 from cinderflow.sources import files
+from cinderflow.storage import written
 
 #: Indicators by id: functions from a session to the indicator's rows.
 INDICATORS: dict[str, Callable[[SparkSession], DataFrame]] = {}
@@ -38,8 +39,8 @@ def asked_profile(base: Profile, category_weights: dict | None = None, indicator
 
 def score_answer(universe: DataFrame, facts: DataFrame, catalog: DataFrame, profile: Profile) -> dict[str, DataFrame]:
     """rows (the score table), sectors (companies, scored and medians), fingerprints (points by indicator as JSON) and counts."""
-    table = scoring.score_profile(universe, facts, catalog, profile)
-    ranks = scoring.profile_ranks(universe, facts, scoring.indicator_weights(catalog, profile), profile)
+    ranks = written(scoring.profile_ranks(universe, facts, scoring.indicator_weights(catalog, profile), profile), "ranks")
+    table = scoring.score_ranks(universe, ranks, profile)
     half = lambda c: F.percentile(c, 0.5)
     sectors = table.where("sector <> ''").groupBy("sector").agg(F.count(F.lit(1)).alias("companies"), F.count("total_score").alias("scored"), half("total_score").alias("total"), *[half(f"{c}_score").alias(c) for c in CATEGORIES])
     points = ranks.where("rank01 is not null").select("ticker", "indicator_id", F.rint(F.col("rank01") * 100).cast("int").alias("p"))
@@ -52,8 +53,8 @@ def build_scores(universe: DataFrame, facts: DataFrame, catalog: DataFrame, prof
     """Scores a profile and keeps the table and the ranks as CSV below folder/name; returns the kept table. Prints what the profile weighs in vain."""
     for name in scoring.unknown_weights(catalog, profile):
         print(f"profile {profile.name}: {name} is no ready indicator and is left out")
-    table = scoring.score_profile(universe, facts, catalog, profile)
-    ranks = scoring.profile_ranks(universe, facts, scoring.indicator_weights(catalog, profile), profile)
+    ranks = written(scoring.profile_ranks(universe, facts, scoring.indicator_weights(catalog, profile), profile), "ranks")
+    table = scoring.score_ranks(universe, ranks, profile)
     files.write_csv(table.orderBy(F.desc_nulls_last("total_score"), "ticker"), f"{folder}/{profile.name}/scores")
     files.write_csv(ranks.where("rank01 is not null").select("ticker", "indicator_id", F.col("rank01").alias("rank")), f"{folder}/{profile.name}/indicator_ranks")
     return files.read_csv(universe.sparkSession, f"{folder}/{profile.name}/scores", table.schema)
@@ -118,9 +119,9 @@ def evidence(check: str, universe: DataFrame, facts: DataFrame, catalog: DataFra
         return checks.outcome_by_quintile(table.select("ticker", "sector", F.col("total_score").alias("score")), more["outcome"])
     if check == "weight_robustness":
         runs = more.get("runs", 1000)
-        ranks = scoring.profile_ranks(universe, facts, scoring.indicator_weights(catalog, profile), profile).where("ticker = primary")
-        totals = scoring.many_totals(ranks, scoring.drawn_weightings(catalog, profile, runs), profile.min_weight_share)
-        return checks.weight_verdict(totals, scoring.score_profile(universe, facts, catalog, profile).join(first, "ticker", "left_semi"), runs)
+        ranks = written(scoring.profile_ranks(universe, facts, scoring.indicator_weights(catalog, profile), profile), "ranks")
+        totals = scoring.many_totals(ranks.where("ticker = primary"), scoring.drawn_weightings(catalog, profile, runs), profile.min_weight_share)
+        return checks.weight_verdict(totals, scoring.score_ranks(universe, ranks, profile).join(first, "ticker", "left_semi"), runs)
     raise KeyError(f"no evidence check {check!r}")
 
 
