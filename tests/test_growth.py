@@ -74,3 +74,15 @@ def test_fences_by_counts(spark, monkeypatch):
     found = checks.plausibility(facts, 2000)
     assert "percentile(" not in plan(found)
     assert {(r["kind"], r["ticker"]) for r in found.collect()} == {("level", "3")}
+
+
+@tables
+def test_pages_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """The pages' table is one part; its files are made by as many tasks as there are cores, a file a page."""
+    from cinderflow.plans import final_queries
+
+    monkeypatch.setattr(final_queries, "fresh_path", lambda *a: f"file://{tmp_path}/tree")
+    got = final_queries.s12_html_documents(spark, DIR)
+    files = list((tmp_path / "tree").glob("page_id=*/part-*"))
+    assert len({f.name.split("-")[1] for f in files}) == spark.sparkContext.defaultParallelism
+    assert len(files) == got.count() == spark.read.parquet(f"{DIR}/pages.parquet").where("html is not null").count()
