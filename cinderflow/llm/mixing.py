@@ -48,8 +48,10 @@ def sized(docs: DataFrame) -> DataFrame:
     Rows that agree in all columns are interchangeable, so no other identity is needed.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    kept = docs.select("doc_id", "source", _print(docs).alias("print"), size.alias("size"))
-    return kept.withColumn("spot", F.xxhash64("doc_id", "print", F.lit(SEED))).withColumn("bucket", F.pmod("spot", F.lit(BUCKETS)).cast("int"))
+    # The order follows what a mix reads, so that columns beside it change nothing.
+    spot = F.xxhash64("doc_id", F.xxhash64("text", "source"), F.lit(SEED))
+    kept = docs.select("doc_id", "source", _print(docs).alias("print"), size.alias("size"), spot.alias("spot"))
+    return kept.withColumn("bucket", F.pmod("spot", F.lit(BUCKETS)).cast("int"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
@@ -80,7 +82,7 @@ def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     per_bucket = known.groupBy("nr", "bucket").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("nr").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_bucket.select("nr", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("nr", "bucket").orderBy("spot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("nr", "bucket").orderBy("spot", "doc_id", "size", "print").rowsBetween(Window.unboundedPreceding, -1)
     begun = known.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return begun.join(bases, ["nr", "bucket"]).withColumn("start", F.col("start") + F.col("base")).drop("base")
 
