@@ -11,8 +11,10 @@ P(class | class before) * P(word | class). Learning uses the training documents
 4. Exchange sweeps over the whole clustered vocabulary, dealt by word: of every word it is counted how often each class
    stands before and after it, and the word moves to the class that raises the likelihood of the class bigrams most. The
    class bigrams are those at the beginning of the sweep (words move side by side), less the word's own. The first sweep places words by
-   the seeds' classes; in later ones all words move, seeds too. Contexts are neighbours among the TOP most frequent
-   words, whose classes every task holds, and the ends of texts.
+   the seeds' classes; in later ones all words move, seeds too. Contexts are all neighbours and the ends of texts: the classes
+   of the TOP most frequent words are held by every task, rare words have their shape's, and the other clustered words
+   are asked for: the words beside one go to its bucket, where its class is known, and from there, as counts of
+   contexts, to their own buckets. What TOP is changes the bytes shuffled, not the result.
 5. Rare words' classes and counts are looked up by a shuffle of each chunk's distinct words; then each text is a sequence of
    classes, over which transitions are counted and texts are scored.
 
@@ -148,14 +150,15 @@ def _places(words: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _matrix(rows: DataFrame, shape: tuple[int, int], count) -> np.ndarray:
     """The sum over all rows of matrices of a fixed shape. count(batches) gives flat indices to count, batch by batch.
 
-    Tasks send the cells that are not 0, which are summed natively; the driver gets as many as the matrix has, at most.
+    With each come the weights to count by, or None. Tasks send the cells that are not 0, which are summed natively; the driver
+    gets as many as the matrix has, at most.
     """
     size = shape[0] * shape[1]
 
     def run(batches):
         total = np.zeros(size, np.int64)
-        for flat in count(batches):
-            total += np.bincount(flat, minlength=size)
+        for flat, weights in count(batches):
+            total += np.bincount(flat, weights, size).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
@@ -171,37 +174,40 @@ def _xlogx(x):
 
 
 class Bigrams:
-    """Counts of class bigrams (from, to; the last class is the end of a text), with what gains() asks of them again and again."""
+    """Counts of class bigrams (from, to), with what gains() asks of them again and again. A word can join the first k classes: by default all but
+    the last, which is the end of a text."""
 
-    def __init__(self, n: np.ndarray):
-        self.k = len(n) - 1
+    def __init__(self, n: np.ndarray, k: int | None = None):
+        self.k = len(n) - 1 if k is None else k
         self.n = n.astype(float)
         self.logs = _xlogx(self.n)
         self.a, self.b, self.d = self.n[: self.k].sum(1), self.n[:, : self.k].sum(0), np.diag(self.n)[: self.k].copy()
 
     def gains(self, after: np.ndarray, before: np.ndarray, own: int) -> np.ndarray:
-        """By how much the log likelihood grows, up to a constant, if a word joins each of the classes but the end. after, before: how often each
+        """By how much the log likelihood grows, up to a constant, if a word joins each of the first k classes. after, before: how often each
         class follows and precedes the word; own: the class that the counts have the word in, or -1. Only cells that the word has a share in are looked at."""
         k, n = self.k, self.n
         x, y = np.flatnonzero(after), np.flatnonzero(before)
         right, left = after.sum(), before.sum()
         rows, columns = n[:k][:, x], n[y][:, :k].T
-        row_logs, column_logs = self.logs[:k][:, x], self.logs[y][:, :k].T
+        row_logs, column_logs = self.logs[:k][:, x], self.logs[y][:, :k].T  # copies, like those of n
         a, b, d = self.a, self.b, self.d
         if own >= 0:
             rows[own] -= after[x]
             rows[:, x == own] -= before[:k, None]
-            columns = columns.copy()
             columns[own] -= before[y]
             columns[:, y == own] -= after[:k, None]
-            row_logs, column_logs = _xlogx(rows), _xlogx(columns)
+            for logs, cells, at in ((row_logs, rows, x == own), (column_logs, columns, y == own)):  # only these cells have changed
+                logs[own], logs[:, at] = _xlogx(cells[own]), _xlogx(cells[:, at])
             a, b, d = a.copy(), b.copy(), d.copy()
             a[own] -= right
             b[own] -= left
             d[own] -= after[own] + before[own]
         else:
             a, b = a + before[:k], b + after[:k]
-        out = (_xlogx(rows + after[x]) - row_logs).sum(1) + (_xlogx(columns + before[y]) - column_logs).sum(1)
+        rows += after[x]
+        columns += before[y]
+        out = (rows * np.log(rows) - row_logs).sum(1) + (columns * np.log(columns) - column_logs).sum(1)  # no cell is below the word's own share
         # A class's own cell takes both shares at once.
         both = np.flatnonzero((after[:k] > 0) & (before[:k] > 0))
         if len(both):
@@ -252,69 +258,238 @@ def _in_table(table: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _contexts(top: np.ndarray, cls: np.ndarray, classes: int, table: np.ndarray):
-    """word, context, n: contexts 0 .. classes are the class after the word (the last: the end), the next classes + 1 the class before.
-    Most words that table doesn't have are left out."""
-    width = 2 * (classes + 1)
+def _blob(*arrays: np.ndarray) -> bytes:
+    """Arrays, each of its own length."""
+    return np.array([len(x) for x in arrays], np.int64).tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in arrays)
+
+
+def _unblob(body: bytes, *kinds: str) -> list[np.ndarray]:
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(np.frombuffer(body, np.int64, len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(body, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+#: Kinds of blobs by bucket: words that a chunk asks for, words with what is known of them, words with their contexts, and neighbours with the words beside them.
+ASKED, TOLD, NEAR, BESIDE = range(4)
+_BLOBS = "bucket int, chunk long, part int, body binary"
+
+
+def _bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    return ((words >> np.uint64(8)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+
+
+def _slices(bucket: np.ndarray, buckets: int):
+    """bucket and slice of the order by bucket, in which what is equal keeps its order."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(edges)):
+        yield int(k), order[edges[k] : edges[k + 1]]
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and how long it is."""
+    begin = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(x)))
+
+
+def _near(words: np.ndarray, top: np.ndarray, cls: np.ndarray, classes: int, table: np.ndarray, placed: bool) -> np.ndarray:
+    """The class of each word as far as a task can tell, else -1: of top words, and once all clustered words are placed that of the shape of words that the table lacks."""
+    at = _places(words, top)
+    near = np.append(cls, -1)[at].astype(np.int64)
+    if placed:
+        rare = (at == len(top)) & ~_in_table(table, words)
+        near[rare] = classes + (words[rare] & np.uint64(SHAPES - 1)).astype(np.int64)
+    return near
+
+
+def _contexts(top: np.ndarray, cls: np.ndarray, classes: int, table: np.ndarray, placed: bool, buckets: int):
+    """Words and their contexts that a task can tell, by bucket: contexts 0 .. end are the class after the word (classes, shapes, the end), the next
+    end + 1 the class before. Most words that table doesn't have are left out."""
+    end = classes + SHAPES
+    width = 2 * (end + 1)
 
     def run(batches):
         held, size = [], 0
         for c in _chunks(batches):
-            near = np.append(cls, -1)[_places(c.words, top)][c.codes]
+            near = _near(c.words, top, cls, classes, table, placed)[c.codes]
             codes = c.codes.astype(np.int64)
             i = c.steps()
             first, last = c.ends()
             wanted = _in_table(table, c.words)[c.codes]
             x, y = i[(near[i + 1] >= 0) & wanted[i]], i[(near[i] >= 0) & wanted[i + 1]]
             first, last = first[wanted[first]], last[wanted[last]]
-            key = np.concatenate([codes[x] * width + near[x + 1], codes[y + 1] * width + classes + 1 + near[y], codes[last] * width + classes, codes[first] * width + 2 * classes + 1])
+            key = np.concatenate([codes[x] * width + near[x + 1], codes[y + 1] * width + end + 1 + near[y], codes[last] * width + end, codes[first] * width + 2 * end + 1])
             key, n = np.unique(key, return_counts=True)
             held.append((c.words[key // width], (key % width).astype(np.int32), n))
             size += len(key)
             if size > HELD_WORDS:
-                yield from _merged(held)
+                yield _batch(_merged(held, buckets))
                 held, size = [], 0
-        yield from _merged(held)
+        yield _batch(_merged(held, buckets))
 
     return run
 
 
-def _merged(held: list[tuple]):
+def _merged(held: list[tuple], buckets: int) -> list[tuple]:
+    """Words with their contexts and counts, merged, as blobs by bucket."""
     if not held:
-        return
+        return []
     word, context, n = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((context, word))
     word, context, n = word[order], context[order], n[order]
     begin = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1]))) if len(word) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(n, begin) if len(begin) else n
-    for a in range(0, len(begin), 100_000):
-        s = slice(a, a + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(word[begin[s]].view(np.int64)), pa.array(context[begin[s]]), pa.array(sums[s].astype(np.int64))], ["word", "context", "n"])
+    word, context, n = word[begin], context[begin].astype("<u2"), (np.add.reduceat(n, begin) if len(begin) else n).astype("<u4")
+    out = []
+    for k, s in _slices(_bucket_of(word, buckets), buckets):
+        at, lens = _runs(word[s])
+        out.append((k, -1, NEAR, _blob(word[s][at], lens.astype("<u4"), context[s], n[s])))
+    return out
+
+
+def _beside(top: np.ndarray, cls: np.ndarray, classes: int, table: np.ndarray, buckets: int):
+    """Neighbours whose class a task can't tell, by bucket, with the words beside them: numbers of words (top words, then the blob's own), whether the
+    neighbour stands before (1) or after them, and how often."""
+
+    def run(batches):
+        for c in _chunks(batches):
+            asked = (_near(c.words, top, cls, classes, table, True) < 0)[c.codes]
+            wanted = _in_table(table, c.words)[c.codes]
+            codes, v, i = c.codes.astype(np.int64), len(c.words), c.steps()
+            x, y = i[asked[i + 1] & wanted[i]], i[asked[i] & wanted[i + 1]]
+            key, n = np.unique(np.concatenate([(codes[x + 1] * v + codes[x]) * 2, (codes[y] * v + codes[y + 1]) * 2 + 1]), return_counts=True)
+            of, word, before = key // 2 // max(v, 1), key // 2 % max(v, 1), (key & 1).astype(np.uint8)
+            number, rows = _places(c.words, top), []
+            for k, s in _slices(_bucket_of(c.words[of], buckets), buckets):
+                at, lens = _runs(of[s])
+                numbers = number[word[s]]
+                other = numbers == len(top)
+                own, which = np.unique(word[s][other], return_inverse=True)
+                numbers[other] += which
+                rows.append((k, c.number, BESIDE, _blob(c.words[of[s][at]], lens.astype("<u4"), numbers.astype("<u4"), before[s], n[s].astype("<u4"), c.words[own])))
+            yield _batch(rows)
+
+    return run
+
+
+def _vocabulary(buckets: int):
+    """The clustered words by bucket, with count, whether they are top words, and class (-1: none yet)."""
+
+    def run(batches):
+        for b in batches:
+            words, n, hot, cls = (b.column(c).to_numpy(zero_copy_only=False) for c in ("word", "n", "hot", "cls"))
+            words = words.view(np.uint64)
+            yield _batch([(k, -1, TOLD, _pack(words[s], n[s], hot[s].astype(bool), cls[s].astype(np.int32))) for k, s in _slices(_bucket_of(words, buckets), buckets)])
+
+    return run
+
+
+def _told(table) -> tuple[np.ndarray, ...]:
+    """A bucket's clustered words in ascending order: word, n, hot, cls."""
+    parts = [_unpack(x, "<u8", "<i8", "?", "<i4") for p, x in zip(table["part"].to_pylist(), table["body"].to_pylist(), strict=True) if p == TOLD]
+    words, n, hot, cls = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, k) for k in ("<u8", "<i8", "?", "<i4"))
+    order = np.argsort(words)
+    return words[order], n[order], hot[order], cls[order]
+
+
+def _classed(top: np.ndarray, classes: int, buckets: int):
+    """In the bucket of the neighbours: the words beside them, with the neighbour's class as context, to their own buckets."""
+
+    def run(table):
+        words, _, _, cls = _told(table)
+        held = []
+        for part, body in zip(table["part"].to_pylist(), table["body"].to_pylist(), strict=True):
+            if part == BESIDE:
+                of, lens, numbers, before, n, own = _unblob(body, "<u8", "<u4", "<u4", "u1", "<u4", "<u8")
+                at = _places(of, words)
+                context = np.where(at < len(words), np.append(cls, 0)[at], classes + (of & np.uint64(SHAPES - 1)).astype(np.int32))
+                word, hot = np.zeros(len(numbers), np.uint64), numbers < len(top)
+                word[hot], word[~hot] = top[numbers[hot]], own[numbers[~hot].astype(np.int64) - len(top)]
+                held.append((word, (np.repeat(context, lens) + before.astype(np.int32) * (classes + SHAPES + 1)).astype(np.int32), n.astype(np.int64)))
+        return pa.Table.from_batches([_batch(_merged(held, buckets))])
+
+    return run
+
+
+_BUCKET = "words binary, n binary, hot binary, cls binary, lens binary, contexts binary, counts binary"
+
+
+def _met(table):
+    """A bucket's clustered words and, one after another, each word's contexts and their counts."""
+    words, n, hot, cls = _told(table)
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part, body in zip(table["part"].to_pylist(), table["body"].to_pylist(), strict=True):
+        if part == NEAR:
+            word, lens, context, count = _unblob(body, "<u8", "<u4", "<u2", "<u4")
+            at = np.repeat(_places(word, words), lens)
+            known = at < len(words)
+            keys.append(at[known] << 16 | context[known])
+            counts.append(count[known].astype(np.int64))
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begin, _ = _runs(key)
+    count = np.add.reduceat(count[order], begin) if len(begin) else count
+    key = key[begin]
+    arrays = words, n, hot, cls, np.bincount(key >> 16, minlength=len(words)).astype("<u4"), (key & 0xFFFF).astype("<u2"), count.astype("<i8")
+    names = [x.split()[0] for x in _BUCKET.split(", ")]
+    return pa.table({c: pa.array([x.tobytes()] if len(words) else [], pa.binary()) for c, x in zip(names, arrays, strict=True)})
+
+
+def _buckets(batches):
+    """Of each row of _BUCKET: words, n, hot, cls, lens, contexts, counts."""
+    for b in batches:
+        for r in range(b.num_rows):
+            yield tuple(np.frombuffer(x[r].as_py(), k) for x, k in zip(b.columns, ("<u8", "<i8", "?", "<i4", "<u4", "<u2", "<i8"), strict=True))
+
+
+def contexts(coded: DataFrame, vocabulary: DataFrame, top: np.ndarray, cls: np.ndarray, classes: int, table: np.ndarray, placed: bool, buckets: int) -> DataFrame:
+    """The clustered words with all their contexts, a row (_BUCKET) a bucket. While words aren't placed yet, contexts are those of placed top words and ends."""
+    told = vocabulary.mapInArrow(_vocabulary(buckets), _BLOBS)
+    near = coded.mapInArrow(K.trimmed(_contexts(top, cls, classes, table, placed, buckets)), _BLOBS)
+    if placed:
+        asked = coded.mapInArrow(K.trimmed(_beside(top, cls, classes, table, buckets)), _BLOBS).unionByName(told)
+        near = near.unionByName(asked.groupBy("bucket").applyInArrow(_classed(top, classes, buckets), _BLOBS))
+    return written(near.unionByName(told).groupBy("bucket").applyInArrow(_met, _BUCKET), "contexts")
+
+
+def class_bigrams(known: DataFrame, classes: int) -> np.ndarray:
+    """Counts of the bigrams of classes, shapes and the end, of which at least one is a class."""
+    end = classes + SHAPES
+
+    def cells(batches):
+        for _, _, _, cls, lens, contexts_, counts in _buckets(batches):
+            of = np.repeat(cls, lens).astype(np.int64)
+            yield (of * (2 * (end + 1)) + contexts_)[of >= 0], counts[of >= 0]
+
+    every = _matrix(known, (classes, 2 * (end + 1)), cells)
+    out = np.zeros((end + 1, end + 1))
+    out[:classes] = every[:, : end + 1]
+    out[classes:, :classes] = every[:, end + 1 :].T[classes:]
+    return out
 
 
 def _moves(n: np.ndarray, classes: int, first: bool):
     """The class of each word after a sweep, under the class bigrams n. In the first sweep only words without a class take one."""
+    half = classes + SHAPES + 1
 
     def run(batches):
-        now = Bigrams(n)
-        for b in batches:
-            words, own = b.column("word"), b.column("cls").to_pylist()
-            new = []
-            for word, k, near in zip(words.to_pylist(), own, b.column("near"), strict=True):
-                if k is not None and first:
+        now = Bigrams(n, classes)
+        for words, times, hot, cls, lens, contexts_, counts in _buckets(batches):
+            words, to, new = words.view(np.int64), np.cumsum(lens, dtype=np.int64), []
+            for word, k, a, e in zip(words.tolist(), cls.tolist(), (to - lens).tolist(), to.tolist(), strict=True):
+                if k >= 0 and first:
                     new.append(k)
-                    continue
-                counts = np.zeros(2 * (classes + 1))
-                if near.is_valid:
-                    pairs = near.values.flatten()
-                    counts[pairs[0].to_numpy()] = pairs[1].to_numpy()
-                if not counts.any():
-                    new.append(word % classes if k is None else k)
-                    continue
-                gain = now.gains(counts[: classes + 1], counts[classes + 1 :], -1 if k is None else k)
-                best = int(np.argmax(gain))
-                new.append(best if k is None or gain[best] > gain[k] + 1e-9 else k)
-            yield pa.RecordBatch.from_arrays([words, b.column("n"), b.column("hot"), pa.array(new, pa.int32())], ["word", "n", "hot", "cls"])
+                elif a == e:
+                    new.append(word % classes if k < 0 else k)
+                else:
+                    near = np.zeros(2 * half)
+                    near[contexts_[a:e]] = counts[a:e]
+                    gain = now.gains(near[:half], near[half:], k)
+                    best = int(np.argmax(gain))
+                    new.append(best if k < 0 or gain[best] > gain[k] + 1e-9 else k)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(times), pa.array(hot), pa.array(new, pa.int32())], ["word", "n", "hot", "cls"])
 
     return run
 
@@ -360,12 +535,17 @@ def _top(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word[order], got["n"].to_numpy()[order], got["cls"].to_numpy()[order]
 
 
-def learn(coded: DataFrame, texts: int) -> Model:
-    """The model of the training documents of coded, of which there are `texts`."""
+def buckets_for(size: int) -> int:
+    """Number of buckets of words for so many bytes of files."""
+    return max(LEAST_BUCKETS, min(1 << 20, size // BUCKET_BYTES))
+
+
+def learn(coded: DataFrame, texts: int, size: int = 0) -> Model:
+    """The model of the training documents of coded, of which there are `texts`; size: bytes of the files of all documents."""
     counts = written(coded.mapInArrow(K.trimmed(_counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     tokens = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") >= LEAST_COUNT).alias("clustered")).first()
     clustered = counts.where(F.col("n") >= LEAST_COUNT)
-    classes, end = classes_for(tokens["clustered"]), classes_for(tokens["clustered"]) + 1
+    classes = classes_for(tokens["clustered"])
     vocabulary = clustered.select("word", "n", frequent(clustered, TOP).alias("hot"), F.lit(None).cast("int").alias("cls"))
     top, n, cls = _top(vocabulary)
     by_count = np.sort(np.lexsort((top, -n))[:SEEDS])
@@ -376,29 +556,19 @@ def learn(coded: DataFrame, texts: int) -> Model:
             at = _places(c.words, seeds)[c.codes]
             i = c.steps()
             i = i[(at[i] < m) & (at[i + 1] < m)]
-            yield at[i] * m + at[i + 1]
+            yield at[i] * m + at[i + 1], None
 
     if m:
         bigrams, by_rank = _matrix(coded, (m, m), pairs), np.argsort(-n[by_count], kind="stable")
         cls[by_count[by_rank]] = exchange(bigrams[np.ix_(by_rank, by_rank)], classes)
         told = list(zip(seeds.view(np.int64).tolist(), cls[by_count].tolist(), strict=True))  # SEEDS rows at most
         started = F.broadcast(counts.sparkSession.createDataFrame(told, "word long, started int"))
-        vocabulary = vocabulary.join(started, "word", "left").select("word", "n", "hot", F.col("started").alias("cls"))
+        vocabulary = vocabulary.join(started, "word", "left").select("word", "n", "hot", F.coalesce("started", F.lit(-1)).alias("cls"))
         table = _bit_table(clustered, tokens["clustered"])
         for sweep in range(SWEEPS):
-            near = coded.mapInArrow(K.trimmed(_contexts(top, cls, classes, table)), "word long, context int, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
-            by_word = near.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("near"))
             with scratch(counts.sparkSession) as own:  # only the sweep reads its contexts
-                known = written(vocabulary.join(by_word, "word", "left"), "contexts")
-                cells = known.where("cls is not null").select("cls", "hot", F.explode("near").alias("x")).groupBy("cls", "hot", "x.context").agg(F.sum("x.n").alias("n")).collect()  # classes x contexts x 2
-                every, hot = np.zeros((end, 2 * end)), np.zeros((end, 2 * end))
-                for r in cells:
-                    every[r["cls"], r["context"]] += r["n"]
-                    if r["hot"]:
-                        hot[r["cls"], r["context"]] += r["n"]
-                # Bigrams of two top words are seen from both sides.
-                now = every[:, :end] + every[:, end:].T - hot[:, :end]
-                now[:classes, classes] = every[:classes, classes]
+                known = contexts(coded, vocabulary, top, cls, classes, table, sweep > 0, buckets_for(size))
+                now = class_bigrams(known, classes)
                 vocabulary = written(known.mapInArrow(K.trimmed(_moves(now, classes, sweep == 0)), "word long, n long, hot boolean, cls int"), "classes")
                 own.keep()
             top, n, cls = _top(vocabulary)
@@ -412,34 +582,18 @@ def learn(coded: DataFrame, texts: int) -> Model:
     return Model(classes, top, n, cls, whole, np.log10(np.maximum(total, 1e-300)), texts, int(tokens["n"]) + texts, int(tokens["v"]) + (texts > 0))
 
 
-def _row(bucket: int, chunk: int, part: int, *arrays: np.ndarray) -> tuple:
-    return bucket, chunk, part, _pack(*arrays)
-
-
 def _batch(rows) -> pa.RecordBatch:
     b, c, p, x = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(p, pa.int32()), pa.array(x, pa.binary())], ["bucket", "chunk", "part", "body"])
 
 
-ASKED, TOLD = 0, 1
-
-
-def _dealt(words: np.ndarray, buckets: int):
-    """bucket and slice of the order of words by bucket."""
-    bucket = (words >> np.uint64(8)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k in np.flatnonzero(np.diff(edges)):
-        yield int(k), order[edges[k] : edges[k + 1]]
-
-
 def _asks(top: np.ndarray, buckets: int):
     """Each chunk's distinct words beyond the top ones, by bucket."""
 
     def run(batches):
         for c in _chunks(batches):
             at = np.flatnonzero(_places(c.words, top) == len(top)).astype(np.uint32)
-            yield _batch([_row(k, c.number, ASKED, c.words[at[s]], at[s]) for k, s in _dealt(c.words[at], buckets)])
+            yield _batch([(k, c.number, ASKED, _pack(c.words[at[s]], at[s])) for k, s in _slices(_bucket_of(c.words[at], buckets), buckets)])
 
     return run
 
@@ -450,7 +604,7 @@ def _known(buckets: int):
     def run(batches):
         for b in batches:
             words, n, cls = b.column("word").to_numpy().view(np.uint64), b.column("n").to_numpy(), b.column("cls").to_numpy()
-            yield _batch([_row(k, -1, TOLD, words[s], n[s], cls[s].astype(np.int32)) for k, s in _dealt(words, buckets)])
+            yield _batch([(k, -1, TOLD, _pack(words[s], n[s], cls[s].astype(np.int32))) for k, s in _slices(_bucket_of(words, buckets), buckets)])
 
     return run
 
@@ -519,9 +673,8 @@ def _sequences(batches, end: int):
 
 def resolved(coded: DataFrame, model: Model, size: int) -> DataFrame:
     """Every document as what _TOLD names."""
-    buckets = max(LEAST_BUCKETS, min(1 << 20, size // BUCKET_BYTES))
-    blobs = "bucket int, chunk long, part int, body binary"
-    asked = coded.mapInArrow(K.trimmed(_asks(model.top, buckets)), blobs).unionByName(model.words.mapInArrow(_known(buckets), blobs))
+    buckets = buckets_for(size)
+    asked = coded.mapInArrow(K.trimmed(_asks(model.top, buckets)), _BLOBS).unionByName(model.words.mapInArrow(_known(buckets), _BLOBS))
     answers = asked.groupBy("bucket").applyInArrow(_answers(model.classes), "chunk long, body binary")
     plain = {"top": model.top, "top_n": model.top_n, "top_cls": model.top_cls, "total": model.total, "ended": int(model.texts > 0)}
     return written(coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_resolved(plain), _TOLD), "class-sequences")
@@ -532,7 +685,7 @@ def transitions(rows: DataFrame, end: int) -> np.ndarray:
 
     def steps(batches):
         for _, c, _ in _sequences(batches, end):
-            yield c[:-1] * (end + 1) + c[1:]
+            yield c[:-1] * (end + 1) + c[1:], None
 
     moves = _matrix(rows.where("not held_out").select("classes"), (end + 1, end + 1), steps) + ADD
     return np.log10(moves / moves.sum(1, keepdims=True))
@@ -547,7 +700,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     docs, size = sized(docs.select("doc_id", "text"), "lm-docs")
     rows = coded(docs)
-    model = learn(rows, docs.where(~held_out(F.col("doc_id"))).count())
+    model = learn(rows, docs.where(~held_out(F.col("doc_id"))).count(), size)
     told = resolved(rows, model, size)
     end = model.end
     moves = transitions(told, end)

@@ -519,6 +519,37 @@ def test_sweeps_class_the_whole_vocabulary(spark, monkeypatch):
     assert noun[0] != verb[0] and noun[1] >= 0.95 * kinds["n"].total() and verb[1] >= 0.95 * kinds["v"].total(), kinds
 
 
+def test_contexts_are_all_neighbours(spark, monkeypatch):
+    """Contexts beyond the words that tasks hold count too: classes don't depend on TOP, and class bigrams are those of the whole text, rare words' shapes included."""
+    monkeypatch.setattr(class_lm, "SEEDS", 20)
+    monkeypatch.setattr(class_lm, "SWEEPS", 2)
+    monkeypatch.setattr(class_lm, "classes_for", lambda n: 6)
+    draw = random.Random(9)
+    pick = lambda kind: f"{kind}{min(int(draw.expovariate(0.02)), 199)}"
+    docs = spark.createDataFrame([(k, " ".join([pick("nv"[j % 2]) for j in range(30)] + [f"once{k}", f"é{k}!"])) for k in range(500)] + [(501, ""), (502, None)], "doc_id long, text string")
+    found = {}
+    for top in (60, 65_536):
+        monkeypatch.setattr(class_lm, "TOP", top)
+        m, found[top], _ = model_of(docs)
+        assert len(m.top) <= top
+    assert found[60] == found[65_536]
+    clustered = {w: c for w, (n, c) in found[60].items() if n >= class_lm.LEAST_COUNT}
+    assert len(clustered) > 150 and len(found[60]) > 900
+    rows = class_lm.coded(docs)
+    vocabulary = spark.createDataFrame([(w, n, False, c) for w, (n, c) in found[60].items() if w in clustered], "word long, n long, hot boolean, cls int")
+    top = np.sort(np.array(list(clustered)[:30], np.int64).view(np.uint64))
+    table = class_lm._bit_table(vocabulary, len(clustered))
+    known = class_lm.contexts(rows, vocabulary, top, np.array([clustered[w] for w in top.view(np.int64).tolist()]), 6, table, True, 3)
+    got = class_lm.class_bigrams(known, 6)
+    want, end = np.zeros_like(got), 6 + class_lm.SHAPES
+    for r in docs.where(~class_lm.held_out(F.col("doc_id"))).collect():
+        w = [key_of(x) for x in words((r["text"] or "").lower())]
+        c = [found[60][x][1] for x in w]
+        for x, y, i, j in zip([None, *w], [*w, None], [end, *c], [*c, end], strict=True):
+            want[i, j] += x != y and (i < 6 or j < 6)
+    assert (got == want).all()
+
+
 def test_bit_table_has_every_word(spark):
     draw = np.random.default_rng(2)
     words_ = np.unique(draw.integers(-(2**63), 2**63, 3000, dtype=np.int64))
