@@ -10,17 +10,22 @@ def spots(text, pattern: str):
     """Every match of a pattern that never matches nothing: its place (from 0) and what it matched, in order.
 
     The pieces between the matches give the places. The list grows with the matches of one text, not with its length.
+    A text is searched once, and cut into pieces only if something was found.
     """
     text = F.coalesce(text, F.lit(""))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     start = F.struct(F.lit(0).alias("end"), F.array().cast(_NONE).alias("out"))
 
     def step(acc, p):
         at = acc["end"] + F.length(p["piece"])
         return F.struct((at + F.length(p["found"])).alias("end"), F.concat(acc["out"], F.array(F.struct(at.alias("at"), p["found"].alias("found")))).alias("out"))
 
-    return F.aggregate(F.arrays_zip(pieces.alias("piece"), found.alias("found")), start, step, lambda acc: acc["out"])
+    def placed(f):
+        pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(f))
+        return F.aggregate(F.arrays_zip(pieces.alias("piece"), f.alias("found")), start, step, lambda acc: acc["out"])
+
+    # A list of one binds the matches: named twice, they would be searched for twice.
+    return F.get(F.transform(F.array(found), lambda f: F.when(F.size(f) == 0, F.array().cast(_NONE)).otherwise(placed(f))), F.lit(0))
 
 
 def cut(text, low, high):

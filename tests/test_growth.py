@@ -86,3 +86,15 @@ def test_pages_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     files = list((tmp_path / "tree").glob("page_id=*/part-*"))
     assert len({f.name.split("-")[1] for f in files}) == spark.sparkContext.defaultParallelism
     assert len(files) == got.count() == spark.read.parquet(f"{DIR}/pages.parquet").where("html is not null").count()
+
+
+def test_a_text_is_searched_once(spark):
+    """spots() names its search once, and its places are those of the matches, also where there are none."""
+    from pyspark.sql import functions as F
+
+    from cinderflow.functions.spots import spots
+
+    df = spark.createDataFrame([(1, "a1b22c"), (2, "none"), (3, None), (4, "7")], "id int, text string").repartition(1)
+    got = df.select("id", spots(F.col("text"), "[0-9]+").alias("s"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert {r["id"]: [tuple(x) for x in r["s"]] for r in got.collect()} == {1: [(1, "1"), (3, "22")], 2: [], 3: [], 4: [(0, "7")]}
