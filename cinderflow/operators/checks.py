@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cinderflow.functions.numbers import ratio
 from cinderflow.operators import aggregates as A
+from cinderflow.operators import scoring
 from cinderflow.operators import timeseries as T
 from cinderflow.operators.ranking import average_rank, bucket, percentile_rank
 from cinderflow.storage import small, written
@@ -94,19 +95,19 @@ def weight_robustness(totals: DataFrame, default: DataFrame, top: float = 0.2) -
     return A.rank_correlation(pairs, ["run"]).join(kept, "run")
 
 
-def _ranked_runs(totals: DataFrame, default: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """run, ticker, and the average ranks of total_score (in its run, with n) and base (among all of default); and by run rho, their correlation.
-
-    Rounded totals take at most 1,001 values, so all ranks come from counts by total: a run's are broadcast, and no row of totals is shuffled.
-    Rows of one total share a rank, so rho comes from the same counts and needs no further pass over the totals.
-    """
+def _base_ranks(default: DataFrame) -> DataFrame:
+    """ticker, base, base_rank: the scored of default (ticker, total_score) and their average ranks, which come from counts by total."""
     scored = default.where("total_score is not null").select("ticker", F.col("total_score").alias("base"))
     values = scored.groupBy("base").agg(F.count(F.lit(1)).alias("_c"))
     lower = F.coalesce(F.sum("_c").over(Window.orderBy("base").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = scored.join(F.broadcast(values.select("base", (lower + (F.col("_c") + 1) / 2).alias("base_rank"))), "base")
-    base = small(written(base, "default-ranks"))
-    met = totals.where("total_score is not null").join(base, "ticker").withColumn("_k", F.rint(F.col("total_score") * 10).cast("int"))
-    counts = met.groupBy("run", "_k").agg(F.count(F.lit(1)).alias("_c"), F.sum("base_rank").alias("_b"), F.sum(F.col("base_rank") * F.col("base_rank")).alias("_bb"))
+    return scored.join(F.broadcast(values.select("base", (lower + (F.col("_c") + 1) / 2).alias("base_rank"))), "base")
+
+
+def _run_places(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """run, _k, rank, n of counts (run, _k, _c, _b, _bb: RunTotals.counts()); and by run rho, the correlation of rank and base_rank.
+
+    Rounded totals take at most 1,001 values, so all ranks come from counts by total. Rows of one total share a rank, so rho comes from the same counts.
+    """
     run = Window.partitionBy("run")
     below = F.coalesce(F.sum("_c").over(run.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = counts.withColumns({"rank": below + (F.col("_c") + 1) / 2, "n": F.sum("_c").over(run), "_mean": F.sum("_b").over(run) / F.sum("_c").over(run)})
@@ -114,14 +115,42 @@ def _ranked_runs(totals: DataFrame, default: DataFrame) -> tuple[DataFrame, Data
     c, b, mean, d = F.col("_c"), F.col("_b"), F.col("_mean"), F.col("rank") - (F.col("n") + 1) / 2
     spread = F.sum(c * d * d) * F.sum(F.col("_bb") - 2 * mean * b + c * mean * mean)
     rho = places.groupBy("run").agg(ratio(F.sum(d * (b - c * mean)), F.sqrt(spread)).alias("rho"))
-    return met.join(F.broadcast(places.select("run", "_k", "rank", "n")), ["run", "_k"]).drop("_k"), rho
+    return places.select("run", "_k", "rank", "n"), rho
+
+
+def _pct():
+    return (F.col("n") + 1 - F.col("rank")) / F.col("n")
+
+
+def _ranked_runs(totals: DataFrame, default: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """run, ticker, rank and n of totals that exist as rows; and by run rho, their correlation with the default's."""
+    base = small(written(_base_ranks(default), "default-ranks"))
+    met = totals.where("total_score is not null").join(base, "ticker").withColumn("_k", F.rint(F.col("total_score") * 10).cast("int"))
+    counts = met.groupBy("run", "_k").agg(F.count(F.lit(1)).alias("_c"), F.sum("base_rank").alias("_b"), F.sum(F.col("base_rank") * F.col("base_rank")).alias("_bb"))
+    places, rho = _run_places(counts)
+    return met.join(F.broadcast(places), ["run", "_k"]).drop("_k"), rho
+
+
+def _share(c: str, runs: int):
+    return F.coalesce(F.col(c), F.lit(0)) / F.lit(runs)
 
 
 def _top_and_bottom(ranked: DataFrame, default: DataFrame, runs: int, top: float) -> DataFrame:
-    pct = ranked.withColumn("pct", (F.col("n") + 1 - F.col("rank")) / F.col("n"))
-    by = pct.groupBy("ticker").agg(F.count_if(F.col("pct") <= top).alias("_t"), F.count_if(F.col("pct") > 1 - top).alias("_b"))
-    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.lit(runs)
-    return default.where("total_score is not null").join(by, "ticker", "left").select("ticker", F.col("total_score").alias("default_score"), share("_t").alias("top_share"), share("_b").alias("bottom_share"))
+    by = ranked.withColumn("pct", _pct()).groupBy("ticker").agg(F.count_if(F.col("pct") <= top).alias("_t"), F.count_if(F.col("pct") > 1 - top).alias("_b"))
+    return default.where("total_score is not null").join(by, "ticker", "left").select("ticker", F.col("total_score").alias("default_score"), _share("_t", runs).alias("top_share"), _share("_b", runs).alias("bottom_share"))
+
+
+def _drawn(ranks: DataFrame, runs: DataFrame, default: DataFrame, min_share: float, top: float) -> tuple[DataFrame, DataFrame, int]:
+    """What _top_and_bottom() and _ranked_runs() give for the totals of many_totals(), and the number of runs, without a row a company and run.
+
+    Ranks within a run rise with the total, so its top and bottom are two totals: these go to the tasks, and a company's shares come from its own row.
+    """
+    made = scoring.RunTotals(ranks, runs, min_share, _base_ranks(default))
+    places, rho = _run_places(made.counts())
+    ends = places.groupBy("run").agg(F.min(F.when(_pct() <= top, F.col("_k"))).alias("high"), F.max(F.when(_pct() > 1 - top, F.col("_k"))).alias("low"))
+    hits = made.hits({r["run"]: (r["high"], r["low"]) for r in ends.collect()}, ["ticker", "base"])  # a row a run
+    n = len(made.number)
+    return hits.select("ticker", F.col("base").alias("default_score"), _share("_t", n).alias("top_share"), _share("_b", n).alias("bottom_share")), rho, n
 
 
 def weight_frequencies(totals: DataFrame, default: DataFrame, runs: int, top: float = 0.2) -> DataFrame:
@@ -129,18 +158,27 @@ def weight_frequencies(totals: DataFrame, default: DataFrame, runs: int, top: fl
     return _top_and_bottom(_ranked_runs(totals, default)[0], default, runs, top)
 
 
-def weight_verdict(totals: DataFrame, default: DataFrame, runs: int, top: float = 0.2) -> DataFrame:
-    """One row: companies, median_rho and rho_p5 of the runs' rank correlations with the default, top50_stay_share (of the
-    default's first 50, those in the top fifth of 80 % of runs), always_top and always_bottom (90 %), status."""
-    ranked, by_run = _ranked_runs(totals, default)
+def _verdict(shares: DataFrame, by_run: DataFrame, runs: int) -> DataFrame:
     rho = by_run.agg(F.percentile("rho", 0.5).alias("median_rho"), F.percentile("rho", 0.05).alias("rho_p5"))
-    shares = written(_top_and_bottom(ranked, default, runs, top), "top-shares")
+    shares = written(shares, "top-shares")
     best = shares.orderBy(F.desc("default_score"), "ticker").limit(50).agg(F.avg((F.col("top_share") >= 0.8).cast("double")).alias("top50_stay_share"))
     counts = shares.agg(F.count(F.lit(1)).alias("companies"), F.count_if(F.col("top_share") >= 0.9).alias("always_top"), F.count_if(F.col("bottom_share") >= 0.9).alias("always_bottom"))
     status = F.when(F.col("median_rho") >= 0.7, "passed").otherwise("flagged")
     return rho.crossJoin(best).crossJoin(counts).select(F.lit(runs).alias("runs"), "companies", "median_rho", "rho_p5", "top50_stay_share", "always_top", "always_bottom", status.alias("status"))
 
 
+def weight_verdict(totals: DataFrame, default: DataFrame, runs: int, top: float = 0.2) -> DataFrame:
+    """One row: companies, median_rho and rho_p5 of the runs' rank correlations with the default, top50_stay_share (of the
+    default's first 50, those in the top fifth of 80 % of runs), always_top and always_bottom (90 %), status."""
+    ranked, by_run = _ranked_runs(totals, default)
+    return _verdict(_top_and_bottom(ranked, default, runs, top), by_run, runs)
+
+
+def drawn_verdict(ranks: DataFrame, runs: DataFrame, default: DataFrame, min_share: float, top: float = 0.2) -> DataFrame:
+    """weight_verdict() of all weightings of runs, as many_totals() takes them with ranks."""
+    return _verdict(*_drawn(ranks, runs, default, min_share, top))
+
+
 def repository_findings(catalog: DataFrame, files: DataFrame, least_ready: int = 3) -> DataFrame:
     """rule, category, indicator_id of all catalogs (category, indicator_id, status) and indicator files (category, indicator_id): an id of two
     categories, a ready one without a file, a file that is not listed, and categories (id NULL) with too few ready ones."""

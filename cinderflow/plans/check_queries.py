@@ -14,7 +14,7 @@ from cinderflow.operators import timeseries as T
 from cinderflow.operators.portfolio import companies
 from cinderflow.plans import fixtures as X
 from cinderflow.plans.operator_queries import _PAIRS, _QUARTERS, pairs, panel
-from cinderflow.plans.score_queries import _RUNS_SQL, DRAWS, _ranks, drawn_totals, weightings
+from cinderflow.plans.score_queries import _RUNS_SQL, DRAWS, _ranks, weightings
 from cinderflow.storage import sized
 
 QUERIES, ORACLE = {}, {}
@@ -108,17 +108,19 @@ def q05_weight_robustness(spark, d):
 def _drawn(spark, d):
     first = scoring.primaries(X.universe(spark, d)).select(F.col("primary").alias("ticker"))
     ranks = _ranks(spark, d)
-    return drawn_totals(spark, d, ranks), scoring.score_ranks(X.universe(spark, d), ranks, X.PROFILE).join(first, "ticker", "left_semi"), DRAWS
+    default = scoring.score_ranks(X.universe(spark, d), ranks, X.PROFILE).join(first, "ticker", "left_semi")
+    return ranks.where("ticker = primary"), scoring.drawn_weightings(X.catalog(spark), X.PROFILE, DRAWS), default, X.PROFILE.min_weight_share
 
 
 @query()
 def q05_weight_frequencies(spark, d):
-    return Q.weight_frequencies(*_drawn(spark, d))
+    ranks, runs, default, share = _drawn(spark, d)
+    return Q.weight_frequencies(scoring.many_totals(ranks, runs, share), default, DRAWS)
 
 
 @query()
 def q05_weight_verdict(spark, d):
-    return Q.weight_verdict(*_drawn(spark, d))
+    return Q.drawn_verdict(*_drawn(spark, d))
 
 
 @query(P + """, mv AS (SELECT * FROM (SELECT *, value - lag(value) OVER w AS delta, year - lag(year) OVER w AS gap FROM facts WINDOW w AS (PARTITION BY indicator_id, ticker ORDER BY year)) WHERE gap = 1),

@@ -120,8 +120,8 @@ def evidence(check: str, universe: DataFrame, facts: DataFrame, catalog: DataFra
     if check == "weight_robustness":
         runs = more.get("runs", 1000)
         ranks = written(scoring.profile_ranks(universe, facts, scoring.indicator_weights(catalog, profile), profile), "ranks")
-        totals = scoring.many_totals(ranks.where("ticker = primary"), scoring.drawn_weightings(catalog, profile, runs), profile.min_weight_share)
-        return checks.weight_verdict(totals, scoring.score_ranks(universe, ranks, profile).join(first, "ticker", "left_semi"), runs)
+        default = scoring.score_ranks(universe, ranks, profile).join(first, "ticker", "left_semi")
+        return checks.drawn_verdict(ranks.where("ticker = primary"), scoring.drawn_weightings(catalog, profile, runs), default, profile.min_weight_share)
     raise KeyError(f"no evidence check {check!r}")
 
 

@@ -98,3 +98,38 @@ def test_a_text_is_searched_once(spark):
     got = df.select("id", spots(F.col("text"), "[0-9]+").alias("s"))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
     assert {r["id"]: [tuple(x) for x in r["s"]] for r in got.collect()} == {1: [(1, "1"), (3, "22")], 2: [], 3: [], 4: [(0, "7")]}
+
+
+def _weighted(spark, monkeypatch):
+    """Ranks with gaps, seven weightings, and a default that lacks a score or has no ranks here and there; counted in small blocks, chunks and parts of the runs."""
+    from cinderflow import config
+    from cinderflow.operators import scoring
+
+    for name, n in {"LEAST_COUNTED": 9, "MOST_COUNTED": 20, "RUNS_AT_ONCE": 3, "CHUNK": 8, "TILE": 16, "SLICE_RUNS": 2}.items():
+        monkeypatch.setattr(scoring, name, n)
+    catalog = [("a", "economic", 1.0), ("b", "economic", 2.0), ("off", "social", 0.0), ("c", "social", 1.0), ("d", "environmental", 1.0)]
+    rng = np.random.default_rng(3)
+    r = np.where(rng.uniform(0, 1, (80, 5)) < 0.25, np.nan, np.round(rng.uniform(0, 1, (80, 5)), 1))
+    rows = [(f"t{k:02}", c, i, None if np.isnan(r[k, j]) else float(r[k, j])) for k in range(80) for j, (i, c, _) in enumerate(catalog) if i != "off"]
+    ranks = spark.createDataFrame(rows, "ticker string, category string, indicator_id string, rank01 double")
+    default = spark.createDataFrame([(f"t{k:02}", None if k % 11 == 0 else k % 20 / 10) for k in range(82)], "ticker string, total_score double")
+    table = spark.createDataFrame(catalog, "indicator_id string, category string, weight double")
+    return ranks, scoring.drawn_weightings(table, config.Profile("p", {"economic": 1.0, "social": 1.0, "environmental": 0.0}), 7), default
+
+
+def test_verdict_from_counts_made_in_tasks(spark, monkeypatch):
+    """The verdict on totals that are never rows is the one on many_totals()' rows."""
+    from cinderflow.operators import scoring
+
+    ranks, runs, default = _weighted(spark, monkeypatch)
+    want = checks.weight_verdict(scoring.many_totals(ranks, runs, 0.6), default, 7).collect()[0].asDict()
+    got = checks.drawn_verdict(ranks, runs, default, 0.6).collect()[0].asDict()
+    assert got == {k: v if not isinstance(v, float) else pytest.approx(v, abs=1e-12) for k, v in want.items()} and want["companies"] == 74
+
+
+@tables
+def test_verdict_makes_no_row_a_company_and_run(spark, monkeypatch):
+    from cinderflow.operators import scoring
+
+    monkeypatch.setattr(scoring, "many_totals", None)
+    assert check_queries.q05_weight_verdict(spark, DIR).collect()[0]["runs"] == 1000
