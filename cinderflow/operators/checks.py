@@ -158,6 +158,11 @@ def weight_frequencies(totals: DataFrame, default: DataFrame, runs: int, top: fl
     return _top_and_bottom(_ranked_runs(totals, default)[0], default, runs, top)
 
 
+def drawn_frequencies(ranks: DataFrame, runs: DataFrame, default: DataFrame, min_share: float, top: float = 0.2) -> DataFrame:
+    """weight_frequencies() of all weightings of runs, as many_totals() takes them with ranks."""
+    return _drawn(ranks, runs, default, min_share, top)[0]
+
+
 def _verdict(shares: DataFrame, by_run: DataFrame, runs: int) -> DataFrame:
     rho = by_run.agg(F.percentile("rho", 0.5).alias("median_rho"), F.percentile("rho", 0.05).alias("rho_p5"))
     shares = written(shares, "top-shares")

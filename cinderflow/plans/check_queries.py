@@ -114,8 +114,7 @@ def _drawn(spark, d):
 
 @query()
 def q05_weight_frequencies(spark, d):
-    ranks, runs, default, share = _drawn(spark, d)
-    return Q.weight_frequencies(scoring.many_totals(ranks, runs, share), default, DRAWS)
+    return Q.drawn_frequencies(*_drawn(spark, d))
 
 
 @query()

@@ -133,3 +133,16 @@ def test_verdict_makes_no_row_a_company_and_run(spark, monkeypatch):
 
     monkeypatch.setattr(scoring, "many_totals", None)
     assert check_queries.q05_weight_verdict(spark, DIR).collect()[0]["runs"] == 1000
+
+
+@tables
+def test_frequencies_come_from_a_companys_row(spark, monkeypatch):
+    """Shares are those of many_totals()' rows; a company is counted in its task, so nothing is joined or added up after."""
+    from cinderflow.operators import scoring
+
+    with monkeypatch.context() as m:
+        ranks, runs, default = _weighted(spark, m)
+        want = sorted(map(tuple, checks.weight_frequencies(scoring.many_totals(ranks, runs, 0.6), default, 7).collect()))
+        assert sorted(map(tuple, checks.drawn_frequencies(ranks, runs, default, 0.6).collect())) == want and any(x[2] for x in want) and any(x[3] for x in want)
+    made = plan(check_queries.q05_weight_frequencies(spark, DIR))
+    assert "Join" not in made and "Aggregate" not in made and made.count("Exchange") == 1
