@@ -146,3 +146,34 @@ def test_frequencies_come_from_a_companys_row(spark, monkeypatch):
         assert sorted(map(tuple, checks.drawn_frequencies(ranks, runs, default, 0.6).collect())) == want and any(x[2] for x in want) and any(x[3] for x in want)
     made = plan(check_queries.q05_weight_frequencies(spark, DIR))
     assert "Join" not in made and "Aggregate" not in made and made.count("Exchange") == 1
+
+
+def test_pages_make_plain_files(spark, tmp_path, monkeypatch):
+    """In a local folder a page is one file and nothing beside it, pages that share an id too; what is written again takes its place, and few tasks read them."""
+    from cinderflow.plans import final_queries
+    from cinderflow.sources import files
+
+    rows = [(k, f"u{k}", f"<p>é\n{k}</p>") for k in range(40)] + [(3, "twice", "<p>other</p>"), (50, "none", None), (51, "empty", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    monkeypatch.setattr(final_queries, "fresh_path", lambda *a: f"file://{tmp_path}/tree")
+    monkeypatch.setattr(files, "READ_TASKS", 2)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # a file a task otherwise
+    try:
+        got = [final_queries.s12_html_documents(spark, f"file://{tmp_path}") for _ in range(2)][1]
+        assert sorted(map(tuple, got.collect())) == sorted([(k, "UTF-8", f"é {k}") for k in range(40)] + [(3, "UTF-8", "other"), (51, "UTF-8", "")])
+        assert got.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    made = [f for f in (tmp_path / "tree").rglob("*") if f.is_file()]
+    assert len(made) == 42 and all(f.name.startswith("part-") for f in made)
+
+
+def test_tree_in_other_stores(spark, tmp_path):
+    """A store that only Spark reaches gets the same documents from Spark's writer."""
+    from cinderflow.sources import files
+
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.trees.link./t", f"file://{tmp_path}")
+    df = spark.createDataFrame([(1, "<p>a</p>"), (2, "b")], "k long, html string")
+    files.write_tree(df, "viewfs://trees/t/far")
+    assert sorted(r["text"] for r in files.read_html(spark, "viewfs://trees/t/far").collect()) == ["a", "b"]
